@@ -1,10 +1,1137 @@
-"""Registry of the raster engine's queries and their SQL."""
+"""The raster engine's queries over the driver's tables, and the same in SQL where SQL can state them.
+
+Rasters are derived from events, drawings from part, edit logs from events; each
+query runs one operator over the whole of them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import schema
+from .functions import numbers, path, svg
+from .operators import color, edits, neighbourhood, pixel, region, stats
+from .operators.trace import TraceOptions, trace
+from .plans import pipeline, settings
+from .sources import export, images, raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_PX = """px AS (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, CAST(event_id % 25 AS INTEGER) AS x, CAST(event_id % 500 // 25 AS INTEGER) AS y,
+    CAST(CASE WHEN d THEN 30 ELSE 240 END + CASE WHEN e THEN user_id % 13 ELSE 0 END AS INTEGER) AS r,
+    CAST(CASE WHEN d THEN 60 ELSE 240 END + CASE WHEN e THEN user_id % 11 ELSE 0 END AS INTEGER) AS g,
+    CAST(CASE WHEN d THEN 120 ELSE 240 END + CASE WHEN e THEN user_id % 7 ELSE 0 END AS INTEGER) AS b,
+    CAST(CASE WHEN event_type = 'signup' AND user_id % 10 = 0 THEN 90 ELSE 255 END AS INTEGER) AS a
+  FROM (SELECT *, (event_id % 25 - 12) * (event_id % 25 - 12) + (event_id % 500 // 25 - 10) * (event_id % 500 // 25 - 10) <= 36 AS d, event_type = 'error' AS e FROM events))"""
+_OPAQUE = "o AS (SELECT *, r * 65536 + g * 256 + b AS rgb, y * 25 + x AS ord FROM px WHERE a >= 128)"
+
+
+def query(sql: str | None = None, with_: str = _PX) -> Callable:
+    """Registers a query under its name, with its SQL (WITH with_, ... or, if with_ is empty, as it stands)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {with_}{' ' if sql.lstrip().upper().startswith('SELECT') else ', '}{sql}" if with_ else sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+px = raster.from_events
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing for every eight parts, a path a part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    a, b = F.col("p_partkey") % 50, F.col("p_size")
+    fill = F.element_at(F.array(*[F.lit(c) for c in _FILLS]), (F.expr("p_partkey div 3") % 5 + 1).cast("int"))
+    d = F.concat(F.lit("M"), a, F.lit(" "), b, F.lit(" L"), a + 10, F.lit(" "), b, F.lit(" "), a + 10, F.lit(" "), b + 7, F.lit(" C"), a + 9, F.lit(" "), b + 8, F.lit(" "), a + 2, F.lit(" "), b + 9, F.lit(" "), a, F.lit(" "), b + 7, F.lit(" Z"))
+    tag = F.concat(F.lit('<path d="'), d, F.lit('" fill="'), fill, F.lit('" transform="translate('), F.col("p_partkey") % 7, F.lit(","), b % 5, F.lit(')"/>\n'))
+    rows = p.groupBy(F.expr("p_partkey div 8").cast("int").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", tag.alias("tag")))).alias("t"))
+    return rows.select("image_id", F.concat(F.lit(_HEAD), F.array_join(F.transform("t", lambda s: s["tag"]), ""), F.lit("</svg>")).alias("svg"))
+
+
+_FILLS = ("#ff0000", "#00ff00", "#101010", "#8080ff", "#000000")
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<!-- made -->\n<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="120" height="90">\n'
+_TAGS = f"""tags AS (SELECT CAST(p_partkey // 8 AS INTEGER) AS image_id, p_partkey, p_size, ['{"','".join(_FILLS)}'][p_partkey // 3 % 5 + 1] AS fill, p_partkey % 7 AS dx, p_size % 5 AS dy,
+    'M' || a || ' ' || b || ' L' || (a + 10) || ' ' || b || ' ' || (a + 10) || ' ' || (b + 7) || ' C' || (a + 9) || ' ' || (b + 8) || ' ' || (a + 2) || ' ' || (b + 9) || ' ' || a || ' ' || (b + 7) || ' Z' AS d,
+    CAST(row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS INTEGER) AS path_ord FROM (SELECT *, p_partkey % 50 AS a, p_size AS b FROM part))"""
+_DRAWINGS = _TAGS + f""", drawings AS (SELECT image_id, '{_HEAD}' || string_agg('<path d="' || d || '" fill="' || fill || '" transform="translate(' || dx || ',' || dy || ')"/>' || chr(10), '' ORDER BY p_partkey) || '</svg>' AS svg FROM tags GROUP BY image_id)""".replace("\n<", "' || chr(10) || '<").replace("\n'", "' || chr(10)")
+_SIZES = "s AS (SELECT p_partkey, CAST(p_size * 97 AS INTEGER) AS w, CAST(p_partkey % 4000 + 1 AS INTEGER) AS h, ['1', '2', '3', 'auto', 'ultra'][p_partkey % 5 + 1] AS up FROM part)"
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = F.element_at(F.array(*[F.lit(u) for u in ("1", "2", "3", "auto", "ultra")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).cast("int").alias("w"), (F.col("p_partkey") % 4000 + 1).cast("int").alias("h"), up.alias("up"))
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# Sources ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CAST(greatest(1, floor(w * k + 0.5)) AS INTEGER) AS width, CAST(greatest(1, floor(h * k + 0.5)) AS INTEGER) AS height FROM (SELECT *, least(1.0::DOUBLE, 2048::DOUBLE / greatest(w, h)) AS k FROM s)", _SIZES)
+def s08_fit_decode_size(spark, sf_dir):
+    w, h = raster.fit_decode_size(F.col("w"), F.col("h"))
+    return sizes(spark, sf_dir).select("p_partkey", w.alias("width"), h.alias("height"))
+
+
+@query("SELECT image_id, CAST(19 - y AS INTEGER) AS x, x AS y, r, g, b, a FROM px")
+def s11_rotate(spark, sf_dir):
+    return raster.rotate(px(spark, sf_dir))
+
+
+@query("SELECT image_id, y AS x, CAST(24 - x AS INTEGER) AS y, r, g, b, a FROM px")
+def s11_rotate_back(spark, sf_dir):
+    return raster.rotate(px(spark, sf_dir), clockwise=False)
+
+
+@query("SELECT image_id, x, y, 255 - r AS r, 255 - g AS g, 255 - b AS b, a FROM px")
+def s12_invert(spark, sf_dir):
+    return pixel.invert(px(spark, sf_dir))
+
+
+@query("SELECT image_id, CAST(x * 2 + i AS INTEGER) AS x, CAST(y * 2 + j AS INTEGER) AS y, r, g, b, a FROM px, range(2) t(i), range(2) u(j)")
+def s13_upscale_nearest(spark, sf_dir):
+    return raster.upscale_nearest(px(spark, sf_dir), 2)
+
+
+@query("SELECT image_id, CAST(x // 5 AS INTEGER) AS x, CAST(y // 5 AS INTEGER) AS y, " + ", ".join(f"CAST(CASE WHEN sum(a) > 0 THEN floor(sum({c} * a)::DOUBLE / sum(a) + 0.5) ELSE 0 END AS INTEGER) AS {c}" for c in "rgb") + ", CAST(floor(avg(a) + 0.5) AS INTEGER) AS a FROM px GROUP BY ALL")
+def s13_downscale(spark, sf_dir):
+    return raster.downscale(px(spark, sf_dir), 5)
+
+
+@query("SELECT image_id, CAST(x // 3 AS INTEGER) AS x, CAST(y // 3 AS INTEGER) AS y, " + ", ".join(f"CAST(CASE WHEN sum(a) > 0 THEN floor(sum({c} * a)::DOUBLE / sum(a) + 0.5) ELSE 0 END AS INTEGER) AS {c}" for c in "rgb") + ", CAST(floor(avg(a) + 0.5) AS INTEGER) AS a FROM px GROUP BY ALL")
+def s10_cap(spark, sf_dir):
+    return raster.cap(px(spark, sf_dir), 10)
+
+
+_UP = "CASE up WHEN 'auto' THEN greatest(1, 2048::DOUBLE / greatest(w, h)) WHEN 'ultra' THEN greatest(1, 4096::DOUBLE / greatest(w, h)) ELSE try_cast(up AS DOUBLE) END"
+
+
+@query(f"SELECT p_partkey, round({_UP}, 6) + 0.0 AS upscale FROM s", _SIZES)
+def s16_effective_upscale(spark, sf_dir):
+    return sizes(spark, sf_dir).select("p_partkey", r6(raster.effective_upscale(F.col("up"), F.col("w"), F.col("h"))).alias("upscale"))
+
+
+@query(f"SELECT p_partkey, round(least({_UP}, 2048::DOUBLE / greatest(w, h)), 6) + 0.0 AS scale FROM s", _SIZES)
+def s14_fit_trace_scale(spark, sf_dir):
+    w, h = F.col("w"), F.col("h")
+    return sizes(spark, sf_dir).select("p_partkey", r6(raster.fit_trace_scale(w, h, raster.effective_upscale(F.col("up"), w, h))).alias("scale"))
+
+
+@query("SELECT p_partkey, CAST(w AS BIGINT) * 4 * h * 4 > 64000000 AS refused FROM s", _SIZES)
+def s15_raster_budget(spark, sf_dir):
+    return sizes(spark, sf_dir).select("p_partkey", raster.budget_error(F.col("w").cast("long"), F.col("h"), F.lit(4)).isNotNull().alias("refused"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's first bytes for each part: its size in the header of one of eight formats."""
+    s = sizes(spark, sf_dir).select("p_partkey", (F.col("w") % 4000 + 1).alias("w"), "h")
+    be = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    le = lambda c, n: F.concat(*[F.substring(be(c, n), 2 * k + 1, 2) for k in range(n - 1, -1, -1)])
+    pad = lambda n: F.lit("00" * n)
+    text = lambda t: F.lit(t.encode().hex())
+    w, h = F.col("w"), F.col("h")
+    exif = "FFE1001A" + b"Exif\0\0II*\0\x08\0\0\0\x01\0\x12\x01\x03\0\x01\0\0\0\x06\0\0\0".hex()
+    exif = exif[:4] + f"{len(exif) // 2 - 2:04X}" + exif[8:]
+    frame = lambda a, b: F.concat(F.lit("FFC0001108"), be(a, 2), be(b, 2), pad(12))
+    packed = (w - 1) + (h - 1) * 16384
+    kinds = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), be(w, 4), be(h, 4), pad(5)),
+        F.concat(text("GIF89a"), le(w, 2), le(h, 2), pad(3)),
+        F.concat(text("BM"), pad(16), le(w, 4), be(F.lit(0), 0), le(F.lit(4294967296) - h, 4), pad(8)),
+        F.concat(text("RIFF"), pad(4), text("WEBPVP8 "), pad(10), le(w, 2), le(h, 2), pad(4)),
+        F.concat(text("RIFF"), pad(4), text("WEBPVP8L"), pad(4), F.lit("2F"), F.substring(pad(1), 1, 0), le(packed, 4), pad(5)),
+        F.concat(text("RIFF"), pad(4), text("WEBPVP8X"), pad(8), le(w - 1, 3), le(h - 1, 3), pad(4)),
+        F.concat(F.lit("FFD8FFFFDA"[:4] + "FFE000064A464946"), F.lit("FFFF01"), frame(h, w)),
+        F.concat(F.lit("FFD8" + exif), frame(w, h)),
+        text("not an image at all, just some text"),
+    ]
+    kind = F.element_at(F.array(*kinds), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return s.select("p_partkey", F.unhex(kind).alias("content"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 3 THEN 'webp' WHEN 4 THEN 'webp-lossless' WHEN 5 THEN 'webp-extended' WHEN 8 THEN NULL ELSE 'jpeg' END AS format,
+    CAST(CASE WHEN p_partkey % 9 < 8 THEN w % 4000 + 1 END AS INTEGER) AS width, CASE WHEN p_partkey % 9 < 8 THEN h END AS height, CAST(CASE WHEN p_partkey % 9 = 7 THEN 6 ELSE 0 END AS INTEGER) AS orientation FROM s""",
+    _SIZES,
+)
+def s01_image_headers(spark, sf_dir):
+    return images.headers(_files(spark, sf_dir)).select("p_partkey", "format", "width", "height", "orientation")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 8 THEN 'unknown format' END AS error FROM s", _SIZES)
+def s09_decode_checks(spark, sf_dir):
+    return images.checked(_files(spark, sf_dir)).select("p_partkey", "error")
+
+
+@query("SELECT image_id, count(*) AS n, CAST(sum(r * 1 + g * 2 + b * 3 + a * 5 + x * 7 + y * 11) AS BIGINT) AS sum FROM px GROUP BY image_id")
+def s00_pack_unpack(spark, sf_dir):
+    t = raster.unpack(raster.pack(px(spark, sf_dir)))
+    return t.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.expr("r + g * 2 + b * 3 + a * 5 + x * 7 + y * 11")).cast("long").alias("sum"))
+
+
+# Pixels -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM px")
+def p00_raster(spark, sf_dir):
+    return px(spark, sf_dir)
+
+
+@query("SELECT image_id, x, y, v AS r, v AS g, v AS b, a FROM (SELECT *, CASE WHEN r < 128 THEN 0 ELSE 255 END AS v FROM px)")
+def p01_threshold(spark, sf_dir):
+    return pixel.threshold(px(spark, sf_dir), 128)
+
+
+@query("SELECT image_id, x, y, CASE WHEN a < 128 THEN 1 ELSE r END AS r, CASE WHEN a < 128 THEN 2 ELSE g END AS g, CASE WHEN a < 128 THEN 3 ELSE b END AS b, CASE WHEN a < 128 THEN 255 ELSE a END AS a FROM px")
+def p02_fill_transparent(spark, sf_dir):
+    return pixel.fill_transparent(px(spark, sf_dir), (1, 2, 3))
+
+
+@query("SELECT image_id, x, y, r, g, b, CASE WHEN a >= 128 THEN 255 ELSE 0 END AS a FROM px")
+def p03_binarize_alpha(spark, sf_dir):
+    return pixel.binarize_alpha(px(spark, sf_dir))
+
+
+_LUMA = "CAST(floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5) AS INTEGER)"
+
+
+@query(f"SELECT image_id, x, y, v AS r, v AS g, v AS b, a FROM (SELECT *, {_LUMA} AS v FROM px)")
+def p04_grayscale(spark, sf_dir):
+    return pixel.grayscale(px(spark, sf_dir))
+
+
+@query(f"SELECT image_id, rgb, {_LUMA} AS gray FROM (SELECT DISTINCT image_id, r * 65536 + g * 256 + b AS rgb, r, g, b FROM px)")
+def p05_grayscale_color(spark, sf_dir):
+    t = px(spark, sf_dir).select("image_id", pixel.packed().alias("rgb")).distinct()
+    return t.select("image_id", "rgb", pixel.luma(*pixel.unpacked(F.col("rgb"))).alias("gray"))
+
+
+def _lab_sql(r: str, g: str, b: str) -> tuple[str, str, str]:
+    lin = lambda c: f"(CASE WHEN ({c})/255.0::DOUBLE <= 0.04045 THEN ({c})/255.0::DOUBLE/12.92 ELSE pow((({c})/255.0::DOUBLE + 0.055)/1.055, 2.4) END)"
+    lms = ["cbrt(" + " + ".join(f"{k}::DOUBLE * {lin(c)}" for k, c in zip(row, (r, g, b))) + ")" for row in color.TO_LMS]
+    return tuple("(" + " + ".join(f"({k}::DOUBLE) * {v}" for k, v in zip(row, lms)) + ")" for row in color.TO_LAB)
+
+
+def _distance_sql(one: tuple[str, str, str], two: tuple[str, str, str]) -> str:
+    (l1, a1, b1), (l2, a2, b2) = _lab_sql(*one), _lab_sql(*two)
+    return f"sqrt(pow({l2} - {l1}, 2) + pow(2 * ({a2} - {a1}), 2) + pow(2 * ({b2} - {b1}), 2)) * 255"
+
+
+_L, _A, _B = _lab_sql("r", "g", "b")
+
+
+@query(f'SELECT image_id, x, y, round({_L}, 6) + 0.0 AS lab_l, round({_A}, 6) + 0.0 AS lab_a, round({_B}, 6) + 0.0 AS lab_b FROM px')
+def p06_oklab(spark, sf_dir):
+    t = color.with_oklab(px(spark, sf_dir))
+    return t.select("image_id", "x", "y", *[r6(F.col(c)).alias(c) for c in color.LAB])
+
+
+@query("SELECT image_id, x, y, r, g, b FROM px")
+def p07_oklab_round_trip(spark, sf_dir):
+    t = color.with_oklab(px(spark, sf_dir).select("image_id", "x", "y", "r", "g", "b"))
+    return t.select("image_id", "x", "y", *[c.alias(n) for n, c in zip("rgb", color.srgb([F.col(k) for k in color.LAB]))])
+
+
+@query(f"SELECT image_id, x, y, {_distance_sql(('r', 'g', 'b'), ('245', '240', '235'))} <= 16 AS match FROM px")
+def p08_fuzz_match(spark, sf_dir):
+    d = color.distance([F.col(c) for c in "rgb"], [F.lit(v) for v in (245, 240, 235)])
+    return px(spark, sf_dir).select("image_id", "x", "y", (d <= 16).alias("match"))
+
+
+@query(f"SELECT image_id, x, y, r, g, b, CASE WHEN {_distance_sql(('r', 'g', 'b'), ('240', '240', '240'))} <= 10 THEN 0 ELSE a END AS a FROM px")
+def p09_knock_out(spark, sf_dir):
+    t = px(spark, sf_dir)
+    return color.knock_out(t, t.select("image_id").distinct().withColumn("rgb", F.lit(240 * 65793)), 10.0)
+
+
+@query("SELECT image_id, bool_or(a < 255) AS has_alpha FROM px GROUP BY image_id")
+def p10_has_alpha(spark, sf_dir):
+    return pixel.has_alpha(px(spark, sf_dir))
+
+
+_HEX = "h AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '#' || printf('%06X', p_partkey * 7919 % 16777216) WHEN 1 THEN ' ' || printf('%06x', p_partkey * 7919 % 16777216) || ' ' WHEN 2 THEN '#FFF' ELSE p_brand END AS t FROM part)"
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_full_match(trim(t), '#?[0-9a-fA-F]{6}') THEN CAST('0x' || right(trim(t), 6) AS INTEGER) END AS rgb FROM h", _HEX)
+def p11_parse_hex(spark, sf_dir):
+    n = F.col("p_partkey") * 7919 % 16777216
+    t = F.when(F.col("p_partkey") % 4 == 0, F.format_string("#%06X", n)).when(F.col("p_partkey") % 4 == 1, F.format_string(" %06x ", n)).when(F.col("p_partkey") % 4 == 2, "#FFF").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", pixel.parse_hex(t).alias("rgb"))
+
+
+@query("SELECT DISTINCT image_id, r, g, b, '#' || printf('%02X%02X%02X', r, g, b) AS hex FROM px")
+def p12_to_hex(spark, sf_dir):
+    return px(spark, sf_dir).select("image_id", "r", "g", "b").distinct().withColumn("hex", pixel.to_hex(F.col("r"), F.col("g"), F.col("b")))
+
+
+_POINTS = "pts AS (SELECT DISTINCT image_id, k AS point_id, (k * 37 % 101) / 100.0::DOUBLE AS nx, (k * 53 % 101) / 100.0::DOUBLE AS ny FROM px, range(20) t(k))"
+
+
+@query(_POINTS + " SELECT image_id, CAST(point_id AS INTEGER) AS point_id, x, y, r, g, b, a FROM pts JOIN px USING (image_id) WHERE x = least(24, floor(nx * 25)) AND y = least(19, floor(ny * 20))")
+def p13_sample_color(spark, sf_dir):
+    t = px(spark, sf_dir)
+    k = F.col("point_id")
+    pts = t.select("image_id").distinct().withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumns({"nx": (k * 37 % 101) / 100.0, "ny": (k * 53 % 101) / 100.0})
+    return pixel.sample_points(t, pts)
+
+
+@query(_POINTS + " SELECT image_id, CAST(point_id AS INTEGER) AS point_id, x, y, 255 - r AS r, 255 - g AS g, 255 - b AS b, a FROM pts JOIN px USING (image_id) WHERE x = least(24, floor(nx * 25)) AND y = least(19, floor(ny * 20))")
+def p14_sample_bitmap(spark, sf_dir):
+    t = pixel.invert(px(spark, sf_dir))
+    k = F.col("point_id")
+    pts = t.select("image_id").distinct().withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumns({"nx": (k * 37 % 101) / 100.0, "ny": (k * 53 % 101) / 100.0})
+    return pixel.sample_points(t, pts)
+
+
+@query("SELECT image_id, x, y, CAST(y * 25 + x AS BIGINT) AS ord, CAST((y * 25 + x) % 25 AS INTEGER) AS x2, CAST((y * 25 + x) // 25 AS INTEGER) AS y2 FROM px")
+def p16_addressing(spark, sf_dir):
+    t = stats.with_order(px(spark, sf_dir))
+    return t.select("image_id", "x", "y", "ord", (F.col("ord") % F.col("w")).cast("int").alias("x2"), F.expr("ord div w").cast("int").alias("y2"))
+
+
+# Statistics ---------------------------------------------------------------------------------------------------------
+
+_DOMINANT = "dom AS (SELECT image_id, rgb FROM (SELECT image_id, rgb, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, max(ord)) AS k FROM o GROUP BY image_id, rgb) WHERE k = 1)"
+
+
+@query(_OPAQUE + ", " + _DOMINANT + " SELECT image_id, CAST(rgb AS INTEGER) AS rgb FROM dom")
+def a03_dominant_color(spark, sf_dir):
+    return stats.dominant_color(px(spark, sf_dir))
+
+
+_HIST = _OPAQUE + ", " + _DOMINANT + ", hist AS (SELECT image_id, CAST(CASE WHEN a < 128 THEN dom.rgb ELSE r * 65536 + g * 256 + b END AS INTEGER) AS rgb, count(*) AS n, CAST(min(y * 25 + x) AS BIGINT) AS first FROM px JOIN dom USING (image_id) GROUP BY ALL)"
+
+
+@query(_HIST + " SELECT * FROM hist")
+def a01_histogram(spark, sf_dir):
+    return stats.histogram(px(spark, sf_dir))
+
+
+_BG = """pos AS (SELECT 0 AS p, i AS a1, s AS a2, i AS x, CASE s WHEN 0 THEN 0 ELSE 19 END AS y FROM range(25) t(i), range(2) u(s)
+    UNION ALL SELECT 1, i, s, CASE s WHEN 0 THEN 0 ELSE 24 END, i FROM range(1, 19) t(i), range(2) u(s)
+    UNION ALL SELECT 2, s, i, CASE s % 2 WHEN 0 THEN 0 ELSE 21 END + i % 4, CASE WHEN s < 2 THEN 0 ELSE 16 END + i // 4 FROM range(16) t(i), range(4) u(s)),
+  seen AS (SELECT px.*, row_number() OVER (PARTITION BY image_id ORDER BY p, a1, a2) AS k, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4) AS bin FROM px JOIN pos USING (x, y)),
+  best AS (SELECT image_id, bin FROM (SELECT image_id, bin, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, max(k)) AS n FROM seen WHERE a >= 128 GROUP BY image_id, bin) WHERE n = 1),
+  bg AS (SELECT image_id, CAST(floor(avg(r) + 0.5) AS INTEGER) AS r, CAST(floor(avg(g) + 0.5) AS INTEGER) AS g, CAST(floor(avg(b) + 0.5) AS INTEGER) AS b FROM seen JOIN best USING (image_id, bin) WHERE a >= 128 GROUP BY image_id)"""
+
+
+@query(_BG + " SELECT * FROM bg")
+def a04_background_color(spark, sf_dir):
+    return stats.background_color(px(spark, sf_dir))
+
+
+@query(_BG + " SELECT image_id, CAST(k AS INTEGER) AS k, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM seen")
+def u01_sample_positions(spark, sf_dir):
+    return stats.sample_positions(raster.sizes(px(spark, sf_dir)))
+
+
+_FLAT = """c AS (SELECT image_id, rgb, count(*) AS c FROM o GROUP BY image_id, rgb),
+  t AS (SELECT *, row_number() OVER w AS k, sum(c) OVER w / sum(c) OVER (PARTITION BY image_id) AS share FROM c WINDOW w AS (PARTITION BY image_id ORDER BY c DESC, rgb DESC)),
+  a1 AS (SELECT image_id, count(*) AS number, max(share) FILTER (k <= 16) AS top, min(k) FILTER (share >= 0.95) AS reach FROM t GROUP BY image_id),
+  d AS (SELECT image_id, (rgb >> 22 & 3) * 16 + (rgb >> 14 & 3) * 4 + (rgb >> 6 & 3) AS bin, sum(c) AS c FROM c GROUP BY ALL),
+  u AS (SELECT *, row_number() OVER w AS k, sum(c) OVER w / sum(c) OVER (PARTITION BY image_id) AS share, c / sum(c) OVER (PARTITION BY image_id) AS own FROM d WINDOW w AS (PARTITION BY image_id ORDER BY c DESC, bin DESC)),
+  b1 AS (SELECT image_id, max(own) AS largest, coalesce(min(share) FILTER (share >= 0.95 AND k <= 8), max(share) FILTER (k <= 8)) AS walked, coalesce(min(k) FILTER (share >= 0.95 AND k <= 8), count(*)) AS kk FROM u GROUP BY image_id),
+  flat AS (SELECT image_id, CASE WHEN number <= 32 AND top < 0.9 THEN TRUE WHEN top < 0.9 AND walked >= 0.9 AND largest >= 0.35 THEN TRUE ELSE top >= 0.9 END AS flat,
+    CAST(CASE WHEN number <= 32 AND top < 0.9 THEN greatest(2, number) WHEN top < 0.9 AND walked >= 0.9 AND largest >= 0.35 THEN least(32, greatest(8, 2 * kk)) ELSE least(32, greatest(2, reach)) END AS INTEGER) AS color_count FROM a1 JOIN b1 USING (image_id))"""
+
+
+@query(_OPAQUE + ", " + _FLAT + " SELECT * FROM flat")
+def a05_flatness(spark, sf_dir):
+    return stats.flatness(px(spark, sf_dir))
+
+
+@query(_OPAQUE + ", " + _FLAT + " SELECT image_id, CAST(bin AS INTEGER) AS bin, CAST(c AS BIGINT) AS c, CAST(k AS INTEGER) AS rank, round(share, 6) + 0.0 AS share FROM u")
+def a06_clusters(spark, sf_dir):
+    t = px(spark, sf_dir).where("a >= 128").withColumn("bin", F.shiftright("r", 6) * 16 + F.shiftright("g", 6) * 4 + F.shiftright("b", 6))
+    w = Window.partitionBy("image_id").orderBy(F.desc("c"), F.desc("bin"))
+    t = t.groupBy("image_id", "bin").agg(F.count("*").alias("c"))
+    run = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(Window.partitionBy("image_id"))
+    return t.select("image_id", "bin", "c", F.row_number().over(w).alias("rank"), r6(run).alias("share"))
+
+
+@query(_HIST + " SELECT image_id, CAST(rgb AS INTEGER) AS rgb, n, CAST(k AS INTEGER) AS rank, round(share, 6) + 0.0 AS share FROM (SELECT *, row_number() OVER w AS k, sum(n) OVER w / sum(n) OVER (PARTITION BY image_id) AS share FROM hist WINDOW w AS (PARTITION BY image_id ORDER BY n DESC, first)) WHERE k <= 16")
+def w01_top_coverage(spark, sf_dir):
+    w = Window.partitionBy("image_id").orderBy(F.desc("n"), "first")
+    share = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy("image_id"))
+    t = stats.histogram(px(spark, sf_dir)).withColumn("rank", F.row_number().over(w)).withColumn("share", r6(share))
+    return t.where("rank <= 16").select("image_id", "rgb", "n", "rank", "share")
+
+
+@query(_OPAQUE + " SELECT image_id, count(DISTINCT rgb) AS n FROM o GROUP BY image_id")
+def a15_distinct_colors(spark, sf_dir):
+    return px(spark, sf_dir).where("a >= 128").groupBy("image_id").agg(F.countDistinct(pixel.packed()).alias("n"))
+
+
+@query(_OPAQUE + " SELECT image_id, CAST(rgb AS INTEGER) AS rgb, CAST(min(ord) AS BIGINT) AS first FROM o GROUP BY image_id, rgb")
+def a16_first_seen(spark, sf_dir):
+    return stats.distinct_colors(px(spark, sf_dir))
+
+
+@query(_HIST + " SELECT image_id, CAST(rgb AS INTEGER) AS rgb, CAST(sum(n) AS BIGINT) AS n FROM hist GROUP BY ROLLUP (image_id, rgb) HAVING grouping(rgb) = 1")
+def a18_rollup(spark, sf_dir):
+    t = stats.histogram(px(spark, sf_dir)).rollup("image_id", "rgb").agg(F.sum("n").alias("n"), F.grouping("rgb").alias("g"))
+    return t.where("g = 1").select("image_id", "rgb", "n")
+
+
+_DETECT = "p AS (SELECT * FROM (VALUES " + ", ".join(str(p) for p in schema.PRESETS) + ") v(preset, speckle, layer_diff))"
+
+
+@query(f"{_OPAQUE}, {_FLAT}, {_DETECT} SELECT image_id, flat, color_count, CAST(CASE WHEN flat THEN min(preset) END AS INTEGER) AS preset FROM flat LEFT JOIN p ON preset >= color_count GROUP BY image_id, flat, color_count")
+def c07_detected_settings(spark, sf_dir):
+    t = stats.nearest_preset(stats.flatness(px(spark, sf_dir)), "color_count", schema.presets(spark))
+    return t.select("image_id", "flat", "color_count", F.when(F.col("flat"), F.col("preset")).alias("preset"))
+
+
+@query(_DETECT + " SELECT p_partkey, CAST(min(preset) AS INTEGER) AS preset, CAST(min_by(speckle, preset) AS INTEGER) AS speckle, CAST(min_by(layer_diff, preset) AS INTEGER) AS layer_diff FROM (SELECT p_partkey, p_size * 6 AS n FROM part) LEFT JOIN p ON preset >= n GROUP BY p_partkey", "x AS (SELECT 1)")
+def j08_nearest_preset(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 6).alias("n"))
+    return stats.nearest_preset(t, "n", schema.presets(spark)).select("p_partkey", "preset", "speckle", "layer_diff")
+
+
+@query(_OPAQUE + ", d AS (SELECT image_id, rgb, min(ord) AS f, max(greatest(abs(r - 32), abs(g - 64), abs(b - 118))) AS gap FROM o GROUP BY image_id, rgb) SELECT image_id, CAST(CASE WHEN min(gap) <= 3 THEN arg_min(rgb, gap * 100000 + f) END AS INTEGER) AS rgb FROM d GROUP BY image_id")
+def f09_snap_color(spark, sf_dir):
+    t = px(spark, sf_dir)
+    return stats.snap(t, t.select("image_id").distinct().withColumn("rgb", F.lit(32 * 65536 + 64 * 256 + 118)), 3)
+
+
+@query("SELECT fill, CAST(arg_min(aci, d * 100 + i) AS INTEGER) AS aci FROM (SELECT fill, aci, i, pow(CAST('0x' || fill[2:3] AS INTEGER) - pr, 2) + pow(CAST('0x' || fill[4:5] AS INTEGER) - pg, 2) + pow(CAST('0x' || fill[6:7] AS INTEGER) - pb, 2) AS d FROM (SELECT DISTINCT fill FROM f), (VALUES " + ", ".join(f"({i}, {', '.join(map(str, c))})" for i, c in enumerate(schema.CAD_COLORS)) + ") v(i, aci, pr, pg, pb)) GROUP BY fill", "f AS (SELECT '#' || printf('%06x', p_partkey * 7919 % 16777216) AS fill FROM part)")
+def j06_cad_color(spark, sf_dir):
+    f = table(spark, sf_dir, "part").select(F.format_string("#%06x", F.col("p_partkey") * 7919 % 16777216).alias("fill")).distinct()
+    return stats.cad_index(f)
+
+
+# Neighbourhoods -----------------------------------------------------------------------------------------------------
+
+_NEAR = "near AS (SELECT c.image_id, c.x, c.y, c.r AS cr, c.g AS cg, c.b AS cb, c.a AS ca, n.r, n.g, n.b, n.a FROM px c JOIN px n ON n.image_id = c.image_id AND n.x BETWEEN c.x - 1 AND c.x + 1 AND n.y BETWEEN c.y - 1 AND c.y + 1)"
+
+
+@query(_NEAR + " SELECT image_id, x, y, count(*) AS n, CAST(sum(r) AS BIGINT) AS sum_r FROM near GROUP BY image_id, x, y")
+def j01_window_3x3(spark, sf_dir):
+    t = neighbourhood.windows(px(spark, sf_dir), F.col("r"))
+    return t.select("image_id", "x", "y", F.size("near").cast("long").alias("n"), F.aggregate("near", F.lit(0).cast("long"), lambda s, v: s + v).alias("sum_r"))
+
+
+_NEAR4 = "EXISTS (SELECT 1 FROM {t} n WHERE n.image_id = p.image_id AND abs(n.x - p.x) + abs(n.y - p.y) = 1 AND n.a < 128)"
+
+
+@query("SELECT image_id, x, y FROM px p WHERE a >= 128 AND " + _NEAR4.format(t="px"))
+def j02_beside_transparent(spark, sf_dir):
+    return neighbourhood.boundary(px(spark, sf_dir)).where("edge").select("image_id", "x", "y")
+
+
+@query(_NEAR + ", m AS (SELECT image_id, x, y, " + ", ".join(f"list_sort(list({c}) FILTER (a >= 128)) AS l{c}, any_value(c{c}) AS c{c}" for c in "rgb") + ", any_value(ca) AS a FROM near GROUP BY image_id, x, y) SELECT image_id, x, y, " + ", ".join(f"CASE WHEN a >= 128 THEN l{c}[len(l{c}) // 2 + 1] ELSE c{c} END AS {c}" for c in "rgb") + ", a FROM m")
+def f07_median_filter(spark, sf_dir):
+    return neighbourhood.median_filter(px(spark, sf_dir))
+
+
+@query(_NEAR + ", m AS (SELECT image_id, x, y, r, g, b FROM near WHERE a >= 128 AND ca >= 128 GROUP BY ALL HAVING count(*) >= 5) SELECT p.image_id, p.x, p.y, coalesce(m.r, p.r) AS r, coalesce(m.g, p.g) AS g, coalesce(m.b, p.b) AS b, p.a FROM px p LEFT JOIN m USING (image_id, x, y)")
+def f08_mode_filter(spark, sf_dir):
+    return neighbourhood.mode_filter(px(spark, sf_dir))
+
+
+@query("e1 AS (SELECT p.* REPLACE (CASE WHEN a >= 128 AND " + _NEAR4.format(t="px") + " THEN 0 ELSE a END AS a) FROM px p) SELECT p.* REPLACE (CASE WHEN a >= 128 AND " + _NEAR4.format(t="e1") + " THEN 0 ELSE a END AS a) FROM e1 p")
+def f02_erode(spark, sf_dir):
+    return neighbourhood.erode(px(spark, sf_dir), 2)
+
+
+_RINGS = "d1 AS (SELECT p.*, CASE WHEN a < 128 THEN 0 WHEN " + _NEAR4.format(t="px") + " THEN 1 END AS d FROM px p), d2 AS (SELECT p.* REPLACE (CASE WHEN d IS NULL AND EXISTS (SELECT 1 FROM d1 n WHERE n.image_id = p.image_id AND abs(n.x - p.x) + abs(n.y - p.y) = 1 AND n.d = 1) THEN 2 ELSE d END AS d) FROM d1 p)"
+
+
+@query(_RINGS + " SELECT image_id, x, y, CAST(d AS INTEGER) AS d FROM d2")
+def f03_rings(spark, sf_dir):
+    return neighbourhood.rings(px(spark, sf_dir), 2).select("image_id", "x", "y", "d")
+
+
+def _repaint(t: str, k: int) -> str:
+    mean = ", ".join(f"CAST(round_even(avg(n.{c}), 0) AS INTEGER) AS {c}" for c in "rgb")
+    return f"(SELECT p.* REPLACE ({', '.join(f'coalesce(m.{c}, p.{c}) AS {c}' for c in 'rgb')}) FROM {t} p LEFT JOIN (SELECT p.image_id, p.x, p.y, {mean} FROM {t} p JOIN {t} n ON n.image_id = p.image_id AND abs(n.x - p.x) <= 1 AND abs(n.y - p.y) <= 1 AND (n.d IS NULL OR n.d > {k}) WHERE p.d = {k} GROUP BY ALL) m ON m.image_id = p.image_id AND m.x = p.x AND m.y = p.y)"
+
+
+@query(_RINGS + f", r2 AS {_repaint('d2', 2)}, r1 AS {_repaint('r2', 1)} SELECT image_id, x, y, r, g, b, a FROM r1")
+def f03_defringe(spark, sf_dir):
+    return neighbourhood.defringe(px(spark, sf_dir), 2)
+
+
+# Colours and palettes -----------------------------------------------------------------------------------------------
+
+_LAB = f"lab AS (SELECT image_id, rgb, n, first, {_lab_sql('rgb >> 16', 'rgb >> 8 & 255', 'rgb & 255')[0]} AS ll, {_lab_sql('rgb >> 16', 'rgb >> 8 & 255', 'rgb & 255')[1]} AS aa, {_lab_sql('rgb >> 16', 'rgb >> 8 & 255', 'rgb & 255')[2]} AS bb, (rgb >> 22 & 3) * 16 + (rgb >> 14 & 3) * 4 + (rgb >> 6 & 3) AS box FROM hist)"
+_SEEDS = "seeds AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, first) - 1 AS k, ll, aa, bb FROM lab QUALIFY k < 4)"
+_NEAREST = "near AS (SELECT l.*, arg_min(s.k, pow(s.ll - l.ll, 2) + pow(s.aa - l.aa, 2) + pow(s.bb - l.bb, 2)) AS k FROM lab l JOIN seeds s USING (image_id) GROUP BY ALL)"
+
+
+def _lab_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = stats.histogram(px(spark, sf_dir))
+    r, g, b = pixel.unpacked(F.col("rgb"))
+    return color.with_oklab(h.withColumns({"r": r, "g": g, "b": b})).drop("r", "g", "b")
+
+
+def _palette(lab: DataFrame) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "first")) - 1
+    return lab.withColumn("k", k).where("k < 4").select("image_id", "k", *color.LAB)
+
+
+@query(f"{_HIST}, {_LAB}, {_SEEDS}, {_NEAREST} SELECT image_id, CAST(rgb AS INTEGER) AS rgb, CAST(k AS INTEGER) AS k FROM near")
+def j04_nearest_palette(spark, sf_dir):
+    lab = _lab_hist(spark, sf_dir)
+    return color.nearest_palette(lab, _palette(lab)).select("image_id", "rgb", "k")
+
+
+@query(f"{_HIST}, {_LAB}, {_SEEDS}, {_NEAREST}, m AS (SELECT image_id, k, sum(ll * n) / sum(n) AS ll, sum(aa * n) / sum(n) AS aa, sum(bb * n) / sum(n) AS bb FROM near GROUP BY image_id, k) SELECT image_id, CAST(k AS INTEGER) AS k, round(coalesce(m.ll, s.ll), 6) + 0.0 AS lab_l, round(coalesce(m.aa, s.aa), 6) + 0.0 AS lab_a, round(coalesce(m.bb, s.bb), 6) + 0.0 AS lab_b FROM seeds s LEFT JOIN m USING (image_id, k)")
+def a08_lloyd_update(spark, sf_dir):
+    lab = _lab_hist(spark, sf_dir)
+    p = _palette(lab)
+    t = color.updated_palette(color.nearest_palette(lab, p), p)
+    return t.select("image_id", "k", *[r6(F.col(c)).alias(c) for c in color.LAB])
+
+
+@query(f"{_HIST}, {_LAB} SELECT image_id, CAST(box AS INTEGER) AS box, round(sum(ll * n) / sum(n), 6) + 0.0 AS lab_l, round(sum(aa * n) / sum(n), 6) + 0.0 AS lab_a, round(sum(bb * n) / sum(n), 6) + 0.0 AS lab_b FROM lab GROUP BY image_id, box")
+def a07_box_means(spark, sf_dir):
+    rgb = F.col("rgb")
+    t = _lab_hist(spark, sf_dir).withColumn("box", F.shiftright(rgb, 22).bitwiseAND(3) * 16 + F.shiftright(rgb, 14).bitwiseAND(3) * 4 + F.shiftright(rgb, 6).bitwiseAND(3))
+    return t.groupBy("image_id", "box").agg(*[r6(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in color.LAB])
+
+
+@query(f"{_HIST}, {_LAB}, e AS (SELECT image_id, box, ch, round(max(v) - min(v), 6) + 0.0 AS extent FROM (SELECT image_id, box, unnest(['L', 'A', 'B']) AS ch, unnest([ll, aa, bb]) AS v FROM lab) GROUP BY ALL) SELECT image_id, CAST(box AS INTEGER) AS box, ch, extent FROM e QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY extent DESC, box, CASE ch WHEN 'L' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) = 1")
+def a09_widest_box(spark, sf_dir):
+    rgb = F.col("rgb")
+    t = _lab_hist(spark, sf_dir).withColumn("box", F.shiftright(rgb, 22).bitwiseAND(3) * 16 + F.shiftright(rgb, 14).bitwiseAND(3) * 4 + F.shiftright(rgb, 6).bitwiseAND(3))
+    each = t.select("image_id", "box", F.expr("stack(3, 0, 'L', lab_l, 1, 'A', lab_a, 2, 'B', lab_b) AS (c, ch, v)")).groupBy("image_id", "box", "c", "ch").agg(r6(F.max("v") - F.min("v")).alias("extent"))
+    return each.groupBy("image_id").agg(F.min_by(F.struct("box", "ch", "extent"), F.struct((-F.col("extent")).alias("e"), "box", "c")).alias("m")).select("image_id", "m.box", "m.ch", "m.extent")
+
+
+@query(f"{_HIST}, {_LAB}, c AS (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS run, sum(n) OVER (PARTITION BY image_id) AS total, count(*) OVER (PARTITION BY image_id) AS len FROM lab WINDOW w AS (PARTITION BY image_id ORDER BY round(ll, 9), first)) SELECT image_id, CAST(greatest(1, least(min(k) FILTER (run >= total / 2) - 1, any_value(len) - 1)) AS INTEGER) AS cut FROM c GROUP BY image_id")
+def a10_median_split(spark, sf_dir):
+    w = Window.partitionBy("image_id").orderBy(F.round("lab_l", 9), "first")
+    every = Window.partitionBy("image_id")
+    t = _lab_hist(spark, sf_dir).withColumns({"k": F.row_number().over(w), "run": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(every), "len": F.count("*").over(every)})
+    return t.groupBy("image_id").agg(F.greatest(F.lit(1), F.least(F.min(F.when(F.col("run") >= F.col("total") / 2, F.col("k"))) - 1, F.max("len") - 1)).cast("int").alias("cut"))
+
+
+@query()
+def f06_quantize(spark, sf_dir):
+    return color.quantize(px(spark, sf_dir), 8)
+
+
+@query()
+def f04_palette(spark, sf_dir):
+    return color.palette_map(stats.histogram(px(spark, sf_dir)), 8)
+
+
+# Regions ------------------------------------------------------------------------------------------------------------
+
+_MATCH = "open AS (SELECT px.image_id, px.x, px.y FROM px JOIN bg USING (image_id) WHERE px.a >= 128 AND " + _distance_sql(("px.r", "px.g", "px.b"), ("bg.r", "bg.g", "bg.b")) + " <= 12)"
+_FLOOD = "flood AS (SELECT * FROM open WHERE x IN (0, 24) OR y IN (0, 19) UNION SELECT o.image_id, o.x, o.y FROM flood f JOIN open o ON o.image_id = f.image_id AND abs(o.x - f.x) + abs(o.y - f.y) = 1)"
+
+
+@query(f"{_BG}, {_MATCH}, {_FLOOD} SELECT px.* REPLACE (CASE WHEN f.x IS NOT NULL THEN 0 ELSE a END AS a) FROM px LEFT JOIN flood f USING (image_id, x, y)", "RECURSIVE " + _PX)
+def f01_flood_fill(spark, sf_dir):
+    return region.knock_out_edges(px(spark, sf_dir), 12.0)
+
+
+@query(f"{_BG}, {_MATCH} SELECT image_id, x, y FROM open WHERE x IN (0, 24) OR y IN (0, 19)")
+def u03_border_seeds(spark, sf_dir):
+    t = px(spark, sf_dir)
+    bg = stats.background_color(t).select("image_id", *[F.col(c).alias(f"b{c}") for c in "rgb"])
+    s = raster.sizes(t)
+    hit = t.where("a >= 128").join(bg, "image_id").join(s, "image_id").where(color.distance([F.col(c) for c in "rgb"], [F.col(f"b{c}") for c in "rgb"]) <= 12)
+    rows = hit.where("x IN (0, w - 1)").select("image_id", "x", "y").union(hit.where("y IN (0, h - 1)").select("image_id", "x", "y"))
+    return rows.distinct()
+
+
+@query(f"{_BG} SELECT px.image_id, px.x, px.y, px.r, px.g, px.b, CASE WHEN {_distance_sql(('px.r', 'px.g', 'px.b'), ('bg.r', 'bg.g', 'bg.b'))} <= 12 THEN 0 ELSE px.a END AS a FROM px JOIN bg USING (image_id)")
+def f10_remove_background_auto(spark, sf_dir):
+    return region.remove_background(px(spark, sf_dir), "auto", 12.0)[0]
+
+
+_CELLS = "cells AS (SELECT image_id, x, y, rgb, ord FROM o), seed AS (SELECT c.image_id, c.x, c.y, c.rgb, c.ord AS s FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells n WHERE n.image_id = c.image_id AND n.rgb = c.rgb AND (n.ord = c.ord - 25 OR n.ord = c.ord - 1 AND n.y = c.y)))"
+_REACH = "reach AS (SELECT image_id, x, y, rgb, s FROM seed UNION SELECT n.image_id, n.x, n.y, n.rgb, r.s FROM reach r JOIN cells n ON n.image_id = r.image_id AND n.rgb = r.rgb AND abs(n.x - r.x) + abs(n.y - r.y) = 1)"
+_REGION = f"{_OPAQUE}, {_CELLS}, {_REACH}, reg AS (SELECT image_id, x, y, CAST(rgb AS INTEGER) AS rgb, CAST(min(s) AS INTEGER) AS region FROM reach GROUP BY image_id, x, y, rgb)"
+_SIDES = "sides AS (SELECT g.image_id, g.region, g.x, g.y, side, n.region AS other FROM reg g, (VALUES ('N', 0, -1), ('E', 1, 0), ('S', 0, 1), ('W', -1, 0)) v(side, dx, dy) LEFT JOIN reg n ON n.image_id = g.image_id AND n.x = g.x + dx AND n.y = g.y + dy WHERE n.region IS DISTINCT FROM g.region)"
+
+
+@query(f"{_REGION} SELECT * FROM reg", "RECURSIVE " + _PX)
+def r05_regions(spark, sf_dir):
+    return region.regions(px(spark, sf_dir))
+
+
+@query(f"{_REGION}, {_SIDES} SELECT image_id, region, x, y, side FROM sides", "RECURSIVE " + _PX)
+def r08_region_edges(spark, sf_dir):
+    return region.region_edges(region.regions(px(spark, sf_dir))).select("image_id", "region", "x", "y", "side")
+
+
+@query(f"{_REGION}, {_SIDES} SELECT image_id, region, rgb, area, perimeter FROM (SELECT image_id, region, any_value(rgb) AS rgb, count(*) AS area FROM reg GROUP BY ALL HAVING count(*) >= 4) JOIN (SELECT image_id, region, count(*) AS perimeter FROM sides GROUP BY ALL) USING (image_id, region)", "RECURSIVE " + _PX)
+def r06_speckle_filter(spark, sf_dir):
+    return region.region_stats(region.regions(px(spark, sf_dir)), 4)
+
+
+@query(f"{_REGION}, {_SIDES}, col AS (SELECT DISTINCT image_id, region, rgb FROM reg) SELECT s.image_id, s.region, s.other, count(*) AS border, CAST(max(greatest(abs((a.rgb >> 16) - (b.rgb >> 16)), abs((a.rgb >> 8 & 255) - (b.rgb >> 8 & 255)), abs((a.rgb & 255) - (b.rgb & 255)))) AS INTEGER) AS diff FROM sides s JOIN col a ON a.image_id = s.image_id AND a.region = s.region JOIN col b ON b.image_id = s.image_id AND b.region = s.other WHERE s.other > s.region GROUP BY ALL", "RECURSIVE " + _PX)
+def r07_adjacent_regions(spark, sf_dir):
+    return region.adjacent_regions(region.regions(px(spark, sf_dir)))
+
+
+@query("SELECT image_id, x, y, r < 128 AS dark FROM px")
+def r04_binary_cells(spark, sf_dir):
+    return px(spark, sf_dir).select("image_id", "x", "y", (F.col("r") < 128).alias("dark"))
+
+
+@query("SELECT p_partkey, w <= 0 OR h <= 0 OR CAST(w AS BIGINT) * h * 4 <> CAST(w AS BIGINT) * h * 4 - p_partkey % 3 AS refused FROM s", _SIZES)
+def r01_check_arguments(spark, sf_dir):
+    w, h = F.col("w").cast("long"), F.col("h")
+    return sizes(spark, sf_dir).select("p_partkey", ((w <= 0) | (h <= 0) | (w * h * 4 != w * h * 4 - F.col("p_partkey") % 3)).alias("refused"))
+
+
+_STENCIL = f"bw AS (SELECT image_id, x, y, CASE WHEN a >= 128 AND {_LUMA} < 128 THEN 0 ELSE 16777215 END AS rgb, y * 25 + x AS ord FROM px)"
+
+
+@query(f"{_STENCIL}, {_CELLS.replace('FROM o)', 'FROM bw)')}, {_REACH}, reg AS (SELECT image_id, x, y, CAST(rgb AS INTEGER) AS rgb, CAST(min(s) AS INTEGER) AS region FROM reach GROUP BY image_id, x, y, rgb), {_SIDES} SELECT image_id, region, rgb, area, perimeter FROM (SELECT image_id, region, any_value(rgb) AS rgb, count(*) AS area FROM reg GROUP BY ALL) JOIN (SELECT image_id, region, count(*) AS perimeter FROM sides GROUP BY ALL) USING (image_id, region)", "RECURSIVE " + _PX)
+def stencil_regions(spark, sf_dir):
+    """Flagship: stencil, regions, area and perimeter."""
+    return region.region_stats(region.regions(pipeline.preprocess(px(spark, sf_dir), pipeline.Settings(stencil=True))))
+
+
+@query()
+def r08_trace_outline(spark, sf_dir):
+    return trace(px(spark, sf_dir), TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical="cutout"))
+
+
+@query()
+def r09_trace_spline(spark, sf_dir):
+    return trace(px(spark, sf_dir))
+
+
+@query()
+def r02_trace_polygon(spark, sf_dir):
+    return trace(px(spark, sf_dir), TraceOptions(mode="polygon", color_mode="binary", filter_speckle=2))
+
+
+# Drawings -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM drawings", _DRAWINGS)
+def x00_drawings(spark, sf_dir):
+    return drawings(spark, sf_dir)
+
+
+@query("SELECT image_id, count(*) AS paths FROM tags GROUP BY image_id", _DRAWINGS)
+def a02_count_paths(spark, sf_dir):
+    return drawings(spark, sf_dir).select("image_id", svg.count_paths(F.col("svg")).alias("paths"))
+
+
+@query("SELECT image_id, len(regexp_extract_all(svg, '<path')) AS paths, round(strlen(svg) / 1024, 6) + 0.0 AS kilobytes FROM drawings", _DRAWINGS)
+def a14_svg_stats(spark, sf_dir):
+    return drawings(spark, sf_dir).select("image_id", svg.count_paths(F.col("svg")).alias("paths"), r6(F.octet_length("svg") / 1024).alias("kilobytes"))
+
+
+@query("SELECT image_id, path_ord, fill, d, dx::DOUBLE AS dx, dy::DOUBLE AS dy FROM tags", _DRAWINGS)
+def x08_parse_paths(spark, sf_dir):
+    return svg.path_rows(drawings(spark, sf_dir))
+
+
+@query("SELECT image_id, path_ord, fill, d, dx::DOUBLE AS dx, dy::DOUBLE AS dy FROM tags", _DRAWINGS)
+def j10_group_fills(spark, sf_dir):
+    """Fills that stand on a group come back to its paths."""
+    return svg.path_rows(drawings(spark, sf_dir).select("image_id", svg.group_fills("svg").alias("svg")))
+
+
+@query("t AS (SELECT image_id, path_ord, unnest(regexp_extract_all(d, '-?[0-9]+|[A-Z]')) AS token, generate_subscripts(regexp_extract_all(d, '-?[0-9]+|[A-Z]'), 1) - 1 AS ord FROM tags) SELECT image_id, path_ord, CAST(ord AS INTEGER) AS ord, token FROM t", _DRAWINGS)
+def x10_tokens(spark, sf_dir):
+    t = svg.path_rows(drawings(spark, sf_dir)).select("image_id", "path_ord", "d")
+    return svg.tokens(t).select("image_id", "path_ord", "ord", "token")
+
+
+@query("v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate("M M M L L L L L C C C C C C C Z".split())) + ") v(ord, cmd)) SELECT image_id, path_ord, CAST(ord AS INTEGER) AS ord, cmd FROM tags, v", _DRAWINGS)
+def w08_command_state(spark, sf_dir):
+    t = svg.path_rows(drawings(spark, sf_dir)).select("image_id", "path_ord", "d")
+    return svg.tokens(t).select("image_id", "path_ord", "ord", "cmd")
+
+
+@query("p AS (SELECT image_id, path_ord, a + dx AS x, b + dy AS y, dx, dy, a, b FROM (SELECT *, p_partkey % 50 AS a, p_size AS b FROM tags)) SELECT image_id, path_ord, CAST(k AS INTEGER) AS seg_ord, CASE k WHEN 2 THEN 'cubic' ELSE 'line' END AS kind, CAST(x + CASE k WHEN 2 THEN 0 ELSE 10 END AS DOUBLE) AS x, CAST(y + CASE k WHEN 0 THEN 0 ELSE 7 END AS DOUBLE) AS y FROM p, range(3) t(k)", _DRAWINGS)
+def x09_segments(spark, sf_dir):
+    p = drawings(spark, sf_dir).select("image_id", svg.parsed("svg").alias("p")).select("image_id", F.posexplode("p.paths").alias("path_ord", "p"))
+    s = p.select("image_id", "path_ord", F.explode("p.subpaths").alias("s")).select("image_id", "path_ord", F.posexplode("s.segments").alias("seg_ord", "g"))
+    return s.select("image_id", "path_ord", "seg_ord", "g.kind", "g.to.x", "g.to.y")
+
+
+@query("f AS (SELECT image_id, path_ord, fill, CASE WHEN fill = lag(fill) OVER (PARTITION BY image_id ORDER BY path_ord) THEN 0 ELSE 1 END AS new FROM tags), g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY image_id ORDER BY path_ord) AS INTEGER) AS run FROM f) SELECT image_id, path_ord, fill, run, count(*) OVER (PARTITION BY image_id, run) AS run_size FROM g", _DRAWINGS)
+def w03_fill_runs(spark, sf_dir):
+    return svg.fill_runs(svg.path_rows(drawings(spark, sf_dir)).select("image_id", "path_ord", "fill"))
+
+
+@query("SELECT image_id, fill, min(path_ord) AS first FROM tags GROUP BY ALL", _DRAWINGS)
+def a17_layers(spark, sf_dir):
+    return svg.path_rows(drawings(spark, sf_dir)).groupBy("image_id", "fill").agg(F.min("path_ord").alias("first"))
+
+
+@query("SELECT image_id, replace(svg, ' width=\"120\" height=\"90\">', ' width=\"60\" height=\"45\" viewBox=\"0 0 120 90\">') AS svg FROM drawings", _DRAWINGS)
+def x07_sized_root(spark, sf_dir):
+    return drawings(spark, sf_dir).select("image_id", svg.sized_root(F.col("svg"), F.lit(60), F.lit(45)).alias("svg"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawings(spark, sf_dir).select("image_id", svg.sized_root(F.col("svg"), F.lit(60), F.lit(45)).alias("svg"))
+
+
+_SIZED = _DRAWINGS + ", sized AS (SELECT image_id, replace(svg, ' width=\"120\" height=\"90\">', ' width=\"60\" height=\"45\" viewBox=\"0 0 120 90\">') AS svg FROM drawings)"
+
+
+@query("SELECT image_id, replace(replace(svg, 'fill=\"#000000\"', 'fill=\"#ffffff\"'), 'viewBox=\"0 0 120 90\">', 'viewBox=\"0 0 120 90\"><rect width=\"120\" height=\"90\" fill=\"#000000\"/>') AS svg FROM sized", _SIZED)
+def x06_stencil_ink(spark, sf_dir):
+    return _sized(spark, sf_dir).select("image_id", svg.stencil_ink(F.col("svg"), F.lit("white")).alias("svg"))
+
+
+@query("SELECT image_id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 120.0::DOUBLE AS width, 90.0::DOUBLE AS height FROM sized", _SIZED)
+def x12_view_box(spark, sf_dir):
+    return _sized(spark, sf_dir).select("image_id", svg.view_box(F.col("svg")).alias("v")).select("image_id", "v.*")
+
+
+@query("SELECT image_id, substr(svg, 1, instr(svg, '90\">') + 3) AS before, substr(svg, instr(svg, '90\">') + 4, length(svg) - instr(svg, '90\">') - 9) AS content, '</svg>' AS after FROM sized", _SIZED)
+def x13_parts(spark, sf_dir):
+    return _sized(spark, sf_dir).select("image_id", svg.parts(F.col("svg")).alias("v")).select("image_id", "v.*")
+
+
+@query("SELECT image_id, replace(replace(svg, ' width=\"60\" height=\"45\"', ' width=\"' || (image_id + 1) || 'mm\" height=\"' || regexp_replace(printf('%.2f', (image_id + 1) * 0.75), '\\.?0+$', '') || 'mm\"'), '90\">', '90\" role=\"img\">' || chr(10) || '<title>a &amp; &lt;b&gt;</title>') AS svg FROM sized", _SIZED)
+def x02_export_options(spark, sf_dir):
+    t = _sized(spark, sf_dir).withColumns({"minify": F.lit(False), "physical_width": (F.col("image_id") + 1).cast("double"), "physical_unit": F.lit("mm"), "title": F.lit("a & <b>\u0001")})
+    return svg.export_options(t).select("image_id", "svg")
+
+
+@query("SELECT p_partkey, replace(replace(p_name, 'a', ''), 'e', '<') AS clean FROM part", "")
+def x01_strip_illegal(spark, sf_dir):
+    dirty = F.replace(F.replace(F.col("p_name"), F.lit("a"), F.lit("\u0001")), F.lit("e"), F.lit("<"))
+    return table(spark, sf_dir, "part").select("p_partkey", svg.strip_illegal(dirty).alias("clean"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE regexp_replace(regexp_replace(regexp_replace(printf('%.4f', v), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), '^(-?)0\\.', '\\1.') END AS text FROM (SELECT p_partkey, p_partkey, (p_partkey % 200 - 100) / 8 AS v FROM part)", "")
+def x03_compact_number(spark, sf_dir):
+    v = F.when(F.col("p_partkey") % 3 != 0, (F.col("p_partkey") % 200 - 100) / 8)
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.compact_text(v).alias("text"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(printf('%.4f', (p_partkey % 200 - 100) / 8), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS text FROM part", "")
+def x11_trimmed_number(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.trimmed_text((F.col("p_partkey") % 200 - 100) / 8).alias("text"))
+
+
+@query()
+def x04_compress_paths(spark, sf_dir):
+    return drawings(spark, sf_dir).select("image_id", svg.compress_paths("svg").alias("svg"))
+
+
+@query()
+def w04_straighten_paths(spark, sf_dir):
+    return drawings(spark, sf_dir).select("image_id", svg.straighten_paths("svg", F.lit(2.0)).alias("svg"))
+
+
+_CHORD = "c AS (SELECT p_partkey, p_size::DOUBLE AS px, (p_partkey % 31)::DOUBLE AS py, (p_partkey % 7)::DOUBLE AS qx, (p_partkey % 11)::DOUBLE AS qy FROM part)"
+
+
+@query("SELECT p_partkey, round(CASE WHEN sqrt(qx * qx + qy * qy) < 1e-9 THEN sqrt(px * px + py * py) ELSE abs(px * qy - py * qx) / sqrt(qx * qx + qy * qy) END, 6) + 0.0 AS d FROM c", _CHORD)
+def w05_distance_to_chord(spark, sf_dir):
+    x, y, u, v = F.col("p_size").cast("double"), F.col("p_partkey") % 31, F.col("p_partkey") % 7, F.col("p_partkey") % 11
+    n = F.hypot(u, v)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(F.when(n < 1e-9, F.hypot(x, y)).otherwise(F.abs(x * v - y * u) / n)).alias("d"))
+
+
+@query("SELECT image_id, path_ord, d - lag(d, 1, 0::BIGINT) OVER (PARTITION BY image_id ORDER BY path_ord) AS step, abs(2 * d - coalesce(lag(d) OVER (PARTITION BY image_id ORDER BY path_ord), 0) - d2) < 5e-5 AS smooth FROM (SELECT image_id, path_ord, p_size::BIGINT AS d, (p_partkey % 5)::BIGINT AS d2 FROM tags)", _DRAWINGS)
+def w06_deltas(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    w = Window.partitionBy("image_id").orderBy("path_ord")
+    t = p.select(F.expr("p_partkey div 8").cast("int").alias("image_id"), "p_partkey", F.col("p_size").cast("long").alias("d"), (F.col("p_partkey") % 5).alias("d2"))
+    t = t.withColumn("path_ord", F.row_number().over(Window.partitionBy("image_id").orderBy("p_partkey")) - 1)
+    return t.select("image_id", "path_ord", (F.col("d") - F.lag("d", 1, 0).over(w)).alias("step"), (F.abs(2 * F.col("d") - F.coalesce(F.lag("d").over(w), F.lit(0)) - F.col("d2")) < 5e-5).alias("smooth"))
+
+
+@query("SELECT image_id, path_ord, CAST(coalesce(sum(length(d)) OVER (PARTITION BY image_id ORDER BY path_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_ FROM tags", _DRAWINGS)
+def w09_offsets(spark, sf_dir):
+    w = Window.partitionBy("image_id").orderBy("path_ord").rowsBetween(Window.unboundedPreceding, -1)
+    return svg.path_rows(drawings(spark, sf_dir)).select("image_id", "path_ord", F.coalesce(F.sum(F.length("d")).over(w), F.lit(0)).cast("long").alias("offset_"))
+
+
+@F.udtf(returnType="pos: int, x: double, y: double")
+class FlattenCurve:
+    """Points of lines that follow a curve (p0, c1, c2, p1) within a tolerance."""
+
+    def eval(self, x0, y0, x1, y1, x2, y2, x3, y3, tolerance):
+        for i, (x, y) in enumerate(path.flatten((x0, y0), (x1, y1), (x2, y2), (x3, y3), tolerance)):
+            yield i, x, y
+
+
+@query("SELECT p_partkey, count(*) AS points, round(max(x), 6) + 0.0 AS last_x FROM (SELECT p_partkey, 100.0::DOUBLE AS x, unnest(range(n)) FROM (SELECT p_partkey, 1 AS n FROM part)) GROUP BY p_partkey", "x AS (SELECT 1)")
+def f11_flatten_straight(spark, sf_dir):
+    """A straight curve is one line, whatever the tolerance."""
+    spark.udtf.register("flatten_curve", FlattenCurve)
+    table(spark, sf_dir, "part").select("p_partkey").createOrReplaceTempView("f11_parts")
+    t = spark.sql("SELECT p_partkey, f.* FROM f11_parts, LATERAL flatten_curve(0D, 0D, 30D, 0D, 60D, 0D, 100D, 0D, 0.2D) f")
+    return t.groupBy("p_partkey").agg(F.count("*").alias("points"), r6(F.max("x")).alias("last_x"))
+
+
+@query()
+def f11_flatten_curves(spark, sf_dir):
+    spark.udtf.register("flatten_curve", FlattenCurve)
+    table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s")).createOrReplaceTempView("f11_curves")
+    return spark.sql("SELECT p_partkey, f.* FROM f11_curves, LATERAL flatten_curve(0D, 0D, 0D, s, s, s, s, 0D, 0.2D) f")
+
+
+_MSG = "m AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Uncaught SYNTAXERROR: x' WHEN 1 THEN 'x does not provide an export named y' WHEN 2 THEN NULL ELSE 'out of memory' END AS t FROM part)"
+
+
+@query("SELECT p_partkey, p_partkey % 4 < 2 AS stale FROM m", _MSG)
+def x19_stale_error(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    t = F.when(k == 0, "Uncaught SYNTAXERROR: x").when(k == 1, "x does not provide an export named y").when(k == 3, "out of memory")
+    return table(spark, sf_dir, "part").select("p_partkey", svg.is_stale_error(t).alias("stale"))
+
+
+# Settings -----------------------------------------------------------------------------------------------------------
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    s = F.concat(F.lit('{"colors":'), n, F.lit(',"speckle":"'), n, F.lit('","fuzz":'), F.col("p_partkey") % 400, F.lit(',"mode":"'), F.when(F.col("p_partkey") % 2 == 0, "spline").otherwise("bogus"), F.lit('","denoise":'), F.when(F.col("p_partkey") % 3 == 0, "true").otherwise("1"), F.lit(',"evil":1,"upscale":'), F.col("p_partkey") % 6, F.lit(',"knockoutColor":"#'), F.when(F.col("p_partkey") % 2 == 0, "a1B2c3").otherwise("xyz"), F.lit('"}'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 9, F.lit("[1]")).otherwise(s).alias("settings"))
+
+
+@query(
+    """SELECT p_partkey, key, value FROM (SELECT p_partkey, unnest(['colors', 'fuzz', 'mode', 'denoise', 'upscale', 'knockoutColor']) AS key,
+      unnest([CASE WHEN p_size BETWEEN 2 AND 256 THEN p_size::VARCHAR END, CASE WHEN p_partkey % 400 <= 255 THEN (p_partkey % 400)::VARCHAR END, CASE WHEN p_partkey % 2 = 0 THEN '"spline"' END, CASE WHEN p_partkey % 3 = 0 THEN 'true' END, CASE WHEN p_partkey % 6 BETWEEN 1 AND 4 THEN (p_partkey % 6)::VARCHAR END, CASE WHEN p_partkey % 2 = 0 THEN '"#a1B2c3"' END]) AS value
+    FROM part WHERE p_partkey % 10 <> 9) WHERE value IS NOT NULL""",
+    "",
+)
+def x20_sanitize_settings(spark, sf_dir):
+    return settings.sanitized(settings.entries(_raw(spark, sf_dir)))
+
+
+_EXPLICIT = "e AS (SELECT p_partkey, [2, 3, 4, 6, 8, 16, 32, 64, 128, 256, 7][p_partkey % 11 + 1] AS preset, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS colors, CASE WHEN p_partkey % 3 = 0 THEN 5 END AS speckle, CASE WHEN p_partkey % 5 = 0 THEN 77 END AS layer_diff FROM part)"
+
+
+def _explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    preset = F.element_at(F.array(*[F.lit(v) for v in (2, 3, 4, 6, 8, 16, 32, 64, 128, 256, 7)]), (k % 11 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", preset.alias("preset"), F.when(k % 2 == 0, F.col("p_size")).alias("colors"), F.when(k % 3 == 0, 5).alias("speckle"), F.when(k % 5 == 0, 77).alias("layer_diff"))
+
+
+@query(_DETECT + " SELECT p_partkey, CAST(e.preset AS INTEGER) AS preset, CAST(coalesce(e.colors, p.preset, 256) AS INTEGER) AS colors, CAST(coalesce(e.speckle, p.speckle, 8) AS INTEGER) AS speckle, CAST(coalesce(e.layer_diff, p.layer_diff, 16) AS INTEGER) AS layer_diff FROM e LEFT JOIN p USING (preset)", _EXPLICIT)
+def x21_resolve_settings(spark, sf_dir):
+    return settings.resolved(_explicit(spark, sf_dir), schema.presets(spark))
+
+
+@query(_DETECT + " SELECT p_partkey, CAST(e.preset AS INTEGER) AS preset, CAST(coalesce(p.preset, e.colors) AS INTEGER) AS colors, CAST(coalesce(p.speckle, e.speckle) AS INTEGER) AS speckle, CAST(coalesce(p.layer_diff, e.layer_diff) AS INTEGER) AS layer_diff FROM e LEFT JOIN p USING (preset)", _EXPLICIT)
+def c06_apply_preset(spark, sf_dir):
+    return settings.applied_preset(_explicit(spark, sf_dir), schema.presets(spark))
+
+
+def _sql(v: object) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+_PROFILES = "prof AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, p)) + ")" for p in schema.PROFILES) + ") v(name, colors, speckle, layer_diff, mode, corner, precision, splice, upscale, straighten, minify, stencil, ink))"
+
+
+@query("SELECT p_partkey, name AS profile, CAST(colors AS INTEGER) AS colors, CAST(speckle AS INTEGER) AS speckle, CAST(layer_diff AS INTEGER) AS layer_diff, mode, CAST(corner AS INTEGER) AS corner, CAST(precision AS INTEGER) AS precision, CAST(coalesce(splice, 45) AS INTEGER) AS splice, upscale, CAST(straighten AS DOUBLE) AS straighten, minify, stencil, coalesce(ink, 'black') AS ink, 16 AS fuzz, 128 AS stencil_threshold FROM part JOIN prof ON name = [" + ", ".join(f"'{p[0]}'" for p in schema.PROFILES) + "][p_partkey % 9 + 1]", _PROFILES)
+def c05_apply_profile(spark, sf_dir):
+    names = F.array(*[F.lit(p[0]) for p in schema.PROFILES])
+    t = table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 9 + 1).cast("int")).alias("profile"))
+    return settings.applied_profile(t, schema.profiles(spark))
+
+
+@query("SELECT * FROM prof", _PROFILES.replace("SELECT *", "SELECT name, CAST(colors AS INTEGER) AS colors, CAST(speckle AS INTEGER) AS speckle, CAST(layer_diff AS INTEGER) AS layer_diff, mode, CAST(corner AS INTEGER) AS corner, CAST(precision AS INTEGER) AS precision, CAST(splice AS INTEGER) AS splice, upscale, CAST(straighten AS DOUBLE) AS straighten, minify, stencil, ink"))
+def x22_profiles(spark, sf_dir):
+    return schema.profiles(spark)
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN v ELSE r END AS r, CASE WHEN p_partkey % 2 = 0 THEN v ELSE g END AS g, CASE WHEN p_partkey % 2 = 0 THEN v ELSE b END AS b FROM (SELECT *, {_LUMA} AS v FROM (SELECT p_partkey, CAST(p_partkey % 256 AS INTEGER) AS r, CAST(p_partkey * 7 % 256 AS INTEGER) AS g, CAST(p_size * 5 AS INTEGER) AS b FROM part))", "")
+def c04_knockout_target(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 256).cast("int").alias("r"), (F.col("p_partkey") * 7 % 256).cast("int").alias("g"), (F.col("p_size") * 5).alias("b"))
+    new = settings.knockout_target([F.col(c) for c in "rgb"], F.col("p_partkey") % 2 == 0, F.lit(False))
+    return t.select("p_partkey", *[c.cast("int").alias(n) for n, c in zip("rgb", new)])
+
+
+_UNITS = "u AS (SELECT p_partkey, p_retailprice AS v, ['mm', 'cm', 'in'][p_partkey % 3 + 1] AS old, ['in', 'mm', 'cm', 'px'][p_partkey % 4 + 1] AS new FROM part)"
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("v"), pick(("mm", "cm", "in")).alias("old"), pick(("in", "mm", "cm", "px")).alias("new"))
+
+
+_MM = "(CASE {u} WHEN 'mm' THEN 1.0 WHEN 'cm' THEN 10.0 WHEN 'in' THEN 25.4 END)::DOUBLE"
+
+
+@query(f"SELECT p_partkey, round(v * {_MM.format(u='old')} / {_MM.format(u='new')}, 6) + 0.0 AS value FROM u WHERE new <> 'px'", _UNITS)
+def x15_convert_units(spark, sf_dir):
+    return _units(spark, sf_dir).where("new <> 'px'").select("p_partkey", r6(settings.converted(F.col("v"), F.col("old"), F.col("new"))).alias("value"))
+
+
+@query(f"SELECT p_partkey, round(CASE WHEN new = 'px' OR old = new OR NOT v > 0 THEN v WHEN new = 'in' THEN floor(v * {_MM.format(u='old')} / 25.4::DOUBLE * 1000 + 0.5) / 1000 ELSE floor(v * {_MM.format(u='old')} / {_MM.format(u='new')} * 100 + 0.5) / 100 END, 6) + 0.0 AS value FROM u", _UNITS)
+def c08_measurement_unit(spark, sf_dir):
+    return _units(spark, sf_dir).select("p_partkey", r6(settings.measured(F.col("v"), F.col("old"), F.col("new"))).alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN try_cast(t AS DOUBLE) > 0 AND try_cast(t AS DOUBLE) <= 100000 THEN try_cast(t AS DOUBLE) END AS width FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN '-3' WHEN 2 THEN 'abc' ELSE (p_partkey * 1000)::VARCHAR END AS t FROM part)", "")
+def x14_physical_width(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    t = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, "-3").when(k == 2, "abc").otherwise((F.col("p_partkey") * 1000).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", export.physical_width_value(t).alias("width"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN old = 'in' THEN v * 72 WHEN old = 'cm' THEN v * (72 / 25.4::DOUBLE) * 10 ELSE v * (72 / 25.4::DOUBLE) END, 6) + 0.0 AS width FROM u", _UNITS)
+def x16_physical_width_in(spark, sf_dir):
+    size = F.when(F.col("p_partkey") % 5 == 0, "px").otherwise("physical")
+    w = export.physical_width_in(F.col("v").cast("string"), F.col("old"), size, 72 / 25.4, 72.0)
+    return _units(spark, sf_dir).select("p_partkey", r6(w).alias("width"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) || '.00×' || CAST(p_size * 2 AS VARCHAR) || '.00 in' AS text FROM part", "")
+def x17_dimensions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", export.dimensions_text(F.col("p_size").cast("double"), F.col("p_size").cast("double") * 2, F.lit("in")).alias("text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '.tar_traced.svg' ELSE p_brand || '_traced.svg' END AS name FROM part", "")
+def x18_file_name(spark, sf_dir):
+    t = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit(".tar.gz"))).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", export.file_name(t, "svg").alias("name"))
+
+
+@query("SELECT p_partkey, w >= 2000 AS resized, h > 1000 AS many_paths FROM s", _SIZES)
+def c09_notes(spark, sf_dir):
+    small, many = settings.notes(F.lit(1999), F.lit(1), F.col("w"), F.lit(1), F.lit(1), F.col("h"))
+    return sizes(spark, sf_dir).select("p_partkey", small.alias("resized"), many.alias("many_paths"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 30 ELSE 60 END AS corner FROM part", "")
+def c10_crisp(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", settings.crisp_corner(F.col("p_size") > 25).alias("corner"))
+
+
+# Sinks --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, round(w, 6) + 0.0 AS width, round(w * (h / 3.0::DOUBLE), 6) + 0.0 AS height FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 3 * 0.75::DOUBLE WHEN old = 'in' THEN v * 72 WHEN old = 'cm' THEN v * (72 / 25.4::DOUBLE) * 10 ELSE v * (72 / 25.4::DOUBLE) END AS w, 2 AS h FROM u)", _UNITS)
+def k04_pdf_page(spark, sf_dir):
+    size = F.when(F.col("p_partkey") % 5 == 0, "px").otherwise("physical")
+    w, h = export.pdf_page(F.col("v").cast("string"), F.col("old"), size, F.lit(3), F.lit(2))
+    return _units(spark, sf_dir).select("p_partkey", r6(w).alias("width"), r6(h).alias("height"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 5 = 0 THEN 300.0::DOUBLE WHEN old = 'in' THEN v * 25.4::DOUBLE WHEN old = 'cm' THEN v * 10 ELSE v END / 600, 6) + 0.0 AS scale FROM u", _UNITS)
+def k06_dxf_scale(spark, sf_dir):
+    size = F.when(F.col("p_partkey") % 5 == 0, "px").otherwise("physical")
+    return _units(spark, sf_dir).select("p_partkey", r6(export.dxf_scale(F.col("v").cast("string"), F.col("old"), size, F.lit(300), F.lit(600))).alias("scale"))
+
+
+@query("SELECT image_id, 4 * count(*) AS vertices, count(*) AS polylines FROM (SELECT image_id, 4 FROM tags) GROUP BY image_id", _DRAWINGS)
+def k05_dxf_lines(spark, sf_dir):
+    """Polylines and vertices of the drawings with their curves straightened: each part is a closed box."""
+    t = drawings(spark, sf_dir).select("image_id", export.to_dxf(svg.straighten_paths("svg", F.lit(3.0)), F.lit(1.0)).alias("dxf"))
+    count = lambda what: F.regexp_count("dxf", F.lit(f"0\\n{what}\\n")).cast("long")
+    return t.select("image_id", count("VERTEX").alias("vertices"), count("POLYLINE").alias("polylines"))
+
+
+@query("SELECT image_id, count(*) AS moves, 2 * count(*) AS lines, count(*) AS curves, count(*) AS fills FROM tags GROUP BY image_id", _DRAWINGS)
+def k03_pdf_operators(spark, sf_dir):
+    t = _sized(spark, sf_dir).select("image_id", export.to_pdf("svg", F.lit(None).cast("double"), F.lit(None).cast("double")).alias("pdf"))
+    count = lambda op: F.regexp_count("pdf", F.lit(f" {op}\\n")).cast("long")
+    return t.select("image_id", count("m").alias("moves"), count("l").alias("lines"), count("c").alias("curves"), count("f").alias("fills"))
+
+
+@query()
+def k02_png(spark, sf_dir):
+    return _sized(spark, sf_dir).select("image_id", export.to_png("svg", F.lit(1.0)).alias("png")).select("image_id", F.length("png").alias("bytes"), F.sha2("png", 256).alias("sha256"))
+
+
+@query("SELECT image_id, count(*) FILTER (event_type = 'click') = 0 AS vector_export FROM log GROUP BY image_id", "log AS (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, event_type FROM events)")
+def k08_export_guard(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), "event_type")
+    return t.groupBy("image_id").agg((F.count_if(F.col("event_type") == "click") == 0).alias("vector_export"))
+
+
+# Edits and the interaction log ---------------------------------------------------------------------------------------
+
+_BURST = "b AS (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER w + INTERVAL '{gap}' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM b) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS changes, arg_max(event_id, (ts, event_id)) AS event_id FROM c GROUP BY user_id, k"
+
+
+@query(_BURST.format(gap="350 milliseconds"), "x AS (SELECT 1)")
+def l01_debounce(spark, sf_dir):
+    return edits.debounced(table(spark, sf_dir, "events"), "user_id", "ts", "350 milliseconds", "event_id")
+
+
+@query(_BURST.format(gap="6 hours"), "x AS (SELECT 1)")
+def l02_debounce_saves(spark, sf_dir):
+    return edits.debounced(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "event_id")
+
+
+@query("SELECT user_id, event_id, CASE WHEN lead(event_id) OVER w IS NULL THEN 'done' WHEN epoch_ms(lead(ts) OVER w) - epoch_ms(ts) > 1000 THEN 'terminated' ELSE 'superseded' END AS outcome FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)", "")
+def l03_latest_wins(spark, sf_dir):
+    return edits.latest_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts").select("user_id", "event_id", "outcome")
+
+
+@query("s AS (SELECT user_id AS key, max(event_id) // 100 AS token FROM events GROUP BY user_id) SELECT e.user_id AS key, e.event_id FROM events e JOIN s ON s.key = e.user_id AND e.event_id // 100 = s.token", "x AS (SELECT 1)")
+def l04_current_only(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr("event_id div 100").alias("token"), F.lit(0).alias("revision"), "event_id")
+    state = e.groupBy("key").agg(F.max("token").alias("token")).withColumn("revision", F.lit(0))
+    return edits.current_only(e, state).select("key", "event_id")
+
+
+@query("SELECT image_id, CAST(((sum(CASE op WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) % 4) + 4) % 4 AS INTEGER) AS quarter_turns, count(*) FILTER (op = 2) % 2 = 1 AS inverted FROM (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, user_id % 4 AS op FROM events) GROUP BY image_id", "")
+def l19_replay_turns(spark, sf_dir):
+    op = F.element_at(F.array(*[F.lit(o) for o in ("cw", "ccw", "invert", "other")]), (F.col("user_id") % 4 + 1).cast("int"))
+    return edits.replay_turns(table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), op.alias("op")))
+
+
+@query()
+def l06_edit_log(spark, sf_dir):
+    op = F.element_at(F.array(*[F.lit(o) for o in ("add", "add", "undo", "redo", "add", "undo", "add")]), (F.col("user_id") % 7 + 1).cast("int"))
+    return edits.edit_log(table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").alias("action")))
+
+
+@query()
+def l07_strokes(spark, sf_dir):
+    op = F.element_at(F.array(*[F.lit(o) for o in ("down", "move", "move", "move", "undo", "up", "move")]), (F.col("user_id") % 7 + 1).cast("int"))
+    xy = {"x": (F.col("event_id") % 50) / 50.0, "y": (F.col("user_id") % 40) / 40.0}
+    return edits.strokes(table(spark, sf_dir, "events").withColumns(xy).select(F.expr("event_id div 500").cast("int").alias("image_id"), F.col("event_id").alias("seq"), op.alias("op"), "x", "y"))
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rectangles a part in its drawing: an erasure and a fill."""
+    k = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(F.expr("p_partkey div 8").cast("int").alias("image_id"), k.alias("seq"), (k % 2 == 1).alias("fill"), (k % 8 / 8).alias("x"))
+    action = F.struct(F.col("seq"), F.when(F.col("fill"), "fill").otherwise("erase").alias("mode"), F.lit("rect").alias("type"), F.lit("#ff0000").alias("color"), F.col("x"), F.lit(0.5).alias("y"), F.lit(0.25).alias("width"), F.lit(0.25).alias("height"))
+    return t.select("image_id", action.alias("action"))
+
+
+_NUM = "regexp_replace(printf('%.3f', {v}), '\\.?0+$', '')"
+_ACTS = _SIZED + f""", acts AS (SELECT CAST(p_partkey // 8 AS INTEGER) AS image_id, p_partkey AS seq, p_partkey % 2 = 1 AS fill, '<rect x="' || {_NUM.format(v="p_partkey % 8 / 8 * 120")} || '" y="45" width="30" height="22.5" fill="' || CASE WHEN p_partkey % 2 = 1 THEN '#ff0000' ELSE '#000' END || '"/>' AS mark FROM part)"""
+
+
+@query("SELECT image_id, seq, mark FROM acts", _ACTS)
+def l10_marks(spark, sf_dir):
+    return edits.with_marks(_actions(spark, sf_dir), _sized(spark, sf_dir)).select("image_id", "seq", "mark")
+
+
+_PLACE = 'x="0" y="0" width="120" height="90" '
+
+
+@query(f"""SELECT s.image_id, substr(svg, 1, instr(svg, '90">') + 3) || '<defs><mask id="{edits.MASK}" maskUnits="userSpaceOnUse" {_PLACE}mask-type="luminance" style="mask-type:luminance" color-interpolation="sRGB"><rect {_PLACE}fill="#fff"/>' || m || '</mask></defs><g mask="url(#{edits.MASK})">' || substr(svg, instr(svg, '90">') + 4, length(svg) - instr(svg, '90">') - 9) || '</g></svg>' AS svg FROM sized s JOIN (SELECT image_id, string_agg(mark, '' ORDER BY seq) AS m FROM acts GROUP BY image_id) USING (image_id)""", _ACTS)
+def l09_eraser_mask(spark, sf_dir):
+    return edits.eraser_mask(_sized(spark, sf_dir), _actions(spark, sf_dir))
+
+
+@query(f"""SELECT image_id, count(*) FILTER (NOT fill) AS masks, count(*) FILTER (fill) AS fills, max(length(mark)) AS longest FROM acts GROUP BY image_id""", _ACTS)
+def l08_apply_actions(spark, sf_dir):
+    t = edits.apply_actions(_sized(spark, sf_dir), _actions(spark, sf_dir))
+    rects = F.regexp_extract_all("svg", F.lit('<rect x="[^"]*" y="45" [^>]*/>'), F.lit(0))
+    longest = F.array_max(F.transform(rects, F.length)).cast("long")
+    return t.select("image_id", F.regexp_count("svg", F.lit("<mask ")).cast("long").alias("masks"), F.regexp_count("svg", F.lit('fill="#ff0000"/><|fill="#ff0000"/></')).cast("long").alias("fills_"), longest.alias("longest"), F.size(F.filter(rects, lambda s: s.contains("#ff0000"))).cast("long").alias("fills")).drop("fills_")
+
+
+@query("SELECT p_partkey, CAST(greatest(1, 2 * floor((greatest(1, d * 90) - 1) / 2 + 0.5) + 1) AS INTEGER) AS size, floor(p_retailprice) + 0.5 AS center FROM (SELECT *, p_size / 100::DOUBLE AS d FROM part)", "")
+def l11_pixel_strokes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", edits.pixel_stroke_size(F.col("p_size") / 100.0, F.lit(120), F.lit(90)).alias("size"), edits.pixel_center(F.col("p_retailprice"), F.lit(0.0)).alias("center"))
+
+
+_DRAG = "d AS (SELECT p_partkey, (p_partkey % 10) / 10::DOUBLE AS x0, (p_partkey % 7) / 7::DOUBLE AS y0, (p_size % 9) / 9::DOUBLE AS x1, (p_size % 4) / 4::DOUBLE AS y1, p_partkey % 2 = 0 AS con, p_partkey % 3 = 0 AS cen FROM part)"
+
+
+def _drags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", (k % 10 / 10).alias("x0"), (k % 7 / 7).alias("y0"), (s % 9 / 9).alias("x1"), (s % 4 / 4).alias("y1"), (k % 2 == 0).alias("con"), (k % 3 == 0).alias("cen"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN f = 0 THEN x1 ELSE x0 + cos(ang) * f / 200 END, 6) + 0.0 AS x, round(CASE WHEN f = 0 THEN y1 ELSE y0 + sin(ang) * f / 100 END, 6) + 0.0 AS y FROM (SELECT *, sqrt(pow((x1 - x0) * 200, 2) + pow((y1 - y0) * 100, 2)) AS f, floor(atan2((y1 - y0) * 100, (x1 - x0) * 200) / (pi() / 4) + 0.5) * (pi() / 4) AS ang FROM d)", _DRAG)
+def l13_snap_angle(spark, sf_dir):
+    x, y = edits.snapped_point(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit(200.0), F.lit(100.0))
+    return _drags(spark, sf_dir).select("p_partkey", r6(x).alias("x"), r6(y).alias("y"))
+
+
+@query("SELECT p_partkey, CAST(least(40, greatest(3, CASE WHEN p_partkey % 2 = 0 THEN greatest(p_size + 1, floor(p_size * 1.2::DOUBLE + 0.5)) ELSE least(p_size - 1, floor(p_size * (1 / 1.2::DOUBLE) + 0.5)) END)) AS INTEGER) AS size FROM part", "")
+def l14_brush_size(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", edits.brush_size(F.col("p_size"), F.col("p_partkey") % 2 == 0, 3, 40).alias("size"))
+
+
+_BOX = "m AS (SELECT p_partkey, x0, y0, CASE WHEN con THEN (CASE WHEN x1 < x0 THEN -1 ELSE 1 END) * side / 120 ELSE x1 - x0 END AS dx, CASE WHEN con THEN (CASE WHEN y1 < y0 THEN -1 ELSE 1 END) * side / 90 ELSE y1 - y0 END AS dy, cen FROM (SELECT *, greatest(abs((x1 - x0) * 120), abs((y1 - y0) * 90)) AS side FROM d)), g AS (SELECT p_partkey, CASE WHEN cen THEN x0 - abs(dx) ELSE least(x0, x0 + dx) END AS x, CASE WHEN cen THEN y0 - abs(dy) ELSE least(y0, y0 + dy) END AS y, CASE WHEN cen THEN 2 ELSE 1 END * abs(dx) AS w, CASE WHEN cen THEN 2 ELSE 1 END * abs(dy) AS h FROM m)"
+
+
+def _marquees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drags(spark, sf_dir).withColumn("g", edits.marquee(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "con", "cen")], F.lit(120.0), F.lit(90.0)))
+
+
+@query(_BOX + " SELECT p_partkey, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(w, 6) + 0.0 AS width, round(h, 6) + 0.0 AS height FROM g", _DRAG)
+def l15_marquee(spark, sf_dir):
+    return _marquees(spark, sf_dir).select("p_partkey", *[r6(F.col(f"g.{c}")).alias(c) for c in ("x", "y", "width", "height")])
+
+
+@query("SELECT p_partkey, x < 1 AND y < 1 AND x + 0.25 > 0 AND y + 0.25 > 0 AS touches FROM (SELECT p_partkey, p_size / 25::DOUBLE - 0.5 AS x, p_partkey % 40 / 25::DOUBLE - 0.5 AS y FROM part)", "")
+def l16_touches_image(spark, sf_dir):
+    x, y = F.col("p_size") / 25.0 - 0.5, F.col("p_partkey") % 40 / 25.0 - 0.5
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    t = table(spark, sf_dir, "part").select("p_partkey", edits.polygon_bounds(F.array(corner(0, 0), corner(0.25, 0), corner(0.25, 0.25))).alias("b"))
+    return t.select("p_partkey", edits.touches_image(F.col("b.x"), F.col("b.y"), F.col("b.width"), F.col("b.height")).alias("touches"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN m = 0 AND (x < 0 OR x > 1) THEN NULL WHEN m = 1 THEN x ELSE least(1, greatest(0, x)) END, 6) + 0.0 AS x FROM (SELECT p_partkey, p_partkey % 3 AS m, (p_size - 10) / 30::DOUBLE AS x FROM part)", "")
+def l17_selection_point(spark, sf_dir):
+    mode = F.element_at(F.array(F.lit("strict"), F.lit("free"), F.lit("clamp")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = edits.selection_point(F.col("p_size").cast("double"), F.lit(5.0), F.lit(10.0), F.lit(0.0), F.lit(30.0), F.lit(10.0), mode)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(p["x"]).alias("x"))
+
+
+@query(_BOX + " SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'ellipse' ELSE 'rect' END AS type, round(CASE WHEN p_partkey % 2 = 0 THEN x + w / 2 END, 6) + 0.0 AS cx, round(CASE WHEN p_partkey % 2 = 0 THEN h / 2 END, 6) + 0.0 AS ry, round(CASE WHEN p_partkey % 2 = 1 THEN x END, 6) + 0.0 AS x FROM g", _DRAG)
+def l18_commit_selection(spark, sf_dir):
+    t = _marquees(spark, sf_dir).select(F.col("p_partkey").alias("image_id"), F.lit(0).alias("seq"), F.when(F.col("p_partkey") % 2 == 0, "ellipse").otherwise("rect").alias("type"), F.col("g").alias("geometry"), F.lit("erase").alias("mode"), F.lit("#000").alias("color"))
+    return edits.committed(t).select(F.col("image_id").alias("p_partkey"), "type", r6(F.col("cx")).alias("cx"), r6(F.col("ry")).alias("ry"), r6(F.col("x")).alias("x"))
+
+
+@query("SELECT p_partkey, round(10 + (p_size / 50::DOUBLE) * 120, 3) + 0.0 AS x FROM part", "")
+def l12_point_in_box(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", (F.round(F.lit(10) + F.col("p_size") / 50.0 * 120, 3) + F.lit(0.0)).alias("x"))
+
+
+# Sets, composites ----------------------------------------------------------------------------------------------------
+
+
+@query("k AS (SELECT DISTINCT 'tiles-v' || (user_id % 9) AS name FROM events) SELECT name FROM k WHERE name <> 'tiles-v3'", "x AS (SELECT 1)")
+def u04_stale_caches(spark, sf_dir):
+    k = table(spark, sf_dir, "events").select(F.concat(F.lit("tiles-v"), F.col("user_id") % 9).alias("name")).distinct()
+    return k.exceptAll(spark.sql("SELECT 'tiles-v3' AS name"))
+
+
+@query("SELECT DISTINCT a.p_brand AS path, a.v FROM v a JOIN v b ON a.p_brand = b.p_brand AND a.v < b.v", "v AS (SELECT DISTINCT p_brand, p_size % 5 AS v FROM part)")
+def j11_stale_versions(spark, sf_dir):
+    v = table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), (F.col("p_size") % 5).alias("v")).distinct()
+    newest = v.groupBy("path").agg(F.max("v").alias("m"))
+    return v.join(newest, "path").where("v < m").select("path", "v")
+
+
+@query()
+def c01_preprocess(spark, sf_dir):
+    return pipeline.preprocess(px(spark, sf_dir), pipeline.Settings(colors=8, denoise=True, transparent="auto", edge_trim=1, defringe=1))
+
+
+@query(f"SELECT image_id, x, y, v AS r, v AS g, v AS b, 255 AS a FROM (SELECT *, CASE WHEN a < 128 OR {_LUMA} >= 128 THEN 255 ELSE 0 END AS v FROM px)")
+def c01_stencil(spark, sf_dir):
+    return pipeline.preprocess(px(spark, sf_dir), pipeline.Settings(stencil=True))
+
+
+@query()
+def c02_trace_and_finish(spark, sf_dir):
+    return pipeline.drawings(px(spark, sf_dir), pipeline.Settings(colors=8, straighten=0.5))
+
+
+@query()
+def c03_export(spark, sf_dir):
+    t = _sized(spark, sf_dir).withColumns({"minify": F.lit(True), "physical_width": F.lit(80.0), "physical_unit": F.lit("mm"), "title": F.lit(None).cast("string")})
+    return pipeline.exported(t, _actions(spark, sf_dir))
