@@ -42,6 +42,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """df as one column row_, so that its columns can't clash with those it is joined with; select("row_.*") undoes it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
+
+
 def uniform(*cols: Column | str) -> Column:
     """A reproducible number in [0, 1) from the hash of cols."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

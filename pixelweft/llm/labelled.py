@@ -28,7 +28,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, text: str
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(each)
         picked = part if picked is None else picked.union(part)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+    texts = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
     found = rows.toPandas().drop_duplicates("doc_id")
     return found.sort_values("doc_id").reset_index(drop=True)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, wrapped
 
 #: kind -> (pattern, group of the value, least length of the value). The first three are the base kinds, in their order.
 KINDS = {
@@ -130,7 +130,8 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", mask: str
     live = verdicts(slim, shared_owners).where("live").select("hash")
     values = slim.select("doc_id", F.explode("spans").alias("s")).where("s.kind <> 'pem'").select(F.col("doc_id").alias("id_"), F.col("s.value").alias("value"), value_hash(F.col("s.value")).alias("hash"))
     by_doc = values.join(live, "hash").groupBy("id_").agg(F.collect_set("value").alias("values_"))
-    found = docs.join(checkpointed(by_doc), F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+    found = wrapped(docs).join(checkpointed(by_doc), F.col("row_.doc_id").eqNullSafe(F.col("id_")), "left")
     longest_first = F.array_sort(F.col("values_"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    clean = F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(mask)))
-    return found.select(*[(F.when(F.col("values_").isNotNull(), clean).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`")) for c in docs.columns])
+    old = F.col(f"row_.{text}")
+    clean = F.aggregate(longest_first, old, lambda t, v: F.replace(t, v, F.lit(mask)))
+    return found.select(*[F.when(F.col("values_").isNotNull(), clean).otherwise(old).alias(c) if c == text else F.col(f"row_.`{c}`").alias(c) for c in docs.columns])

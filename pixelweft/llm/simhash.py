@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, wrapped
 from .components import connected_components
 
 BITS, BUDGET = 64, 4
@@ -213,7 +213,6 @@ def near_dedup(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFra
     labels = simhash_components(docs, text, shingle)
     firsts = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("times_"))
     firsts = checkpointed(firsts)
-    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    again = kept.where("times_ > 1").groupBy("keep_id").agg(F.min_by(F.struct(*names), F.coalesce(F.col(text), F.lit(""))).alias("row_"))
-    return kept.where("times_ = 1").select(*names).union(again.select("row_.*"))
+    kept = wrapped(docs).join(firsts, F.col("row_.doc_id").cast("long").eqNullSafe(F.col("keep_id")))
+    again = kept.where("times_ > 1").groupBy("keep_id").agg(F.min_by("row_", F.coalesce(F.col(f"row_.{text}"), F.lit(""))).alias("row_"))
+    return kept.where("times_ = 1").select("row_.*").union(again.select("row_.*"))
