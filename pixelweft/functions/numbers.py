@@ -35,7 +35,7 @@ def shortest(x: float) -> str:
     text = repr(x)
     if "e" not in text:
         return text
-    if 1e-7 <= abs(x) < 1e21:
+    if 1e-6 <= abs(x) < 1e21:
         return format(Decimal(text), "f")
     digits, exponent = text.split("e")
     return f"{digits}e{'-' if exponent[0] == '-' else '+'}{exponent.lstrip('+-').lstrip('0')}"

@@ -153,7 +153,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(text("GIF89a"), le(w, 2), le(h, 2), pad(3)),
         F.concat(text("BM"), pad(16), le(w, 4), be(F.lit(0), 0), le(F.lit(4294967296) - h, 4), pad(8)),
         F.concat(text("RIFF"), pad(4), text("WEBPVP8 "), pad(10), le(w, 2), le(h, 2), pad(4)),
-        F.concat(text("RIFF"), pad(4), text("WEBPVP8L"), pad(4), F.lit("2F"), F.substring(pad(1), 1, 0), le(packed, 4), pad(5)),
+        F.concat(text("RIFF"), pad(4), text("WEBPVP8L"), pad(4), F.lit("2F"), le(packed, 4), pad(5)),
         F.concat(text("RIFF"), pad(4), text("WEBPVP8X"), pad(8), le(w - 1, 3), le(h - 1, 3), pad(4)),
         F.concat(F.lit("FFD8FFFFDA"[:4] + "FFE000064A464946"), F.lit("FFFF01"), frame(h, w)),
         F.concat(F.lit("FFD8" + exif), frame(w, h)),

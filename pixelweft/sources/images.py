@@ -102,7 +102,7 @@ def headers(files: DataFrame, content: str = "content") -> DataFrame:
     )
     rows = rows.withColumn("format", kind)
     b = lambda at: _bits(d, at)
-    lossless = _size(1 + b(25).bitwiseAND(63) * 256 + b(24), 1 + b(27).bitwiseAND(15) * 1024 + b(26) * 4 + F.shiftright(b(25).bitwiseAND(192), 6))
+    lossless = _size(1 + b(22).bitwiseAND(63) * 256 + b(21), 1 + b(24).bitwiseAND(15) * 1024 + b(23) * 4 + F.shiftright(b(22), 6))  # after the signature byte
     size = (
         F.when(kind == "png", _size(_unsigned(d, 16, 4, True), _unsigned(d, 20, 4, True)))
         .when(kind == "gif", _size(_unsigned(d, 6, 2), _unsigned(d, 8, 2)))
