@@ -68,11 +68,18 @@ def srgb_array(lab: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(v * 255 + 0.5), 0, 255).astype(np.int64)
 
 
-def distance(rgb: list[Column], other: list[Column]) -> Column:
-    """Perceptual distance on a scale of 255, chroma counted double."""
-    (l1, a1, b1), (l2, a2, b2) = oklab(*rgb), oklab(*other)
-    da, db = (a2 - a1) * 2, (b2 - b1) * 2
-    return F.sqrt((l2 - l1) * (l2 - l1) + da * da + db * db) * 255
+def with_distance(df: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], name: str = "dist_") -> DataFrame:
+    """df with the perceptual distance of two colours (columns) on a scale of 255, chroma counted double.
+
+    By projections that share their parts: as one expression it would outgrow a generated method.
+    """
+    names = df.columns
+    for colors, mark in ((one, "one_"), (two, "two_")):
+        df = with_oklab(df, *colors)
+        for c in LAB:
+            df = df.withColumnRenamed(c, mark + c)
+    dl, da, db = (F.col(f"one_{c}") - F.col(f"two_{c}") for c in LAB)
+    return df.select(*names, (F.sqrt(dl * dl + 4 * da * da + 4 * db * db) * 255).alias(name))
 
 
 def knock_out(px: DataFrame, colors: DataFrame, fuzz: float | Column) -> DataFrame:
@@ -80,9 +87,11 @@ def knock_out(px: DataFrame, colors: DataFrame, fuzz: float | Column) -> DataFra
 
     Distances are found once a distinct colour of an image, not once a pixel.
     """
-    each = px.select("image_id", "r", "g", "b").distinct().join(colors.withColumnRenamed("rgb", "t_"), "image_id")
-    t = [F.shiftright("t_", 16).bitwiseAND(255), F.shiftright("t_", 8).bitwiseAND(255), F.col("t_").bitwiseAND(255)]
-    hit = each.where(distance([F.col(c) for c in "rgb"], t) <= fuzz).select("image_id", "r", "g", "b", F.lit(True).alias("hit_"))
+    t = F.col("rgb")
+    aims = colors.where(t.isNotNull()).select("image_id", F.shiftright(t, 16).bitwiseAND(255).alias("tr"), F.shiftright(t, 8).bitwiseAND(255).alias("tg"), t.bitwiseAND(255).alias("tb"))
+    each = px.select("image_id", "r", "g", "b").distinct().join(aims, "image_id")
+    # a column, not a filter: that would be pushed below the projections and written out in full
+    hit = with_distance(each, ("r", "g", "b"), ("tr", "tg", "tb")).select("image_id", "r", "g", "b", (F.col("dist_") <= fuzz).alias("hit_"))
     return px.join(hit, ["image_id", "r", "g", "b"], "left").select("image_id", "x", "y", "r", "g", "b", F.when(F.col("hit_"), 0).otherwise(F.col("a")).alias("a"))
 
 

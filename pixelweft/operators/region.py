@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ALPHA, PIXELS
-from .color import distance, knock_out
+from .color import knock_out, with_distance
 from .pixel import packed
 from .stats import background_color, snap
 
@@ -47,8 +47,9 @@ def reached(open_: np.ndarray) -> np.ndarray:
 def knock_out_edges(px: DataFrame, fuzz: float) -> DataFrame:
     """Alpha 0 for opaque pixels that match the background colour and are connected to the border through such pixels; images without one stay."""
     bg = background_color(px).select("image_id", *[F.col(c).alias(f"b{c}") for c in "rgb"])
-    hit = (F.col("a") >= ALPHA) & (distance([F.col(c) for c in "rgb"], [F.col(f"b{c}") for c in "rgb"]) <= fuzz)
-    rows = px.join(bg, "image_id").withColumn("open", F.coalesce(hit, F.lit(False))).select(*px.columns, "open")
+    rows = with_distance(px.join(bg, "image_id"), ("r", "g", "b"), ("br", "bg", "bb"))
+    hit = (F.col("a") >= ALPHA) & (F.col("dist_") <= fuzz)
+    rows = rows.select(*px.columns, F.coalesce(hit, F.lit(False)).alias("open"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         (open_,) = grid(pdf, "open")

@@ -248,8 +248,8 @@ def p07_oklab_round_trip(spark, sf_dir):
 
 @query(f"SELECT image_id, x, y, {_distance_sql(('r', 'g', 'b'), ('245', '240', '235'))} <= 16 AS match FROM px")
 def p08_fuzz_match(spark, sf_dir):
-    d = color.distance([F.col(c) for c in "rgb"], [F.lit(v) for v in (245, 240, 235)])
-    return px(spark, sf_dir).select("image_id", "x", "y", (d <= 16).alias("match"))
+    t = px(spark, sf_dir).withColumns({f"t{c}": F.lit(v) for c, v in zip("rgb", (245, 240, 235))})
+    return color.with_distance(t, ("r", "g", "b"), ("tr", "tg", "tb")).select("image_id", "x", "y", (F.col("dist_") <= 16).alias("match"))
 
 
 @query(f"SELECT image_id, x, y, r, g, b, CASE WHEN {_distance_sql(('r', 'g', 'b'), ('240', '240', '240'))} <= 10 THEN 0 ELSE a END AS a FROM px")
@@ -547,7 +547,8 @@ def u03_border_seeds(spark, sf_dir):
     t = px(spark, sf_dir)
     bg = stats.background_color(t).select("image_id", *[F.col(c).alias(f"b{c}") for c in "rgb"])
     s = raster.sizes(t)
-    hit = t.where("a >= 128").join(bg, "image_id").join(s, "image_id").where(color.distance([F.col(c) for c in "rgb"], [F.col(f"b{c}") for c in "rgb"]) <= 12)
+    near = color.with_distance(t.where("a >= 128").join(bg, "image_id"), ("r", "g", "b"), ("br", "bg", "bb"))
+    hit = near.where("dist_ <= 12").join(s, "image_id")
     rows = hit.where("x IN (0, w - 1)").select("image_id", "x", "y").union(hit.where("y IN (0, h - 1)").select("image_id", "x", "y"))
     return rows.distinct()
 
