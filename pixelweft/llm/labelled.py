@@ -20,7 +20,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, text: str
 
     The rows are those whose ids have the smallest hashes, so the sample is the same
     on every run and bounded at any size of the corpus. Ids with both labels, and
-    null labels, are left out.
+    null labels, are left out; of the texts of one id the first in order is taken.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold() > 0)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).where("y = most").drop("most")
     order = F.xxhash64("doc_id")
@@ -29,9 +29,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, text: str
         part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(each)
         picked = part if picked is None else picked.union(part)
     texts = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    found = rows.toPandas().drop_duplicates("doc_id")
-    return found.sort_values("doc_id").reset_index(drop=True)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("int").alias("y"))
+    return rows.toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:

@@ -84,9 +84,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return two.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_rows"))
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def scanned(docs: DataFrame, text: str = "text", owner: str = "source") -> DataFrame:
-    """doc_id, owner and spans of each row, computed once and kept in the shared folder without the text."""
-    return checkpointed(docs.select(F.col("doc_id"), F.col(owner).alias("owner"), all_spans(F.col(text)).alias("spans")))
+    """doc_id, owner, text_key (a hash of the text) and spans of each row, computed once and kept in the shared folder without the text."""
+    return checkpointed(docs.select(F.col("doc_id"), F.col(owner).alias("owner"), text_key(F.col(text)).alias("text_key"), all_spans(F.col(text)).alias("spans")))
 
 
 def verdicts(slim: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
@@ -120,18 +125,32 @@ def secret_scan(docs: DataFrame, text: str = "text", owner: str = "source", shar
     return none.union(found)
 
 
+def _masked(text: Column, places: Column, mask: str) -> Column:
+    """text with mask in place of each of places (start, end); places that overlap are one."""
+
+    def step(acc: Column, p: Column) -> Column:
+        between = text.substr(acc["at"] + 1, F.greatest(p["start"] - acc["at"], F.lit(0)))
+        out = F.concat(acc["out"], between, F.when(p["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit("")))
+        return F.struct(F.greatest(acc["at"], p["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(F.array_sort(places), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+
+
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", mask: str = "[SECRET]", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """docs with every live-looking value in the text replaced by mask; examples stay.
+    """docs with mask in place of the value of every live-looking span; examples stay.
 
-    All rows and columns are kept; only rows that hold a candidate are joined with
-    the verdicts. Rows with a null text stay as they are.
+    Only the values' own places change: the same characters elsewhere in a text are
+    prose. All rows and columns are kept; only rows that hold a candidate are joined
+    with the verdicts. Rows with a null text stay as they are; rows with one doc_id
+    and different texts are each masked by their own spans.
     """
     slim = scanned(docs, text, owner)
     live = verdicts(slim, shared_owners).where("live").select("hash")
-    values = slim.select("doc_id", F.explode("spans").alias("s")).where("s.kind <> 'pem'").select(F.col("doc_id").alias("id_"), F.col("s.value").alias("value"), value_hash(F.col("s.value")).alias("hash"))
-    by_doc = values.join(live, "hash").groupBy("id_").agg(F.collect_set("value").alias("values_"))
-    found = wrapped(docs).join(checkpointed(by_doc), F.col("row_.doc_id").eqNullSafe(F.col("id_")), "left")
-    longest_first = F.array_sort(F.col("values_"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    # a value ends where its span does; the begin line of a key block is no value
+    place = F.struct((F.col("s.end") - F.length("s.value")).alias("start"), F.col("s.end").alias("end"))
+    values = slim.select("doc_id", "text_key", F.explode("spans").alias("s")).where("s.kind <> 'pem'").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), place.alias("place"), value_hash(F.col("s.value")).alias("hash"))
+    by_doc = values.join(live, "hash").groupBy("id_", "key_").agg(F.collect_set("place").alias("places_"))
     old = F.col(f"row_.{text}")
-    clean = F.aggregate(longest_first, old, lambda t, v: F.replace(t, v, F.lit(mask)))
-    return found.select(*[F.when(F.col("values_").isNotNull(), clean).otherwise(old).alias(c) if c == text else F.col(f"row_.`{c}`").alias(c) for c in docs.columns])
+    found = wrapped(docs).join(checkpointed(by_doc), F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (text_key(old) == F.col("key_")), "left")
+    return found.select(*[F.when(F.col("places_").isNotNull(), _masked(old, F.col("places_"), mask)).otherwise(old).alias(c) if c == text else F.col(f"row_.`{c}`").alias(c) for c in docs.columns])

@@ -28,6 +28,13 @@ def test_folds(tables):
     assert s.equals(labelled.sample(*tables, "quality", 20))
 
 
+def test_sample_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(1, 40) for t in ("b", None, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] * 2 + [(7, 0), (8, None)], "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", 50)
+    assert got.doc_id.is_unique and set(got.text) == {""} and 7 not in set(got.doc_id)
+
+
 def test_quality(tables):
     scores = quality.quality_scores(*tables)
     rows = held_out(scores, tables[1], "quality")

@@ -59,3 +59,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_repeated_rows_keep_their_counts(spark):
     docs = spark.createDataFrame([(1, "token = abcdef1 token = ghijkl2", "s")] * 3, "doc_id long, text string, source string")
     assert [(r.n_assign, r.n_live) for r in secrets.secret_scan(docs).collect()] == [(2, 2)] * 3
+
+
+def test_only_the_values_of_spans_are_masked(spark):
+    hexes = "0123456789abcdef" * 2
+    rows = [
+        (1, "common words, token=common, é common", "s"),
+        (2, f"é password: '{hexes}' and api_key={hexes}Z.", "s"),
+        (2, "another text with passwd = abcdef99", "s"),
+        (3, None, "s"),
+        (None, "secret=nobody77 secret=nobody77", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.text or "" for r in secrets.redact(docs).collect()))
+    assert got == sorted(["common words, token=[SECRET], é common", "é password: '[SECRET]' and api_key=[SECRET]", "another text with passwd = [SECRET]", "", "secret=[SECRET] secret=[SECRET]"])
