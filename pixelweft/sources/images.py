@@ -125,12 +125,29 @@ def checked(files: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
     return headers(files).withColumns({"error": error, "decode_width": to[0], "decode_height": to[1]})
 
 
+def turned(x: Column, y: Column, w: Column, h: Column, turn: Column) -> tuple[Column, Column]:
+    """Where the pixel (x, y) of a stored image of w x h stands once it is shown as its orientation says."""
+    across, down = F.when(turn.isin(2, 3), w - 1 - x).otherwise(x), F.when(turn.isin(3, 4), h - 1 - y).otherwise(y)
+    to_x = F.when(turn.isin(5, 8), y).when(turn.isin(6, 7), h - 1 - y).otherwise(across)
+    to_y = F.when(turn.isin(5, 6), x).when(turn.isin(7, 8), w - 1 - x).otherwise(down)
+    return to_x.cast("int"), to_y.cast("int")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of the PNG, JPEG, GIF and BMP files at path: image_id (hash of the file's name), origin, x, y, r, g, b, a. WebP pixels and turns by orientation are not read."""
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    rows = rows.select("origin", "width", "nChannels", F.hex("data").alias("hex"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p"))
+    """Pixels of the PNG, JPEG, GIF and BMP files at path: image_id (hash of the file's name), origin, x, y, r, g, b, a.
+
+    Images are turned as the orientation in their header says; WebP pixels are not
+    read. Only turned files are joined, a name and a number each, before any pixel
+    row is made.
+    """
+    name = F.col("_metadata.file_path").alias("file_")
+    files = headers(spark.read.format("binaryFile").load(path).select(name, "content"))
+    turns = files.where("orientation between 2 and 8").select("file_", F.col("orientation").alias("turn"))
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select(name, "image.*").join(turns, "file_", "left")
+    rows = rows.select("origin", "width", "height", F.coalesce("turn", F.lit(1)).alias("turn"), "nChannels", F.hex("data").alias("hex"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p"))
     at = lambda k: F.conv(F.substring(F.col("hex"), (F.col("p") * F.col("nChannels") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
     gray = F.col("nChannels") == 1
     part = lambda k: F.when(gray, at(0)).otherwise(at(k))  # noqa: E731  stored as B, G, R, A
     a = F.when(F.col("nChannels") == 4, at(3)).otherwise(255)
-    return rows.select(F.xxhash64("origin").alias("image_id"), "origin", (F.col("p") % F.col("width")).alias("x"), F.expr("p div width").cast("int").alias("y"), part(2).alias("r"), part(1).alias("g"), part(0).alias("b"), a.alias("a"))
+    x, y = turned(F.col("p") % F.col("width"), F.expr("p div width"), F.col("width"), F.col("height"), F.col("turn"))
+    return rows.select(F.xxhash64("origin").alias("image_id"), "origin", x.alias("x"), y.alias("y"), part(2).alias("r"), part(1).alias("g"), part(0).alias("b"), a.alias("a"))

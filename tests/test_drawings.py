@@ -131,6 +131,32 @@ def test_exif(order, turn, want):
     assert images.jpeg_size(jpeg(b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app, SOF))[:2] == want
 
 
+def test_turns(spark):
+    stored = np.arange(6).reshape(2, 3)
+    want = {1: stored, 2: stored[:, ::-1], 3: stored[::-1, ::-1], 4: stored[::-1], 5: stored.T, 6: np.rot90(stored, -1), 7: stored[::-1, ::-1].T, 8: np.rot90(stored)}
+    for turn, shown in want.items():
+        x, y = images.turned(F.col("id") % 3, F.expr("id div 3"), F.lit(3), F.lit(2), F.lit(turn))
+        out = np.full(shown.shape, -1)
+        for r in spark.range(6).select("id", x.alias("x"), y.alias("y")).collect():
+            out[r.y, r.x] = r.id
+        assert (out == shown).all(), turn
+
+
+def test_images_are_turned(spark, tmp_path):
+    jvm = spark._jvm
+    drawn = jvm.java.awt.image.BufferedImage(32, 16, 1)
+    drawn.createGraphics().fillRect(0, 0, 16, 16)  # white on the left, black on the right
+    jvm.javax.imageio.ImageIO.write(drawn, "jpg", jvm.java.io.File(str(tmp_path / "plain one.jpg")))
+    data = (tmp_path / "plain one.jpg").read_bytes()
+    app = b"Exif\0\0II" + struct.pack("<HIHHHIHHI", 42, 8, 1, 0x112, 3, 1, 6, 0, 0)
+    (tmp_path / "turned one.jpg").write_bytes(data[:2] + b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app + data[2:])
+    got = images.read_images(spark, str(tmp_path)).toPandas()
+    at = {(r.origin.rsplit("/")[-1][:2], r.x, r.y): r.r for r in got.itertuples()}
+    assert len(at) == len(got) == 2 * 32 * 16
+    assert at["pl", 3, 8] > 240 and at["pl", 28, 8] < 15
+    assert at["tu", 8, 3] > 240 and at["tu", 8, 28] < 15 and ("tu", 28, 8) not in at
+
+
 def test_budget(spark):
     n = lambda w, u: spark.range(1).select(budget_error(F.lit(w).cast("long"), F.lit(w), F.lit(u))).first()[0]
     assert n(4000, 2) is None and n(8000, 4)
