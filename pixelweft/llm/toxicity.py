@@ -1,14 +1,18 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-The examples are a bounded sample of labelled documents; terms are the words whose
-presence depends on the label there (a chi-square test), weighted by (1 + log tf)
-and idf, vectors scaled to length one. The inverted index holds, for each term, its
-postings in blocks of examples with the block's largest weight. For a text, the
-sums of those maxima bound every block's cosines; blocks are opened from the highest
-bound down until the k-th best cosine found is above the next bound, so the k
-neighbours are exact. Their votes, weighted by cosine, and the cosine's own size go
-through a logistic curve fitted on examples that were left out of their own
-neighbours. The neighbours are the evidence.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine over all words.
+
+The examples are a bounded sample of labelled documents; terms are all their words,
+weighted by (1 + log tf) and idf, vectors scaled to length one. The inverted index
+holds, for each term, its postings in blocks of examples with the block's largest
+weight. For a text, the sums of those maxima bound every block's cosines; the FIRST
+blocks of the highest bounds are opened, then all whose bound is not below the k-th
+best cosine found there, so the k neighbours are exact.
+
+Most words say nothing of the label, so a second index of the same kind holds only
+the words whose presence depends on it (a chi-square test), and its neighbours vote
+too. Votes of both, weighted by cosine, and the cosines' own size go through a
+logistic curve fitted on every example twice: without itself among its neighbours by
+all words, as an unseen text, and with itself, as a copy (never with itself by telling
+words). The neighbours are the evidence.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .labelled import fit_logistic, fold, logistic, sample
 
-#: Labelled rows of either label that the index holds, at most; terms; neighbours; examples of a block.
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 1500, 2000, 15, 64
-#: Least chi-square of a term.
+#: Labelled rows of either label that the index holds, at most; neighbours; examples of a block; blocks opened at first; votes.
+SAMPLE, NEIGHBOURS, BLOCK, FIRST, FEATURES = 1500, 15, 64, 4, 7
+#: Least chi-square of a telling word.
 DEPENDS = 25.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -37,8 +41,98 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-class ToxicityIndex:
-    """Block-max inverted index of labelled examples."""
+def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each of first up to, not including, its last, one run after the other."""
+    n = last - first
+    return np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())
+
+
+class BlockMax:
+    """Block-max inverted index of word counts over some of their words."""
+
+    def __init__(self, counts: list[Counter], idf: dict[str, float]) -> None:
+        self.number = {t: i for i, t in enumerate(sorted(idf))}
+        self.idf = np.array([idf[t] for t in self.number])
+        self.vectors = rows = [self.vector(c) for c in counts]
+        # like examples next to each other, so that blocks differ: by their heaviest term
+        self.order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i][0][int(rows[i][1].argmax())] if len(rows[i][0]) else len(idf), i)), int)
+        self.place = np.argsort(self.order)
+        self.blocks = -(-len(rows) // BLOCK)
+        # postings by term, then place; entries are the runs of one term and block, with their largest weight
+        term = np.concatenate([rows[i][0] for i in self.order] + [np.zeros(0, int)])
+        at = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in self.order])
+        by_term = np.argsort(term, kind="stable")
+        term, self.at = term[by_term], at[by_term].astype(np.int32)
+        self.weight = np.concatenate([rows[i][1] for i in self.order] + [np.zeros(0)])[by_term]
+        first = np.flatnonzero(np.diff(term * max(1, self.blocks) + self.at // BLOCK, prepend=-1))
+        self.entry = np.append(first, len(term))
+        self.entry_block = self.at[first] // BLOCK
+        self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.of_term = np.searchsorted(term[first], np.arange(len(idf) + 1))
+        # terms of a quarter of the examples have their weights as a row of a table besides, which is quicker to add
+        n = np.bincount(term, minlength=len(idf))
+        often = np.flatnonzero(n * 4 > max(1, len(rows)))
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.table = np.zeros((len(often), self.blocks * BLOCK))
+        posted = self.row[term] >= 0
+        self.table[self.row[term[posted]], self.at[posted]] = self.weight[posted]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "vectors"}  # the postings hold them
+
+    def vector(self, text: Counter | str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of a text (or its counts) that the index holds, and their weights."""
+        counts = text if isinstance(text, Counter) else Counter(words(text))
+        number = self.number
+        held = [t for t in counts if t in number]
+        if not held:
+            return np.zeros(0, int), np.zeros(0)
+        at = np.array([number[t] for t in held])
+        w = (1 + np.log([counts[t] for t in held])) * self.idf[at]
+        return at, w / np.sqrt(w @ w)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[int, float]]:
+        """The k examples of highest cosine above zero (ties: in index order), but one; exact."""
+        if not len(at):
+            return []
+        n = self.of_term[at + 1] - self.of_term[at]
+        entries = _runs(self.of_term[at], self.of_term[at + 1])
+        times, block = np.repeat(w, n), self.entry_block[entries]
+        bound = np.bincount(block, times * self.entry_most[entries], self.blocks)
+        row = self.row[at]
+        sparse = np.repeat(row < 0, n)
+        entries, times, block = entries[sparse], times[sparse], block[sparse]
+        often = np.zeros(len(self.table))
+        often[row[row >= 0]] = w[row >= 0]
+        shared = (often @ self.table).reshape(self.blocks, BLOCK)
+        cosine = np.zeros((self.blocks, BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        least = 0.0
+        for part in (order[:FIRST], order[FIRST:]):
+            part = part[bound[part] >= least - 1e-12]
+            if not len(part):
+                break
+            opened = np.zeros(self.blocks, bool)
+            opened[part] = True
+            chosen = opened[block]
+            e, x = entries[chosen], times[chosen]
+            first, last = self.entry[e], self.entry[e + 1]
+            p = _runs(first, last)
+            found = np.bincount(self.at[p], np.repeat(x, last - first) * self.weight[p], cosine.size).reshape(cosine.shape)
+            cosine[part] = found[part] + shared[part]
+            if but >= 0:
+                cosine[self.place[but] // BLOCK, self.place[but] % BLOCK] = 0
+            if cosine.size > k:
+                least = np.partition(cosine, cosine.size - k, axis=None)[-k]
+        cosine = cosine.ravel()
+        hits = np.flatnonzero((cosine >= least) & (cosine > 0))
+        best = hits[np.argsort(-cosine[hits], kind="stable")[:k]]
+        return [(int(self.order[i]), float(cosine[i])) for i in best]
+
+
+class ToxicityIndex(BlockMax):
+    """Index of labelled examples over all their words, one over the telling words alone, and the curve from both to a score."""
 
     def __init__(self, ids: np.ndarray, texts: list[str], y: np.ndarray) -> None:
         counts = [Counter(words(t)) for t in texts]
@@ -56,80 +150,38 @@ class ToxicityIndex:
             a, b = pos[t], d - pos[t]
             c, e = n1 - a, n - n1 - b
             below = (a + b) * (c + e) * (a + c) * (b + e)
-            if below and (chi := n * (a * e - b * c) ** 2 / below) >= DEPENDS:
-                chosen.append((-chi, t))
-        terms = [t for _, t in sorted(chosen)[:TERMS]]
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in terms])
-        rows = [self._vector(c) for c in counts]
-        # like examples next to each other, so that blocks differ: by their heaviest term
-        order = sorted(range(len(rows)), key=lambda i: (rows[i][0][int(rows[i][1].argmax())] if len(rows[i][0]) else len(terms), i))
-        self.ids, self.y, rows = self.ids[order], self.y[order], [rows[i] for i in order]
-        self.blocks = -(-len(rows) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, (at, w) in enumerate(rows):
-            for t, x in zip(at.tolist(), w.tolist()):
-                lists[t].append((i, x))
-        self.most = np.zeros((len(terms), self.blocks))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for t, posted in enumerate(lists):
-            by_block: dict[int, list[tuple[int, float]]] = {}
-            for i, x in posted:
-                by_block.setdefault(i // BLOCK, []).append((i % BLOCK, x))
-            self.postings.append({b: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for b, p in by_block.items()})
-            for b, p in by_block.items():
-                self.most[t, b] = max(x for _, x in p)
-        self.vectors = rows
+            if below and n * (a * e - b * c) ** 2 / below >= DEPENDS:
+                chosen.append(t)
+        idf = {t: float(np.log((1 + n) / (1 + d)) + 1) for t, d in df.items()}
+        super().__init__(counts, idf)
+        self.telling = BlockMax(counts, {t: idf[t] for t in chosen})
         self.curve = self._calibrated()
 
-    def _vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.number[t], c) for t, c in counts.items() if t in self.number)
-        if not found:
-            return np.zeros(0, int), np.zeros(0)
-        at = np.array([i for i, _ in found])
-        w = (1 + np.log([c for _, c in found])) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        number = self.number
-        return self._vector(Counter(w for w in words(text) if w in number))
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[int, float]]:
-        """The k examples of highest cosine above zero (ties: first in the index), but one; exact."""
-        if not len(at):
-            return []
-        bound = w @ self.most[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            cosine = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist()):
-                if (p := self.postings[t].get(int(b))) is not None:
-                    cosine[p[0]] += x * p[1]
-            hits = np.flatnonzero(cosine > (-best[-1][0] - 1e-12 if len(best) == k else 0))
-            if len(hits):
-                best = sorted(best + [(-float(cosine[i]), int(b) * BLOCK + int(i)) for i in hits if int(b) * BLOCK + int(i) != but])[:k]
-        return [(i, -c) for c, i in best]
-
-    def _votes(self, near: list[tuple[int, float]]) -> list[float]:
-        """Share of the cosines that vote toxic, and the cosines' sums for either label."""
-        yes = sum(c for i, c in near if self.y[i])
-        total = sum(c for _, c in near)
-        return [yes / total if total else 0.0, np.log1p(yes), np.log1p(total - yes)]
+    def _votes(self, near: list[tuple[int, float]], told: list[tuple[int, float]]) -> list[float]:
+        """Of the neighbours by all words how near they are, toxic less other; of either list the toxic share of the cosines and the cosines' sums for either label."""
+        out = [float(np.clip(sum(c**4 if self.y[i] else -(c**4) for i, c in near), -1, 1))]
+        for found in (near, told):
+            yes = sum(c for i, c in found if self.y[i])
+            total = sum(c for _, c in found)
+            out += [yes / total if total else 0.0, np.log1p(yes), np.log1p(max(0.0, total - yes))]
+        return out
 
     def _calibrated(self) -> np.ndarray:
         if not len(self.y) or self.y.min() == self.y.max():
             p = np.clip(self.y.mean() if len(self.y) else 0.5, 0.01, 0.99)
-            return np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))])
-        x = np.array([self._votes(self.nearest(*v, but=i)) for i, v in enumerate(self.vectors)])
-        return fit_logistic(x, self.y, l2=0.1)
+            return np.array([0.0] * FEATURES + [np.log(p / (1 - p))])
+        told = [self.telling.nearest(*v, but=i) for i, v in enumerate(self.telling.vectors)]
+        unseen = [self._votes(self.nearest(*v, but=i), t) for i, (v, t) in enumerate(zip(self.vectors, told))]
+        copies = [self._votes(self.nearest(*v), t) for v, t in zip(self.vectors, told)]
+        return fit_logistic(np.array(unseen + copies), np.concatenate([self.y, self.y]), l2=0.1)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
-        """Scores, and the ids of the neighbours of each, nearest first."""
-        near = [self.nearest(*self.vector(t)) for t in texts]
-        x = np.array([self._votes(n) for n in near]).reshape(-1, 3)
-        return logistic(x, self.curve), [[int(self.ids[i]) for i, _ in n] for n in near]
+        """Scores, and the ids of the neighbours of each: by all words nearest first, then the others by telling words."""
+        counts = [Counter(words(t)) for t in texts]
+        near = [self.nearest(*self.vector(c)) for c in counts]
+        told = [self.telling.nearest(*self.telling.vector(c)) for c in counts]
+        x = np.array([self._votes(n, t) for n, t in zip(near, told)]).reshape(-1, FEATURES)
+        return logistic(x, self.curve), [[int(self.ids[i]) for i in dict.fromkeys(i for i, _ in n + t)] for n, t in zip(near, told)]
 
 
 def fit(rows: pd.DataFrame) -> ToxicityIndex:

@@ -72,6 +72,18 @@ def test_nearest_are_exact():
         assert np.allclose([c for _, c in got], [c for _, c in want])
 
 
+def test_all_words_count():
+    """A text without any telling word has the neighbours that its rare words give it, and a copy of an example follows its label."""
+    r = np.random.default_rng(1)
+    rare = lambda i: [f"rare{''.join(chr(97 + int(d)) for d in str(i * 40 + j))}" for j in range(40)]
+    texts = [" ".join([*rare(i), *r.choice(["the", "of", "and"], 9), *["idiot"] * (i % 3 == 0 and i != 30)]) for i in range(300)]
+    index = toxicity.ToxicityIndex(np.arange(300) + 1000, texts, np.array([i % 3 == 0 for i in range(300)], int))
+    assert len(index.number) == 300 * 40 + 4
+    copies = [" ".join(rare(30)[3:] + ["unheard", "of"]), " ".join(rare(31)[3:] + ["unheard", "of"])]
+    scores, near = index.score(copies)
+    assert [n[0] for n in near] == [1030, 1031] and scores[0] > 0.5 > scores[1]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (5, 1, 0), (7, 0, 1), (7, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for op in (quality.quality_scores, toxicity.toxicity_scores):
