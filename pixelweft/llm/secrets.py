@@ -25,26 +25,42 @@ KINDS = {
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 }
 BASE = ("assign", "access", "hex")
+#: A key block: the begin line and headers (group 1), the key's characters (group 2), the end line; without an end line up to the last line of base64.
+_BREAK = r"(?:\s|\\[nrt])"
+_RUN = r"[A-Za-z0-9+/=]"
+PEM = (
+    rf"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_BREAK}{{0,9}}[A-Z][A-Za-z-]{{0,30}}+: [^\r\n\\]*){{0,9}}[\s\\nrt\"',+]*?)"
+    rf"({_RUN}[A-Za-z0-9+/=\s\\\"',]*+(?=-----END [A-Z ]*PRIVATE KEY-----)|{_RUN}{{16,}}+(?:(?:\s|\\[nrt]){{1,9}}{_RUN}{{16,}}+){{0,500}}(?:(?:[\r\n]|\\[nr]){{1,4}}[\x20\t]*+{_RUN}{{1,15}}+(?=[\s\"'\\]|$))?)"
+    r"(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+)
+#: Least characters of a key; what may stand between them.
+PEM_LEAST, PEM_BETWEEN = 6, r"""\\[nrt]|[^A-Za-z0-9+/=]"""
 #: Distinct owners from which on a value counts as a copied example.
 SHARED_OWNERS = 3
-SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
+SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string,from:int,to:int>>"
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """Array of (kind, rank, start, end, value) of the matches that pass; positions in code points, end exclusive."""
+    """Array of (kind, rank, start, end, value, from, to) of the matches that pass; positions in code points, end exclusive; the value stands between from and to."""
     pattern, group, least = KINDS[kind]
+    head = 0
+    if kind == "pem":
+        pattern, head, group, least = PEM, 1, 2, PEM_LEAST
     rank = list(KINDS).index(kind)
     p = F.lit(pattern)
-    whole, values = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
+    whole, values, heads = (F.regexp_extract_all(text, p, F.lit(g)) for g in (0, group, head))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), values.alias("value"))
+    rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), values.alias("value"), heads.alias("head"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         first = acc["at"] + m["gap"]
         end = first + F.length(m["whole"])
-        span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), first.alias("start"), end.alias("end"), m["value"].alias("value"))
-        out = F.when(F.length(m["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        # the value of a pattern without a head ends where its span does; a key is the same key however its lines are broken
+        begin = first + F.length(m["head"]) if head else end - F.length(m["value"])
+        value = F.regexp_replace(m["value"], PEM_BETWEEN, "") if head else m["value"]
+        span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), first.alias("start"), end.alias("end"), value.alias("value"), begin.alias("from"), (begin + F.length(m["value"])).alias("to"))
+        out = F.when(F.length(value) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
     found = F.aggregate(rows, start, step, lambda acc: acc["out"])
@@ -55,7 +71,7 @@ def all_spans(text: Column) -> Column:
     """All spans of a text by start, then kind as KINDS lists them."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     spans = F.concat(*[_spans(text, kind) for kind in KINDS])
-    order = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
+    order = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["from"].alias("from"), s["to"].alias("to")))
     return F.array_sort(order)
 
 
@@ -147,9 +163,8 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", mask: str
     """
     slim = scanned(docs, text, owner)
     live = verdicts(slim, shared_owners).where("live").select("hash")
-    # a value ends where its span does; the begin line of a key block is no value
-    place = F.struct((F.col("s.end") - F.length("s.value")).alias("start"), F.col("s.end").alias("end"))
-    values = slim.select("doc_id", "text_key", F.explode("spans").alias("s")).where("s.kind <> 'pem'").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), place.alias("place"), value_hash(F.col("s.value")).alias("hash"))
+    place = F.struct(F.col("s.from").alias("start"), F.col("s.to").alias("end"))
+    values = slim.select("doc_id", "text_key", F.explode("spans").alias("s")).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), place.alias("place"), value_hash(F.col("s.value")).alias("hash"))
     by_doc = values.join(live, "hash").groupBy("id_", "key_").agg(F.collect_set("place").alias("places_"))
     old = F.col(f"row_.{text}")
     found = wrapped(docs).join(checkpointed(by_doc), F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (text_key(old) == F.col("key_")), "left")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pixelweft.llm import secrets
@@ -73,3 +74,35 @@ def test_only_the_values_of_spans_are_masked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r.text or "" for r in secrets.redact(docs).collect()))
     assert got == sorted(["common words, token=[SECRET], é common", "é password: '[SECRET]' and api_key=[SECRET]", "another text with passwd = [SECRET]", "", "secret=[SECRET] secret=[SECRET]"])
+
+
+def test_private_keys_are_told_apart_and_masked(spark):
+    """Keys are counted by their bodies, not by the begin line that all of them share, and a body is masked whole."""
+    r = random.Random(5)
+    lines = lambda n: ["".join(r.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(n)] + ["Zm9vYmFy=="]
+    block = lambda body, sep="\n", kind="RSA ", more="": f"-----BEGIN {kind}PRIVATE KEY-----{sep}{more}{sep.join(body)}{sep}-----END {kind}PRIVATE KEY-----"
+    own = [lines(20) for _ in range(8)]
+    shared = lines(3)
+    rows = [(i, f"é key: {block(own[i])} end", f"s{i}") for i in range(4)]
+    rows += [(4, f'"{block(own[4], chr(92) + "n", "")}"', "s4"), (5, block(own[5], "\r\n", "EC ", "Proc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0123456789ABCDEF\r\n\r\n"), "s5"), (6, block(own[6]).split("-----END")[0] + "that was it", "s6")]
+    rows += [(7, "a file begins with -----BEGIN PRIVATE KEY----- and has lines, no more.", "s7"), (8, block(own[7]) + block(own[0]), "s8")]
+    rows += [(20 + i, block(shared, ["\n", "\r\n", "\n  "][i]), f"s{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in secrets.secret_scan(docs).collect()}
+    pem = {i: sum(k.startswith("pem:") for k in x.spans.split(",")) for i, x in got.items()}
+    assert pem == {i: {7: 0, 8: 2}.get(i, 1) for i, _, _ in rows}
+    assert [(got[i].n_live, got[i].n_shared) for i in (0, 1, 4, 5, 6, 8)] == [(1, 0)] * 5 + [(2, 0)]
+    assert [(got[i].n_live, got[i].n_shared) for i in (20, 21, 22)] == [(0, 1)] * 3
+    assert f"pem:7:{len(rows[0][1]) - 4}" in got[0].spans
+    clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert clean[0] == "é key: -----BEGIN RSA PRIVATE KEY-----\n[SECRET]-----END RSA PRIVATE KEY----- end"
+    assert not any(line in clean[i] for i in range(9) for body in own for line in body)
+    assert clean[6] == "-----BEGIN RSA PRIVATE KEY-----\n[SECRET]\nthat was it"
+    assert all(clean[i] == t for i, t, _ in rows if i == 7 or i >= 20)
+
+
+def test_long_key_like_texts(spark):
+    """A begin line before much text neither fails nor takes prose along."""
+    many = "-----BEGIN PRIVATE KEY-----\n" + "abcdefghijklmnopqrstuvwx yz " * 20_000
+    docs = spark.createDataFrame([(1, many, "s"), (2, "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 100_000 + "\n-----END PRIVATE KEY-----", "s")], "doc_id long, text string, source string")
+    assert {x.doc_id: x.text for x in secrets.redact(docs).collect()}[2] == "-----BEGIN PRIVATE KEY-----\n[SECRET]-----END PRIVATE KEY-----"
