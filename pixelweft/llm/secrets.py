@@ -129,11 +129,11 @@ def secret_scan(docs: DataFrame, text: str = "text", owner: str = "source", shar
     live = verdicts(slim, shared_owners)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = _joined(F.filter("spans", _is_base))
-    rows = slim.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans")).alias("all_spans"), F.transform("spans", lambda s: value_hash(s["value"])).alias("hashes"))
+    rows = slim.select("doc_id", "text_key", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(base, 256).alias("base_sha256"), _joined(F.col("spans")).alias("all_spans"), F.transform("spans", lambda s: value_hash(s["value"])).alias("hashes"))
     none = rows.where(F.size("hashes") == 0).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("all_spans").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_shared"))
     some = rows.where(F.size("hashes") > 0)
-    # equal rows of this table (copies with the same id) are one group with a count, and come back as many rows
-    key = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "all_spans"]
+    # equal rows of docs (copies with the same id and text) are one group with a count, and come back as many rows
+    key = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "all_spans", "text_key"]
     each = some.select(*key, F.posexplode("hashes").alias("at", "hash"))
     judged = each.join(live.select("hash", "live"), "hash")
     found = judged.groupBy(*key).agg(F.count_if("live").alias("live"), F.count("*").alias("spans_"), F.count_if(F.col("at") == 0).alias("times"))

@@ -106,3 +106,9 @@ def test_long_key_like_texts(spark):
     many = "-----BEGIN PRIVATE KEY-----\n" + "abcdefghijklmnopqrstuvwx yz " * 20_000
     docs = spark.createDataFrame([(1, many, "s"), (2, "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 100_000 + "\n-----END PRIVATE KEY-----", "s")], "doc_id long, text string, source string")
     assert {x.doc_id: x.text for x in secrets.redact(docs).collect()}[2] == "-----BEGIN PRIVATE KEY-----\n[SECRET]-----END PRIVATE KEY-----"
+
+
+def test_other_texts_with_one_id_keep_their_own_counts(spark):
+    rows = [(i, "token=examplepass1", f"s{i}") for i in range(3)] + [(None, "token=examplepass1", "s1"), (None, "token=examplepass2", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r.n_live, r.n_shared) for r in secrets.secret_scan(docs).where("doc_id is null").collect()) == [(0, 1), (1, 0)]
