@@ -30,8 +30,12 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-SKIP = frozenset("head script style template noscript iframe object svg math canvas audio video select textarea button datalist".split())
+SKIP = frozenset("head script style template noscript iframe svg canvas audio video select textarea button datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Start tags that may stand in a head; any other, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements of SKIP that end at the next block boundary if nothing closes them; those of NO_NEST end at another of their kind.
+ENDS_OPEN, NO_NEST = frozenset("svg canvas audio video select button datalist".split()), frozenset("select button".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul".split())
 #: Start tags that end an open element of these kinds, as far as the nearest of the others.
 CLOSES = {
@@ -61,6 +65,19 @@ _ABOVE = {"nav": 0, "footer": 0, "header": 1, "aside": 0, "form": 0, "article":
 N_FEATURES = 22 + 2 * _N + 5 + 1
 
 
+def _closed(source: str, name: str) -> set[int]:
+    """Where the start tags of name that have an end tag of their own begin."""
+    out, opened = set(), []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])", source, re.I):
+        if not m[1]:
+            if name in NO_NEST:
+                opened.clear()
+            opened.append(m.start())
+        elif opened:
+            out.add(opened.pop())
+    return out
+
+
 class Page:
     """Nodes in document order: tag, parent, depth, tokens; text nodes carry their characters, and inline elements are passed through."""
 
@@ -87,6 +104,9 @@ class Page:
         run: list[str] = []
         run_linked = 0
         at, n = 0, len(source)
+        headed = False  # a head has begun, or cannot any more
+        closed: dict[str, set[int]] = {}
+        loose: list[int] = []  # heights of the stack below open elements that nothing closes
 
         def flush() -> None:
             nonlocal run, run_linked
@@ -102,6 +122,8 @@ class Page:
             if tag in BLOCK:
                 flush()
             stack.pop()
+            if loose and loose[-1] == len(stack):
+                loose.pop()
             skip -= tag in SKIP
             links -= tag == "a"
 
@@ -112,18 +134,33 @@ class Page:
             if name is None:
                 piece = m[0]
                 if piece[0] != "<" or piece == "<":
+                    if stack[-1][0] == "head" and not piece.isspace():
+                        pop()
                     if not skip:
                         piece = html.unescape(piece) if "&" in piece else piece
                         run.append(piece)
                         run_linked += len(piece) if links else 0
                 continue
             name = name.lower()
+            if loose and (name in BLOCK or name in NO_NEST and not m[1] and stack[loose[-1]][0] == name):
+                while loose:
+                    while len(stack) > loose[-1] + 1:
+                        pop()
+                    pop()
             if m[1]:
                 if any(t == name for t, _ in reversed(stack)):
                     while stack[-1][0] != name:
                         pop()
                     pop()
                 continue
+            if name == "head":
+                if headed:
+                    continue
+                headed = True
+            elif name not in IN_HEAD:
+                headed = True
+                if stack[-1][0] == "head":
+                    pop()
             if name == "br":
                 run.append(" ")
             if name in VOID:
@@ -170,6 +207,11 @@ class Page:
                 stack.append((name, self._add(name, stack[-1][1], bits)))
             else:
                 stack.append((name, stack[-1][1]))
+            if name in ENDS_OPEN:
+                if name not in closed:
+                    closed[name] = _closed(source, name)
+                if m.start() not in closed[name]:
+                    loose.append(len(stack) - 1)
             skip += name in SKIP
             links += name == "a"
         while len(stack) > 1:

@@ -44,6 +44,19 @@ def test_hand_written_page():
     assert text == "A & B\nFirst paragraph with some text, long enough to be read. It has two sentences.\nSecond one, also of decent length, with a link in it."
 
 
+def test_unclosed_elements_take_no_text_along():
+    article = "<article><h1>The title</h1><p>Some words here, and more of them. Yes, two sentences.</p><p>Another one, of decent length. It ends here.</p></article>"
+    want = "The title\nSome words here, and more of them. Yes, two sentences.\nAnother one, of decent length. It ends here."
+    pages = [f"<html><head><title>x</title><body>{article}</body></html>", f"<head><meta charset=utf-8><link href=x>{article}", f"<html><head><title>x</title></head><body><head>{article}", f"<head><template><p>no</p></template><script>1</script></head>{article}"]
+    pages += [f"<body><div><{t}>no{article}</div></body>" for t in ("button", "select><option", "svg><g", "video", "canvas")]
+    pages += [f"<body><div><button>no{article}</div><button>no<p>no</p></button></body>", f"<body>{article[:-10]}<button><b><p>no</p></b></button></article></body>"]
+    assert H.extract_many(pages, H.trained()) == [want] * len(pages)
+    assert [t for t in H.Page("<head>Just text").text if t] == ["Just text"]
+    inner = "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here, as we can see. <object data=x>A fallback text.</object> And more words.</p></article>"
+    (text,) = H.extract_many(["<body>" + article.replace("</article>", inner) + "</body>"], H.trained())
+    assert text.endswith("\nSo x=2 holds here, as we can see. A fallback text. And more words.")
+
+
 def test_decoding_has_no_contradictions():
     page = H.Page("<div><p>a</p><div><p>b</p><p>c</p></div></div>")
     r = np.random.default_rng(0)
