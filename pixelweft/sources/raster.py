@@ -54,6 +54,47 @@ def cap(px: DataFrame, max_side: int) -> DataFrame:
     return g.agg(*[mean(c).cast("int").alias(c) for c in "rgb"], half_up(F.avg("a")).cast("int").alias("a"))
 
 
+def _shares(at: Column, n: Column, to: Column, nearest: bool) -> Column:
+    """Array of (to, weight): the places of an axis of to pixels that the pixel at of an axis of n gives to, in whole weights.
+
+    A shorter axis takes the parts that its pixels cover, a longer one is linear
+    between the pixels' centres (or takes the pixel under its centre).
+    """
+    covers = F.sequence(F.expr("0L") + F.floor(at * to / n), F.floor(((at + 1) * to - 1) / n))
+    area = F.transform(covers, lambda t: F.struct(t.alias("to"), (F.least((at + 1) * to, (t + 1) * n) - F.greatest(at * to, t * n)).alias("weight")))
+    # a centre of the longer axis is at (2 t + 1) n - to, a pixel of the shorter one at 2 to at
+    place = lambda t: F.least(F.greatest((t * 2 + 1) * n - to, F.lit(0)), to * 2 * (n - 1))
+    low = F.when(at == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((at * 2 - 1) * to / (n * 2)) - 1)).cast("long")
+    high = F.when(at == n - 1, to - 1).otherwise(F.least(to - 1, F.ceil((at * 2 + 3) * to / (n * 2)) + 1)).cast("long")
+    under = lambda t: F.when(F.floor((t * 2 + 1) * n / (to * 2)) == at, 1).otherwise(0).cast("long")
+    linear = F.transform(F.sequence(low, high), lambda t: F.struct(t.alias("to"), (under(t) if nearest else to * 2 - F.abs(place(t) - to * 2 * at)).alias("weight")))
+    return F.filter(F.when(to > n, linear).otherwise(area), lambda s: s["weight"] > 0)
+
+
+def resample(px: DataFrame, scale: float | Column, nearest: bool = False) -> DataFrame:
+    """Images at round(side * scale), at least 1, up or down; scale may be a column over w and h.
+
+    Means by area, or linear ones in the longer axes, in premultiplied alpha; nearest
+    takes single pixels when upscaling. A pixel without alpha is transparent black;
+    an image that keeps its size stays as it is. Weights are whole numbers, so a
+    whole factor gives what downscale() gives.
+    """
+    to = lambda side: F.greatest(F.lit(1), half_up(F.col(side) * (scale if isinstance(scale, Column) else F.lit(float(scale))))).cast("long")
+    s = sizes(px).select("image_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h")).withColumn("tw", to("w")).withColumn("th", to("h"))
+    rows = px.join(s, "image_id").withColumn("same", (F.col("w") == F.col("tw")) & (F.col("h") == F.col("th")))
+    shares = lambda at, n, t: F.explode(_shares(F.col(at).cast("long"), F.col(n), F.col(t), nearest))
+    rows = rows.withColumn("sx", shares("x", "w", "tw")).withColumn("sy", shares("y", "h", "th")).withColumn("n", F.col("sx.weight") * F.col("sy.weight"))
+    na = F.sum(F.col("n") * F.col("a"))
+    mean = lambda c: F.when(na > 0, half_up(F.sum(F.col(c) * F.col("a") * F.col("n")).cast("double") / na)).otherwise(F.max(F.when(F.col("same"), F.col(c)).otherwise(0)))
+    g = rows.groupBy("image_id", F.col("sx.to").cast("int").alias("x"), F.col("sy.to").cast("int").alias("y"))
+    return g.agg(*[mean(c).cast("int").alias(c) for c in "rgb"], half_up(na.cast("double") / F.sum("n")).cast("int").alias("a"))
+
+
+def fit(px: DataFrame, max_side: int) -> DataFrame:
+    """Images whose longest side is above max_side, resampled so that it is max_side; the others as they are."""
+    return resample(px, F.least(F.lit(1.0), F.lit(float(max_side)) / F.greatest("w", "h")))
+
+
 def pack(px: DataFrame) -> DataFrame:
     """One row an image: RGBA bytes in row order. An image is bounded by the pixel budget."""
     byte = lambda c: F.lpad(F.hex(c), 2, "0")

@@ -189,3 +189,41 @@ def test_regions_against_flood(spark):
                         seen[j, i] = y * 10 + x
                         todo += [(b, c) for b, c in ((j - 1, i), (j + 1, i), (j, i - 1), (j, i + 1)) if 0 <= b < 10 and 0 <= c < 10 and (g[b, c] == g[j, i]).all()]
     assert got == seen
+
+
+def test_resampling_by_any_factor(spark):
+    """Against weights written out: area shares on a shorter axis, linear ones on a longer axis."""
+
+    def axis(n, to, nearest):
+        w = np.zeros((to, n))
+        for t in range(to):
+            if to > n:
+                at = min(max((t + 0.5) * n / to - 0.5, 0), n - 1)
+                for x, share in ((int((t + 0.5) * n / to), 1),) if nearest else ((int(at), 1 - at % 1), (min(int(at) + 1, n - 1), at % 1)):
+                    w[t, x] += share
+            else:
+                for x in range(n):
+                    w[t, x] = max(0, min((x + 1) / n, (t + 1) / to) - max(x / n, t / to))
+        return w / w.sum(axis=1, keepdims=True)
+
+    r = np.random.default_rng(3)
+    image = r.integers(0, 256, size=(20, 25, 4))
+    image[:6, :6, 3] = 0
+    rows = [(1, x, y, *map(int, image[y, x])) for y in range(20) for x in range(25)]
+    px = spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int, a int")
+    for scale, nearest in ((0.4, False), (0.37, False), (1.0, False), (1.5, False), (2.3, True), (0.2, True), (0.01, False)):
+        w, h = max(1, int(25 * scale + 0.5)), max(1, int(20 * scale + 0.5))
+        ax, ay = axis(25, w, nearest), axis(20, h, nearest)
+        alpha = np.einsum("ty,yx,sx->ts", ay, image[..., 3].astype(float), ax)
+        colour = np.einsum("ty,yxc,sx->tsc", ay, image[..., :3] * image[..., 3:].astype(float), ax) / np.maximum(alpha, 1e-9)[..., None]
+        got = np.full((h, w, 4), -1)
+        for p in raster.resample(px, scale, nearest).collect():
+            got[p.y, p.x] = p.r, p.g, p.b, p.a
+        assert got.min() >= 0 and np.abs(got[..., 3] - alpha).max() <= 0.501
+        if scale == 1:
+            assert (got == image).all()
+        else:
+            assert np.abs(got[..., :3] - np.where(alpha[..., None] > 1e-6, colour, 0)).max() <= 0.501
+    sized = lambda df: {(x.w, x.h) for x in raster.sizes(df).collect()}
+    assert sized(raster.fit(px, 10)) == {(10, 8)} and sized(raster.fit(px, 24)) == {(24, 19)} and sized(raster.fit(px, 25)) == {(25, 20)}
+    assert sorted(raster.resample(px, 0.2).collect()) == sorted(raster.downscale(px, 5).collect())
