@@ -175,10 +175,11 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     query_every, candidates all rows but those with the query's own id. Ties go to
     the smaller vec_id. Rows with a null id, and vectors that are null or hold null
     or non-finite components, take no part; vectors of another dimension than the
-    query's are no candidates of it; rows repeated with one id count once. A query
-    without candidates has no rows, an empty table gives none.
+    query's are no candidates of it; rows of one id and one quantized vector count
+    once, other vectors of that id are candidates (or queries, with one answer) of
+    their own. A query without candidates has no rows, an empty table gives none.
     """
-    rows = checkpointed(quantized(vectors, scale).where("vec_id is not null").dropDuplicates(["vec_id"]).withColumn("level", F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(LEVEL)).cast("int")).otherwise(-1_000_000)))
+    rows = checkpointed(quantized(vectors, scale).where("vec_id is not null").dropDuplicates(["vec_id", "vec"]).withColumn("level", F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(LEVEL)).cast("int")).otherwise(-1_000_000)))
     # one row for each level: lengths are doubles, so there are at most some 15,000
     levels = [(r["level"], max(1, math.ceil(r["n"] / bucket))) for r in rows.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()]
     if not levels:

@@ -59,3 +59,10 @@ def test_odd_rows(spark):
 def test_given_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     assert rows_of(topk.top_k(df)) == brute([(r.vec_id, r.embedding) for r in df.collect()])
+
+
+def test_other_vectors_of_one_id_all_count(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [float(i), 1.0]) for i in range(8)] + [(2, [9.0, 0.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = [(2, 9), (1, 7), (1, 6), (1, 5), (1, 4)]
+    assert rows_of(topk.top_k(df)) == {(0, n, i, s * 256 * 256) for n, (i, s) in enumerate(want, 1)}
