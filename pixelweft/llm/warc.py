@@ -2,9 +2,10 @@
 
 An archive is a table of (record, chunk, chunks, data): the data of a record's
 chunks in order are its bytes in the WARC/1.1 format, and all records one after
-the other are the archive file. Payloads are cut before they are written and
-digests are carried from chunk to chunk, so neither side ever holds an oversized
-record. Spark writes the table into the shared folder, wherever that is; records
+the other are the archive file. The reader carries digests from chunk to chunk and
+never holds an oversized record. The writer does hold one: a payload is one value of
+its page's row, is digested whole, goes through the join with the first ids whole,
+and is cut only when the record is written. Spark writes the table into the shared folder, wherever that is; records
 of one chunk are read where they lie, only those of several are brought together.
 """
 
