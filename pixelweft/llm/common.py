@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Narrow rows (some numbers each) that are broadcast at most: some tens of MB.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and everything runs on this machine (tests)."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = sc.getCheckpointDir()
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="pixelweft-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="pixelweft-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -31,11 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table, wherever Spark keeps it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpointed table of narrow rows, marked for broadcast if it has at most so many; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +52,11 @@ def wrapped(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_"))
 
 
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def uniform(*cols: Column | str) -> Column:
     """A reproducible number in [0, 1) from the hash of cols."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, wrapped
+from .common import checkpointed, text_key, wrapped
 
 #: kind -> (pattern, group of the value, least length of the value). The first three are the base kinds, in their order.
 KINDS = {
@@ -100,11 +100,6 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return two.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_rows"))
 
 
-def text_key(text: Column) -> Column:
-    """Tells the texts of rows with one doc_id apart."""
-    return F.xxhash64(text.cast("string"))
-
-
 def scanned(docs: DataFrame, text: str = "text", owner: str = "source") -> DataFrame:
     """doc_id, owner, text_key (a hash of the text) and spans of each row, computed once and kept in the shared folder without the text."""
     return checkpointed(docs.select(F.col("doc_id"), F.col(owner).alias("owner"), text_key(F.col(text)).alias("text_key"), all_spans(F.col(text)).alias("spans")))

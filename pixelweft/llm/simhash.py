@@ -1,192 +1,296 @@
 """SimHash near-duplicates, linked by pigeonring filtering.
 
-The 64 bits are cut into five segments on a ring. If two fingerprints differ in
-at most four bits, then some segment starts a chain of consecutive segments whose
-cumulative differences never exceed the proportional budget 4 l / 5 after l
-segments: 0, 1, 2, 3, 4. The first two links make the join key: the start segment
-must be equal, and of three parts of the next one at least two (at most one bit
-differs there). The later links prune candidates, and only what is left gets the
-full Hamming check, so no pair within the distance is lost.
+The 64 bits are cut into budget + 1 segments on a ring. If two fingerprints differ
+in at most budget bits, then some segment starts a chain of consecutive segments
+whose cumulative differences never exceed the proportional budget: 0, 1, 2, ...
+after 1, 2, 3, ... segments. The first links make the join key: the start segment
+must be equal, and of the next ones, cut into parts, all but as many parts as bits
+may differ there. The whole chains then prune candidates, and only what is left
+gets the full Hamming check, so no pair within the distance is lost.
 
 Copies share one fingerprint and are reduced to one row before anything is
-paired. Rows that share a key are searched breadth first for linked ones, which
-emits a spanning forest in place of all pairs; keys with more than BLOCK rows are
-dealt out as pairs of blocks, so no task ever holds more than two blocks.
+paired. Rows that share a key are compared among themselves, and where most of
+them are alike they are searched breadth first, which emits a spanning forest in
+place of all pairs; keys with more than BLOCK rows are dealt out as pairs of
+blocks, so no task ever holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, wrapped
+from .common import checkpointed, if_small, text_key, wrapped
 from .components import connected_components
 
-BITS, BUDGET = 64, 4
-#: Rows of one key that are searched together.
-BLOCK = 1024
-#: Words hashed at once; bounds the memory that a long text takes.
-PIECE = 1 << 16
-
-
-def _segments() -> list[tuple[int, int]]:
-    """(first bit, width) of the five segments."""
-    m = BUDGET + 1
-    cuts = [round(i * BITS / m) for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+BITS = 64
+#: Rows of one key that are searched together, and rows up to which a group's pairs are looked at one by one.
+BLOCK, FEW = 4096, 64
+#: Words hashed at once; bounds the memory that a long text takes. Pairs looked at at once.
+PIECE, PAIRS = 1 << 16, 1 << 20
 
 
 def _mask(first: int, width: int) -> int:
     return ((1 << width) - 1) << first
 
 
-def _keys() -> list[tuple[int, int]]:
-    """(start segment, mask of the bits that make the key): three keys for each start."""
-    segs, out = _segments(), []
-    for i, (first, width) in enumerate(segs):
-        nf, nw = segs[(i + 1) % len(segs)]
-        cuts = [round(j * nw / 3) for j in range(4)]
-        parts = [_mask(nf + a, b - a) for a, b in zip(cuts, cuts[1:])]
-        out += [(i, _mask(first, width) | (sum(parts) - part)) for part in parts]
-    return out
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-KEYS = _keys()
-#: For each start, the masks of the chains of two, three and four segments.
-CHAINS = [[sum(_mask(*_segments()[(i + j) % (BUDGET + 1)]) for j in range(n)) for n in range(2, BUDGET + 1)] for i in range(BUDGET + 1)]
+@dataclass(frozen=True)
+class Ring:
+    """Segments, join keys and chains for fingerprints within budget bits; guard, if any, bounds the distance of a second fingerprint.
 
+    links is the number of segments that make a key, the start among them; the
+    others are cut into parts, links - 1 of which may differ.
+    """
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    budget: int
+    links: int = 2
+    parts: int = 3
+    guard: int = BITS
+
+    @cached_property
+    def segments(self) -> list[tuple[int, int]]:
+        """(first bit, width) of each."""
+        m = self.budget + 1
+        cuts = [round(i * BITS / m) for i in range(m + 1)]
+        return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+    @cached_property
+    def keys(self) -> list[tuple[int, int]]:
+        """(start segment, mask of the bits that make the key)."""
+        segs, out = self.segments, []
+        for i, (first, width) in enumerate(segs):
+            rest = [b for j in range(1, self.links) for b in range(*(lambda f, w: (f, f + w))(*segs[(i + j) % len(segs)]))]
+            cuts = [round(j * len(rest) / self.parts) for j in range(self.parts + 1)]
+            parts = [sum(1 << b for b in rest[a:b]) for a, b in zip(cuts, cuts[1:])]
+            out += [(i, _mask(first, width) | sum(same)) for same in itertools.combinations(parts, self.parts - self.links + 1)]
+        return out
+
+    @cached_property
+    def chains(self) -> np.ndarray:
+        """For each start, the masks of the chains of two segments, three, and so on to all but one."""
+        segs = self.segments
+        return np.array([[sum(_mask(*segs[(i + j) % len(segs)]) for j in range(n)) for n in range(2, len(segs))] for i in range(len(segs))], dtype=np.uint64)
+
+    def near(self, x: np.ndarray, start: np.ndarray | int, guards: np.ndarray) -> np.ndarray:
+        """Positions in x (differences of fingerprints) and guards (of second ones) of the links: chains first, then the whole distance."""
+        at = np.arange(len(x))
+        for n in range(self.chains.shape[1]):
+            mask = self.chains[start, n] if np.isscalar(start) else self.chains[start[at], n]
+            at = at[np.bitwise_count(x[at] & mask) <= n + 1]
+        at = at[np.bitwise_count(x[at]) <= self.budget]
+        return at if self.guard >= BITS else at[np.bitwise_count(guards[at]) <= self.guard]
+
+
+#: Four or fewer differing bits of the SimHash of four-word shingles.
+STRICT = Ring(4)
+#: Texts of a similarity of 0.8 or more on five-word shingles have most words in common, so the SimHashes of their different
+#: words are close: within 8 bits; those of the shingles are within 18 then, and 32 apart in other texts.
+LOOSE = Ring(8, links=3, parts=4, guard=18)
+
+
+def split(text: str | None) -> list[bytes]:
+    """Words, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _ones(hashes: Iterator[list[int]]) -> tuple[np.ndarray, int]:
+    """How many of the hashes have each bit, and their number."""
+    ones, total = np.zeros(BITS, np.int64), 0
+    for some in hashes:
+        h = np.array(some, dtype="<u8")
+        total += len(h)
+        for k in range(0, len(h), 4096):
+            ones += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones, total
+
+
+def _majority(hashes: Iterator[list[int]]) -> int:
+    ones, total = _ones(hashes)
+    return int((np.packbits(2 * ones > total, bitorder="little")).view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """Unsigned SimHash; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
+    return _of_shingles(split(text), shingle)
+
+
+def _of_shingles(words: list[bytes], shingle: int) -> int:
+    if not words:
         return 0
     digest, seed = xxhash.xxh64_intdigest, 42
-    if n <= shingle:
+    if len(words) <= shingle:
         return digest(b" ".join(words), seed)
-    ones, total = np.zeros(BITS, np.int64), n - shingle + 1
-    for at in range(0, total, PIECE):
-        part = words[at : min(at + PIECE, total) + shingle - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(part) - shingle + 1].tolist()
-        stops = (ends[shingle - 1 :] - 1).tolist()
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], dtype="<u8")
-        for k in range(0, len(h), 4096):
-            ones += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.packbits(2 * ones > total, bitorder="little")).view("<u8")[0])
+    total = len(words) - shingle + 1
+
+    def hashes() -> Iterator[list[int]]:
+        for at in range(0, total, PIECE):
+            part = words[at : min(at + PIECE, total) + shingle - 1]
+            joined = b" ".join(part)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            starts = np.concatenate(([0], ends[:-1]))[: len(part) - shingle + 1].tolist()
+            stops = (ends[shingle - 1 :] - 1).tolist()
+            yield [digest(joined[a:b], seed) for a, b in zip(starts, stops)]
 
+    return _majority(hashes())
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """The doc_id column and fp, the SimHash as a signed long, of every row."""
+
+def strict_prints(text: str | None) -> tuple[int, int]:
+    return fingerprint(text, 4), 0
+
+
+def loose_prints(text: str | None) -> tuple[int, int]:
+    """SimHash of the text's different words, and of its five-word shingles."""
+    words = split(text)
+    digest = xxhash.xxh64_intdigest
+    return _majority(iter([[digest(w, 42) for w in set(words)]])), _of_shingles(words, 5)
+
+
+def with_prints(docs: DataFrame, text: str = "text", prints: Callable[[str | None], tuple[int, int]] = strict_prints) -> DataFrame:
+    """doc_id, text_key (a hash of the text), fp and guard (signed longs) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                fps = pa.array([_signed(fingerprint(t.as_py(), shingle)) for t in part.column(1)], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), fps], names=["doc_id", "fp"])
+                found = [prints(t.as_py()) for t in part.column(2)]
+                columns = [pa.array([_signed(f[i]) for f in found], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "text_key", "fp", "guard"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long, guard long")
 
 
-def forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, guards: np.ndarray, start: int, ring: Ring) -> list[tuple[int, int]]:
     """Positions of linked fingerprints (unsigned) in one group, as a spanning forest of what the chains from start let through."""
-    masks = [np.uint64(m) for m in CHAINS[start]]
     rest, out = np.arange(len(fps)), []
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             node = queue.pop()
-            x = fps[rest] ^ fps[node]
-            ok = np.ones(len(x), bool)
-            for budget, mask in enumerate(masks, 1):
-                ok &= np.bitwise_count(x & mask) <= budget
-            ok &= np.bitwise_count(x) <= BUDGET
-            if ok.any():
+            ok = ring.near(fps[rest] ^ fps[node], start, guards[rest] ^ guards[node])
+            if len(ok):
                 near = rest[ok]
                 out += [(node, y) for y in near]
                 queue += list(near)
-                rest = rest[~ok]
+                rest = np.delete(rest, ok)
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k int, v long, b1, b2 int, fp long) sorted by all but fp -> edges (a, b). Holds one group at most."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held: list[np.ndarray] | None = None
+def _pairs(at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, first, second) of all pairs of rows within each of the groups of sizes that begin at at, some groups a time."""
+    done = np.cumsum(sizes * (sizes - 1) // 2)
+    cuts = np.unique(np.searchsorted(done, np.arange(0, (done[-1] if len(done) else 0) + PAIRS, PAIRS)))
+    for a, b in zip(cuts, [*cuts[1:], len(at)]):
+        group = np.repeat(np.arange(a, b), sizes[a:b])
+        row = np.arange(len(group)) - np.repeat(np.cumsum(sizes[a:b]) - sizes[a:b], sizes[a:b])  # within its group
+        later = sizes[group] - 1 - row
+        first = np.repeat(at[group] + row, later)
+        step = np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+        yield np.repeat(group, later), first, first + 1 + step
+
+
+def _search(ring: Ring):
+    """Rows (k int, v long, b1, b2 int, fp, guard long) sorted by the first four -> edges. Holds one group at most."""
+    names = ["fp_a", "guard_a", "fp_b", "guard_b"]
+    of_key = np.array([s for s, _ in ring.keys])
 
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        key, fp = cols[:4], cols[4]
+        key, fp, guard = cols[:4], cols[4], cols[5]
         if len(fp) < 2:
             return None
         new = np.ones(len(fp), bool)
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in key])
         at = np.flatnonzero(new)
         sizes = np.diff(np.append(at, len(fp)))
-        starts = np.array([s for s, _ in KEYS])[key[0]]
-        u, got_a, got_b = fp.view(np.uint64), [], []
-        two = at[sizes == 2]  # most groups: all at once
-        if len(two):
-            x = u[two] ^ u[two + 1]
-            ok = np.bitwise_count(x) <= BUDGET
-            chains = np.array(CHAINS, dtype=np.uint64)[starts[two]]
-            for budget in range(1, BUDGET):
-                ok &= np.bitwise_count(x & chains[:, budget - 1]) <= budget
-            got_a.append(fp[two[ok]])
-            got_b.append(fp[two[ok] + 1])
-        for i, n in zip(at[sizes > 2], sizes[sizes > 2]):
-            if pairs := forest(u[i : i + n], starts[i]):
+        starts = of_key[key[0][at]]
+        u, g, got_a, got_b = fp.view(np.uint64), guard.view(np.uint64), [], []
+        large = sizes > FEW
+        few = np.flatnonzero(~large & (sizes > 1))
+        for group, a, b in _pairs(at[few], sizes[few]):
+            ok = ring.near(u[a] ^ u[b], starts[few[group]], g[a] ^ g[b])
+            n = np.bincount(group[ok], minlength=len(few))
+            dense = n >= sizes[few]  # more links than a forest has
+            large[few[dense]] = True
+            ok = ok[~dense[group[ok]]]
+            got_a.append(a[ok])
+            got_b.append(b[ok])
+        for i, n, start in zip(at[large], sizes[large], starts[large]):
+            if pairs := forest(u[i : i + n], g[i : i + n], start, ring):
                 p = np.array(pairs) + i
-                got_a.append(fp[p[:, 0]])
-                got_b.append(fp[p[:, 1]])
-        if not got_a or not sum(map(len, got_a)):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_a)), pa.array(np.concatenate(got_b))], schema=schema)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        same = np.logical_and.reduce([c == c[-1] for c in cols[:4]])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        held = [c[cut:] for c in cols]
-        if cut and (out := edges([c[:cut] for c in cols])):
+                got_a.append(p[:, 0])
+                got_b.append(p[:, 1])
+        a, b = (np.concatenate([np.zeros(0, int), *x]) for x in (got_a, got_b))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[a], guard[a], fp[b], guard[b])], names=names) if len(a) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            same = np.logical_and.reduce([c == c[-1] for c in cols[:4]])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            held = [c[cut:] for c in cols]
+            if cut and (out := edges([c[:cut] for c in cols])):
+                yield out
+        if held and (out := edges(held)):
             yield out
-    if held and (out := edges(held)):
-        yield out
+
+    return run
+
+
+def node(fp: Column, guard: Column, ring: Ring) -> Column:
+    """The number of a pair of fingerprints as a node; where there is no guard, the fingerprint."""
+    return fp if ring.guard >= BITS else F.xxhash64(fp, guard)
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b) that connect all within the budget."""
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(KEYS)])
-    rows = fps.select("fp", F.inline(keys))
+def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK) -> DataFrame:
+    """Distinct fingerprints (fp, guard) -> edges (a, b) of their nodes that connect all links."""
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(ring.keys)])
+    rows = fps.select("fp", "guard", F.inline(keys))
+    one = F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))
     hot = checkpointed(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > block).select("k", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    rows = rows.join(hot, ["k", "v"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")),
-            lambda j: F.struct(F.least(j, F.col("own")).alias("b1"), F.greatest(j, F.col("own")).alias("b2")),
+    if hot.isEmpty():
+        rows = rows.select("k", "v", F.inline(one), "fp", "guard")
+    else:
+        rows = rows.join(if_small(hot), ["k", "v"], "left")
+        own = F.pmod(F.xxhash64("fp", "guard"), F.col("blocks")).cast("int")
+        pairs = F.when(F.col("blocks").isNull(), one).otherwise(
+            F.transform(
+                F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")),
+                lambda j: F.struct(F.least(j, F.col("own")).alias("b1"), F.greatest(j, F.col("own")).alias("b2")),
+            )
         )
-    )
-    rows = rows.withColumn("own", own).select("k", "v", F.inline(pairs), "fp")
-    return rows.repartition("k", "v", "b1", "b2").sortWithinPartitions("k", "v", "b1", "b2").mapInArrow(_search, "a long, b long")
+        rows = rows.withColumn("own", own).select("k", "v", F.inline(pairs), "fp", "guard")
+    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions("k", "v", "b1", "b2").mapInArrow(_search(ring), "fp_a long, guard_a long, fp_b long, guard_b long")
+    return found.select(node(F.col("fp_a"), F.col("guard_a"), ring).alias("a"), node(F.col("fp_b"), F.col("guard_b"), ring).alias("b"))
 
 
-def simhash_components(docs: DataFrame, text: str = "text", shingle: int = 4, block: int = BLOCK) -> DataFrame:
+def _components(prints: DataFrame, ring: Ring, block: int) -> DataFrame:
+    """prints (doc_id, fp, guard, ...) -> fp, guard, root and component_id of every distinct (fp, guard), kept in the shared folder."""
+    reps = checkpointed(prints.groupBy("fp", "guard").agg(F.min("doc_id").alias("rep")))
+    roots = connected_components(links(reps, ring, block))
+    own = node(F.col("fp"), F.col("guard"), ring)
+    joined = checkpointed(reps.withColumn("own", own).join(roots, F.col("own") == F.col("node"), "left").select("fp", "guard", "rep", F.coalesce("root", "own").alias("root")))
+    first = checkpointed(joined.groupBy("root").agg(F.min("rep").alias("component_id")))
+    return checkpointed(joined.drop("rep").join(first, "root"))
+
+
+def simhash_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
 
     Null and empty texts have fingerprint zero and are linked like any other.
@@ -194,25 +298,31 @@ def simhash_components(docs: DataFrame, text: str = "text", shingle: int = 4, bl
     and is never a component_id unless its component has no other id. An empty
     table gives no rows; other columns are ignored.
     """
-    prints = checkpointed(with_fingerprints(docs, text, shingle))
-    reps = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(reps, block))
-    joined = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    joined = checkpointed(joined)
-    first = checkpointed(joined.groupBy("root").agg(F.min("rep").alias("component_id")))
-    labels = checkpointed(joined.select("fp", "root").join(first, "root").select("fp", "component_id"))
+    prints = checkpointed(with_prints(docs, text).drop("text_key"))
+    labels = _components(prints, STRICT, block).select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", ring: Ring = LOOSE, prints: Callable[[str | None], tuple[int, int]] = loose_prints, block: int = BLOCK) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns.
 
-    Of repeated rows with that same doc_id one is kept, the one whose text comes
-    first; rows with a null doc_id stay only if no row of their component has an id.
+    Of rows of one component with that same doc_id one is kept: of different texts
+    the one with the smallest hash, of rows alike in id and text any. Rows with a
+    null doc_id go if a row of their component has an id; else one of them stays.
+    Null and empty texts are one component. An empty table gives no rows. Texts are
+    not shuffled unless the ids that go are more than BROADCAST_ROWS.
     """
-    labels = simhash_components(docs, text, shingle)
-    firsts = labels.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count("*").alias("times_"))
-    firsts = checkpointed(firsts)
-    kept = wrapped(docs).join(firsts, F.col("row_.doc_id").cast("long").eqNullSafe(F.col("keep_id")))
-    again = kept.where("times_ > 1").groupBy("keep_id").agg(F.min_by("row_", F.coalesce(F.col(f"row_.{text}"), F.lit(""))).alias("row_"))
-    return kept.where("times_ = 1").select("row_.*").union(again.select("row_.*"))
+    found = checkpointed(with_prints(docs, text, prints))
+    labels = _components(found, ring, block)
+    each = checkpointed(found.join(labels, ["fp", "guard"]).groupBy("root", "component_id", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    # the copy that stays in each component, and how often it is there
+    stays = checkpointed(each.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("stays"), F.min_by("n", "text_key").alias("times")))
+    judged = each.join(stays, "root").select("doc_id", "text_key", ((F.col("text_key") != F.col("stays")) | ~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes"), "times")
+    changed = checkpointed(judged.where("goes or times > 1").select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "goes"))
+    same = F.col("row_.doc_id").cast("long").eqNullSafe(F.col("id_")) & (text_key(F.col(f"row_.{text}")) == F.col("key_"))
+    out = wrapped(docs).join(if_small(changed), same, "left_anti")
+    repeated = checkpointed(changed.where("not goes"))
+    if not repeated.isEmpty():
+        again = wrapped(docs).join(if_small(repeated), same).groupBy("id_", "key_").agg(F.min_by("row_", F.xxhash64(F.to_json("row_"))).alias("row_"))
+        out = out.select("row_").union(again.select("row_"))
+    return out.select("row_.*")

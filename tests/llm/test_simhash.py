@@ -52,8 +52,8 @@ def test_whole_table(spark, sf_dir):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_links_lose_none(spark, block):
+@pytest.mark.parametrize("block,budget,links,parts", [(8, 4, 2, 3), (1024, 4, 2, 3), (16, 8, 3, 4), (4096, 8, 3, 4)])
+def test_links_lose_none(spark, block, budget, links, parts):
     """Dense groups, chains and pairs at every distance, with and without splitting of hot keys."""
     r = random.Random(3)
     fps = []
@@ -61,7 +61,7 @@ def test_links_lose_none(spark, block):
         base = r.getrandbits(64)
         for k in range(40):
             x = base
-            for b in r.sample(range(64), r.randint(0, 6)):
+            for b in r.sample(range(64), r.randint(0, budget + 2)):
                 x ^= 1 << b
             fps.append(x)
     chain = r.getrandbits(64)
@@ -69,25 +69,61 @@ def test_links_lose_none(spark, block):
         chain ^= 0xF << b
         fps.append(chain)
     fps = sorted(set(fps))
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    got = {x.node: x.root for x in connected_components(simhash.links(df, block)).collect()}
-    want = components(fps, fps)
+    df = spark.createDataFrame([(simhash._signed(f), 0) for f in fps], "fp long, guard long")
+    ring = simhash.Ring(budget, links, parts)
+    got = {x.node: x.root for x in connected_components(simhash.links(df, ring, block)).collect()}
+    want = components(fps, fps, budget)
     mine = [got.get(simhash._signed(f), simhash._signed(f)) for f in fps]
     # the same partition of the nodes
     assert len(set(zip(want, mine))) == len(set(want)) == len(set(mine))
 
 
-def test_every_pair_within_the_budget_meets():
+@pytest.mark.parametrize("ring", [simhash.STRICT, simhash.Ring(8, links=3, parts=4), simhash.Ring(6, links=4, parts=6)])
+def test_every_pair_within_the_budget_meets(ring):
     r = random.Random(1)
+    none = np.zeros(2, np.uint64)
     for _ in range(3000):
         a = r.getrandbits(64)
         b = a
-        for k in r.sample(range(64), r.randint(0, 4)):
+        for k in r.sample(range(64), r.randint(0, ring.budget)):
             b ^= 1 << k
         pair = np.array([a, b], dtype=np.uint64)
-        assert any(a & m == b & m and simhash.forest(pair, s) for s, m in simhash.KEYS)
-    far = np.array([0, 0b11111], dtype=np.uint64)
-    assert not any(simhash.forest(far, s) for s in range(5))
+        assert any(a & m == b & m and simhash.forest(pair, none, s, ring) for s, m in ring.keys)
+    far = np.array([0, (1 << ring.budget + 1) - 1], dtype=np.uint64)
+    assert not any(simhash.forest(far, none, s, ring) for s in range(ring.budget + 1))
+
+
+def similarity(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (simhash.split(a), simhash.split(b)))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_finds_similar_texts(spark):
+    """Of copies with changed words, those of a similarity of 0.8 or more go; texts of other words stay."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(900)]
+    rows, near = [], []
+    for i in range(150):
+        words = [vocabulary[int(899 * r.random() ** 2)] for _ in range(r.randint(60, 500))]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 4):
+            copy = list(words)
+            for at in r.sample(range(len(copy)), max(1, len(copy) * j // 130)):
+                copy[at] = r.choice(vocabulary)
+            rows.append((10 * i + j, " ".join(copy)))
+            if similarity(rows[-1][1], " ".join(words)) >= 0.8:
+                near.append(rows[-1][0])
+    kept = {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert {10 * i for i in range(150)} <= kept
+    assert len(near) > 200 and len([i for i in near if i not in kept]) >= 0.97 * len(near)
+
+
+def test_near_dedup_of_one_id_and_none(spark):
+    """Texts that share an id, or have none, are judged by their own components."""
+    a, b, c = ("one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta", "red green blue cyan black white grey pink")
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, b), (7, c + " "), (None, "x y z"), (None, "p q r"), (9, "twice"), (9, "twice"), (None, "x y z")]
+    kept = [(x.doc_id, x.text) for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (7, c + " "), (None, "x y z"), (None, "p q r"), (9, "twice")], key=str)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
