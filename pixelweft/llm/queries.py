@@ -59,24 +59,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _secrets_sql() -> str:
-    kinds = secrets.KINDS
+    """Key blocks are stated by their begin line only, which no given table holds."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = secrets.KINDS | {"pem": secrets.Kind("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27)}
     found = " UNION ALL ".join(
-        f"""SELECT doc, '{kind}' AS kind, {rank} AS rank, i, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0) AS s, whole[i] AS w, val[i] AS v
-            FROM (SELECT doc, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS whole, regexp_extract_all(t, {quoted(p)}, {group}) AS val FROM d WHERE regexp_matches(t, {quoted(p)})), LATERAL (SELECT unnest(range(1, len(whole) + 1)) AS i)
-            WHERE length(val[i]) >= {least}"""
-        for rank, (kind, (p, group, least)) in enumerate(kinds.items())
+        f"""SELECT doc, '{kind}' AS kind, {rank} AS rank, length(lead[i]) * {int(k.lead > 0)} AS l, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0) AS s, whole[i] AS w, val[i] AS v
+            FROM (SELECT doc, string_split_regex(t, {quoted(k.pattern)}) AS gaps, regexp_extract_all(t, {quoted(k.pattern)}) AS whole, regexp_extract_all(t, {quoted(k.pattern)}, {k.value}) AS val, regexp_extract_all(t, {quoted(k.pattern)}, {k.lead}) AS lead FROM d WHERE regexp_matches(t, {quoted(k.pattern)})), LATERAL (SELECT unnest(range(1, len(whole) + 1)) AS i)
+            WHERE length(val[i]) >= {k.least}"""
+        for rank, (kind, k) in enumerate(kinds.items())
     )
     base = ", ".join(f"'{k}'" for k in secrets.BASE)
     return f"""
         WITH d AS (SELECT row_number() OVER () AS doc, doc_id, source, coalesce(text, '') AS t FROM documents),
         spans AS ({found}),
-        owned AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners FROM spans JOIN d USING (doc) GROUP BY v),
-        each AS (SELECT doc, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(w) AS BIGINT) AS name, owners FROM spans JOIN owned USING (v)),
+        owned AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories FROM spans JOIN d USING (doc) GROUP BY v),
+        each AS (SELECT doc, kind, rank, s + l AS s, kind || ':' || CAST(s + l AS BIGINT) || ':' || CAST(s + length(w) AS BIGINT) AS name, owners < {secrets.SHARED_OWNERS} AND repositories < {secrets.SHARED_REPOSITORIES} AS live, owners || '/' || repositories AS o FROM spans JOIN owned USING (v)),
         byd AS (SELECT doc, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
-                string_agg(name, ',' ORDER BY s, rank) FILTER (kind IN ({base})) AS b, string_agg(name, ',' ORDER BY s, rank) AS every,
-                count(*) FILTER (owners < {secrets.SHARED_OWNERS}) AS live, count(*) FILTER (owners >= {secrets.SHARED_OWNERS}) AS shared FROM each GROUP BY doc)
-        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(live, 0) AS n_live, coalesce(shared, 0) AS n_shared
+                string_agg(name, ',' ORDER BY s, rank) FILTER (kind IN ({base})) AS b, string_agg(name, ',' ORDER BY s, rank) AS every, string_agg(o, ',' ORDER BY s, rank) AS o,
+                count(*) FILTER (live) AS live, count(*) FILTER (NOT live) AS shared FROM each GROUP BY doc)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(live, 0) AS n_live, coalesce(shared, 0) AS n_shared, coalesce(o, '') AS ownership
         FROM d LEFT JOIN byd USING (doc)"""
 
 

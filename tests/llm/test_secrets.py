@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pixelweft.llm import secrets
 
@@ -112,3 +113,36 @@ def test_other_texts_with_one_id_keep_their_own_counts(spark):
     rows = [(i, "token=examplepass1", f"s{i}") for i in range(3)] + [(None, "token=examplepass1", "s1"), (None, "token=examplepass2", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted((r.n_live, r.n_shared) for r in secrets.secret_scan(docs).where("doc_id is null").collect()) == [(0, 1), (1, 0)]
+
+
+def test_copies_of_one_owner_and_order_of_ownership(spark):
+    """Many documents make a value an example even where one owner has them all; the counts stand in the order of the spans."""
+    rows = [(i, "token=examplepass1", "s") for i in range(secrets.SHARED_REPOSITORIES)] + [(100, "token=examplepass1 password=mineonly7", "t"), (101, "secret=mineonly7", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    assert (got[0].n_live, got[0].n_shared) == (0, 1)
+    assert (got[100].n_live, got[100].n_shared, got[100].ownership) == (1, 1, f"2/{len(rows) - 1},1/2")
+
+
+def test_tokens_stand_alone(spark):
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    docs = spark.createDataFrame([(1, f"é {jwt} {jwt},x{jwt}", "s"), (2, jwt, "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}
+    assert got == {1: f"jwt:2:{2 + len(jwt)},jwt:{3 + len(jwt)}:{3 + 2 * len(jwt)}", 2: f"jwt:0:{len(jwt)}"}
+    assert {r.text for r in secrets.redact(docs).collect()} == {f"é [SECRET] [SECRET],x{jwt}", "[SECRET]"}
+
+
+def test_time_grows_in_proportion_to_the_text(spark):
+    """A megabyte each of what used to be quadratic: many spans, long runs that begin like a token, a begin line before words."""
+    r = random.Random(2)
+    many = " ".join(f"{r.getrandbits(128):032x}" for _ in range(32_000))
+    rows = [(1, many), (2, "eyJabcdef" * 120_000), (3, "-eyJabcdef" * 100_000), (4, "-----BEGIN PRIVATE KEY-----" + "n " * 500_000), (5, "password" * 130_000), (6, "token=" + " " * 1_000_000)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.secret_scan(docs).collect()}
+    clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1].n_hex == got[1].n_live == 32_000
+    assert got[1].spans.split(",")[-1] == f"hex:{len(many) - 32}:{len(many)}"
+    assert clean[1] == " ".join(["[SECRET]"] * 32_000)
+    assert all(clean[i] == t for i, t in rows if i != 1)
