@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 
 from .gbdt import BoostedTrees
 
-_TOKEN = re.compile(r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:@][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+#: A tag; one where quotes hold no "<", for pages on which a quote is not closed; one that ends at the first ">" whatever the quotes are.
+_TAG_AT = re.compile(_NAME + r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+_BROKEN_TAG_AT = re.compile(_NAME + r"""((?:[^<>"']++|"[^"<]*"|'[^'<]*')*+)>""")
+_ANY_TAG_AT = re.compile(_NAME + r"([^>]*)>")
+_ATTR = re.compile(r"""(?<![-\w:.@])([a-zA-Z_:@][-\w:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A number above all characters, which is too long to be read as one.
+_HUGE = re.compile(r"&#0*[1-9][0-9]{7,};?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,60 +104,95 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block node that each stands for
-        skip = 0  # open elements of SKIP
-        links = 0
+        """In time proportional to the page: tags and places of open elements are found without looking at those between."""
+        tags, blocks = ["#root"], [0]  # open elements and the block node that each stands for
+        where: dict[str, list[int]] = {}  # heights of the open elements by tag
+        open_blocks = [0]  # heights of the open block elements
+        skip = links = 0  # open elements of SKIP, open links
         run: list[str] = []
         run_linked = 0
         at, n = 0, len(source)
+        last_end = source.rfind(">")
+        broken = False  # some quote in a tag is not closed
+        ended = {"-->": False, "]]>": False}  # there is none any more
         headed = False  # a head has begun, or cannot any more
         closed: dict[str, set[int]] = {}
-        loose: list[int] = []  # heights of the stack below open elements that nothing closes
+        loose: list[int] = []  # heights of the open elements that nothing closes
 
         def flush() -> None:
             nonlocal run, run_linked
             if run:
                 text = " ".join("".join(run).split())
                 if text:
-                    self.linked[self._add("#text", stack[-1][1], 0, text)] = min(run_linked, len(text))
+                    self.linked[self._add("#text", blocks[-1], 0, text)] = min(run_linked, len(text))
                 run, run_linked = [], 0
 
+        def push(tag: str, block: int) -> None:
+            nonlocal skip, links
+            where.setdefault(tag, []).append(len(tags))
+            if tag in BLOCK:
+                open_blocks.append(len(tags))
+            tags.append(tag)
+            blocks.append(block)
+            skip += tag in SKIP
+            links += tag == "a"
+
         def pop() -> None:
             nonlocal skip, links
-            tag, _ = stack[-1]
+            tag = tags[-1]
             if tag in BLOCK:
                 flush()
-            stack.pop()
-            if loose and loose[-1] == len(stack):
+                open_blocks.pop()
+            tags.pop()
+            blocks.pop()
+            where[tag].pop()
+            if loose and loose[-1] == len(tags):
                 loose.pop()
             skip -= tag in SKIP
             links -= tag == "a"
 
+        def pop_to(height: int) -> None:
+            while len(tags) > height:
+                pop()
+
+        def nearest(names: set[str]) -> int:
+            return max((where[x][-1] for x in names if where.get(x)), default=-1)
+
         while at < n:
-            m = _TOKEN.match(source, at)
-            at = m.end()
-            name = m[2]
-            if name is None:
-                piece = m[0]
-                if piece[0] != "<" or piece == "<":
-                    if stack[-1][0] == "head" and not piece.isspace():
-                        pop()
-                    if not skip:
-                        piece = html.unescape(piece) if "&" in piece else piece
-                        run.append(piece)
-                        run_linked += len(piece) if links else 0
+            m = None
+            begin = at
+            if source[at] == "<" and at < last_end:
+                after = source[at + 1]
+                if after in "!?":
+                    end = -1
+                    for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                        if source.startswith(start, at) and not ended[stop]:
+                            end = source.find(stop, at + len(start))
+                            ended[stop] = end < 0
+                    at = source.index(">", at + 2) + 1 if end < 0 else end + 3
+                    continue
+                m = (_BROKEN_TAG_AT if broken else _TAG_AT).match(source, at)
+                if m is None and (m := _ANY_TAG_AT.match(source, at)):
+                    broken = True
+            if m is None:
+                end = source.find("<", at + 1) if at < last_end else n
+                piece = source[at : end if end >= 0 else n]
+                at += len(piece)
+                if tags[-1] == "head" and not piece.isspace():
+                    pop()
+                if not skip:
+                    piece = html.unescape(_HUGE.sub("\ufffd", piece)) if "&" in piece else piece
+                    run.append(piece)
+                    run_linked += len(piece) if links else 0
                 continue
-            name = name.lower()
-            if loose and (name in BLOCK or name in NO_NEST and not m[1] and stack[loose[-1]][0] == name):
+            at = m.end()
+            name = m[2].lower()
+            if loose and (name in BLOCK or name in NO_NEST and not m[1] and tags[loose[-1]] == name):
                 while loose:
-                    while len(stack) > loose[-1] + 1:
-                        pop()
-                    pop()
+                    pop_to(loose[-1])
             if m[1]:
-                if any(t == name for t, _ in reversed(stack)):
-                    while stack[-1][0] != name:
-                        pop()
-                    pop()
+                if where.get(name):
+                    pop_to(where[name][-1])
                 continue
             if name == "head":
                 if headed:
@@ -159,7 +200,7 @@ class Page:
                 headed = True
             elif name not in IN_HEAD:
                 headed = True
-                if stack[-1][0] == "head":
+                if tags[-1] == "head":
                     pop()
             if name == "br":
                 run.append(" ")
@@ -167,32 +208,18 @@ class Page:
                 if name == "hr" and not skip:
                     flush()
                 continue
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+            if name in ENDS_P and tags[open_blocks[-1]] == "p":
+                pop_to(open_blocks[-1])
             if name in CLOSES:
                 kinds, stop = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in kinds:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in stop:
-                        break
+                if (k := nearest(kinds)) > nearest(stop):
+                    pop_to(k)
             if name == "a" and links:
-                while stack[-1][0] != "a" and stack[-1][0] not in BLOCK:
-                    pop()
-                if stack[-1][0] == "a":
-                    pop()
+                pop_to(max(where["a"][-1], open_blocks[-1] + 1))
             if m[0].endswith("/>") and name in ("svg", "math", "use", "path"):
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at) if at < last_end else None
                 at = end.end() if end else n
                 continue
             if name in BLOCK and not skip:
@@ -204,18 +231,15 @@ class Page:
                             for part in _PART.findall("".join(values)):
                                 if (g := _GROUPS.get(part.lower())) is not None:
                                     bits |= 1 << g
-                stack.append((name, self._add(name, stack[-1][1], bits)))
+                push(name, self._add(name, blocks[-1], bits))
             else:
-                stack.append((name, stack[-1][1]))
+                push(name, blocks[-1])
             if name in ENDS_OPEN:
                 if name not in closed:
                     closed[name] = _closed(source, name)
-                if m.start() not in closed[name]:
-                    loose.append(len(stack) - 1)
-            skip += name in SKIP
-            links += name == "a"
-        while len(stack) > 1:
-            pop()
+                if begin not in closed[name]:
+                    loose.append(len(tags) - 1)
+        pop_to(1)
         flush()
 
     def decode(self, odds: np.ndarray) -> list[bool]:

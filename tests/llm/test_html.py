@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 
@@ -75,3 +76,16 @@ def test_odd_rows(spark):
     assert by[1].text == by[2].text == "" and by[1].n_chars == 0
     assert by[6].text.count("\n") == 5000
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_time_grows_in_proportion_to_the_page():
+    """About a megabyte each of what a page can break; none takes long, and what is read of a broken tag is what is left."""
+    m = 100_000
+    hard = ["<!-- " * m, "<![CDATA[" * m + ">", "<b>" * m + "</i>" * m, "<a " * m, "<a '\">" * m + ">", '<a "> " <a ">' * m, "<li><b>" + "<b>" * m + "<li></li>" * m, "<li><ul>" + "<b>" * m + "<li></li>" * m]
+    hard += ["<p><li>" + "<b>" * m + "<div></div>" * m, "<script>" + "</script x " * m, "<" + "a" * m + ' "not closed >', "<a " + "b" * m + ">", "&#" + "9" * m, "<!" * m, "<div>" * m, "<button>" * m, "<" * m + ">"]
+    began = time.process_time()
+    pages = [H.Page(source) for source in hard]
+    assert time.process_time() - began < 40
+    assert [t for t in pages[12].text if t] == ["�"]
+    assert [t for t in H.Page('<p class="a>one</p><p>two</p>').text if t] == ["one", "two"]
+    assert [t for t in H.Page("<p title='x>y'>one<!-- not closed > two</p>").text if t] == ["one two"]
