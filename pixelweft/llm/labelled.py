@@ -16,11 +16,12 @@ def fold() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, text: str = "text") -> pd.DataFrame:
-    """At most each labelled rows of either label outside the held-out fold, as (doc_id, text, y), in a fixed order.
+    """At most each labelled rows of either label outside the held-out fold, as (doc_id, text, y, weight), in a fixed order.
 
     The rows are those whose ids have the smallest hashes, so the sample is the same
     on every run and bounded at any size of the corpus. Ids with both labels, and
     null labels, are left out; of the texts of one id the first in order is taken.
+    weight is the number of labelled ids that a row of its label stands for.
     """
     known = labels.where(F.col(label).isin(0, 1) & (fold() > 0)).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("most")).where("y = most").drop("most")
     order = F.xxhash64("doc_id")
@@ -30,7 +31,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, text: str
         picked = part if picked is None else picked.union(part)
     texts = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").cast("int").alias("y"))
-    return rows.toPandas().sort_values("doc_id").reset_index(drop=True)
+    found = rows.toPandas().sort_values("doc_id").reset_index(drop=True)
+    all_of = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    found["weight"] = [max(1.0, all_of.get(y, 0) / (found.y == y).sum()) for y in found.y]
+    return found
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:

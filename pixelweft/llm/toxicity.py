@@ -12,11 +12,16 @@ the words whose presence depends on it (a chi-square test), and its neighbours v
 too. Votes of both, weighted by cosine, and the cosines' own size go through a
 logistic curve fitted on every example twice: without itself among its neighbours by
 all words, as an unseen text, and with itself, as a copy (never with itself by telling
-words). The neighbours are the evidence.
+words); labels weigh as they are spread over all labelled rows, not as they are in the
+sample. The neighbours are the evidence. An example's own row is no neighbour of it.
+
+Texts are scored in batches: the weights of frequent words meet as matrices, the
+postings of all others in one pass, so what is done for each text alone is little.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +38,8 @@ from .labelled import fit_logistic, fold, logistic, sample
 SAMPLE, NEIGHBOURS, BLOCK, FIRST, FEATURES = 1500, 15, 64, 4, 7
 #: Least chi-square of a telling word.
 DEPENDS = 25.0
+#: Words of one in so many examples are frequent; texts, and runs of postings, of a batch.
+OFTEN, TEXTS, RUNS = 10, 256, 1 << 18
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,9 +76,9 @@ class BlockMax:
         self.entry_block = self.at[first] // BLOCK
         self.entry_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.of_term = np.searchsorted(term[first], np.arange(len(idf) + 1))
-        # terms of a quarter of the examples have their weights as a row of a table besides, which is quicker to add
+        # frequent words have their weights as a row of a table besides, which is quicker to add
         n = np.bincount(term, minlength=len(idf))
-        often = np.flatnonzero(n * 4 > max(1, len(rows)))
+        often = np.flatnonzero(n * OFTEN > max(1, len(rows)))
         self.row = np.full(len(idf), -1, np.int32)
         self.row[often] = np.arange(len(often))
         self.table = np.zeros((len(often), self.blocks * BLOCK))
@@ -85,58 +92,76 @@ class BlockMax:
         """Numbers of the words of a text (or its counts) that the index holds, and their weights."""
         counts = text if isinstance(text, Counter) else Counter(words(text))
         number = self.number
-        held = [t for t in counts if t in number]
+        held = [(number[t], n) for t, n in counts.items() if t in number]
         if not held:
             return np.zeros(0, int), np.zeros(0)
-        at = np.array([number[t] for t in held])
-        w = (1 + np.log([counts[t] for t in held])) * self.idf[at]
+        at, n = np.array(held).T
+        w = (1 + np.log(n)) * self.idf[at]
         return at, w / np.sqrt(w @ w)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[int, float]]:
-        """The k examples of highest cosine above zero (ties: in index order), but one; exact."""
-        if not len(at):
-            return []
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: np.ndarray | None = None, k: int = NEIGHBOURS) -> list[list[tuple[int, float]]]:
+        """For each vector the k examples of highest cosine above zero (ties: in index order), but one (-1: none); exact."""
+        but = np.full(len(vectors), -1) if but is None else but
+        runs = np.cumsum([0, *((self.of_term[at + 1] - self.of_term[at]).sum() for at, _ in vectors)])
+        out, a = [], 0
+        while a < len(vectors):
+            b = max(a + 1, min(a + TEXTS, int(np.searchsorted(runs, runs[a] + RUNS, side="right")) - 1))
+            out += self._nearest(vectors[a:b], but[a:b], k)
+            a = b
+        return out
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: np.ndarray, k: int) -> list[list[tuple[int, float]]]:
+        m, size = len(vectors), self.blocks * BLOCK
+        text = np.repeat(np.arange(m), [len(at) for at, _ in vectors])
+        at, w = (np.concatenate([v[j] for v in vectors]) for j in (0, 1))
         n = self.of_term[at + 1] - self.of_term[at]
         entries = _runs(self.of_term[at], self.of_term[at + 1])
-        times, block = np.repeat(w, n), self.entry_block[entries]
-        bound = np.bincount(block, times * self.entry_most[entries], self.blocks)
+        times, whose = np.repeat(w, n), np.repeat(text, n)
+        place = whose * self.blocks + self.entry_block[entries]
+        bound = np.bincount(place, times * self.entry_most[entries], m * self.blocks).reshape(m, self.blocks)
         row = self.row[at]
+        often = np.zeros((m, len(self.table)))
+        often[text[row >= 0], row[row >= 0]] = w[row >= 0]
+        shared = (often @ self.table).reshape(m, self.blocks, BLOCK)
         sparse = np.repeat(row < 0, n)
-        entries, times, block = entries[sparse], times[sparse], block[sparse]
-        often = np.zeros(len(self.table))
-        often[row[row >= 0]] = w[row >= 0]
-        shared = (often @ self.table).reshape(self.blocks, BLOCK)
-        cosine = np.zeros((self.blocks, BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        least = 0.0
-        for part in (order[:FIRST], order[FIRST:]):
-            part = part[bound[part] >= least - 1e-12]
-            if not len(part):
-                break
-            opened = np.zeros(self.blocks, bool)
-            opened[part] = True
-            chosen = opened[block]
-            e, x = entries[chosen], times[chosen]
-            first, last = self.entry[e], self.entry[e + 1]
-            p = _runs(first, last)
-            found = np.bincount(self.at[p], np.repeat(x, last - first) * self.weight[p], cosine.size).reshape(cosine.shape)
-            cosine[part] = found[part] + shared[part]
-            if but >= 0:
-                cosine[self.place[but] // BLOCK, self.place[but] % BLOCK] = 0
-            if cosine.size > k:
-                least = np.partition(cosine, cosine.size - k, axis=None)[-k]
-        cosine = cosine.ravel()
-        hits = np.flatnonzero((cosine >= least) & (cosine > 0))
-        best = hits[np.argsort(-cosine[hits], kind="stable")[:k]]
-        return [(int(self.order[i]), float(cosine[i])) for i in best]
+        entries, times, whose, place = entries[sparse], times[sparse], whose[sparse], place[sparse]
+        cosine = np.zeros((m, self.blocks, BLOCK))
+        own = np.flatnonzero(but >= 0)
+        mine = self.place[but[own]]
+        opened = np.zeros((m, self.blocks), bool)
+        least = np.zeros(m)
+        for first in (True, False):
+            new = np.zeros_like(opened)
+            if first:
+                np.put_along_axis(new, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+            else:
+                new = ~opened & (bound >= least[:, None] - 1e-9)
+            new &= bound > 0
+            chosen = new.ravel()[place]
+            e = entries[chosen]
+            begin, end = self.entry[e], self.entry[e + 1]
+            p = _runs(begin, end)
+            found = np.bincount(np.repeat(whose[chosen] * size, end - begin) + self.at[p], np.repeat(times[chosen], end - begin) * self.weight[p], m * size).reshape(cosine.shape)
+            cosine[new] = np.round(found[new] + shared[new], 12)  # sums in another order differ beyond that
+            cosine[own, mine // BLOCK, mine % BLOCK] = 0
+            opened |= new
+            if size > k:
+                least = np.partition(cosine.reshape(m, size), size - k, axis=1)[:, -k]
+        out = []
+        for c, low in zip(cosine.reshape(m, size), least):
+            hits = np.flatnonzero((c >= low) & (c > 0))
+            best = hits[np.argsort(-c[hits], kind="stable")[:k]]
+            out.append(list(zip(self.order[best].tolist(), c[best].tolist())))
+        return out
 
 
 class ToxicityIndex(BlockMax):
     """Index of labelled examples over all their words, one over the telling words alone, and the curve from both to a score."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], y: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, texts: list[str], y: np.ndarray, weight: np.ndarray | None = None) -> None:
         counts = [Counter(words(t)) for t in texts]
         self.ids, self.y = np.asarray(ids), np.asarray(y, float)
+        self.of_id = {int(i): at for at, i in enumerate(self.ids)}
         n = max(1, len(texts))
         df: Counter = Counter()
         pos: Counter = Counter()
@@ -155,37 +180,41 @@ class ToxicityIndex(BlockMax):
         idf = {t: float(np.log((1 + n) / (1 + d)) + 1) for t, d in df.items()}
         super().__init__(counts, idf)
         self.telling = BlockMax(counts, {t: idf[t] for t in chosen})
-        self.curve = self._calibrated()
+        self.curve = self._calibrated(np.ones(len(self.y)) if weight is None else np.asarray(weight, float))
 
     def _votes(self, near: list[tuple[int, float]], told: list[tuple[int, float]]) -> list[float]:
         """Of the neighbours by all words how near they are, toxic less other; of either list the toxic share of the cosines and the cosines' sums for either label."""
-        out = [float(np.clip(sum(c**4 if self.y[i] else -(c**4) for i, c in near), -1, 1))]
+        out = [min(1.0, max(-1.0, sum(c**4 if self.y[i] else -(c**4) for i, c in near)))]
         for found in (near, told):
             yes = sum(c for i, c in found if self.y[i])
             total = sum(c for _, c in found)
-            out += [yes / total if total else 0.0, np.log1p(yes), np.log1p(max(0.0, total - yes))]
+            out += [yes / total if total else 0.0, math.log1p(yes), math.log1p(max(0.0, total - yes))]
         return out
 
-    def _calibrated(self) -> np.ndarray:
+    def _calibrated(self, weight: np.ndarray) -> np.ndarray:
         if not len(self.y) or self.y.min() == self.y.max():
             p = np.clip(self.y.mean() if len(self.y) else 0.5, 0.01, 0.99)
             return np.array([0.0] * FEATURES + [np.log(p / (1 - p))])
-        told = [self.telling.nearest(*v, but=i) for i, v in enumerate(self.telling.vectors)]
-        unseen = [self._votes(self.nearest(*v, but=i), t) for i, (v, t) in enumerate(zip(self.vectors, told))]
-        copies = [self._votes(self.nearest(*v), t) for v, t in zip(self.vectors, told)]
-        return fit_logistic(np.array(unseen + copies), np.concatenate([self.y, self.y]), l2=0.1)
+        own = np.arange(len(self.y))
+        told = self.telling.nearest(self.telling.vectors, own)
+        votes = [self._votes(n, t) for near in (self.nearest(self.vectors, own), self.nearest(self.vectors)) for n, t in zip(near, told)]
+        return fit_logistic(np.array(votes), np.concatenate([self.y, self.y]), np.concatenate([weight, weight]), l2=0.1)
+
+    def score(self, texts: list[str | None], ids: list[int | None] | None = None) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores, and the ids of the neighbours of each: by all words nearest first, then the others by telling words.
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
-        """Scores, and the ids of the neighbours of each: by all words nearest first, then the others by telling words."""
+        Where ids are given, the example with a text's own id is left out.
+        """
         counts = [Counter(words(t)) for t in texts]
-        near = [self.nearest(*self.vector(c)) for c in counts]
-        told = [self.telling.nearest(*self.telling.vector(c)) for c in counts]
+        own = np.array([self.of_id.get(i, -1) for i in ids or [None] * len(texts)], int)
+        near = self.nearest([self.vector(c) for c in counts], own)
+        told = self.telling.nearest([self.telling.vector(c) for c in counts], own)
         x = np.array([self._votes(n, t) for n, t in zip(near, told)]).reshape(-1, FEATURES)
         return logistic(x, self.curve), [[int(self.ids[i]) for i in dict.fromkeys(i for i, _ in n + t)] for n, t in zip(near, told)]
 
 
 def fit(rows: pd.DataFrame) -> ToxicityIndex:
-    return ToxicityIndex(rows.doc_id.to_numpy(), rows.text.tolist(), rows.y.to_numpy())
+    return ToxicityIndex(rows.doc_id.to_numpy(), rows.text.tolist(), rows.y.to_numpy(), rows.weight.to_numpy())
 
 
 def scored(docs: DataFrame, index: ToxicityIndex, text: str = "text") -> DataFrame:
@@ -193,15 +222,15 @@ def scored(docs: DataFrame, index: ToxicityIndex, text: str = "text") -> DataFra
 
     Null and empty texts, and texts without any term, have no neighbours and the
     score of that. A null doc_id is not held out. Repeated rows get a row each; a
-    document that is an example itself may have itself as evidence. Other columns
-    are ignored.
+    document that is an example itself is scored without it. Other columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                scores, near = index.score(part.column(2).to_pylist())
+            for k in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(k, TEXTS)
+                scores, near = index.score(part.column(2).to_pylist(), part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col(text).cast("string").alias("text"))

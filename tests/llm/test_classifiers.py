@@ -1,4 +1,6 @@
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -68,10 +70,86 @@ def test_nearest_are_exact():
         q[at] = w
         cos = dense @ q
         want = [(i, cos[i]) for i in np.lexsort((np.arange(400), -np.round(cos, 12)))[: toxicity.NEIGHBOURS] if cos[i] > 0]
-        got = index.nearest(at, w)
+        (got,) = index.nearest([(at, w)])
+        assert [i for i, _ in got] == [i for i, _ in want] or np.allclose([c for _, c in got], [c for _, c in want])
         assert np.allclose([c for _, c in got], [c for _, c in want])
 
 
+def plain_scores(texts, y, weight, queries, own):
+    """Scores by dense TF-IDF over the whole vocabulary, one text after the other; returns the neighbours by all words, too."""
+    tf = [Counter(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    df = Counter(w for c in tf for w in c)
+    n, n1 = len(texts), int(sum(y))
+
+    def chi(w):
+        a = sum(1 for c, label in zip(tf, y) if label and w in c)
+        b = df[w] - a
+        table = np.array([[a, b], [n1 - a, n - n1 - b]], float)
+        want = table.sum(1, keepdims=True) * table.sum(0) / n
+        return ((table - want) ** 2 / want).sum() if (want > 0).all() else 0.0
+
+    def cosines(vocabulary):
+        at = {w: i for i, w in enumerate(vocabulary)}
+
+        def vector(c):
+            v = np.zeros(len(at))
+            for w, k in c.items():
+                if w in at:
+                    v[at[w]] = (1 + np.log(k)) * (np.log((1 + n) / (1 + df[w])) + 1)
+            return v / (np.linalg.norm(v) or 1)
+
+        examples = np.array([vector(c) for c in tf])
+        return lambda t: examples @ vector(Counter(re.findall(r"[^\W\d_]+", (t or "").lower())))
+
+    every, some = cosines(sorted(df)), cosines(sorted(w for w in df if chi(w) >= toxicity.DEPENDS))
+
+    def best(cos, but):
+        cos = np.round(cos, 12)
+        if but >= 0:
+            cos[but] = 0
+        order = sorted((i for i in range(n) if cos[i] > 0), key=lambda i: -cos[i])
+        return [(i, cos[i]) for i in order[: toxicity.NEIGHBOURS]], {i for i in range(n) if len(order) >= toxicity.NEIGHBOURS and cos[i] == cos[order[toxicity.NEIGHBOURS - 1]]}
+
+    def votes(near, told):
+        out = [np.clip(sum((1 if y[i] else -1) * c**4 for i, c in near), -1, 1)]
+        for found in (near, told):
+            yes, total = sum(c for i, c in found if y[i]), sum(c for _, c in found)
+            out += [yes / total if total else 0, np.log1p(yes), np.log1p(max(0, total - yes))]
+        return out
+
+    told = [best(some(t), i)[0] for i, t in enumerate(texts)]
+    x = [votes(best(every(t), i)[0], told[i]) for i, t in enumerate(texts)] + [votes(best(every(t), -1)[0], told[i]) for i, t in enumerate(texts)]
+    curve = labelled.fit_logistic(np.array(x), np.array([*y, *y], float), np.array([*weight, *weight]), l2=0.1)
+    near = [best(every(t), b) for t, b in zip(queries, own)]
+    return labelled.logistic(np.array([votes(a[0], best(some(t), b)[0]) for a, t, b in zip(near, queries, own)]), curve), near
+
+
+def test_scores_are_those_of_dense_cosines(tables):
+    """End to end against brute force over the whole vocabulary: neighbours, votes, prior, curve, and an example without itself."""
+    rows = labelled.sample(*tables, "toxic", 90)
+    assert set(rows.y) == {0, 1} and rows.weight.max() > 1
+    texts, y, weight = rows.text.tolist(), rows.y.tolist(), rows.weight.tolist()
+    others = tables[0].where("doc_id % 17 = 3").select("text").limit(60).toPandas().text.tolist()
+    queries, ids = others + [None, "", "12 34"] + texts[:30], [None] * (len(others) + 3) + rows.doc_id.tolist()[:30]
+    want, near = plain_scores(texts, y, weight, queries, [-1] * (len(others) + 3) + list(range(30)))
+    got, evidence = toxicity.fit(rows).score(queries, ids)
+    # equal cosines at the end of a list (copies of one example) may stand for each other
+    assert np.mean(np.abs(got - want) < 1e-6) > 0.97
+    id_of = rows.doc_id.tolist()
+    for e, (found, ties) in zip(evidence, near):
+        sure = {id_of[i] for i, _ in found if i not in ties}
+        assert sure <= set(e)
+    assert all(i not in e for i, e in zip(ids[-30:], evidence[-30:]))
+
+
+def test_prior_is_that_of_all_labels(tables):
+    """A sample with as many of either label gives lower scores once its rows weigh as all labelled rows are spread."""
+    rows = labelled.sample(*tables, "toxic", 25)
+    known = tables[0].join(tables[1].where("toxic in (0, 1)"), "doc_id").where(labelled.fold() == 0).select("text", "toxic").toPandas()
+    mean = [toxicity.fit(r).score(known.text.tolist())[0].mean() for r in (rows, rows.assign(weight=1.0))]
+    assert known.toxic.mean() < mean[0] < mean[1] - 0.05
+
+
 def test_all_words_count():
     """A text without any telling word has the neighbours that its rare words give it, and a copy of an example follows its label."""
     r = np.random.default_rng(1)
@@ -96,6 +174,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_calibration_of_one_label():
-    rows = pd.DataFrame({"doc_id": [1, 2], "text": ["a", "b"], "y": [1, 1]})
+    rows = pd.DataFrame({"doc_id": [1, 2], "text": ["a", "b"], "y": [1, 1], "weight": [1.0, 1.0]})
     assert 0.5 < quality.fit(rows).score(["x", None])[0] < 1
     assert toxicity.fit(rows).score([""])[0][0] > 0.5
