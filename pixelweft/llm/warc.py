@@ -2,17 +2,20 @@
 
 An archive is a table of (record, chunk, chunks, data): the data of a record's
 chunks in order are its bytes in the WARC/1.1 format, and all records one after
-the other are the archive file. The reader carries digests from chunk to chunk and
-never holds an oversized record. The writer does hold one: a payload is one value of
-its page's row, is digested whole, goes through the join with the first ids whole,
-and is cut only when the record is written. Spark writes the table into the shared folder, wherever that is; records
-of one chunk are read where they lie, only those of several are brought together.
+the other are the archive file. Spark cuts an oversized payload into chunk rows
+where it is scanned; writer and reader see chunks only and carry the digest from one
+to the next. As a record's header tells its digest, the writer makes the header of
+such a record, its chunk 0, after the last chunk. Which records are revisits is
+decided on ids and digests alone; the payload of a revisit goes no further than the
+scan. Spark writes the table into the shared folder, wherever that is; records of
+one chunk are read where they lie, only those of several are brought together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, if_small, shared_dir
 
 #: Bytes of a payload in one chunk.
 CHUNK = 1 << 18
 DATE = "2024-01-01T00:00:00Z"
+#: chunks is the number of a record's chunks and stands with chunk 0; with the others, which are written before that is known, it is -1.
 SCHEMA = "record string, chunk int, chunks int, data binary"
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -51,37 +55,49 @@ def header(page_id: int | None, url: str | None, n_bytes: int, digest: str, refe
 
 
 def records(pages: DataFrame, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of one record for each row of pages (page_id, url, html)."""
+    """The chunk table of one record for each row of pages (page_id, url, html).
+
+    Null payloads are empty ones. Of records with equal payloads of least_bytes or
+    more, those with the smallest page_id are responses, the others revisits, also
+    rows without an id where another row has one. Rows are not shuffled unless the
+    payloads that occur more than once are more than BROADCAST_ROWS.
+    """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("n_bytes"))
     slim = rows.where(F.col("n_bytes") >= least_bytes).select("sha1", "n_bytes", "page_id")
-    first = slim.groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(checkpointed(first), ["sha1", "n_bytes"], "left").select("page_id", "url", "sha1", "n_bytes", "first_id", "payload")
+    first = checkpointed(slim.groupBy("sha1", "n_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    rows = rows.join(if_small(first), ["sha1", "n_bytes"], "left").withColumn("revisit", F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    size = F.lit(chunk).cast("long")
+    last = F.when(F.col("revisit"), F.lit(0)).otherwise(F.greatest(F.floor((F.col("n_bytes") - 1) / size), F.lit(0))).cast("int")
+    cut = rows.select("page_id", "url", "sha1", "n_bytes", "first_id", "revisit", last.alias("last"), "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    data = F.when(~F.col("revisit"), F.col("payload").substr((F.col("chunk") * size + 1).cast("int"), size.cast("int")))
+    chunks = cut.select("page_id", "url", "sha1", "n_bytes", "first_id", "revisit", "chunk", (F.col("chunk") == F.col("last")).alias("last"), data.alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, no = TaskContext.get().partitionId(), 0
+        task, no, digest = TaskContext.get().partitionId(), 0, hashlib.sha1()
         for batch in batches:
             got: list[tuple] = []
-            size = 0
-            for i in range(batch.num_rows):
-                page_id, url, sha1, n, first_id = (batch.column(k)[i].as_py() for k in range(5))
-                body = memoryview(batch.column(5)[i].as_buffer() or b"")
-                revisit = first_id is not None and page_id != first_id
-                head = header(page_id, url, n, base32_sha1(sha1), first_id, revisit)
-                record, no = f"{task}-{no}", no + 1
-                cuts = [0, *range(chunk, n, chunk), n] if n and not revisit else [0, 0]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    last = k == len(cuts) - 2
-                    got.append((record, k, len(cuts) - 1, (head if not k else b"") + bytes(body[a:b]) + (b"\r\n\r\n" if last else b"")))
-                    size += b - a
-                    if size >= 4 << 20:
-                        yield _table(got)
-                        got, size = [], 0
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for (page_id, url, sha1, n, first_id, revisit, k, last), data in zip(zip(*columns), batch.column(8)):
+                body = data.as_py() or b""
+                record = f"{task}-{no}"
+                if not k:
+                    digest = hashlib.sha1()
+                digest.update(body)
+                if last:
+                    if not revisit and digest.hexdigest() != sha1:
+                        raise ValueError("the chunks of a payload are not the payload")
+                    head, no = header(page_id, url, n, base32_sha1(sha1), first_id, revisit), no + 1
+                    if not k:
+                        got.append((record, 0, 1, head + body + b"\r\n\r\n"))
+                        continue
+                    got.append((record, 0, k + 2, head))
+                got.append((record, k + 1, -1, body + b"\r\n\r\n" * last))
             if got:
                 yield _table(got)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return chunks.mapInArrow(run, SCHEMA)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,41 +153,48 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record in the archives at path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reader, seen = None, None, 0
+        now, reader, seen, due = None, None, 0, 0
         for batch in batches:
             out = []
-            for i in range(batch.num_rows):
-                record, no, of = (batch.column(k)[i].as_py() for k in range(3))
+            for record, no, of, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 if record != now or no == 0:
-                    now, reader, seen = record, Reader(), 0
+                    if seen != due:
+                        raise ValueError("a chunk is missing")
+                    now, reader, seen, due = record, Reader(), 0, of
                 if no != seen:
                     raise ValueError("a chunk is missing")
-                reader.feed(batch.column(3)[i].as_py())
+                reader.feed(data.as_py())
                 seen += 1
-                if seen == of:
+                if seen == due:
                     out.append(reader.row())
             if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        if seen != due:
+            raise ValueError("a chunk is missing")
 
     table = spark.read.schema(SCHEMA).parquet(path)
     whole = table.where("chunks = 1").mapInArrow(run, PAGE)
-    long = table.where("chunks > 1").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(run, PAGE)
+    long = table.where("chunks <> 1").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(run, PAGE)
     return whole.union(long)
 
 
 def export_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
     """Writes the chunk table at path as .warc files into folder, which every executor must see; returns (file, bytes).
 
-    One file for each partition of the table, written chunk by chunk.
+    One file for each partition of the table, written chunk by chunk under another
+    name first, so that a file is whole and a task may be tried again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, size = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc", 0
-        with open(name, "wb") as f:
+        task = TaskContext.get()
+        name, size = f"{folder}/part-{task.partitionId():05d}.warc", 0
+        unfinished = f"{folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        with open(unfinished, "wb") as f:
             for batch in batches:
                 for x in batch.column(0):
                     size += f.write(x.as_py())
+        os.replace(unfinished, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["file", "bytes"])
 
     table = spark.read.schema(SCHEMA).parquet(path)
