@@ -82,12 +82,40 @@ def test_several_passes(spark, odd_docs, monkeypatch):
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["quick brown fox jumps", "lazy dog again", "nothing of the kind"])], "item_id long, text string")
     got = decontam.contaminated(odd_docs, items).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 0), (1, 0), (1, 1), (1, 1), (2, 0), (2, 1)]
-    assert decontam.decontaminate(odd_docs, items).count() == odd_docs.count() - 3
+    assert decontam.decontaminate(odd_docs, items, least_words=3).count() == odd_docs.count() - 3
+    assert decontam.decontaminate(odd_docs, items, least_words=4).count() == odd_docs.count() - 3
+    assert decontam.decontaminate(odd_docs, items).count() == odd_docs.count()
+
+
+def test_short_items_match_whole_words(spark):
+    m = decontam.Matcher([(1, "yes"), (2, "No."), (3, "forty-two")])
+    assert m.find("His eyes were open; now") == [] and m.find("fortytwo") == []
+    assert m.find("well, yes: forty two... no") == [(1, 0, 1), (2, 0, 1), (3, 0, 1)]
+    docs = spark.createDataFrame([(1, "yes and no"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "and no")], "item_id long, text string")
+    assert decontam.contaminated(docs, items).count() == 2
+    assert decontam.decontaminate(docs, items).count() == 2
+
+
+def test_templated_and_equal_items():
+    """Items that share most of their text are found as surely, by what is their own; equal ones together."""
+    r = random.Random(8)
+    names = ["".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(120)]
+    frame = "which of the following statements about the city of {} is true when one asks the people who live close to {} and its river"
+    items = [(i, frame.format(a, b)) for i, (a, b) in enumerate(zip(names[::2], names[1::2]))]
+    m = decontam.Matcher([*items, (99, items[0][1].upper())])
+    fan = [len(where) for piece in m.automaton for where in [m.automaton.get(piece)[1]]]
+    assert sum(n > 10 for n in fan) < len(fan) / 3
+    for i, item in items[:15]:
+        text = "some words before " + edited(r, item, r.randint(0, 5)) + " and some after"
+        want = {j: d for j, t in items if (d := distance(decontam.normal(t), decontam.normal(text))) <= decontam.budget(decontam.normal(t))}
+        got = {j: d for j, d, _ in m.find(text)}
+        assert (99 in got) == (0 in want) and {j: d for j, d in got.items() if j != 99} == want
 
 
 @pytest.mark.parametrize("n", [1, 5, 39, 40, 400])
 def test_pieces_cover(n):
     item = "x" * n
     k = decontam.budget(item)
-    p = decontam.pieces(item, k)
+    p = decontam.pieces(item, k + 1)
     assert len(p) == k + 1 and "".join(t for _, t in p) == item and all(t for _, t in p)
