@@ -7,7 +7,9 @@ direction with odds that keep every expectation, until one of the two is taken o
 dropped. Each group leaves at most one undecided document, and these meet in the
 groups of the next level, so a source's words stay exact up to the last one. Groups
 are bounded, every level is one shuffle, and the number of levels is the logarithm
-of the largest source.
+of the largest source. Rows alike in id, source and size are counted first and paired
+with each other by that count: as many are taken as their mass makes whole, and what
+is left of it is one undecided document.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ GROUP = 64
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
-ITEM = "struct<doc_id:bigint,size:bigint,mass:double>"
-DONE = "array<struct<doc_id:bigint,size:bigint,more:int>>"
+ITEM = "struct<doc_id:bigint,size:bigint,mass:double,times:bigint,base:bigint>"
+DONE = "array<struct<doc_id:bigint,size:bigint,times:bigint,base:bigint,more:int>>"
+#: Rows that one counted row becomes in a task at most.
+SPREAD = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
-    """(source, source_size, n) -> the same with target.
+    """(source, source_size, n) -> the same with target. Further columns are ignored.
 
     The sources share share x all sizes by their weights; what is above ceiling x
     a source's size is shared again among the others. The result is the level L at
@@ -58,10 +62,10 @@ def _pair(level: int, seed: int):
 
     def done(item: Column, more: Column | int) -> Column:
         more = F.lit(more) if isinstance(more, int) else more
-        return F.array(F.struct(item["doc_id"].alias("doc_id"), item["size"].alias("size"), more.cast("int").alias("more")))
+        return F.array(F.struct(*[item[c].alias(c) for c in ("doc_id", "size", "times", "base")], more.cast("int").alias("more")))
 
     def item(x: Column, mass: Column) -> Column:
-        return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), mass.alias("mass"))
+        return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), mass.alias("mass"), x["times"].alias("times"), x["base"].alias("base"))
 
     none = F.lit(None).cast(ITEM)
 
@@ -99,18 +103,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     table gives no rows.
     """
     size = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).cast("long")
-    slim = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")))
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    aims = checkpointed(targets(sizes, weights, share, ceiling))
-    n_sources, most = aims.agg(F.count("*"), F.max("n")).first()
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    slim = checkpointed(each.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")))
+    sizes = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count("*").alias("n"), F.max("times").alias("most"))
+    aims = checkpointed(targets(sizes, weights, share, ceiling).join(sizes.select(F.col("source").alias("of"), "most"), F.col("source").eqNullSafe(F.col("of"))).drop("of"))
+    n_sources, most, repeats = aims.agg(F.count("*"), F.max("n"), F.max("most")).first()
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(ceiling)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    aims = aims.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)).withColumnRenamed("source", "source_")
+    aims = aims.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.floor(rate)).withColumnRenamed("source", "source_").drop("most")
     side = F.broadcast(aims) if n_sources <= BROADCAST_SOURCES else aims
     rows = slim.join(side, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    mass = F.col("part") * F.col("size")
-    open_ = (F.col("part") > 0) & (F.col("size") > 0) & (mass > 0) & (mass < F.col("size"))
-    parts = [rows.where(~open_).select("doc_id", "source", "size", F.lit(0).alias("more"))]
-    live = rows.where(open_).select("source", "n", F.struct("doc_id", "size", mass.alias("mass")).cast(ITEM).alias("item"))
+    rows = rows.withColumn("base", F.floor(F.col("part") * F.col("times"))).withColumn("mass", (F.col("part") * F.col("times") - F.col("base")) * F.col("size"))
+    open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
+    known = ["doc_id", "source", "size", "times", "base"]
+    parts = [rows.where(~open_).select(*known, F.lit(0).alias("more"))]
+    live = rows.where(open_).select("source", "n", F.struct("doc_id", "size", "mass", "times", "base").cast(ITEM).alias("item"))
     for level in range(max(1, math.ceil(math.log(max(most or 1, 2), group)))):
         last = (most or 1) <= group ** (level + 1)
         groups = F.lit(1).cast("long") if last else F.ceil(F.col("n") / float(group ** (level + 1)))
@@ -119,14 +125,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
         items = F.transform(by_size, lambda s: s["item"])
         folded = live.groupBy("source", "n", dealt.alias("group_")).agg(_pair(level, seed)(items).alias("s"))
         folded = checkpointed(folded.select("source", "n", "s.left", "s.out"))
-        parts.append(folded.select("source", F.inline("out")).select("doc_id", "source", "size", "more"))
+        parts.append(folded.select("source", F.inline("out")).select(*known, "more"))
         live = folded.where("left is not null").select("source", "n", F.col("left").alias("item"))
         if last:
             break
     # a source's last undecided document is rounded to the nearer copy
-    parts.append(live.select(F.col("item.doc_id").alias("doc_id"), "source", F.col("item.size").alias("size"), (F.col("item.mass") * 2 >= F.col("item.size")).cast("int").alias("more")))
+    parts.append(live.select("source", "item.*").select(*known, (F.col("mass") * 2 >= F.col("size")).cast("int").alias("more")))
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
     out = every.join(side, F.col("source").eqNullSafe(F.col("source_")))
-    return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"))
+    if (repeats or 1) > SPREAD:
+        out = out.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(SPREAD).cast("long")))).repartition("doc_id", "source", "size", "from")
+    else:
+        out = out.withColumn("from", F.lit(0).cast("long"))
+    out = out.withColumn("no", F.explode(F.sequence(F.col("from"), F.least(F.col("times"), F.col("from") + SPREAD) - 1)))
+    more = F.when(F.col("no") < F.col("base"), 1).when(F.col("no") == F.col("base"), F.col("more")).otherwise(0)
+    return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("whole") + more) * F.col("size")).cast("long").alias("taken"))

@@ -69,3 +69,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
     empty = no_docs.sparkSession.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix(empty).collect()] == [(0.0, 0)] * 2
+
+
+def test_rows_that_are_alike_never_meet_in_one_group(spark, monkeypatch):
+    """A third of all rows alike, by repeated rows and by missing ids: counted, not collected, and their words come near the target."""
+    monkeypatch.setattr(mixing, "SPREAD", 700)
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4 + 1).cast("int")).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    got = mixing.mix(rows).toPandas()
+    assert len(got) == 9000 and mixing.mix(rows).toPandas().equals(got)
+    assert sorted(got[["doc_id", "source", "size"]].fillna(-1).itertuples(index=False)) == sorted((float(-1 if r.doc_id is None else r.doc_id), r.source, len(r.text.split())) for r in rows.collect())
+    by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by["size"] / 2 + 1).all()
+    assert (got.taken <= 2 * got["size"]).all() and set(got[(got.doc_id == 5) & (got["size"] == 7) & (got.source == "b")].taken) == {7, 14}
