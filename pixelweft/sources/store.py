@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once; the folder is that of spark.checkpoint.dir, a temporary one only where that is unset (tests)."""
+    """df, computed once; the folder is that of spark.checkpoint.dir, a temporary one only where that is unset and everything runs on this machine (tests)."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pixelweft-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="pixelweft-"))
     return df.checkpoint(eager=True)
