@@ -91,39 +91,38 @@ def without_prolog(svg: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(svg, r"^<\?xml[^?]*\?>\s*", ""), r"(?s)^<!--.*?-->\s*", "")
 
 
-def _compressed(svg: str) -> str:
-    def one(m: re.Match) -> str:
-        tag, dx, dy = m[0], 0.0, 0.0
-        data = re.search(DATA, tag)
-        if not data or not data[1]:
-            return tag
-        if shift := re.search(r'\stransform="([^"]*)"', tag):
-            if not (move := re.fullmatch(SHIFT, shift[1])):
-                return tag
-            dx, dy = float(move[1]), float(move[2])
-        if (short := paths.compress(data[1], dx, dy)) is None:
-            return tag
-        tag = tag[: data.start(1)] + short + tag[data.end(1) :]
-        return re.sub(r'\s+transform="[^"]*"', "", tag, count=1)
-
-    return re.sub(PATH, one, svg)
+def _short_tag(m: re.Match) -> str:
+    """A path's tag with its data in short form, its translation taken in; other tags stay."""
+    tag = m[0]
+    data, shift = re.search(DATA, tag), re.search(r'\s+transform="([^"]*)"', tag)
+    move = re.fullmatch(SHIFT, shift[1]) if shift else None
+    if not data or bool(shift) != bool(move):
+        return tag
+    short = paths.compress(data[1], *(map(float, move.groups()) if move else ())) if data[1] else None
+    if short is None:
+        return tag
+    spans = sorted([(data.span(1), short), *([(shift.span(), "")] if shift else [])])
+    ends = [0, *(e for (_, e), _ in spans)]
+    return "".join(tag[at:first] + new for at, ((first, _), new) in zip(ends, spans)) + tag[ends[-1] :]
+
+
+def _joins(svg: str, a: re.Match, b: re.Match) -> bool:
+    """Two path tags of one fill with nothing between them."""
+    fills = [f and f[1] for f in (re.search(FILL, a[0]), re.search(FILL, b[0]))]
+    return bool(fills[0]) and fills[0] == fills[1] and svg[a.end() : b.start()].isspace() | (a.end() == b.start())
 
 
 def _grouped(svg: str) -> str:
-    """Neighbouring paths of one fill in a shared group."""
+    """Neighbouring paths of one fill in a shared group: a run begins at each path that doesn't join the one before, as in fill_runs()."""
     tags = list(re.finditer(PATH, svg))
-    fills = [f[1] if (f := re.search(FILL, m[0])) and f[1] else None for m in tags]
-    out, at, i = [], 0, 0
-    while i < len(tags):
-        j = i
-        while fills[i] and j + 1 < len(tags) and fills[j + 1] == fills[i] and not svg[tags[j].end() : tags[j + 1].start()].strip():
-            j += 1
-        if j > i:
-            gaps = [svg[a.end() : b.start()] for a, b in zip(tags[i:j], tags[i + 1 : j + 1])] + ["\n"]
-            inner = "".join(re.sub(r'\s+fill="[^"]*"', "", m[0], count=1) + gap for m, gap in zip(tags[i : j + 1], gaps))
-            out += [svg[at : tags[i].start()], f'<g fill="{fills[i]}">\n{inner}</g>']
-            at = tags[j].end()
-        i = j + 1
+    begins = [i for i, m in enumerate(tags) if not i or not _joins(svg, tags[i - 1], m)]
+    runs = [(tags[a], tags[b - 1]) for a, b in zip(begins, [*begins[1:], len(tags)])]
+    out, at = [], 0
+    for first, last in runs:
+        if first is not last:
+            inner = re.sub(PATH, lambda m: re.sub(r'\s+fill="[^"]*"', "", m[0], count=1), svg[first.start() : last.end()])
+            out += [svg[at : first.start()], f'<g fill="{re.search(FILL, first[0])[1]}">\n{inner}\n</g>']
+            at = last.end()
     return "".join(out) + svg[at:]
 
 
@@ -133,7 +132,7 @@ def _straight(svg: str, tolerance: float) -> str:
 
 @vectorized("string")
 def compress_paths(svg: pd.Series) -> pd.Series:
-    return svg.map(_compressed, na_action="ignore")
+    return svg.map(lambda s: re.sub(PATH, _short_tag, s), na_action="ignore")
 
 
 @vectorized("string")

@@ -9,7 +9,9 @@ curve where it has turned so far; path_precision is the number of decimals.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,8 +55,10 @@ def loops(inside: np.ndarray) -> list[list[Point]]:
         for y, x in np.argwhere(inside & ~facing).tolist():
             sides.setdefault((x + ax, y + ay), []).append((x + bx, y + by))
     out = []
+    starts = iter(sorted(sides, key=lambda p: (p[1], p[0])))
     while sides:
-        start = min(sides, key=lambda p: (p[1], p[0]))
+        start = next(p for p in starts if p in sides)
+        starts = itertools.chain([start], starts)  # more than one outline may begin here
         at, heading, loop = start, None, []
         while True:
             options = sides[at]
@@ -138,8 +142,8 @@ def outline(loop: list[Point], o: TraceOptions) -> str:
     return " ".join(f"{'L' if i else 'M'}{_number(x, o)} {_number(y, o)}" for i, (x, y) in enumerate(pts)) + " Z"
 
 
-def layers(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> list[tuple[int, int, np.ndarray]]:
-    """(size, colour, cells) of what is drawn, largest first."""
+def layers(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> Iterator[tuple[int, tuple[slice, slice], np.ndarray]]:
+    """(colour, box, cells of the box) of what is drawn, largest first; one region's cells are held at a time."""
     if o.color_mode == "binary":
         rgb = np.where((rgb >> 16 & 255) < 128, 0, -1)
         a = np.where(rgb < 0, 0, 255)
@@ -155,29 +159,34 @@ def layers(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> list[tuple[int, i
             near &= np.abs((flat[p] >> s & 255) - (flat[q] >> s & 255)) <= o.layer_difference
         root = united(h * w, reg[p[near]], reg[q[near]])
         regions = np.where(regions >= 0, root[np.maximum(regions, 0)], -1)
-    out = []
-    ids, sizes = np.unique(regions[regions >= 0], return_counts=True)
-    for i, size in sorted(zip(ids.tolist(), sizes.tolist()), key=lambda t: (-t[1], t[0])):
-        if size >= o.filter_speckle**2:
-            cells = regions == i
-            colors, n = np.unique(rgb[cells], return_counts=True)
-            out.append((size, int(colors[n.argmax()]), cells))
-    return out
+    # the cells of each region next to each other, in order, so that none is looked for in the whole image
+    flat, width = regions.ravel(), rgb.shape[1]
+    place = np.argsort(flat, kind="stable")
+    place = place[np.searchsorted(flat[place], 0) :]
+    first = np.flatnonzero(np.diff(flat[place], prepend=-1))
+    sizes = np.diff(np.append(first, len(place)))
+    colors = rgb.ravel()
+    for k in np.lexsort((flat[place[first]], -sizes)) if len(first) else []:
+        if sizes[k] < o.filter_speckle**2:
+            break
+        y, x = np.divmod(place[first[k] : first[k] + sizes[k]], width)
+        box = (slice(y[0], y[-1] + 1), slice(x.min(), x.max() + 1))
+        cells = np.zeros((box[0].stop - box[0].start, box[1].stop - box[1].start), bool)
+        cells[y - box[0].start, x - box[1].start] = True
+        found, n = np.unique(colors[y * width + x], return_counts=True)
+        yield int(found[n.argmax()]), box, cells
 
 
 def trace_image(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> str:
     h, w = rgb.shape
     out = [f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- traced -->\n<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}">\n']
     clear = a < ALPHA if o.color_mode == "color" else (rgb >> 16 & 255) >= 128
-    for _, color, cells in layers(rgb, a, o):
-        ys, xs = np.flatnonzero(cells.any(axis=1)), np.flatnonzero(cells.any(axis=0))
-        y0, x0 = int(ys[0]), int(xs[0])
-        box = (slice(y0, ys[-1] + 1), slice(x0, xs[-1] + 1))
-        found = loops(cells[box])
-        if o.hierarchical == "stacked" and not (clear[box] & ~cells[box]).any():
+    for color, box, cells in layers(rgb, a, o):
+        found = loops(cells)
+        if o.hierarchical == "stacked" and not (clear[box] & ~cells).any():
             found = [p for p in found if area(p) > 0]  # what lies in a hole is drawn over it
         d = " ".join(outline(p, o) for p in found)
-        out.append(f'<path d="{d}" fill="#{color:06x}" transform="translate({x0},{y0})"/>\n')
+        out.append(f'<path d="{d}" fill="#{color:06x}" transform="translate({box[1].start},{box[0].start})"/>\n')
     return "".join(out) + "</svg>"
 
 
