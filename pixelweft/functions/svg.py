@@ -145,19 +145,34 @@ def straighten_paths(svg: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([s if s is None else _straight(s, t) for s, t in zip(svg, tolerance)])
 
 
-def parse_svg(svg: str) -> dict:
-    """{width, height, paths: [{fill, subpaths}], error}: paths in order with the fill of their group where they have none."""
-    box, size = re.search(BOX, svg), re.search(r'<svg[^>]*? width="([\d.]+)"[^>]*? height="([\d.]+)"', svg)
-    found, open_, error = [], [None], None
-    for m in re.finditer(r"<g\b[^>]*>|</g>|<path\b[^>]*>", svg):
-        tag = m[0]
+TAGS = r"<g\b[^>]*>|</g>|<path\b[^>]*>"
+
+
+def fills_of(tags: list[str]) -> list[str | None]:
+    """The fill that holds for each tag of a drawing: its own, else that of the innermost group around it which has one."""
+    out, open_ = [], [None]
+    for tag in tags:
         fill = f[1] if (f := re.search(FILL, tag)) else open_[-1]
         if tag.startswith("</"):
-            if len(open_) > 1:
-                open_.pop()
+            del open_[max(1, len(open_) - 1) :]
         elif tag.startswith("<g"):
             open_.append(fill)
-        elif (data := re.search(DATA, tag)) and data[1]:
+        out.append(fill)
+    return out
+
+
+@vectorized("array<string>")
+def tag_fills(tags: pd.Series) -> pd.Series:
+    return tags.map(lambda t: fills_of(list(t)), na_action="ignore")
+
+
+def parse_svg(svg: str) -> dict:
+    """{width, height, paths: [{fill, subpaths}], error}: paths in order with the fill of their group where they have none."""
+    box, size = re.search(BOX, svg), re.search(r'<svg[^>]*? width="([\d.]+)"[^>]*? height="([\d.]+)"', svg)
+    found, error = [], None
+    tags = re.findall(TAGS, svg)
+    for tag, fill in zip(tags, fills_of(tags)):
+        if tag.startswith("<path") and (data := re.search(DATA, tag)) and data[1]:
             move = re.search(SHIFT, tag)
             try:
                 found.append({"fill": "#000000" if fill is None else fill, "subpaths": paths.subpaths(data[1], *(map(float, move.groups()) if move else (0.0, 0.0)))})
@@ -186,15 +201,15 @@ def tokens(rows: DataFrame, data: str = "d") -> DataFrame:
 
 
 def path_rows(drawings: DataFrame) -> DataFrame:
-    """drawings (image_id, svg) -> image_id, path_ord, fill, d, dx, dy, for drawings with groups one deep."""
-    tags = drawings.select("image_id", F.posexplode(F.regexp_extract_all("svg", F.lit(r"<g\b[^>]*>|</g>|<path\b[^>]*>"), F.lit(0))).alias("ord", "tag"))
-    w = Window.partitionBy("image_id").orderBy("ord")
+    """drawings (image_id, svg) -> image_id, path_ord, fill, d, dx, dy; groups may be nested."""
+    tags = drawings.select("image_id", F.regexp_extract_all("svg", F.lit(TAGS), F.lit(0)).alias("tags"))
+    each = F.posexplode(F.arrays_zip("tags", F.col("fills"))).alias("ord", "t")
     own = lambda p, k=1: F.nullif(F.regexp_extract("tag", p, k), F.lit(""))
-    edge = F.when(F.col("tag").startswith("<g"), F.struct(own(FILL).alias("fill"))).when(F.col("tag") == "</g>", F.struct(F.lit(None).cast("string").alias("fill")))
-    rows = tags.withColumn("g_", F.last(edge, ignorenulls=True).over(w)).where(F.col("tag").startswith("<path")).withColumn("d", own(DATA)).where(F.col("d").isNotNull())
-    rows = rows.withColumn("path_ord", (F.row_number().over(w) - 1).cast("int"))
+    rows = tags.withColumn("fills", tag_fills("tags")).select("image_id", each).select("image_id", "ord", F.col("t.tags").alias("tag"), F.col("t.fills").alias("fill"))
+    rows = rows.where(F.col("tag").startswith("<path")).withColumn("d", own(DATA)).where(F.col("d").isNotNull())
+    w = Window.partitionBy("image_id").orderBy("ord")
     number = lambda k: F.coalesce(own(SHIFT, k).cast("double"), F.lit(0.0))
-    return rows.select("image_id", "path_ord", F.coalesce(own(FILL), F.col("g_.fill"), F.lit("#000000")).alias("fill"), "d", number(1).alias("dx"), number(2).alias("dy"))
+    return rows.select("image_id", (F.row_number().over(w) - 1).cast("int").alias("path_ord"), F.coalesce("fill", F.lit("#000000")).alias("fill"), "d", number(1).alias("dx"), number(2).alias("dy"))
 
 
 def fill_runs(rows: DataFrame) -> DataFrame:

@@ -33,6 +33,19 @@ def latest_wins(requests: DataFrame, key: str, request: str, ts: str, kill_after
     return requests.withColumn("outcome", outcome)
 
 
+def latest_progress(stages: DataFrame, key: str, request: str) -> DataFrame:
+    """Progress rows of the newest request of their key; those of older ones are not shown."""
+    newest = stages.groupBy(key).agg(F.max(request).alias(request))
+    return stages.join(newest, [key, request], "left_semi")
+
+
+def raster_reuse(traces: DataFrame) -> DataFrame:
+    """traces (image_id, seq, scale, nearest) with reused: whether the raster of the trace before, the only one that is kept, serves again."""
+    w = Window.partitionBy("image_id").orderBy("seq")
+    same = [F.lag(c).over(w).eqNullSafe(F.col(c)) for c in ("scale", "nearest")]
+    return traces.withColumn("reused", F.lag("seq").over(w).isNotNull() & same[0] & same[1])
+
+
 def current_only(results: DataFrame, state: DataFrame) -> DataFrame:
     """Results whose (token, revision) are still the current ones of their key."""
     return results.join(state, ["key", "token", "revision"], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import ALPHA, PIXELS
 from .color import knock_out, with_distance
 from .pixel import packed
+from ..sources.raster import within_budget
 from .stats import background_color, snap
 
 #: Largest channel difference within which a quantised image's colour stands for the background.
@@ -47,7 +48,7 @@ def reached(open_: np.ndarray) -> np.ndarray:
 def knock_out_edges(px: DataFrame, fuzz: float) -> DataFrame:
     """Alpha 0 for opaque pixels that match the background colour and are connected to the border through such pixels; images without one stay."""
     bg = background_color(px).select("image_id", *[F.col(c).alias(f"b{c}") for c in "rgb"])
-    rows = with_distance(px.join(bg, "image_id"), ("r", "g", "b"), ("br", "bg", "bb"))
+    rows = with_distance(within_budget(px).join(bg, "image_id"), ("r", "g", "b"), ("br", "bg", "bb"))
     hit = (F.col("a") >= ALPHA) & (F.col("dist_") <= fuzz)
     rows = rows.select(*px.columns, F.coalesce(hit, F.lit(False)).alias("open"))
 
@@ -110,7 +111,7 @@ def regions(px: DataFrame) -> DataFrame:
         out = pd.DataFrame({"image_id": pdf.image_id, "x": pdf.x, "y": pdf.y, "rgb": rgb[pdf.y, pdf.x], "region": found[pdf.y, pdf.x]})
         return out[out.region >= 0].astype("int32")
 
-    return px.groupBy("image_id").applyInPandas(run, REGION)
+    return within_budget(px).groupBy("image_id").applyInPandas(run, REGION)
 
 
 def region_edges(cells: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from ..functions.numbers import shortest
 from ..functions.path import _chain, fit_cubics
 from ..schema import ALPHA
+from ..sources.raster import within_budget
 from .region import grid, label, united
 
 Point = tuple[float, float]
@@ -191,10 +192,10 @@ def trace_image(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> str:
 
 
 def trace(px: DataFrame, options: TraceOptions = TraceOptions()) -> DataFrame:
-    """image_id, width, height and svg of each image."""
+    """image_id, width, height and svg of each image; an image above the pixel budget fails the job before it is taken up."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rgb, a = grid(pdf.assign(v=pdf.r * 65536 + pdf.g * 256 + pdf.b), "v", "a")
         return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "width": [rgb.shape[1]], "height": [rgb.shape[0]], "svg": [trace_image(rgb, a, options)]})
 
-    return px.groupBy("image_id").applyInPandas(run, "image_id int, width int, height int, svg string")
+    return within_budget(px).groupBy("image_id").applyInPandas(run, "image_id int, width int, height int, svg string")

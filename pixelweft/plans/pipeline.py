@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import svg as svgs
 from ..operators import color, edits, neighbourhood, pixel, region
 from ..operators.trace import TraceOptions, trace
-from ..schema import DEFAULTS
+from ..schema import DEFAULTS, MAX_SIDE, MAX_SIDE_ULTRA, PROFILES
+from ..sources import raster
 from ..sources.store import stored
 
 
@@ -27,6 +28,7 @@ class Settings:
     edge_trim: int = 0
     defringe: int = 0
     straighten: float = 0.0
+    upscale: str = "1"
 
 
 def preprocess(px: DataFrame, s: Settings) -> DataFrame:
@@ -66,8 +68,42 @@ def finish(traced: DataFrame, s: Settings, source_width: str = "width", source_h
     return out.withColumn("svg", svgs.stencil_ink(F.col("svg"), F.lit(s.stencil_ink))) if s.stencil else out
 
 
+def scaled(px: DataFrame, upscale: str, nearest: bool = False) -> DataFrame:
+    """px at the scale that the tracer takes for upscale (a factor, auto or ultra); single pixels where nearest."""
+    if upscale == "1":
+        return px
+    w, h, side = F.col("w"), F.col("h"), MAX_SIDE_ULTRA if upscale == "ultra" else MAX_SIDE
+    return raster.resample(px, raster.fit_trace_scale(w, h, raster.effective_upscale(F.lit(upscale), w, h), side), nearest)
+
+
 def drawings(px: DataFrame, s: Settings = Settings(), o: TraceOptions = TraceOptions()) -> DataFrame:
-    return finish(trace(preprocess(px, s), o), s)
+    """image_id, width, height (as traced) and svg, whose root has the size of px."""
+    traced = trace(preprocess(scaled(px, s.upscale, nearest=o.mode == "none"), s), o)
+    if s.upscale == "1":
+        return finish(traced, s)
+    source = raster.sizes(px).select("image_id", F.col("w").alias("source_width"), F.col("h").alias("source_height"))
+    return finish(traced.join(source, "image_id"), s, "source_width", "source_height").drop("source_width", "source_height")
+
+
+def of_profile(name: str) -> tuple[Settings, TraceOptions]:
+    """Settings and tracer options of an export profile; what it leaves open is the default."""
+    _, colors, speckle, difference, mode, corner, precision, splice, upscale, straighten, _, stencil, ink = next(p for p in PROFILES if p[0] == name)
+    options = {"splice_threshold": float(splice)} if splice is not None else {}
+    return Settings(colors=colors, stencil=stencil, stencil_ink=ink or DEFAULTS["stencilInk"], straighten=straighten, upscale=upscale), TraceOptions(mode=mode, filter_speckle=speckle, layer_difference=difference, corner_threshold=float(corner), path_precision=precision, **options)
+
+
+def drawings_by_profile(px: DataFrame, chosen: DataFrame) -> DataFrame:
+    """drawings() of each image with the profile that chosen (image_id, profile) gives it; images without a known one have none.
+
+    One plan a profile, and the profiles are a fixed table, so images of any number
+    take as many plans.
+    """
+    out = None
+    for name, *_ in PROFILES:
+        own = px.join(chosen.where(F.col("profile") == name).select("image_id").distinct(), "image_id", "left_semi")
+        one = drawings(own, *of_profile(name)).select("image_id", F.lit(name).alias("profile"), "width", "height", "svg")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def exported(finished: DataFrame, actions: DataFrame | None = None, pixel_exact: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ query runs one operator over the whole of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from .functions import numbers, path, svg
 from .operators import color, edits, neighbourhood, pixel, region, stats
 from .operators.trace import TraceOptions, trace
 from .plans import pipeline, settings
-from .sources import export, images, raster
+from .sources import export, images, raster, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,9 +113,28 @@ def s13_downscale(spark, sf_dir):
     return raster.downscale(px(spark, sf_dir), 5)
 
 
-@query("SELECT image_id, CAST(x // 3 AS INTEGER) AS x, CAST(y // 3 AS INTEGER) AS y, " + ", ".join(f"CAST(CASE WHEN sum(a) > 0 THEN floor(sum({c} * a)::DOUBLE / sum(a) + 0.5) ELSE 0 END AS INTEGER) AS {c}" for c in "rgb") + ", CAST(floor(avg(a) + 0.5) AS INTEGER) AS a FROM px GROUP BY ALL")
+def _resampled_sql(share_x: str, share_y: str, w: int, h: int) -> str:
+    """Weighted means over the target's pixels (tx, ty); the shares are whole weights, of which those above zero count."""
+    mean = ", ".join(f"CAST(CASE WHEN sum(n * a) > 0 THEN floor(sum({c} * a * n)::DOUBLE / sum(n * a) + 0.5) ELSE 0 END AS INTEGER) AS {c}" for c in "rgb")
+    return f"SELECT image_id, CAST(tx AS INTEGER) AS x, CAST(ty AS INTEGER) AS y, {mean}, CAST(floor(sum(n * a)::DOUBLE / sum(n) + 0.5) AS INTEGER) AS a FROM (SELECT image_id, tx, ty, r, g, b, a, ({share_x}) * ({share_y}) AS n FROM px, range({w}) t(tx), range({h}) u(ty) WHERE {share_x} > 0 AND {share_y} > 0) GROUP BY image_id, tx, ty"
+
+
+@query(_resampled_sql("least((x + 1) * 10, (tx + 1) * 25) - greatest(x * 10, tx * 25)", "least((y + 1) * 8, (ty + 1) * 20) - greatest(y * 8, ty * 20)", 10, 8))
 def s10_cap(spark, sf_dir):
-    return raster.cap(px(spark, sf_dir), 10)
+    """25 x 20 within 10 is 10 x 8, by area."""
+    return raster.fit(px(spark, sf_dir), 10)
+
+
+@query(_resampled_sql("68 - abs(least(greatest((2 * tx + 1) * 25 - 34, 0), 68 * 24) - 68 * x)", "54 - abs(least(greatest((2 * ty + 1) * 20 - 27, 0), 54 * 19) - 54 * y)", 34, 27))
+def s13_upscale_smooth(spark, sf_dir):
+    """25 x 20 times 1.37 is 34 x 27, linear between the pixels' centres."""
+    return raster.resample(px(spark, sf_dir), 1.37)
+
+
+@query("SELECT image_id, seq, coalesce(scale = lag(scale) OVER w AND nearest = lag(nearest) OVER w, FALSE) AS reused FROM t WINDOW w AS (PARTITION BY image_id ORDER BY seq)", "t AS (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, event_id AS seq, user_id % 3 AS scale, user_id % 2 = 0 AS nearest FROM events)")
+def l20_raster_reuse(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), F.col("event_id").alias("seq"), (F.col("user_id") % 3).alias("scale"), (F.col("user_id") % 2 == 0).alias("nearest"))
+    return edits.raster_reuse(t).select("image_id", "seq", "reused")
 
 
 _UP = "CASE up WHEN 'auto' THEN greatest(1, 2048::DOUBLE / greatest(w, h)) WHEN 'ultra' THEN greatest(1, 4096::DOUBLE / greatest(w, h)) ELSE try_cast(up AS DOUBLE) END"
@@ -642,10 +662,13 @@ def x08_parse_paths(spark, sf_dir):
     return svg.path_rows(drawings(spark, sf_dir))
 
 
-@query("SELECT image_id, path_ord, fill, d, dx::DOUBLE AS dx, dy::DOUBLE AS dy FROM tags", _DRAWINGS)
+@query("SELECT image_id, path_ord, fill, d, dx::DOUBLE AS dx, dy::DOUBLE AS dy FROM tags UNION ALL SELECT image_id, CAST(count(*) + k AS INTEGER), CASE k WHEN 0 THEN '#abcdef' ELSE '#000000' END, 'M0 0 L1 1', 0, 0 FROM tags, range(2) t(k) GROUP BY image_id, k", _DRAWINGS)
 def j10_group_fills(spark, sf_dir):
-    """Fills that stand on a group come back to its paths."""
-    return svg.path_rows(drawings(spark, sf_dir).select("image_id", svg.group_fills("svg").alias("svg")))
+    """Fills that stand on a group come back to its paths, from the innermost group that has one; a path in none is black."""
+    t = drawings(spark, sf_dir).select("image_id", svg.group_fills("svg").alias("svg"))
+    bare = F.lit('<path d="M0 0 L1 1"/>')
+    whole = F.concat(F.regexp_replace("svg", "(<svg[^>]*>)", '$1<g fill="#abcdef"><g>'), F.lit(""))
+    return svg.path_rows(t.select("image_id", F.replace(whole, F.lit("</svg>"), F.concat(bare, F.lit("</g></g>"), bare, F.lit("</svg>"))).alias("svg")))
 
 
 @query("t AS (SELECT image_id, path_ord, unnest(regexp_extract_all(d, '-?[0-9]+|[A-Z]')) AS token, generate_subscripts(regexp_extract_all(d, '-?[0-9]+|[A-Z]'), 1) - 1 AS ord FROM tags) SELECT image_id, path_ord, CAST(ord AS INTEGER) AS ord, token FROM t", _DRAWINGS)
@@ -934,19 +957,41 @@ def k06_dxf_scale(spark, sf_dir):
     return _units(spark, sf_dir).select("p_partkey", r6(export.dxf_scale(F.col("v").cast("string"), F.col("old"), size, F.lit(300), F.lit(600))).alias("scale"))
 
 
-@query("SELECT image_id, 4 * count(*) AS vertices, count(*) AS polylines FROM (SELECT image_id, 4 FROM tags) GROUP BY image_id", _DRAWINGS)
+_BOXES = "boxes AS (SELECT image_id, path_ord, fill, p_partkey % 50 + dx AS x, p_size + dy AS y FROM tags)"
+
+
+@query(_BOXES + " SELECT image_id, path_ord, CAST(k AS INTEGER) AS vertex, 'C_' || fill[2:] AS layer, CAST(x + CASE WHEN k IN (1, 2) THEN 10 ELSE 0 END AS DOUBLE) AS x, CAST(90 - y - CASE WHEN k > 1 THEN 7 ELSE 0 END AS DOUBLE) AS y FROM boxes, range(4) t(k)", _DRAWINGS)
 def k05_dxf_lines(spark, sf_dir):
-    """Polylines and vertices of the drawings with their curves straightened: each part is a closed box."""
+    """Vertices of the drawings with their curves straightened: each part is a closed box, y upwards."""
     t = drawings(spark, sf_dir).select("image_id", export.to_dxf(svg.straighten_paths("svg", F.lit(3.0)), F.lit(1.0)).alias("dxf"))
-    count = lambda what: F.regexp_count("dxf", F.lit(f"0\\n{what}\\n")).cast("long")
-    return t.select("image_id", count("VERTEX").alias("vertices"), count("POLYLINE").alias("polylines"))
+    line = t.select("image_id", F.posexplode(F.slice(F.split("dxf", "0\\nPOLYLINE\\n"), 2, 100_000)).alias("path_ord", "p"))
+    vertex = r"0\nVERTEX\n8\n([^\n]*)\n10\n([^\n]*)\n20\n([^\n]*)\n"
+    part = [F.regexp_extract_all("p", F.lit(vertex), F.lit(k)) for k in (1, 2, 3)]
+    rows = line.select("image_id", "path_ord", F.posexplode(F.arrays_zip(part[0].alias("layer"), part[1].alias("x"), part[2].alias("y"))).alias("vertex", "v"))
+    return rows.select("image_id", "path_ord", "vertex", "v.layer", F.col("v.x").cast("double").alias("x"), F.col("v.y").cast("double").alias("y"))
+
+
+_PDF_RGB = "CASE fill WHEN '#ff0000' THEN '1 0 0' WHEN '#00ff00' THEN '0 1 0' WHEN '#101010' THEN '0.0627 0.0627 0.0627' WHEN '#8080ff' THEN '0.502 0.502 1' ELSE '0 0 0' END"
+_PDF_PATH = f"""{_PDF_RGB} || ' rg' || chr(10) || x || ' ' || y || ' m' || chr(10) || (x + 10) || ' ' || y || ' l' || chr(10) || (x + 10) || ' ' || (y + 7) || ' l' || chr(10)
+    || (x + 9) || ' ' || (y + 8) || ' ' || (x + 2) || ' ' || (y + 9) || ' ' || x || ' ' || (y + 7) || ' c' || chr(10) || 'h' || chr(10) || ' f' || chr(10)"""
 
 
-@query("SELECT image_id, count(*) AS moves, 2 * count(*) AS lines, count(*) AS curves, count(*) AS fills FROM tags GROUP BY image_id", _DRAWINGS)
+@query(f"{_BOXES} SELECT image_id, '0.75 0 0 -0.75 0 67.5 cm' || chr(10) || string_agg({_PDF_PATH}, '' ORDER BY path_ord) AS content, TRUE AS offsets_right FROM boxes GROUP BY image_id", _DRAWINGS)
 def k03_pdf_operators(spark, sf_dir):
+    """The page's content, and whether all offsets of the cross-reference table lead to their objects."""
     t = _sized(spark, sf_dir).select("image_id", export.to_pdf("svg", F.lit(None).cast("double"), F.lit(None).cast("double")).alias("pdf"))
-    count = lambda op: F.regexp_count("pdf", F.lit(f" {op}\\n")).cast("long")
-    return t.select("image_id", count("m").alias("moves"), count("l").alias("lines"), count("c").alias("curves"), count("f").alias("fills"))
+    there = lambda at, what: F.substring(F.col("pdf"), at.cast("int") + 1, F.length(what)) == what
+    objects = F.transform(F.regexp_extract_all("pdf", F.lit(r"(\d{10}) 00000 n"), F.lit(1)), lambda at, i: there(at, F.concat((i + 1).cast("string"), F.lit(" 0 obj"))))
+    right = there(F.regexp_extract("pdf", r"startxref\n(\d+)", 1), F.lit("xref")) & F.forall(objects, lambda ok: ok) & (F.size(objects) == 4)
+    return t.select("image_id", F.regexp_extract("pdf", r"(?s)stream\n(.*?)endstream", 1).alias("content"), right.alias("offsets_right"))
+
+
+@query("SELECT image_id, svg || chr(10) AS svg FROM drawings", _DRAWINGS)
+def k01_svg_files(spark, sf_dir):
+    """Drawings written as text files, an image's in a folder of its own, and read again."""
+    path = f"{store.folder(spark)}/svg-{uuid.uuid4().hex}"
+    export.write_svg(drawings(spark, sf_dir), path)
+    return spark.read.text(path, wholetext=True).select("image_id", F.col("value").alias("svg"))
 
 
 @query()
@@ -980,6 +1025,12 @@ def l03_latest_wins(spark, sf_dir):
     return edits.latest_wins(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts").select("user_id", "event_id", "outcome")
 
 
+@query("r AS (SELECT *, event_id // 40 AS request FROM events) SELECT user_id, request, event_id, event_type AS stage FROM r QUALIFY request = max(request) OVER (PARTITION BY user_id)", "x AS (SELECT 1)")
+def l05_progress(spark, sf_dir):
+    r = table(spark, sf_dir, "events").select("user_id", F.expr("event_id div 40").alias("request"), "event_id", F.col("event_type").alias("stage"))
+    return edits.latest_progress(r, "user_id", "request").select("user_id", "request", "event_id", "stage")
+
+
 @query("s AS (SELECT user_id AS key, max(event_id) // 100 AS token FROM events GROUP BY user_id) SELECT e.user_id AS key, e.event_id FROM events e JOIN s ON s.key = e.user_id AND e.event_id // 100 = s.token", "x AS (SELECT 1)")
 def l04_current_only(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr("event_id div 100").alias("token"), F.lit(0).alias("revision"), "event_id")
@@ -993,13 +1044,37 @@ def l19_replay_turns(spark, sf_dir):
     return edits.replay_turns(table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), op.alias("op")))
 
 
-@query()
+_STEPS = "steps AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY seq) AS n FROM log)"
+_LAST = "SELECT s.* FROM state s JOIN (SELECT image_id, max(n) AS n FROM state GROUP BY image_id) m USING (image_id, n)"
+
+
+@query(
+    f"""{_STEPS}, state AS (SELECT image_id, 0::BIGINT AS n, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM (SELECT DISTINCT image_id FROM log)
+      UNION ALL SELECT s.image_id, e.n, CASE WHEN op = 'add' THEN list_append(done, seq) WHEN op = 'undo' AND len(done) > 0 THEN done[1:len(done) - 1] WHEN op = 'redo' AND len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END,
+        CASE WHEN op = 'add' THEN [] WHEN op = 'undo' AND len(done) > 0 THEN list_append(undone, done[len(done)]) WHEN op = 'redo' AND len(undone) > 0 THEN undone[1:len(undone) - 1] ELSE undone END
+      FROM state s JOIN steps e ON e.image_id = s.image_id AND e.n = s.n + 1)
+    SELECT image_id, CAST(generate_subscripts(done, 1) - 1 AS INTEGER) AS pos, unnest(done) AS action FROM ({_LAST})""",
+    "RECURSIVE log AS (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, event_id AS seq, ['add', 'add', 'undo', 'redo', 'add', 'undo', 'add'][user_id % 7 + 1] AS op FROM events)",
+)
 def l06_edit_log(spark, sf_dir):
     op = F.element_at(F.array(*[F.lit(o) for o in ("add", "add", "undo", "redo", "add", "undo", "add")]), (F.col("user_id") % 7 + 1).cast("int"))
     return edits.edit_log(table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").alias("action")))
 
 
-@query()
+_OWN = "done[len(done)]"
+
+
+@query(
+    f"""{_STEPS}, state AS (SELECT image_id, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE)[][] AS done, FALSE AS own FROM (SELECT DISTINCT image_id FROM log)
+      UNION ALL SELECT s.image_id, e.n, CASE WHEN op = 'down' THEN list_append(done, [{{'x': e.x, 'y': e.y}}]) WHEN op = 'undo' AND len(done) > 0 THEN done[1:len(done) - 1]
+          WHEN op = 'move' AND own AND sqrt(pow(e.x - {_OWN}[len({_OWN})].x, 2) + pow(e.y - {_OWN}[len({_OWN})].y, 2)) >= 0.001 THEN list_append(done[1:len(done) - 1], list_append({_OWN}, {{'x': e.x, 'y': e.y}})) ELSE done END,
+        CASE op WHEN 'down' THEN TRUE WHEN 'move' THEN own ELSE FALSE END
+      FROM state s JOIN steps e ON e.image_id = s.image_id AND e.n = s.n + 1),
+    strokes AS (SELECT image_id, generate_subscripts(done, 1) - 1 AS stroke, unnest(done) AS pts FROM ({_LAST})),
+    points AS (SELECT image_id, stroke, generate_subscripts(pts, 1) - 1 AS pos, unnest(pts) AS p FROM strokes)
+    SELECT image_id, CAST(stroke AS INTEGER) AS stroke, CAST(pos AS INTEGER) AS pos, p.x AS x, p.y AS y FROM points""",
+    "RECURSIVE log AS (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, event_id AS seq, ['down', 'move', 'move', 'move', 'undo', 'up', 'move'][user_id % 7 + 1] AS op, (event_id % 50) / 50.0::DOUBLE AS x, (user_id % 40) / 40.0::DOUBLE AS y FROM events)",
+)
 def l07_strokes(spark, sf_dir):
     op = F.element_at(F.array(*[F.lit(o) for o in ("down", "move", "move", "move", "undo", "up", "move")]), (F.col("user_id") % 7 + 1).cast("int"))
     xy = {"x": (F.col("event_id") % 50) / 50.0, "y": (F.col("user_id") % 40) / 40.0}
@@ -1031,12 +1106,16 @@ def l09_eraser_mask(spark, sf_dir):
     return edits.eraser_mask(_sized(spark, sf_dir), _actions(spark, sf_dir))
 
 
-@query(f"""SELECT image_id, count(*) FILTER (NOT fill) AS masks, count(*) FILTER (fill) AS fills, max(length(mark)) AS longest FROM acts GROUP BY image_id""", _ACTS)
+@query(
+    f"""n AS (SELECT *, count(*) FILTER (NOT fill) OVER (PARTITION BY image_id ORDER BY seq) - 1 AS k FROM acts),
+    m AS (SELECT image_id, string_agg('<mask id="{edits.MASK}-' || k || '" maskUnits="userSpaceOnUse" {_PLACE}mask-type="luminance" style="mask-type:luminance" color-interpolation="sRGB"><rect {_PLACE}fill="#fff"/>' || mark || '</mask>', '' ORDER BY seq) FILTER (NOT fill) AS defs,
+      string_agg('<g mask="url(#{edits.MASK}-' || k || ')">', '' ORDER BY seq DESC) FILTER (NOT fill) AS opened, string_agg(CASE WHEN fill THEN mark ELSE '</g>' END, '' ORDER BY seq) AS closed FROM n GROUP BY image_id)
+    SELECT s.image_id, substr(svg, 1, instr(svg, '90">') + 3) || coalesce('<defs>' || defs || '</defs>', '') || coalesce(opened, '') || substr(svg, instr(svg, '90">') + 4, length(svg) - instr(svg, '90">') - 9) || closed || '</svg>' AS svg FROM sized s JOIN m USING (image_id)""",
+    _ACTS,
+)
 def l08_apply_actions(spark, sf_dir):
-    t = edits.apply_actions(_sized(spark, sf_dir), _actions(spark, sf_dir))
-    rects = F.regexp_extract_all("svg", F.lit('<rect x="[^"]*" y="45" [^>]*/>'), F.lit(0))
-    longest = F.array_max(F.transform(rects, F.length)).cast("long")
-    return t.select("image_id", F.regexp_count("svg", F.lit("<mask ")).cast("long").alias("masks"), F.regexp_count("svg", F.lit('fill="#ff0000"/><|fill="#ff0000"/></')).cast("long").alias("fills_"), longest.alias("longest"), F.size(F.filter(rects, lambda s: s.contains("#ff0000"))).cast("long").alias("fills")).drop("fills_")
+    """Each erasure masks all before it, so its group opens before those of earlier ones; fills lie on top of what is there."""
+    return edits.apply_actions(_sized(spark, sf_dir), _actions(spark, sf_dir))
 
 
 @query("SELECT p_partkey, CAST(greatest(1, 2 * floor((greatest(1, d * 90) - 1) / 2 + 0.5) + 1) AS INTEGER) AS size, floor(p_retailprice) + 0.5 AS center FROM (SELECT *, p_size / 100::DOUBLE AS d FROM part)", "")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.udfs import vectorized
 from ..schema import MAX_FILE_BYTES, MAX_SIDE, MAX_SOURCE_PIXELS, MAX_SOURCE_SIDE
-from .raster import fit_decode_size
+from .raster import fit, fit_decode_size, pixel_batches
 
 HEAD = 256 * 1024
 
@@ -125,29 +128,46 @@ def checked(files: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
     return headers(files).withColumns({"error": error, "decode_width": to[0], "decode_height": to[1]})
 
 
-def turned(x: Column, y: Column, w: Column, h: Column, turn: Column) -> tuple[Column, Column]:
-    """Where the pixel (x, y) of a stored image of w x h stands once it is shown as its orientation says."""
-    across, down = F.when(turn.isin(2, 3), w - 1 - x).otherwise(x), F.when(turn.isin(3, 4), h - 1 - y).otherwise(y)
-    to_x = F.when(turn.isin(5, 8), y).when(turn.isin(6, 7), h - 1 - y).otherwise(across)
-    to_y = F.when(turn.isin(5, 6), x).when(turn.isin(7, 8), w - 1 - x).otherwise(down)
-    return to_x.cast("int"), to_y.cast("int")
+#: Where the pixel of each place of a shown image is stored, by orientation: mirrored left to right, upside down, axes swapped.
+_TURNS = {2: (True, False, False), 3: (True, True, False), 4: (False, True, False), 5: (False, False, True), 6: (False, True, True), 7: (True, True, True), 8: (True, False, True)}
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def shown(stored: np.ndarray, orientation: int) -> np.ndarray:
+    """A stored image (h x w x channels) as its orientation says."""
+    across, down, swapped = _TURNS.get(orientation, (False, False, False))
+    out = stored[:: -1 if down else 1, :: -1 if across else 1]
+    return out.transpose(1, 0, 2) if swapped else out
+
+
+def read_images(spark: SparkSession, path: str, max_side: int | None = MAX_SIDE) -> DataFrame:
     """Pixels of the PNG, JPEG, GIF and BMP files at path: image_id (hash of the file's name), origin, x, y, r, g, b, a.
 
-    Images are turned as the orientation in their header says; WebP pixels are not
-    read. Only turned files are joined, a name and a number each, before any pixel
-    row is made.
+    Images are turned as the orientation in their header says, and those whose longest
+    side is above max_side are resampled to it (null: none are); WebP pixels are not
+    read. A file's bytes are read once. Only turned files are joined, a name and a
+    number each, before any pixel row is made.
     """
     name = F.col("_metadata.file_path").alias("file_")
     files = headers(spark.read.format("binaryFile").load(path).select(name, "content"))
     turns = files.where("orientation between 2 and 8").select("file_", F.col("orientation").alias("turn"))
     rows = spark.read.format("image").option("dropInvalid", True).load(path).select(name, "image.*").join(turns, "file_", "left")
-    rows = rows.select("origin", "width", "height", F.coalesce("turn", F.lit(1)).alias("turn"), "nChannels", F.hex("data").alias("hex"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p"))
-    at = lambda k: F.conv(F.substring(F.col("hex"), (F.col("p") * F.col("nChannels") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    gray = F.col("nChannels") == 1
-    part = lambda k: F.when(gray, at(0)).otherwise(at(k))  # noqa: E731  stored as B, G, R, A
-    a = F.when(F.col("nChannels") == 4, at(3)).otherwise(255)
-    x, y = turned(F.col("p") % F.col("width"), F.expr("p div width"), F.col("width"), F.col("height"), F.col("turn"))
-    return rows.select(F.xxhash64("origin").alias("image_id"), "origin", x.alias("x"), y.alias("y"), part(2).alias("r"), part(1).alias("g"), part(0).alias("b"), a.alias("a"))
+    rows = rows.select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", "nChannels", F.coalesce("turn", F.lit(1)).alias("turn"), "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, origin, w, h, n, turn, data in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)):
+                bgra = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
+                opaque = np.full((h, w, 1), 255, np.uint8)
+                rgba = np.concatenate([bgra[:, :, [0, 0, 0]], opaque] if n == 1 else [bgra[:, :, [2, 1, 0]], bgra[:, :, 3:4] if n == 4 else opaque], axis=2)
+                out = np.ascontiguousarray(shown(rgba, turn))
+                for part in pixel_batches(0, out.shape[1], out.reshape(-1, 4)):
+                    k = part.num_rows
+                    columns = [pa.array([image_id] * k, pa.int64()), pa.array([origin] * k, pa.string()), *part.columns[1:], pa.array([max(h, w)] * k, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "origin", "x", "y", "r", "g", "b", "a", "side"])
+
+    px = rows.mapInArrow(run, "image_id long, origin string, x int, y int, r int, g int, b int, a int, side int")
+    if max_side is None:
+        return px.drop("side")
+    names = rows.select("image_id", "origin")
+    large = fit(px.where(F.col("side") > max_side).select("image_id", "x", "y", "r", "g", "b", "a"), max_side).join(names, "image_id")
+    return px.where(F.col("side") <= max_side).drop("side").unionByName(large)

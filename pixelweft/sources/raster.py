@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +49,6 @@ def downscale(px: DataFrame, factor: int) -> DataFrame:
     return g.agg(*[mean(c).cast("int").alias(c) for c in "rgb"], half_up(F.avg("a")).cast("int").alias("a"))
 
 
-def cap(px: DataFrame, max_side: int) -> DataFrame:
-    """Images whose longest side is above max_side, by the least whole factor that brings it there; the others as they are."""
-    s = sizes(px).withColumn("f", F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / float(max_side))).cast("int"))
-    g = px.join(s, "image_id").groupBy("image_id", F.expr("x div f").cast("int").alias("x"), F.expr("y div f").cast("int").alias("y"))
-    mean = lambda c: F.when(F.sum("a") > 0, half_up(F.sum(F.col(c) * F.col("a")).cast("double") / F.sum("a"))).otherwise(F.max(F.when(F.col("f") == 1, F.col(c)).otherwise(0)))
-    # with a factor of one a block is its pixel, whatever its alpha
-    return g.agg(*[mean(c).cast("int").alias(c) for c in "rgb"], half_up(F.avg("a")).cast("int").alias("a"))
-
-
 def _shares(at: Column, n: Column, to: Column, nearest: bool) -> Column:
     """Array of (to, weight): the places of an axis of to pixels that the pixel at of an axis of n gives to, in whole weights.
 
@@ -102,12 +97,36 @@ def pack(px: DataFrame) -> DataFrame:
     return rows.select("image_id", "width", "height", F.unhex(F.array_join(F.transform("p", lambda s: s["v"]), "")).alias("data"))
 
 
+#: Pixels that a task makes of an encoded image at a time.
+BATCH = 1 << 18
+
+
+def pixel_batches(image_id: int, width: int, rgba: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """PIXELS rows of an image's pixels in row order (n x 4 bytes), some at a time."""
+    for at in range(0, len(rgba), BATCH):
+        part = rgba[at : at + BATCH]
+        place = np.arange(at, at + len(part))
+        columns = [np.full(len(part), image_id), place % width, place // width, *part.T]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=["image_id", "x", "y", "r", "g", "b", "a"])
+
+
 def unpack(blocks: DataFrame) -> DataFrame:
-    """pack() undone."""
-    at = F.posexplode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i", "p")
-    rows = blocks.select("image_id", "width", F.hex("data").alias("hex"), at)
-    byte = lambda k: F.conv(F.substring(F.col("hex"), F.col("p") * 8 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    return rows.select("image_id", (F.col("p") % F.col("width")).cast("int").alias("x"), F.expr("p div width").cast("int").alias("y"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"), byte(3).alias("a"))
+    """pack() undone; an image's bytes are read once, whatever its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, width, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                yield from pixel_batches(image_id, width, np.frombuffer(data.as_buffer() or b"", np.uint8).reshape(-1, 4))
+
+    return blocks.select("image_id", "width", "data").mapInArrow(run, PIXELS)
+
+
+def within_budget(px: DataFrame, most: int = MAX_PIXELS) -> DataFrame:
+    """px; a job over it fails if an image has more than most pixels, before a task takes up the image."""
+    n = F.col("w").cast("long") * F.col("h")
+    over = sizes(px).where(n > most).select("image_id", n.alias("over_"))
+    refuse = F.raise_error(F.format_string("image %d: %d pixels are more than %d", F.col("image_id"), F.col("over_"), F.lit(most)))
+    return px.join(over, "image_id", "left").where(F.when(F.col("over_").isNotNull(), refuse.cast("boolean")).otherwise(True)).select(*px.columns)
 
 
 def fit_decode_size(w: Column, h: Column, max_side: int = MAX_SIDE) -> tuple[Column, Column]:
@@ -130,5 +149,3 @@ def budget_error(w: Column, h: Column, upscale: Column) -> Column:
     n = w * upscale * h * upscale
     return F.when(n > MAX_PIXELS, F.format_string("%d pixels are more than %d", n.cast("long"), F.lit(MAX_PIXELS)))
 
-
-EMPTY = PIXELS

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once; the folder is that of spark.checkpoint.dir, a temporary one only where that is unset and everything runs on this machine (tests)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and everything runs on this machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="pixelweft-"))
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="pixelweft-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

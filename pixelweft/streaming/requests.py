@@ -21,14 +21,15 @@ def latest_stream(results: DataFrame, key: str = "user_id", request: str = "req_
     """Results (key, request, payload) of which none is older than one seen before for its key; the state is one number a key."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1
+        last = state.get[0] if state.exists else None
         kept = []
         for pdf in batches:
             for r, p in pdf.sort_values(request)[[request, payload]].itertuples(index=False):
-                if r > last:
+                if last is None or r > last:
                     last = r
                     kept.append((k[0], r, p))
-        state.update((last,))
+        if last is not None:
+            state.update((int(last),))
         # of one batch only the newest counts
         yield pd.DataFrame(kept[-1:], columns=[key, request, payload])
 

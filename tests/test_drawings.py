@@ -2,6 +2,7 @@
 
 import math
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -131,15 +132,11 @@ def test_exif(order, turn, want):
     assert images.jpeg_size(jpeg(b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app, SOF))[:2] == want
 
 
-def test_turns(spark):
+def test_turns():
     stored = np.arange(6).reshape(2, 3)
     want = {1: stored, 2: stored[:, ::-1], 3: stored[::-1, ::-1], 4: stored[::-1], 5: stored.T, 6: np.rot90(stored, -1), 7: stored[::-1, ::-1].T, 8: np.rot90(stored)}
     for turn, shown in want.items():
-        x, y = images.turned(F.col("id") % 3, F.expr("id div 3"), F.lit(3), F.lit(2), F.lit(turn))
-        out = np.full(shown.shape, -1)
-        for r in spark.range(6).select("id", x.alias("x"), y.alias("y")).collect():
-            out[r.y, r.x] = r.id
-        assert (out == shown).all(), turn
+        assert (images.shown(stored[:, :, None], turn)[:, :, 0] == shown).all(), turn
 
 
 def test_images_are_turned(spark, tmp_path):
@@ -196,3 +193,25 @@ def test_settings(spark):
     raw = spark.createDataFrame([(1, '{"colors": 8, "speckle": "8", "fuzz": 999, "evil": 1, "mode": "none", "denoise": true, "upscale": "auto", "preset": "x", "knockoutColor": "#aabbcc"}'), (2, "[1, 2]"), (3, "not json"), (4, None)], "id int, settings string")
     got = {(r.id, r.key): r.value for r in settings.sanitized(settings.entries(raw)).collect()}
     assert got == {(1, "colors"): "8", (1, "mode"): '"none"', (1, "denoise"): "true", (1, "upscale"): '"auto"', (1, "preset"): '"x"', (1, "knockoutColor"): '"#aabbcc"'}
+
+
+def test_nested_groups(spark):
+    """A path has the fill of the innermost group around it that has one, in either form of reading."""
+    text = '<svg><g fill="#111111"><g><path d="M0 0"/><g fill="#222222"><path d="M1 1"/></g><path d="M2 2" fill="#333333"/></g></g></g><path d="M3 3"/></svg>'
+    want = ["#111111", "#222222", "#333333", "#000000"]
+    assert [p["fill"] for p in svg.parse_svg(text)["paths"]] == want
+    rows = svg.path_rows(spark.createDataFrame([(1, text)], "image_id int, svg string")).orderBy("path_ord").collect()
+    assert [r.fill for r in rows] == want
+
+
+def test_noisy_image_is_traced_in_bounded_memory():
+    """Some 12,000 regions: what is held does not grow with regions times pixels."""
+    r = np.random.default_rng(2)
+    rgb = r.integers(0, 1 << 24, 8)[r.integers(0, 8, (120, 130))]
+    tracemalloc.start()
+    drawn = trace_image(rgb, np.full(rgb.shape, 255), TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical="cutout"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert drawn.count("<path") > 10_000 and most < 20e6
+    out = export.painted(drawn)
+    assert ((out[:, :, 0].astype(int) << 16 | out[:, :, 1].astype(int) << 8 | out[:, :, 2]) == rgb).all()

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelweft.operators import color, neighbourhood, pixel, region, stats
+from pixelweft.operators.trace import TraceOptions
+from pixelweft.plans import pipeline
 from pixelweft.schema import PIXELS, presets
 from pixelweft.sources import raster
 
@@ -227,3 +229,32 @@ def test_resampling_by_any_factor(spark):
     sized = lambda df: {(x.w, x.h) for x in raster.sizes(df).collect()}
     assert sized(raster.fit(px, 10)) == {(10, 8)} and sized(raster.fit(px, 24)) == {(24, 19)} and sized(raster.fit(px, 25)) == {(25, 20)}
     assert sorted(raster.resample(px, 0.2).collect()) == sorted(raster.downscale(px, 5).collect())
+
+
+def test_images_above_the_budget_are_refused(spark):
+    px = image(spark, [[(1, 2, 3)] * 4] * 3)
+    assert raster.within_budget(px, 12).count() == 12
+    with pytest.raises(Exception, match="12 pixels are more than 11"):
+        raster.within_budget(px, 11).collect()
+
+
+def test_upscaled_drawings_keep_the_source_size(spark):
+    px = image(spark, [[(255, 0, 0)] * 6] * 4)
+    for upscale, box in (("1", "6 4"), ("3", "18 12")):
+        (row,) = pipeline.drawings(px, pipeline.Settings(upscale=upscale), TraceOptions(filter_speckle=1)).collect()
+        assert f'width="6" height="4" viewBox="0 0 {box}"' in row.svg
+    large = pipeline.scaled(px, "auto", nearest=True)
+    assert large.agg(F.max("x"), F.max("y")).first() == (2047, 1364)
+
+
+def test_profiles_drive_the_plans(spark):
+    px = image(spark, [[(255, 255, 255)] * 9] * 3 + [[(255, 255, 255)] * 3 + [(0, 0, 0)] * 6] * 8)
+    px = px.union(px.withColumn("image_id", F.lit(2))).union(px.withColumn("image_id", F.lit(3)))
+    s, o = pipeline.of_profile("detail")
+    assert (s.colors, s.upscale, o.mode, o.filter_speckle, o.corner_threshold, o.splice_threshold) == (64, "auto", "spline", 2, 45.0, 30.0)
+    assert pipeline.of_profile("pixelExact")[1].mode == "none" and pipeline.of_profile("monoWhite")[0].stencil_ink == "white"
+    chosen = spark.createDataFrame([(1, "balanced"), (2, "web"), (3, "no such profile")], "image_id int, profile string")
+    got = {r.image_id: r for r in pipeline.drawings_by_profile(px, chosen).collect()}
+    assert {k: (r.profile, r.width) for k, r in got.items()} == {1: ("balanced", 18), 2: ("web", 18)}
+    alone = pipeline.drawings(px.where("image_id = 1"), *pipeline.of_profile("balanced")).first()
+    assert got[1].svg == alone.svg
