@@ -541,12 +541,43 @@ def a10_median_split(spark, sf_dir):
     return t.groupBy("image_id").agg(F.greatest(F.lit(1), F.least(F.min(F.when(F.col("run") >= F.col("total") / 2, F.col("k"))) - 1, F.max("len") - 1)).cast("int").alias("cut"))
 
 
-@query()
+def _quantize_sql(colors: int, rounds: int = 10) -> str:
+    """The palette chain step by step: the cuts of the widest boxes (q), then rounds of nearest entries (a) and means (p); map has what becomes of each colour."""
+    out = [f"q0 AS MATERIALIZED (SELECT image_id, rgb, n, first, ll, aa, bb, 0 AS box, row_number() OVER (PARTITION BY image_id ORDER BY first) AS ord FROM lab QUALIFY count(*) OVER (PARTITION BY image_id) > {colors})"]
+    for i in range(colors - 1):
+        out += [
+            f"w{i} AS MATERIALIZED (SELECT image_id, box AS aim, ch FROM (SELECT image_id, box, unnest([0, 1, 2]) AS ch, unnest([max(ll) - min(ll), max(aa) - min(aa), max(bb) - min(bb)]) AS e FROM q{i} GROUP BY image_id, box HAVING count(*) > 1) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY e DESC, box, ch) = 1)",
+            f"k{i} AS MATERIALIZED (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS run, sum(n) OVER (PARTITION BY image_id, box) AS total, count(*) OVER (PARTITION BY image_id, box) AS len FROM (SELECT q.*, aim, CASE ch WHEN 0 THEN ll WHEN 1 THEN aa ELSE bb END AS v FROM q{i} q LEFT JOIN w{i} USING (image_id)) WINDOW w AS (PARTITION BY image_id, box ORDER BY v, ord))",
+            f"c{i} AS MATERIALIZED (SELECT image_id, greatest(1, least(min(k) FILTER (run >= total / 2.0) - 1, max(len) - 1)) AS cut FROM k{i} WHERE box = aim GROUP BY image_id)",
+            f"q{i + 1} AS MATERIALIZED (SELECT image_id, rgb, n, first, ll, aa, bb, CASE WHEN aim IS NULL OR box < aim OR box = aim AND k <= cut THEN box ELSE box + 1 END AS box, CASE WHEN box = aim THEN k ELSE ord END AS ord FROM k{i} LEFT JOIN c{i} USING (image_id))",
+        ]
+    means = "sum(ll * n) / sum(n) AS ll, sum(aa * n) / sum(n) AS aa, sum(bb * n) / sum(n) AS bb"
+    out.append(f"p0 AS MATERIALIZED (SELECT image_id, box AS k, {means} FROM q{colors - 1} GROUP BY image_id, box)")
+    for i in range(rounds):
+        out += [
+            f"a{i} AS MATERIALIZED (SELECT l.image_id, l.rgb, l.n, l.ll, l.aa, l.bb, p.k FROM q0 l JOIN p{i} p USING (image_id) QUALIFY row_number() OVER (PARTITION BY l.image_id, l.rgb ORDER BY (l.ll - p.ll) * (l.ll - p.ll) + (l.aa - p.aa) * (l.aa - p.aa) + (l.bb - p.bb) * (l.bb - p.bb), p.k) = 1)",
+            f"p{i + 1} AS MATERIALIZED (SELECT p.image_id, p.k, coalesce(m.ll, p.ll) AS ll, coalesce(m.aa, p.aa) AS aa, coalesce(m.bb, p.bb) AS bb FROM p{i} p LEFT JOIN (SELECT image_id, k, {means} FROM a{i} GROUP BY image_id, k) m USING (image_id, k))",
+        ]
+    lms = [f"pow({' + '.join(f'({c}::DOUBLE) * {v}' for c, v in zip(row, ('ll', 'aa', 'bb')))}, 3)" for row in color.FROM_LAB]
+    rgb = [" + ".join(f"({c}::DOUBLE) * {v}" for c, v in zip(row, ("l_", "m_", "s_"))) for row in color.FROM_LMS]
+    byte = lambda v: f"CAST(least(255, greatest(0, floor((CASE WHEN {v} <= 0.0031308 THEN 12.92 * {v} ELSE 1.055 * pow(greatest(0, {v}), 1 / 2.4::DOUBLE) - 0.055 END) * 255 + 0.5))) AS INTEGER)"
+    out += [
+        f"e1 AS (SELECT image_id, k, {', '.join(f'{v} AS {n}' for v, n in zip(lms, ('l_', 'm_', 's_')))} FROM p{rounds})",
+        f"e2 AS (SELECT image_id, k, {', '.join(f'{v} AS {n}' for v, n in zip(rgb, ('r_', 'g_', 'b_')))} FROM e1)",
+        f"moved AS (SELECT image_id, CAST(rgb AS INTEGER) AS rgb, {byte('r_')} * 65536 + {byte('g_')} * 256 + {byte('b_')} AS new_rgb FROM a{rounds - 1} JOIN e2 USING (image_id, k))",
+    ]
+    return ", ".join(out)
+
+
+_QUANTIZE = f"{_HIST}, {_LAB}, {_quantize_sql(8)}"
+
+
+@query(_QUANTIZE + " SELECT p.image_id, x, y, " + ", ".join(f"CAST(coalesce(new_rgb >> {k} & 255, {c}) AS INTEGER) AS {c}" for k, c in ((16, "r"), (8, "g"), (0, "b"))) + ", a FROM (SELECT px.*, CASE WHEN a < 128 THEN dom.rgb ELSE r * 65536 + g * 256 + b END AS old FROM px JOIN dom USING (image_id)) p LEFT JOIN moved m ON m.image_id = p.image_id AND m.rgb = p.old")
 def f06_quantize(spark, sf_dir):
     return color.quantize(px(spark, sf_dir), 8)
 
 
-@query()
+@query(_QUANTIZE + " SELECT image_id, rgb, new_rgb FROM moved")
 def f04_palette(spark, sf_dir):
     return color.palette_map(stats.histogram(px(spark, sf_dir)), 8)
 
