@@ -640,10 +640,10 @@ def r04_binary_cells(spark, sf_dir):
     return px(spark, sf_dir).select("image_id", "x", "y", (F.col("r") < 128).alias("dark"))
 
 
-@query("SELECT p_partkey, w <= 0 OR h <= 0 OR CAST(w AS BIGINT) * h * 4 <> CAST(w AS BIGINT) * h * 4 - p_partkey % 3 AS refused FROM s", _SIZES)
+@query("SELECT p_partkey, w <= 0 OR h <= 0 OR p_partkey % 3 <> 0 AS refused FROM s", _SIZES)
 def r01_check_arguments(spark, sf_dir):
-    w, h = F.col("w").cast("long"), F.col("h")
-    return sizes(spark, sf_dir).select("p_partkey", ((w <= 0) | (h <= 0) | (w * h * 4 != w * h * 4 - F.col("p_partkey") % 3)).alias("refused"))
+    w, h = F.col("w"), F.col("h")
+    return sizes(spark, sf_dir).select("p_partkey", raster.block_error(w, h, w.cast("long") * h * 4 - F.col("p_partkey") % 3).isNotNull().alias("refused"))
 
 
 _STENCIL = f"bw AS (SELECT image_id, x, y, CASE WHEN a >= 128 AND {_LUMA} < 128 THEN 0 ELSE 16777215 END AS rgb, y * 25 + x AS ord FROM px)"
@@ -781,12 +781,20 @@ def x11_trimmed_number(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", numbers.trimmed_text((F.col("p_partkey") % 200 - 100) / 8).alias("text"))
 
 
-@query()
+def _of_tags_sql(name: str, data: str, rest: str, head: str) -> str:
+    """A drawing of each image with data and rest (of the tag) in place of the paths' own."""
+    return f"{name} AS (SELECT image_id, '{head}' || string_agg('<path d=\"' || {data} || '\" fill=\"' || fill || '\"' || {rest} || '/>' || chr(10), '' ORDER BY p_partkey) || '</svg>' AS svg FROM (SELECT *, p_partkey % 50 AS a, p_size AS b FROM tags) GROUP BY image_id)".replace("\n", "' || chr(10) || '")
+
+
+_SHORT = "'M' || (a + dx) || ' ' || (b + dy) || 'h10v7c-1 1-8 2-10 0z'"
+
+
+@query(_of_tags_sql("short", _SHORT, "''", _HEAD) + " SELECT * FROM short", _DRAWINGS)
 def x04_compress_paths(spark, sf_dir):
     return drawings(spark, sf_dir).select("image_id", svg.compress_paths("svg").alias("svg"))
 
 
-@query()
+@query(_of_tags_sql("straight", "'M' || a || ' ' || b || ' L' || (a + 10) || ' ' || b || ' L' || (a + 10) || ' ' || (b + 7) || ' L' || a || ' ' || (b + 7) || ' Z '", "' transform=\"translate(' || dx || ',' || dy || ')\"'", _HEAD) + " SELECT * FROM straight", _DRAWINGS)
 def w04_straighten_paths(spark, sf_dir):
     return drawings(spark, sf_dir).select("image_id", svg.straighten_paths("svg", F.lit(2.0)).alias("svg"))
 
@@ -796,9 +804,9 @@ _CHORD = "c AS (SELECT p_partkey, p_size::DOUBLE AS px, (p_partkey % 31)::DOUBLE
 
 @query("SELECT p_partkey, round(CASE WHEN sqrt(qx * qx + qy * qy) < 1e-9 THEN sqrt(px * px + py * py) ELSE abs(px * qy - py * qx) / sqrt(qx * qx + qy * qy) END, 6) + 0.0 AS d FROM c", _CHORD)
 def w05_distance_to_chord(spark, sf_dir):
-    x, y, u, v = F.col("p_size").cast("double"), F.col("p_partkey") % 31, F.col("p_partkey") % 7, F.col("p_partkey") % 11
-    n = F.hypot(u, v)
-    return table(spark, sf_dir, "part").select("p_partkey", r6(F.when(n < 1e-9, F.hypot(x, y)).otherwise(F.abs(x * v - y * u) / n)).alias("d"))
+    number = lambda c: c.cast("double")
+    x, y, u, v = number(F.col("p_size")), number(F.col("p_partkey") % 31), number(F.col("p_partkey") % 7), number(F.col("p_partkey") % 11)
+    return table(spark, sf_dir, "part").select("p_partkey", r6(svg.off_chord(x, y, F.lit(0.0), F.lit(0.0), u, v)).alias("d"))
 
 
 @query("SELECT image_id, path_ord, d - lag(d, 1, 0::BIGINT) OVER (PARTITION BY image_id ORDER BY path_ord) AS step, abs(2 * d - coalesce(lag(d) OVER (PARTITION BY image_id ORDER BY path_ord), 0) - d2) < 5e-5 AS smooth FROM (SELECT image_id, path_ord, p_size::BIGINT AS d, (p_partkey % 5)::BIGINT AS d2 FROM tags)", _DRAWINGS)
@@ -834,11 +842,25 @@ def f11_flatten_straight(spark, sf_dir):
     return t.groupBy("p_partkey").agg(F.count("*").alias("points"), r6(F.max("x")).alias("last_x"))
 
 
-@query()
+def _off_chord_sql(x: str, y: str) -> str:
+    return f"CASE WHEN sqrt(pow(x3 - x0, 2) + pow(y3 - y0, 2)) < 1e-9 THEN sqrt(pow({x} - x0, 2) + pow({y} - y0, 2)) ELSE abs(({x} - x0) * (y3 - y0) - ({y} - y0) * (x3 - x0)) / sqrt(pow(x3 - x0, 2) + pow(y3 - y0, 2)) END"
+
+
+_FLAT_ENOUGH = f"(depth >= 16 OR {_off_chord_sql('x1', 'y1')} <= 0.2 AND {_off_chord_sql('x2', 'y2')} <= 0.2)"
+_HALVES = ", ".join(f"({c}0 + {c}1) / 2 AS {c}a, ({c}1 + {c}2) / 2 AS {c}m, ({c}2 + {c}3) / 2 AS {c}z, ({c}0 + 2 * {c}1 + {c}2) / 4 AS {c}l, ({c}1 + 2 * {c}2 + {c}3) / 4 AS {c}r, ({c}0 + 3 * {c}1 + 3 * {c}2 + {c}3) / 8 AS {c}h" for c in "xy")
+_CHILD = ", ".join(f"CASE side WHEN 0 THEN {c}{left} ELSE {c}{right} END AS {c}{k}" for k, left, right in ((0, "0", "h"), (1, "a", "r"), (2, "l", "z"), (3, "h", "3")) for c in "xy")
+
+
+@query(
+    f"""seg AS (SELECT p_partkey, 0::DOUBLE AS x0, 0::DOUBLE AS y0, 0::DOUBLE AS x1, s AS y1, s AS x2, s AS y2, s AS x3, 0::DOUBLE AS y3, 0 AS depth, 0::DOUBLE AS t FROM f
+      UNION ALL SELECT p_partkey, {_CHILD}, depth + 1, t + side * pow(0.5, depth + 1) FROM (SELECT *, {_HALVES} FROM seg WHERE NOT {_FLAT_ENOUGH}), range(2) r(side))
+    SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY t) - 1 AS INTEGER) AS pos, round(x3, 6) + 0.0 AS x, round(y3, 6) + 0.0 AS y FROM seg WHERE {_FLAT_ENOUGH}""",
+    "RECURSIVE f AS (SELECT p_partkey, p_size::DOUBLE AS s FROM part)",
+)
 def f11_flatten_curves(spark, sf_dir):
     spark.udtf.register("flatten_curve", FlattenCurve)
     table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s")).createOrReplaceTempView("f11_curves")
-    return spark.sql("SELECT p_partkey, f.* FROM f11_curves, LATERAL flatten_curve(0D, 0D, 0D, s, s, s, s, 0D, 0.2D) f")
+    return spark.sql("SELECT p_partkey, f.pos, round(f.x, 6) + 0D AS x, round(f.y, 6) + 0D AS y FROM f11_curves, LATERAL flatten_curve(0D, 0D, 0D, s, s, s, s, 0D, 0.2D) f")
 
 
 _MSG = "m AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Uncaught SYNTAXERROR: x' WHEN 1 THEN 'x does not provide an export named y' WHEN 2 THEN NULL ELSE 'out of memory' END AS t FROM part)"
@@ -1032,8 +1054,8 @@ def k02_png(spark, sf_dir):
 
 @query("SELECT image_id, count(*) FILTER (event_type = 'click') = 0 AS vector_export FROM log GROUP BY image_id", "log AS (SELECT CAST(event_id // 500 AS INTEGER) AS image_id, event_type FROM events)")
 def k08_export_guard(spark, sf_dir):
-    t = table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), "event_type")
-    return t.groupBy("image_id").agg((F.count_if(F.col("event_type") == "click") == 0).alias("vector_export"))
+    t = table(spark, sf_dir, "events").select(F.expr("event_id div 500").cast("int").alias("image_id"), (F.col("event_type") == "click").alias("edited"))
+    return export.vector_exports(t, "edited")
 
 
 # Edits and the interaction log ---------------------------------------------------------------------------------------
@@ -1137,13 +1159,13 @@ def l09_eraser_mask(spark, sf_dir):
     return edits.eraser_mask(_sized(spark, sf_dir), _actions(spark, sf_dir))
 
 
-@query(
-    f"""n AS (SELECT *, count(*) FILTER (NOT fill) OVER (PARTITION BY image_id ORDER BY seq) - 1 AS k FROM acts),
+_APPLIED = f"""n AS (SELECT *, count(*) FILTER (NOT fill) OVER (PARTITION BY image_id ORDER BY seq) - 1 AS k FROM acts),
     m AS (SELECT image_id, string_agg('<mask id="{edits.MASK}-' || k || '" maskUnits="userSpaceOnUse" {_PLACE}mask-type="luminance" style="mask-type:luminance" color-interpolation="sRGB"><rect {_PLACE}fill="#fff"/>' || mark || '</mask>', '' ORDER BY seq) FILTER (NOT fill) AS defs,
-      string_agg('<g mask="url(#{edits.MASK}-' || k || ')">', '' ORDER BY seq DESC) FILTER (NOT fill) AS opened, string_agg(CASE WHEN fill THEN mark ELSE '</g>' END, '' ORDER BY seq) AS closed FROM n GROUP BY image_id)
-    SELECT s.image_id, substr(svg, 1, instr(svg, '90">') + 3) || coalesce('<defs>' || defs || '</defs>', '') || coalesce(opened, '') || substr(svg, instr(svg, '90">') + 4, length(svg) - instr(svg, '90">') - 9) || closed || '</svg>' AS svg FROM sized s JOIN m USING (image_id)""",
-    _ACTS,
-)
+      string_agg('<g mask="url(#{edits.MASK}-' || k || ')">', '' ORDER BY seq DESC) FILTER (NOT fill) AS opened, string_agg(CASE WHEN fill THEN mark ELSE '</g>' END, '' ORDER BY seq) AS closed FROM n GROUP BY image_id)"""
+_APPLIED_SVG = """SELECT s.image_id, substr(svg, 1, instr(svg, '90">') + 3) || coalesce('<defs>' || defs || '</defs>', '') || coalesce(opened, '') || substr(svg, instr(svg, '90">') + 4, length(svg) - instr(svg, '90">') - 9) || closed || '</svg>' AS svg FROM sized s JOIN m USING (image_id)"""
+
+
+@query(f"{_APPLIED} {_APPLIED_SVG}", _ACTS)
 def l08_apply_actions(spark, sf_dir):
     """Each erasure masks all before it, so its group opens before those of earlier ones; fills lie on top of what is there."""
     return edits.apply_actions(_sized(spark, sf_dir), _actions(spark, sf_dir))
@@ -1242,7 +1264,10 @@ def c02_trace_and_finish(spark, sf_dir):
     return pipeline.drawings(px(spark, sf_dir), pipeline.Settings(colors=8, straighten=0.5))
 
 
-@query()
+@query(
+    _of_tags_sql("sized", _SHORT, "''", _HEAD[_HEAD.index("<svg") :].replace('width="120" height="90"', 'width="80mm" height="60mm" viewBox="0 0 120 90"')) + ", " + _ACTS[_ACTS.index("acts AS") :] + ", " + _APPLIED + ", done AS (" + _APPLIED_SVG + ") SELECT d.image_id, svg, paths, round(strlen(svg) / 1024, 6) + 0.0 AS kilobytes FROM done d JOIN (SELECT image_id, count(*) AS paths FROM tags GROUP BY image_id) USING (image_id)",
+    _DRAWINGS,
+)
 def c03_export(spark, sf_dir):
     t = _sized(spark, sf_dir).withColumns({"minify": F.lit(True), "physical_width": F.lit(80.0), "physical_unit": F.lit("mm"), "title": F.lit(None).cast("string")})
-    return pipeline.exported(t, _actions(spark, sf_dir))
+    return pipeline.exported(t, _actions(spark, sf_dir)).withColumn("kilobytes", r6(F.col("kilobytes")))

@@ -177,6 +177,11 @@ def file_name(name: Column, extension: str) -> Column:
     return F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit(f"_traced.{extension}"))
 
 
+def vector_exports(images: DataFrame, edited: str) -> DataFrame:
+    """image_id and vector_export: PDF and DXF hold no marks, so they are offered only where no row of the image is edited."""
+    return images.groupBy("image_id").agg((F.count_if(F.col(edited)) == 0).alias("vector_export"))
+
+
 def write_svg(drawings: DataFrame, path: str) -> None:
     """One row a drawing, in folders by image."""
     drawings.select("image_id", "svg").write.partitionBy("image_id").text(path)

@@ -110,15 +110,22 @@ def pixel_batches(image_id: int, width: int, rgba: np.ndarray) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=["image_id", "x", "y", "r", "g", "b", "a"])
 
 
+def block_error(w: Column, h: Column, n_bytes: Column) -> Column:
+    """Null, or why so many bytes are no image of w x h."""
+    return F.when((w <= 0) | (h <= 0), F.lit("an image has no side of zero or less")).when(w.cast("long") * h * 4 != n_bytes, F.format_string("%d bytes are not %d x %d pixels", n_bytes.cast("long"), w, h))
+
+
 def unpack(blocks: DataFrame) -> DataFrame:
-    """pack() undone; an image's bytes are read once, whatever its size."""
+    """pack() undone; an image's bytes are read once, whatever its size. A block whose size is not that of its bytes fails the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image_id, width, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 yield from pixel_batches(image_id, width, np.frombuffer(data.as_buffer() or b"", np.uint8).reshape(-1, 4))
 
-    return blocks.select("image_id", "width", "data").mapInArrow(run, PIXELS)
+    error = block_error(F.col("width"), F.col("height"), F.length("data"))
+    checked = blocks.where(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(True))
+    return checked.select("image_id", "width", "data").mapInArrow(run, PIXELS)
 
 
 def within_budget(px: DataFrame, most: int = MAX_PIXELS) -> DataFrame:
