@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_key, wrapped
+from .common import BROADCAST_ROWS, checkpointed, text_key, wrapped
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,13 @@ KINDS = {
     "pem": Kind(PEM, 2, 6, head=1, between=r"""\\[nrt]|[^A-Za-z0-9+/=]"""),
 }
 BASE = ("assign", "access", "hex")
-#: What every text with a span has, in one pattern.
-ANY = "|".join([KINDS["assign"].pattern, "AKIA[A-Z0-9]{16}", "[0-9a-f]{24}", "gh[opsu]_[A-Za-z0-9]{36}", "(?<![A-Za-z0-9_-])eyJ", "-----BEGIN [A-Z ]*PRIVATE KEY"])
+#: What a text must hold for spans of a kind, where that is found sooner than the pattern is.
+HINTS = {
+    "assign": lambda text: reduce(lambda a, b: a | b, [F.lower(text).contains(part) for part in ("passw", "secret", "token", "api")]),
+    "access": lambda text: text.contains("AKIA"),
+    "jwt": lambda text: text.contains("eyJ"),
+    "pem": lambda text: text.contains("-----BEGIN "),
+}
 #: Distinct owners, and distinct documents, from which on a value counts as a copied example.
 SHARED_OWNERS, SHARED_REPOSITORIES = 3, 20
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,from:int,to:int>>"
@@ -77,6 +83,17 @@ def _running(numbers: Column, total: Callable[[Column], Column] = _sum, add: Cal
     return _let(cut, lambda blocks: _let(F.transform(blocks, total), lambda sums: F.flatten(F.transform(blocks, lambda one, b: _let(F.coalesce(total(F.slice(sums, F.lit(1), b)), F.lit(0)), lambda base: within(one, base))))))
 
 
+def _may(text: Column, kind: str) -> Column:
+    """Whether a text has a match of a kind."""
+    found = text.rlike(KINDS[kind].pattern)
+    return HINTS[kind](text) & found if kind in HINTS else found
+
+
+def has_any(text: Column) -> Column:
+    """Whether a text has a match of any kind."""
+    return reduce(lambda a, b: a | b, [_may(text, kind) for kind in KINDS])
+
+
 def _spans(text: Column, kind: str) -> Column:
     """Array of SPAN of the matches that pass; positions in code points, end exclusive; the value stands between from and to."""
     k, rank, none = KINDS[kind], list(KINDS).index(kind), F.array().cast(SPAN)
@@ -93,13 +110,15 @@ def _spans(text: Column, kind: str) -> Column:
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"), begin.alias("from"), (begin + F.length(m["value"])).alias("to"))
 
     found = _let(rows, lambda r: _let(F.transform(r, lambda m: m["gap"] + m["size"]), lambda steps: _let(_running(steps), lambda ends: F.transform(r, lambda m, i: span(m, F.get(ends, i))))))
-    return F.when(text.rlike(k.pattern), F.filter(found, lambda s: F.length(s["value"]) >= k.least).cast(SPAN)).otherwise(none)
+    return F.when(_may(text, kind), F.filter(found, lambda s: F.length(s["value"]) >= k.least).cast(SPAN)).otherwise(none)
 
 
 def all_spans(text: Column) -> Column:
     """All spans of a text by start, then kind as KINDS lists them."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(text.rlike(ANY), F.array_sort(F.concat(*[_spans(text, kind) for kind in KINDS]))).otherwise(F.array().cast(SPAN))
+    found = F.array_sort(F.concat(*[_spans(text, kind) for kind in KINDS]))
+    # lambdas are interpreted, and so is what stands around them; the condition is not
+    return F.when(has_any(text), found).otherwise(F.array().cast(SPAN))
 
 
 def _joined(spans: Column) -> Column:
@@ -191,23 +210,24 @@ def _masked(text: Column, places: Column, mask: str) -> Column:
     return _let(pieces, lambda x: _let(F.length(text), lambda size: _let(F.array_sort(places), lambda spots: _let(ends(spots), lambda e: cut(x, size, spots, e)))))
 
 
-def redact(docs: DataFrame, text: str = "text", owner: str = "source", mask: str = "[SECRET]", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", mask: str = "[SECRET]", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES, most: int = BROADCAST_ROWS) -> DataFrame:
     """docs with mask in place of the value of every live-looking span; examples stay.
 
     Only the values' own places change: the same characters elsewhere in a text are
-    prose. All rows and columns are kept; only rows whose text may hold a candidate
-    are joined with the verdicts, the others are passed on where they are. Rows with
-    a null text stay as they are; rows with one doc_id and different texts are each
-    masked by their own spans.
+    prose. All rows and columns are kept. Up to most places to mask are broadcast;
+    with more, the rows whose text has a candidate are joined with them by shuffle,
+    and the others passed on where they are. Rows with a null text stay as they are;
+    rows with one doc_id and different texts are each masked by their own spans.
     """
     slim = scanned(docs, text, owner)
     live = verdicts(slim, shared_owners, shared_repositories).where("live").select("hash")
     place = F.struct(F.col("s.from").alias("start"), F.col("s.to").alias("end"))
     values = slim.select("doc_id", "text_key", F.explode("spans").alias("s")).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), place.alias("place"), value_hash(F.col("s.value")).alias("hash"))
-    by_doc = values.join(live, "hash").groupBy("id_", "key_").agg(F.collect_set("place").alias("places_"))
-    old = F.col(f"row_.{text}")
-    rows = wrapped(docs)
-    may = F.coalesce(old.cast("string").rlike(ANY), F.lit(False))
-    found = rows.where(may).join(checkpointed(by_doc), F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (text_key(old) == F.col("key_")), "left")
+    by_doc = checkpointed(values.join(live, "hash").groupBy("id_", "key_").agg(F.collect_set("place").alias("places_")))
+    old, rows = F.col(f"row_.{text}"), wrapped(docs)
+    same = F.col("row_.doc_id").eqNullSafe(F.col("id_")) & (text_key(old) == F.col("key_"))
     changed = [F.when(F.col("places_").isNotNull(), _masked(old, F.col("places_"), mask)).otherwise(old).alias(c) if c == text else F.col(f"row_.`{c}`").alias(c) for c in docs.columns]
-    return rows.where(~may).select("row_.*").union(found.select(*changed))
+    if (by_doc.agg(F.sum(F.size("places_") + 1)).first()[0] or 0) <= most:
+        return rows.join(F.broadcast(by_doc), same, "left").select(*changed)
+    may = F.coalesce(has_any(old.cast("string")), F.lit(False))
+    return rows.where(~may).select("row_.*").union(rows.where(may).join(by_doc, same, "left").select(*changed))

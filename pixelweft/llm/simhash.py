@@ -35,7 +35,7 @@ BITS = 64
 #: Rows of one key that are searched together, and rows up to which a group's pairs are looked at one by one.
 BLOCK, FEW = 4096, 64
 #: Words hashed at once; bounds the memory that a long text takes. Pairs looked at at once.
-PIECE, PAIRS = 1 << 16, 1 << 20
+PIECE, PAIRS = 1 << 16, 1 << 17
 
 
 def _mask(first: int, width: int) -> int:

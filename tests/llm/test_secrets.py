@@ -53,6 +53,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[4].base_sha256 == by[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[None].n_assign == by[7].n_assign == 1
     assert secrets.secret_scan(no_docs).count() == 0
+    assert secrets.redact(odd_docs, most=0).count() == odd_docs.count()
     out = secrets.redact(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert secrets.redact(no_docs).count() == 0
@@ -74,6 +75,7 @@ def test_only_the_values_of_spans_are_masked(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((r.text or "" for r in secrets.redact(docs).collect()))
+    assert got == sorted(r.text or "" for r in secrets.redact(docs, most=0).collect())
     assert got == sorted(["common words, token=[SECRET], é common", "é password: '[SECRET]' and api_key=[SECRET]", "another text with passwd = [SECRET]", "", "secret=[SECRET] secret=[SECRET]"])
 
 
