@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard as zstd
 
 from pixelweft.llm import labelled, quality, toxicity
 
@@ -46,6 +47,30 @@ def test_quality(tables):
     assert kept.count() == scores.where("predicted = 1").count()
 
 
+def test_quality_scores_are_those_of_plain_compression(tables):
+    """End to end against a plain version: dictionaries, sizes piece by piece, and a curve found by gradient steps."""
+    rows = labelled.sample(*tables, "quality", quality.SAMPLE)
+    pieces = lambda t: [(t or "").encode()[a : a + 2048] for a in range(0, len((t or "").encode()), 2048)]
+    first, rest = rows[::2], rows[1::2]
+    coders = [zstd.ZstdCompressor(level=3, dict_data=zstd.train_dictionary(40_000, [p for t in first[first.y == y].text for p in pieces(t)]), write_checksum=False, write_content_size=False, write_dict_id=False) for y in (1, 0)]
+
+    def measured(t):
+        good, bad = (sum(len(c.compress(p)) for p in pieces(t)) for c in coders)
+        n = len((t or "").encode())
+        return [(bad - good) / (bad + good), min(bad, good) / n, np.log1p(n)] if n else [0, 0, 0]
+
+    x, y = np.array([measured(t) for t in rest.text]), rest.y.to_numpy(float)
+    mean, std = x.mean(0), x.std(0)
+    a, w = np.c_[(x - mean) / std, np.ones(len(x))], np.zeros(4)
+    for _ in range(60_000):
+        w += 4 * a.T @ (y - 1 / (1 + np.exp(-a @ w))) / len(a)
+    got = {r.doc_id: r.score for r in quality.quality_scores(*tables).collect()}
+    texts = {r.doc_id: r.text for r in tables[0].collect()}
+    want = {i: 1 / (1 + np.exp(-(np.r_[(np.array(measured(t)) - mean) / std, 1] @ w))) for i, t in texts.items()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 0.01
+
+
 def test_toxicity(tables):
     scores = toxicity.toxicity_scores(*tables)
     rows = held_out(scores, tables[1], "toxic")
