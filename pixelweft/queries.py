@@ -572,7 +572,12 @@ def _quantize_sql(colors: int, rounds: int = 10) -> str:
 _QUANTIZE = f"{_HIST}, {_LAB}, {_quantize_sql(8)}"
 
 
-@query(_QUANTIZE + " SELECT p.image_id, x, y, " + ", ".join(f"CAST(coalesce(new_rgb >> {k} & 255, {c}) AS INTEGER) AS {c}" for k, c in ((16, "r"), (8, "g"), (0, "b"))) + ", a FROM (SELECT px.*, CASE WHEN a < 128 THEN dom.rgb ELSE r * 65536 + g * 256 + b END AS old FROM px JOIN dom USING (image_id)) p LEFT JOIN moved m ON m.image_id = p.image_id AND m.rgb = p.old")
+QUANTIZED = (
+    "SELECT p.image_id, x, y, " + ", ".join(f"CAST(coalesce(new_rgb >> {k} & 255, {c}) AS INTEGER) AS {c}" for k, c in ((16, "r"), (8, "g"), (0, "b"))) + ", a FROM (SELECT px.*, CASE WHEN a < 128 THEN dom.rgb ELSE r * 65536 + g * 256 + b END AS old FROM px JOIN dom USING (image_id)) p LEFT JOIN moved m ON m.image_id = p.image_id AND m.rgb = p.old"
+)
+
+
+@query(f"{_QUANTIZE} {QUANTIZED}")
 def f06_quantize(spark, sf_dir):
     return color.quantize(px(spark, sf_dir), 8)
 
@@ -1249,7 +1254,23 @@ def j11_stale_versions(spark, sf_dir):
     return v.join(newest, "path").where("v < m").select("path", "v")
 
 
-@query()
+def _median_sql(t: str) -> str:
+    near = f"SELECT c.image_id, c.x, c.y, c.r AS cr, c.g AS cg, c.b AS cb, c.a AS ca, n.r, n.g, n.b, n.a FROM {t} c JOIN {t} n ON n.image_id = c.image_id AND n.x BETWEEN c.x - 1 AND c.x + 1 AND n.y BETWEEN c.y - 1 AND c.y + 1"
+    lists = ", ".join(f"list_sort(list({c}) FILTER (a >= 128)) AS l{c}, any_value(c{c}) AS c{c}" for c in "rgb")
+    return f"(SELECT image_id, x, y, {', '.join(f'CASE WHEN a >= 128 THEN l{c}[len(l{c}) // 2 + 1] ELSE c{c} END AS {c}' for c in 'rgb')}, a FROM (SELECT image_id, x, y, {lists}, any_value(ca) AS a FROM ({near}) GROUP BY image_id, x, y))"
+
+
+_MODE = "(SELECT p.image_id, p.x, p.y, coalesce(m.r, p.r) AS r, coalesce(m.g, p.g) AS g, coalesce(m.b, p.b) AS b, p.a FROM {t} p LEFT JOIN (SELECT c.image_id, c.x, c.y, n.r, n.g, n.b FROM {t} c JOIN {t} n ON n.image_id = c.image_id AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1 WHERE n.a >= 128 AND c.a >= 128 GROUP BY ALL HAVING count(*) >= 5) m USING (image_id, x, y))"
+_C01 = f"""raw AS ({_PX[len("px AS ("):-1]}), bin AS (SELECT image_id, x, y, r, g, b, CASE WHEN a >= 128 THEN 255 ELSE 0 END AS a FROM raw), med AS MATERIALIZED {_median_sql('bin')}, px AS MATERIALIZED {_median_sql('med')},
+    {_QUANTIZE}, flat8 AS MATERIALIZED ({QUANTIZED}), modal AS MATERIALIZED {_MODE.format(t='flat8')}, {_BG.replace('px', 'modal')},
+    gaps AS (SELECT m.image_id, m.r * 65536 + m.g * 256 + m.b AS rgb, min(m.y * 25 + m.x) AS f, max(greatest(abs(m.r - bg.r), abs(m.g - bg.g), abs(m.b - bg.b))) AS gap, any_value(bg.r * 65536 + bg.g * 256 + bg.b) AS own FROM modal m JOIN bg USING (image_id) WHERE m.a >= 128 GROUP BY ALL),
+    aim AS (SELECT image_id, CASE WHEN min(gap) <= {region.SNAP} THEN arg_min(rgb, gap * 100000 + f) ELSE any_value(own) END AS rgb FROM gaps GROUP BY image_id),
+    cut AS MATERIALIZED (SELECT p.image_id, x, y, p.r, p.g, p.b, CASE WHEN {_distance_sql(('p.r', 'p.g', 'p.b'), ('(aim.rgb >> 16)', '(aim.rgb >> 8 & 255)', '(aim.rgb & 255)'))} <= 16 THEN 0 ELSE a END AS a FROM modal p JOIN aim USING (image_id)),
+    worn AS MATERIALIZED (SELECT p.* REPLACE (CASE WHEN a >= 128 AND {_NEAR4.format(t='cut')} THEN 0 ELSE a END AS a) FROM cut p),
+    ring AS MATERIALIZED (SELECT p.*, CASE WHEN a < 128 THEN 0 WHEN {_NEAR4.format(t='worn')} THEN 1 END AS d FROM worn p)"""
+
+
+@query(f"{_C01} SELECT image_id, x, y, r, g, b, a FROM {_repaint('ring', 1)}", "unused AS (SELECT 1)")
 def c01_preprocess(spark, sf_dir):
     return pipeline.preprocess(px(spark, sf_dir), pipeline.Settings(colors=8, denoise=True, transparent="auto", edge_trim=1, defringe=1))
 
