@@ -7,12 +7,15 @@ its answer. That bound, divided by the lengths, is the cosine a vector of anothe
 bucket must reach: where it is above one the bucket is skipped; where it is high
 (COORDINATE or more) the few largest coordinates of the query confine the
 candidates' coordinates to intervals; else lengths alone prune. What is left is
-verified by exact products. Queries are streamed past a bucket in blocks, and only
-each bucket's best k of a query are sent on.
+verified by exact products. Queries are dealt into parts by the length that their
+bounds ask for, so a bucket is sent to the parts that may need it and to no others;
+they are streamed past it in blocks, and only each bucket's best k of a query are sent
+on.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -28,6 +31,8 @@ LEVEL = 1.05
 BUCKET = 16_384
 #: Queries that meet the candidates at a time, and rows of one task of the first round.
 QUERIES = 1024
+#: Queries of one part, about.
+PART = 16 * QUERIES
 #: Local cosine from which on coordinates prune better than lengths do.
 COORDINATE = 0.8
 FOCUS = 4
@@ -189,20 +194,34 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
         first[level] = sum(e[2] for e in ends)
         ends.append((level, first[level], n))
     spark = vectors.sparkSession
-    table = spark.createDataFrame([(lv, a, n, LEVEL ** (lv + 1) * (1 + 1e-9) if lv > -1_000_000 else 0.0) for lv, a, n in ends], "level int, first int, n int, longest double")
-    placed = rows.join(F.broadcast(table), "level").withColumn("bucket", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int"))
+    table = spark.createDataFrame(ends, "level int, first int, n int")
+    bucket_of = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int")
+    placed = rows.join(F.broadcast(table), "level").withColumn("bucket", bucket_of)
     queries = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "vec", "norm")
-    n_queries = queries.count()
-    parts = max(1, math.ceil(n_queries / (16 * QUERIES)))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     # first round: the longest bucket, for a bound on each answer
-    start = _met(placed.where("bucket = 0").select("bucket", every.alias("part"), "vec_id", "vec"), queries.select(F.lit(0).alias("bucket"), part.alias("part"), "vec_id", "vec", F.lit(None).cast("double").alias("bound")), k)
+    parts = max(1, math.ceil(queries.count() / PART))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(1)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    start = _met(placed.where("bucket = 0").select("bucket", every(F.lit(parts)).alias("part"), "vec_id", "vec"), queries.select(F.lit(0).alias("bucket"), dealt(F.lit(parts)).alias("part"), "vec_id", "vec", F.lit(None).cast("double").alias("bound")), k)
     begun = checkpointed(_top(start, k))
     bounds = begun.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") == k).select(F.col("query_id").alias("vec_id"), F.col("s").cast("double").alias("bound"))
-    bounded = queries.join(bounds, "vec_id", "left")
-    # other rounds: all buckets that are long enough
-    reach = bounded.join(F.broadcast(table), F.col("bound").isNull() | (F.col("norm") * F.col("longest") >= F.col("bound")))
-    met = reach.select("vec_id", "vec", "bound", part.alias("part"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("bucket")).where("bucket > 0")
-    more = _met(placed.where("bucket > 0").select("bucket", every.alias("part"), "vec_id", "vec"), met, k)
+    need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.floor(F.log(F.col("bound") / F.col("norm")) / math.log(LEVEL)).cast("int")).otherwise(-1_000_000)
+    bounded = checkpointed(queries.join(bounds, "vec_id", "left").withColumn("need", need))
+    # other rounds: all buckets that are long enough; parts stand by the length they need, so a bucket meets the first so many
+    asked, low, n_parts = [], [], 0
+    for level, n in sorted((r["need"], r["n"]) for r in bounded.groupBy("need").agg(F.count("*").alias("n")).collect()):  # a row a level again
+        own = math.ceil(n / PART)
+        asked.append((level, n_parts, own))
+        low += [LEVEL**level * (1 - 1e-9) if level > -1_000_000 else 0.0] * own
+        n_parts += own
+    if not asked:
+        return begun.select("query_id", "rank", "vec_id", "score")
+    longest = {lv: LEVEL ** (lv + 1) * (1 + 1e-9) if lv > -1_000_000 else 0.0 for lv, _, _ in ends}
+    table = spark.createDataFrame([(lv, a, n, longest[lv], bisect.bisect_right(low, longest[lv])) for lv, a, n in ends], "level int, first int, n int, longest double, parts int")
+    asking = spark.createDataFrame(asked, "need int, part int, own int")
+    placed = rows.join(F.broadcast(table), "level").withColumn("bucket", bucket_of).where("bucket > 0 and parts > 0")
+    reach = bounded.join(F.broadcast(asking), "need").select("vec_id", "vec", "norm", "bound", (F.col("part") + dealt(F.col("own"))).alias("part"))
+    reach = reach.join(F.broadcast(table), F.col("bound").isNull() | (F.col("norm") * F.col("longest") >= F.col("bound")))
+    met = reach.select("vec_id", "vec", "bound", "part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("bucket")).where("bucket > 0")
+    more = _met(placed.select("bucket", every(F.col("parts")).alias("part"), "vec_id", "vec"), met, k)
     return _top(begun.select("query_id", "vec_id", "score").union(more), k).select("query_id", "rank", "vec_id", "score")

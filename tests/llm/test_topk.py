@@ -18,9 +18,10 @@ def rows_of(df):
     return {(r.query_id, r.rank, r.vec_id, r.score) for r in df.collect()}
 
 
-@pytest.mark.parametrize("bucket", [16_384, 40])
-def test_against_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket,part", [(16_384, 16_384), (40, 5)])
+def test_against_brute_force(spark, monkeypatch, bucket, part):
     """Lengths over five orders, near copies (high cosines, so coordinates prune), ties and opposite vectors."""
+    monkeypatch.setattr(topk, "PART", part)
     r = np.random.default_rng(4)
     vectors = []
     for i in range(600):
@@ -31,7 +32,7 @@ def test_against_brute_force(spark, bucket):
             v = np.array(vectors[-1][1])
         vectors.append((i, [float(x) for x in v]))
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    assert rows_of(topk.top_k(df, bucket=bucket)) == brute(vectors)
+    assert rows_of(topk.top_k(df, bucket=bucket, query_every=10)) == brute(vectors, every=10)
 
 
 def test_coordinate_and_length_pruning_agree():
