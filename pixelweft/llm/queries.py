@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, mixing, quality, secrets, simhash, topk, toxicity, warc
+from . import chat, decontam, html_extract, mixing, quality, runs, secrets, simhash, topk, toxicity, warc
 from .common import read_table
 
 
@@ -53,8 +54,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", runs.repeated_from(F.col("doc_id"), F.col("text")).alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = runs.period_runs(docs, digest=True).select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+    start, length, period = -F.col("best.before"), F.col("best.length"), -F.col("best.less")
+    return found.select("doc_id", "n_words", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_secrets, op3_mixing, op4_decontamination, op5_chat, op6_warc, op7_html, op8_topk, op9_toxicity, op10_quality)
+    f.__name__: f for f in (op1_simhash, op2_secrets, op3_mixing, op4_decontamination, op5_chat, op6_warc, op7_html, op8_topk, op9_toxicity, op10_quality, op13_runs)
 }
 
 
@@ -108,4 +118,22 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "op13_runs": f"""
+        WITH t AS (SELECT range AS i, list_reduce(list_prepend(range, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256)),
+        tab AS (SELECT list(v ORDER BY i) AS tab FROM t),
+        d AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS o FROM documents),
+        h AS (SELECT d.*, len(o) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ord(substr(CAST(doc_id AS VARCHAR), k, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c & 255, b) + 1)::BIGINT])), 4294967295) AS h FROM d, tab),
+        p AS (SELECT *, h // 10 AS g FROM h),
+        r AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM p),
+        w AS (SELECT uid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(o[1:a], list_transform(range(0, n - a), lambda i: o[a + i % (1 + (n - a) // (3 + g % 8)) + 1])) ELSE o END AS w FROM r),
+        x AS (SELECT uid, n, i, w[i + 1] AS v FROM (SELECT uid, n, w, unnest(range(0, n)) AS i FROM w)),
+        e AS (SELECT a.uid, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.uid = b.uid AND a.v = b.v AND b.i > a.i AND b.i - a.i <= a.n // {runs.TIMES}),
+        g AS (SELECT uid, q, min(i) AS s, count(*) AS m FROM (SELECT uid, q, i, i - row_number() OVER (PARTITION BY uid, q ORDER BY i) AS isle FROM e) GROUP BY uid, q, isle),
+        f AS (SELECT uid, q, s, m + q AS l FROM g WHERE m + q >= greatest({runs.LEAST}, {runs.TIMES} * q)),
+        u AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f k WHERE k.uid = f.uid AND k.q < f.q AND f.q % k.q = 0 AND k.s <= f.s AND k.s + k.l >= f.s + f.l)),
+        z AS (SELECT uid, count(*) AS n_runs, max({{'l': l, 's': -s, 'q': -q}}) AS best, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM u GROUP BY uid),
+        gone AS (SELECT DISTINCT uid, unnest(range(s + q, s + l)) AS i FROM u),
+        kept AS (SELECT uid, string_agg(v, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (uid, i) GROUP BY uid)
+        SELECT doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.q AS period, 1000 * best.l // -best.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM w LEFT JOIN z USING (uid) LEFT JOIN kept USING (uid)""",
 }
