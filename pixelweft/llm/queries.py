@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, mixing, quality, runs, secrets, simhash, topk, toxicity, warc
+from . import chat, decontam, html_extract, mixing, negatives, quality, runs, secrets, simhash, topk, toxicity, warc
 from .common import read_table
 
 
@@ -54,6 +54,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", runs.repeated_from(F.col("doc_id"), F.col("text")).alias("text"))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
@@ -64,7 +69,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_secrets, op3_mixing, op4_decontamination, op5_chat, op6_warc, op7_html, op8_topk, op9_toxicity, op10_quality, op13_runs)
+    f.__name__: f for f in (op1_simhash, op2_secrets, op3_mixing, op4_decontamination, op5_chat, op6_warc, op7_html, op8_topk, op9_toxicity, op10_quality, op11_hard_negatives, op13_runs)
 }
 
 
@@ -118,6 +123,14 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.r <> a.r AND len(c.e) = len(a.e)),
+        p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+        g AS (SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+              FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score WHERE p.n <= 5)
+        SELECT * FROM g WHERE rank <= 10""",
     "op13_runs": f"""
         WITH t AS (SELECT range AS i, list_reduce(list_prepend(range, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256)),
         tab AS (SELECT list(v ORDER BY i) AS tab FROM t),

@@ -40,11 +40,11 @@ FOCUS = 4
 EXACT = float(1 << 53)
 
 
-def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, vec (floor(scale x), doubles) and norm; rows with a null vector, or with null or non-finite components, are left out."""
+def quantized(vectors: DataFrame, scale: int = 256, *more: str) -> DataFrame:
+    """vec_id, vec (floor(scale x), doubles), norm and more columns of vectors; rows with a null vector, or with null or non-finite components, are left out."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     ok = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * float(scale)).cast("double")).alias("vec"))
+    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * float(scale)).cast("double")).alias("vec"), *more)
     return rows.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, c: a + c * c)))
 
 
