@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, mixing, negatives, quality, runs, secrets, simhash, topk, toxicity, warc
+from . import chat, decontam, html_extract, mixing, negatives, quality, runs, secrets, simhash, topk, toxicity, urls, warc
 from .common import read_table
 
 
@@ -59,6 +59,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
 
 
+URL_RULES = [("com/", urls.ALLOW), ("example.com/en/", urls.BLOCK), ("www.example.com/en/", urls.ALLOW), ("net/es/", urls.BLOCK), ("net/fr/", urls.BLOCK)]
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", runs.repeated_from(F.col("doc_id"), F.col("text")).alias("text"))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
@@ -69,7 +76,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_secrets, op3_mixing, op4_decontamination, op5_chat, op6_warc, op7_html, op8_topk, op9_toxicity, op10_quality, op11_hard_negatives, op13_runs)
+    f.__name__: f for f in (op1_simhash, op2_secrets, op3_mixing, op4_decontamination, op5_chat, op6_warc, op7_html, op8_topk, op9_toxicity, op10_quality, op11_hard_negatives, op12_urls, op13_runs)
 }
 
 
