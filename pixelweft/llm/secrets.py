@@ -35,12 +35,13 @@ class Kind:
 
 
 #: A key block: the begin line and headers (group 1), the key's characters (group 2), the end line; without an end line up to the last line of base64.
-_BREAK = r"(?:\s|\\[nrt])"
+#: Headers stand after breaks, one a line or (in a text of one line) of one word each. Nothing that has been read is read in another way again, so a text of any kind takes time in proportion.
+_BREAK = r"(?:\s|\\+[nrt])"
 _RUN = r"[A-Za-z0-9+/=]"
 PEM = (
-    rf"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_BREAK}{{0,9}}[A-Z][A-Za-z-]{{0,30}}+: [^\r\n\\]*){{0,9}}[\s\\nrt\"',+]{{0,60}}?)"
+    rf"(-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----(?>{_BREAK}{{1,9}}+[A-Z][A-Za-z-]{{0,30}}+: (?>(?:(?!-----)[^\r\n\\]){{0,200}}+(?=[\r\n\\])|[^\s\\]++)){{0,9}}+(?:[\s\"',+]|\\+[nrt]){{0,60}}+)"
     rf"({_RUN}[A-Za-z0-9+/=\s\\\"',]*+(?=-----END [A-Z ]*PRIVATE KEY-----)|{_RUN}{{16,}}+(?:(?:\s|\\[nr]){{1,9}}{_RUN}{{16,}}+){{0,500}}(?:(?:[\r\n]|\\[nr]){{1,4}}[\x20\t]*+{_RUN}{{1,15}}+(?=[\s\"'\\]|$))?)"
-    r"(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+    r"(?:-----END [A-Z ]*+(?<=PRIVATE KEY)-----)?"
 )
 #: The first three are the base kinds, in their order.
 KINDS = {

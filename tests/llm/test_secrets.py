@@ -3,6 +3,9 @@ import random
 import re
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from pixelweft.llm import secrets
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -148,3 +151,44 @@ def test_time_grows_in_proportion_to_the_text(spark):
     assert got[1].spans.split(",")[-1] == f"hex:{len(many) - 32}:{len(many)}"
     assert clean[1] == " ".join(["[SECRET]"] * 32_000)
     assert all(clean[i] == t for i, t in rows if i != 1)
+
+
+HOSTILE = {
+    "assign": ["password" * 130_000, "token=" + " " * 1_000_000, "secret\" : " * 80_000, "api_key = '" * 90_000, "password=" + "=" * 1_000_000],
+    "access": ["AKIA" * 250_000, "AKIAA" * 200_000 + "!", "AKIA0123456789ABCDE " * 50_000],
+    "hex": ["0123456789abcdef0123456 " * 40_000, "a" * 1_000_000, "abcdefg" * 140_000],
+    "pat": ["ghp_" * 250_000, "gho_abc " * 120_000, "ghp_" + "a_" * 500_000],
+    "jwt": ["eyJabcdef" * 120_000, "-eyJabcdef" * 100_000, "eyJabcdefgh.eyJ" * 70_000, ("." + "eyJaaaaaaaa") * 90_000],
+    "pem": [
+        "-----BEGIN PRIVATE KEY-----" + "A: !" * 28,
+        "-----BEGIN RSA PRIVATE KEY----- " + "Name: Host: Port: User: Path: " * 9 + "<missing>",
+        "-----BEGIN PRIVATE KEY-----" + "A: !" * 250_000,
+        "-----BEGIN RSA PRIVATE KEY----- " + "Name: Host: Port: " * 60_000 + "<missing>",
+        "-----BEGIN PRIVATE KEY-----" + "\nA: b" * 200_000,
+        "-----BEGIN PRIVATE KEY-----" + "n " * 500_000,
+        "-----BEGIN PRIVATE KEY-----" + "n" * 1_000_000,
+        "-----BEGIN PRIVATE KEY-----" + "\\n" * 300_000 + "+" * 300_000,
+        "-----BEGIN PRIVATE KEY-----\n" * 35_000,
+        "-----BEGIN " + "PRIVATE KEY " * 80_000,
+        "-----BEGIN PRIVATE KEY-----\n" + ("a" * 16 + " ") * 60_000 + "-----END " + "PRIVATE KEY" * 1000,
+    ],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_hostile_lines(spark, kind):
+    """No line of any kind holds a task up: a megabyte of it takes seconds, a short one none that can be told."""
+    texts = HOSTILE[kind]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).repartition(len(texts))
+    secrets.secret_scan(docs.limit(1)).collect()
+    began = time.time()
+    assert secrets.secret_scan(docs).count() == len(texts)
+    assert time.time() - began < 30
+
+
+def test_headers_of_a_key_in_one_line(spark):
+    body = "QUJD" * 16
+    rows = [f"-----BEGIN RSA PRIVATE KEY-----{sep}Proc-Type: 4,ENCRYPTED{sep}DEK-Info: AES-128-CBC,0A1B{sep}{sep}{body}{sep}{body}{sep}-----END RSA PRIVATE KEY-----{tail}" for sep in ("\n", " ", "\\n", "\r\n") for tail in ("", "\n", " and more\n")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r.text for r in secrets.redact(docs, shared_owners=9, shared_repositories=99).collect()}
+    assert all("QUJD" not in got[i] and got[i].startswith("-----BEGIN RSA PRIVATE KEY-----") for i in range(len(rows)))
