@@ -57,14 +57,14 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Bucket:
     """Candidates of one bucket, longest first; for one dimension."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         norms = np.sqrt((x * x).sum(axis=1))
         order = np.lexsort((ids, -norms))
-        self.ids, self.x, self.norms = ids[order], x[order], norms[order]
+        self.rows, self.ids, self.x, self.norms = rows[order], ids[order], x[order], norms[order]
         self.unit = None
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, candidate, score) of each query's best k here that are not below its bound."""
+    def search(self, q_rows: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query's row, candidate's id, score) of each query's best k here that are not below its bound; a query's own row is none."""
         out: list[tuple[int, int, int]] = []
         if not len(self.ids):
             return out
@@ -76,7 +76,7 @@ class Bucket:
         near = cosine <= slack
         by_coordinate = near & (cosine >= COORDINATE)
         for i in np.flatnonzero(by_coordinate):
-            self._take(out, q_ids[i], self._by_coordinate(q[i] / q_norm[i], cosine[i] / slack), q[i], bound[i], k)
+            self._take(out, q_rows[i], self._by_coordinate(q[i] / q_norm[i], cosine[i] / slack), q[i], bound[i], k)
         rest = np.flatnonzero(near & ~by_coordinate)
         if len(rest):
             # a prefix of the bucket is long enough for some query of the block
@@ -85,7 +85,7 @@ class Bucket:
             n = int(np.searchsorted(-self.norms, -need, side="right"))
             scores = _products(q[rest], self.x[:n])
             for i, row in zip(rest, scores):
-                self._best(out, q_ids[i], self.ids[:n], row, bound[i], k)
+                self._best(out, q_rows[i], slice(n), row, bound[i], k)
         return out
 
     def _by_coordinate(self, unit: np.ndarray, cosine: float) -> np.ndarray:
@@ -103,21 +103,22 @@ class Bucket:
             rows = rows[(v >= lo - 1e-9) & (v <= hi + 1e-9)]
         return rows
 
-    def _take(self, out: list, q_id: int, rows: np.ndarray, q: np.ndarray, bound: float, k: int) -> None:
-        if len(rows):
-            self._best(out, q_id, self.ids[rows], _products(q[None], self.x[rows])[0], bound, k)
+    def _take(self, out: list, q_row: int, places: np.ndarray, q: np.ndarray, bound: float, k: int) -> None:
+        if len(places):
+            self._best(out, q_row, places, _products(q[None], self.x[places])[0], bound, k)
 
-    def _best(self, out: list, q_id: int, ids: np.ndarray, scores: np.ndarray, bound: float, k: int) -> None:
-        at = np.flatnonzero((scores >= bound) & (ids != q_id))
+    def _best(self, out: list, q_row: int, places: np.ndarray | slice, scores: np.ndarray, bound: float, k: int) -> None:
+        ids = self.ids[places]
+        at = np.flatnonzero((scores >= bound) & (self.rows[places] != q_row))
         if len(at) > k:
             least = np.partition(scores[at], len(at) - k)[len(at) - k]
             at = at[scores[at] >= least]
             at = at[np.lexsort((ids[at], -scores[at]))[:k]]
-        out += [(q_id, int(ids[i]), int(scores[i])) for i in at]
+        out += [(q_row, int(ids[i]), int(scores[i])) for i in at]
 
 
 def _search(k: int):
-    """Rows (bucket, part, query, vec_id, vec, bound), candidates before queries -> (query_id, vec_id, score)."""
+    """Rows (bucket, part, query, row, vec_id, vec, bound), candidates before queries -> (query_row, vec_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, buckets, queue = None, [], None, []
@@ -132,26 +133,29 @@ def _search(k: int):
                     out += buckets[d].search(np.array([r[0] for r in some]), np.array([r[1] for r in some], dtype=float).reshape(len(some), d), np.array([r[2] for r in some]), k)
             if out:
                 cols = list(zip(*out))
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_row", "vec_id", "score"])
             return None
 
         for batch in batches:
-            cols = [batch.column(i) for i in range(6)]
-            flat = cols[4].flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum([0, *cols[4].value_lengths().to_pylist()])
-            for i, (b, p, is_query, vec_id, bound) in enumerate(zip(*(cols[j].to_pylist() for j in (0, 1, 2, 3, 5)))):
+            cols = batch.columns
+            flat = cols[5].flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *cols[5].value_lengths().to_pylist()])
+            for i, (b, p, is_query, row, vec_id, bound) in enumerate(zip(*(cols[j].to_pylist() for j in (0, 1, 2, 3, 4, 6)))):
                 if (b, p) != now:
                     if queue and buckets is not None and (got := answer()):
                         yield got
                     now, held, buckets, queue = (b, p), [], None, []
                 vec = flat[ends[i] : ends[i + 1]]
                 if not is_query:
-                    held.append((vec_id, vec))
+                    held.append((row, vec_id, vec))
                     continue
                 if buckets is None:
-                    buckets = {d: Bucket(np.array([v for v, x in held if len(x) == d]), np.array([x for _, x in held if len(x) == d], dtype=float).reshape(-1, d)) for d in {len(x) for _, x in held}}
+                    buckets = {}
+                    for d in {len(h[2]) for h in held}:
+                        some = [h for h in held if len(h[2]) == d]
+                        buckets[d] = Bucket(np.array([h[0] for h in some]), np.array([h[1] for h in some]), np.array([h[2] for h in some], dtype=float).reshape(-1, d))
                     held = []
-                queue.append((vec_id, vec, -math.inf if bound is None else bound))
+                queue.append((row, vec, -math.inf if bound is None else bound))
                 if len(queue) >= QUERIES and (got := answer()):
                     yield got
         if queue and buckets is not None and (got := answer()):
@@ -161,30 +165,36 @@ def _search(k: int):
 
 
 def _met(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """candidates (bucket, part, vec_id, vec), queries (bucket, part, vec_id, vec, bound) -> (query_id, vec_id, score)."""
-    rows = candidates.select("bucket", "part", F.lit(False).alias("query"), "vec_id", "vec", F.lit(None).cast("double").alias("bound"))
-    rows = rows.union(queries.select("bucket", "part", F.lit(True), "vec_id", "vec", "bound"))
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    """candidates (bucket, part, row, vec_id, vec), queries (bucket, part, row, vec_id, vec, bound) -> (query_row, vec_id, score)."""
+    rows = candidates.select("bucket", "part", F.lit(False).alias("query"), "row", "vec_id", "vec", F.lit(None).cast("double").alias("bound"))
+    rows = rows.union(queries.select("bucket", "part", F.lit(True), "row", "vec_id", "vec", "bound"))
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query").mapInArrow(_search(k), "query_row long, vec_id long, score long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The best k of each query; the rank limit is applied before rows are sent (window group limit), too."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    w = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _named(best: DataFrame, queries: DataFrame) -> DataFrame:
+    """best with the queries' ids in place of their rows."""
+    return best.join(queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row").select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, bucket: int = BUCKET) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors.
 
     vectors (vec_id, embedding): queries are the rows whose vec_id is divisible by
-    query_every, candidates all rows but those with the query's own id. Ties go to
+    query_every, candidates all rows but the query's own. Ties go to
     the smaller vec_id. Rows with a null id, and vectors that are null or hold null
     or non-finite components, take no part; vectors of another dimension than the
-    query's are no candidates of it; rows of one id and one quantized vector count
-    once, other vectors of that id are candidates (or queries, with one answer) of
-    their own. A query without candidates has no rows, an empty table gives none.
+    query's are no candidates of it. Repeated rows are rows of their own: each is a
+    candidate, also of its double, and each query row has an answer. A query without
+    candidates has no rows, an empty table gives none.
     """
-    rows = checkpointed(quantized(vectors, scale).where("vec_id is not null").dropDuplicates(["vec_id", "vec"]).withColumn("level", F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(LEVEL)).cast("int")).otherwise(-1_000_000)))
+    level = F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(LEVEL)).cast("int")).otherwise(-1_000_000)
+    rows = checkpointed(quantized(vectors, scale).where("vec_id is not null").withColumn("level", level).withColumn("row", F.monotonically_increasing_id()))
     # one row for each level: lengths are doubles, so there are at most some 15,000
     levels = [(r["level"], max(1, math.ceil(r["n"] / bucket))) for r in rows.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()]
     if not levels:
@@ -195,18 +205,18 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
         ends.append((level, first[level], n))
     spark = vectors.sparkSession
     table = spark.createDataFrame(ends, "level int, first int, n int")
-    bucket_of = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int")
+    bucket_of = (F.col("first") + F.pmod(F.xxhash64("row"), F.col("n"))).cast("int")
     placed = rows.join(F.broadcast(table), "level").withColumn("bucket", bucket_of)
-    queries = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "vec", "norm")
+    queries = rows.where(F.col("vec_id") % query_every == 0).select("row", "vec_id", "vec", "norm")
     # first round: the longest bucket, for a bound on each answer
     parts = max(1, math.ceil(queries.count() / PART))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(1)), n).cast("int")
+    dealt = lambda n: F.pmod(F.xxhash64("row", F.lit(1)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    start = _met(placed.where("bucket = 0").select("bucket", every(F.lit(parts)).alias("part"), "vec_id", "vec"), queries.select(F.lit(0).alias("bucket"), dealt(F.lit(parts)).alias("part"), "vec_id", "vec", F.lit(None).cast("double").alias("bound")), k)
+    start = _met(placed.where("bucket = 0").select("bucket", every(F.lit(parts)).alias("part"), "row", "vec_id", "vec"), queries.select(F.lit(0).alias("bucket"), dealt(F.lit(parts)).alias("part"), "row", "vec_id", "vec", F.lit(None).cast("double").alias("bound")), k)
     begun = checkpointed(_top(start, k))
-    bounds = begun.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") == k).select(F.col("query_id").alias("vec_id"), F.col("s").cast("double").alias("bound"))
+    bounds = begun.groupBy("query_row").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") == k).select(F.col("query_row").alias("row"), F.col("s").cast("double").alias("bound"))
     need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.floor(F.log(F.col("bound") / F.col("norm")) / math.log(LEVEL)).cast("int")).otherwise(-1_000_000)
-    bounded = checkpointed(queries.join(bounds, "vec_id", "left").withColumn("need", need))
+    bounded = checkpointed(queries.join(bounds, "row", "left").withColumn("need", need))
     # other rounds: all buckets that are long enough; parts stand by the length they need, so a bucket meets the first so many
     asked, low, n_parts = [], [], 0
     for level, n in sorted((r["need"], r["n"]) for r in bounded.groupBy("need").agg(F.count("*").alias("n")).collect()):  # a row a level again
@@ -215,13 +225,13 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
         low += [LEVEL**level * (1 - 1e-9) if level > -1_000_000 else 0.0] * own
         n_parts += own
     if not asked:
-        return begun.select("query_id", "rank", "vec_id", "score")
+        return _named(begun, queries)
     longest = {lv: LEVEL ** (lv + 1) * (1 + 1e-9) if lv > -1_000_000 else 0.0 for lv, _, _ in ends}
     table = spark.createDataFrame([(lv, a, n, longest[lv], bisect.bisect_right(low, longest[lv])) for lv, a, n in ends], "level int, first int, n int, longest double, parts int")
     asking = spark.createDataFrame(asked, "need int, part int, own int")
     placed = rows.join(F.broadcast(table), "level").withColumn("bucket", bucket_of).where("bucket > 0 and parts > 0")
-    reach = bounded.join(F.broadcast(asking), "need").select("vec_id", "vec", "norm", "bound", (F.col("part") + dealt(F.col("own"))).alias("part"))
+    reach = bounded.join(F.broadcast(asking), "need").select("row", "vec_id", "vec", "norm", "bound", (F.col("part") + dealt(F.col("own"))).alias("part"))
     reach = reach.join(F.broadcast(table), F.col("bound").isNull() | (F.col("norm") * F.col("longest") >= F.col("bound")))
-    met = reach.select("vec_id", "vec", "bound", "part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("bucket")).where("bucket > 0")
-    more = _met(placed.select("bucket", every(F.col("parts")).alias("part"), "vec_id", "vec"), met, k)
-    return _top(begun.select("query_id", "vec_id", "score").union(more), k).select("query_id", "rank", "vec_id", "score")
+    met = reach.select("row", "vec_id", "vec", "bound", "part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("bucket")).where("bucket > 0")
+    more = _met(placed.select("bucket", every(F.col("parts")).alias("part"), "row", "vec_id", "vec"), met, k)
+    return _named(_top(begun.select("query_row", "vec_id", "score").union(more), k), queries)
