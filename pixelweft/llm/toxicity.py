@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine over all words.
 
 The examples are a bounded sample of labelled documents; terms are all their words,
-weighted by (1 + log tf) and idf, vectors scaled to length one. The inverted index
-holds, for each term, its postings in blocks of examples with the block's largest
-weight. For a text, the sums of those maxima bound every block's cosines; the FIRST
-blocks of the highest bounds are opened, then all whose bound is not below the k-th
-best cosine found there, so the k neighbours are exact.
-
-Most words say nothing of the label, so a second index of the same kind holds only
-the words whose presence depends on it (a chi-square test), and its neighbours vote
-too. Votes of both, weighted by cosine, and the cosines' own size go through a
-logistic curve fitted on every example twice: without itself among its neighbours by
-all words, as an unseen text, and with itself, as a copy (never with itself by telling
-words); labels weigh as they are spread over all labelled rows, not as they are in the
-sample. The neighbours are the evidence. An example's own row is no neighbour of it.
+weighted by (1 + log tf), by idf, and by how far the examples' labels depend on the
+word (a chi-square statistic above what chance gives), so that neighbours have in common
+what tells the labels apart, and else what any texts have; vectors are scaled to length
+one. The inverted index holds, for each term, its postings in blocks of examples with the
+block's largest weight. For a text, the sums of those maxima bound every block's cosines;
+the FIRST blocks of the highest bounds are opened, then all whose bound is not below the
+k-th best cosine found there, so the k neighbours are exact.
+
+Their votes, weighted by cosine, and the cosines' own size go through a logistic curve
+fitted on every example twice: without itself among its neighbours, as an unseen text,
+and with itself, as a copy; labels weigh as they are spread over all labelled rows, not
+as they are in the sample. The neighbours are the evidence. An example's own row is no
+neighbour of it.
 
 Texts are scored in batches: the weights of frequent words meet as matrices, the
 postings of all others in one pass, so what is done for each text alone is little.
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .labelled import fit_logistic, fold, logistic, sample
 
 #: Labelled rows of either label that the index holds, at most; neighbours; examples of a block; blocks opened at first; votes.
-SAMPLE, NEIGHBOURS, BLOCK, FIRST, FEATURES = 1500, 15, 64, 4, 7
-#: Least chi-square of a telling word.
-DEPENDS = 25.0
+SAMPLE, NEIGHBOURS, BLOCK, FIRST, FEATURES = 1500, 15, 64, 4, 4
+#: Chi-square (one degree of freedom) that chance alone gives one word in twenty; what is above weighs in units of it.
+CHANCE = 4.0
 #: Words of one in so many examples are frequent; texts, and runs of postings, of a batch.
 OFTEN, TEXTS, RUNS = 10, 256, 1 << 18
 
@@ -155,62 +155,58 @@ class BlockMax:
         return out
 
 
+def weights(counts: list[Counter], y: np.ndarray) -> dict[str, float]:
+    """Weight of every word: its idf, more the more the labels depend on it."""
+    n, n1 = len(counts), float(np.sum(y))
+    df: Counter = Counter()
+    pos: Counter = Counter()
+    for c, label in zip(counts, y):
+        df.update(c.keys())
+        if label:
+            pos.update(c.keys())
+    out = {}
+    for t, d in df.items():
+        a, b = pos[t], d - pos[t]
+        c, e = n1 - a, n - n1 - b
+        below = (a + b) * (c + e) * (a + c) * (b + e)
+        chi = n * (a * e - b * c) ** 2 / below if below else 0.0
+        out[t] = (math.log((1 + n) / (1 + d)) + 1) * (1 + max(0.0, chi - CHANCE) / CHANCE)
+    return out
+
+
 class ToxicityIndex(BlockMax):
-    """Index of labelled examples over all their words, one over the telling words alone, and the curve from both to a score."""
+    """Index of labelled examples over all their words, and the curve from votes to a score."""
 
     def __init__(self, ids: np.ndarray, texts: list[str], y: np.ndarray, weight: np.ndarray | None = None) -> None:
         counts = [Counter(words(t)) for t in texts]
         self.ids, self.y = np.asarray(ids), np.asarray(y, float)
         self.of_id = {int(i): at for at, i in enumerate(self.ids)}
-        n = max(1, len(texts))
-        df: Counter = Counter()
-        pos: Counter = Counter()
-        for c, label in zip(counts, self.y):
-            df.update(c.keys())
-            if label:
-                pos.update(c.keys())
-        n1 = self.y.sum()
-        chosen = []
-        for t, d in df.items():
-            a, b = pos[t], d - pos[t]
-            c, e = n1 - a, n - n1 - b
-            below = (a + b) * (c + e) * (a + c) * (b + e)
-            if below and n * (a * e - b * c) ** 2 / below >= DEPENDS:
-                chosen.append(t)
-        idf = {t: float(np.log((1 + n) / (1 + d)) + 1) for t, d in df.items()}
-        super().__init__(counts, idf)
-        self.telling = BlockMax(counts, {t: idf[t] for t in chosen})
+        super().__init__(counts, weights(counts, self.y))
         self.curve = self._calibrated(np.ones(len(self.y)) if weight is None else np.asarray(weight, float))
 
-    def _votes(self, near: list[tuple[int, float]], told: list[tuple[int, float]]) -> list[float]:
-        """Of the neighbours by all words how near they are, toxic less other; of either list the toxic share of the cosines and the cosines' sums for either label."""
-        out = [min(1.0, max(-1.0, sum(c**4 if self.y[i] else -(c**4) for i, c in near)))]
-        for found in (near, told):
-            yes = sum(c for i, c in found if self.y[i])
-            total = sum(c for _, c in found)
-            out += [yes / total if total else 0.0, math.log1p(yes), math.log1p(max(0.0, total - yes))]
-        return out
+    def _votes(self, near: list[tuple[int, float]]) -> list[float]:
+        """How near the neighbours are, toxic less other; the toxic share of the cosines; the cosines' sums for either label."""
+        yes, total = sum(c for i, c in near if self.y[i]), sum(c for _, c in near)
+        nearer = sum(c**4 if self.y[i] else -(c**4) for i, c in near)
+        return [min(1.0, max(-1.0, nearer)), yes / total if total else 0.0, math.log1p(yes), math.log1p(max(0.0, total - yes))]
 
     def _calibrated(self, weight: np.ndarray) -> np.ndarray:
         if not len(self.y) or self.y.min() == self.y.max():
             p = np.clip(self.y.mean() if len(self.y) else 0.5, 0.01, 0.99)
             return np.array([0.0] * FEATURES + [np.log(p / (1 - p))])
         own = np.arange(len(self.y))
-        told = self.telling.nearest(self.telling.vectors, own)
-        votes = [self._votes(n, t) for near in (self.nearest(self.vectors, own), self.nearest(self.vectors)) for n, t in zip(near, told)]
+        votes = [self._votes(n) for near in (self.nearest(self.vectors, own), self.nearest(self.vectors)) for n in near]
         return fit_logistic(np.array(votes), np.concatenate([self.y, self.y]), np.concatenate([weight, weight]), l2=0.1)
 
     def score(self, texts: list[str | None], ids: list[int | None] | None = None) -> tuple[np.ndarray, list[list[int]]]:
-        """Scores, and the ids of the neighbours of each: by all words nearest first, then the others by telling words.
+        """Scores, and the ids of the neighbours of each, nearest first.
 
         Where ids are given, the example with a text's own id is left out.
         """
-        counts = [Counter(words(t)) for t in texts]
         own = np.array([self.of_id.get(i, -1) for i in ids or [None] * len(texts)], int)
-        near = self.nearest([self.vector(c) for c in counts], own)
-        told = self.telling.nearest([self.telling.vector(c) for c in counts], own)
-        x = np.array([self._votes(n, t) for n, t in zip(near, told)]).reshape(-1, FEATURES)
-        return logistic(x, self.curve), [[int(self.ids[i]) for i in dict.fromkeys(i for i, _ in n + t)] for n, t in zip(near, told)]
+        near = self.nearest([self.vector(t) for t in texts], own)
+        x = np.array([self._votes(n) for n in near]).reshape(-1, FEATURES)
+        return logistic(x, self.curve), [[int(self.ids[i]) for i, _ in n] for n in near]
 
 
 def fit(rows: pd.DataFrame) -> ToxicityIndex:
