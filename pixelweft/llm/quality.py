@@ -75,14 +75,14 @@ def dictionary(texts: list[str]) -> bytes:
 
 
 def fit(rows: pd.DataFrame) -> CompressionClassifier:
-    """A classifier of rows (doc_id, text, y): half of them make the dictionaries, the other half the curve."""
+    """A classifier of rows (doc_id, text, y, weight): half of them make the dictionaries, the other half the curve."""
     half = np.arange(len(rows)) % 2 == 0
     texts = lambda keep, y: rows.text[keep & (rows.y == y)].tolist()
     model = CompressionClassifier(dictionary(texts(half, 1)), dictionary(texts(half, 0)))
     rest = rows[~half]
     if len(rest) and rest.y.nunique() == 2:
         x = np.array([model.measures(t) for t in rest.text])
-        model.curve = fit_logistic(x, rest.y.to_numpy(float), l2=1e-6)
+        model.curve = fit_logistic(x, rest.y.to_numpy(float), rest.weight.to_numpy(float), l2=1e-6)
     else:  # one label or none: its share, whatever the text
         p = np.clip(rows.y.mean() if len(rows) else 0.5, 0.01, 0.99)
         model.curve = np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))])
