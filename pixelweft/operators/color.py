@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..schema import ALPHA
+from ..schema import ALPHA, with_id
 from .pixel import packed
 from .stats import dominant_color, histogram
 
@@ -127,17 +127,45 @@ def median_cut(lab: np.ndarray, n: np.ndarray, colors: int) -> list[np.ndarray]:
     return boxes
 
 
+#: Distances (colours x palette) that are held at a time.
+BLOCK = 1 << 20
+#: Room for rounding in the bounds on distances.
+SLACK = 1e-9
+
+
+def _two_nearest(lab: np.ndarray, palette: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the nearest palette entry of each colour (the lowest on a tie), its distance, and that of the next one; some colours at a time."""
+    to, near, second = np.zeros(len(lab), int), np.zeros(len(lab)), np.full(len(lab), np.inf)
+    step = max(1, BLOCK // len(palette))
+    for at in range(0, len(lab), step):
+        d = ((lab[at : at + step, None, :] - palette[None]) ** 2).sum(axis=2)
+        to[at : at + step] = best = d.argmin(axis=1)
+        rows = np.arange(len(d))
+        near[at : at + step] = np.sqrt(d[rows, best])
+        d[rows, best] = np.inf
+        second[at : at + step] = np.sqrt(d.min(axis=1))
+    return to, near, second
+
+
 def refined(lab: np.ndarray, n: np.ndarray, palette: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Palette and assignment after Lloyd's rounds; the last assignment may be older than the palette."""
-    to = np.zeros(len(n), int)
+    """Palette and assignment after Lloyd's rounds; the last assignment may be older than the palette.
+
+    A colour keeps its entry without a look at the others while the entry, which has
+    moved by no more than is known, is nearer than any other can have come.
+    """
+    to, near, second = np.zeros(len(n), int), np.full(len(n), np.inf), np.zeros(len(n))
     for i in range(rounds):
-        new = ((lab[:, None, :] - palette[None]) ** 2).sum(axis=2).argmin(axis=1)
+        open_ = np.flatnonzero(near + SLACK >= second)
+        new = to.copy()
+        new[open_], near[open_], second[open_] = _two_nearest(lab[open_], palette)
         if i and (new == to).all():
             break
         to = new
         weight = np.bincount(to, n, len(palette))
         sums = np.stack([np.bincount(to, lab[:, c] * n, len(palette)) for c in range(3)], axis=1)
-        palette = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1)[:, None], palette)
+        moved = np.where(weight[:, None] > 0, sums / np.maximum(weight, 1)[:, None], palette)
+        by = np.sqrt(((moved - palette) ** 2).sum(axis=1))
+        near, second, palette = near + by[to], second - by.max(), moved
     return palette, to
 
 
@@ -146,16 +174,16 @@ def palette_map(hist: DataFrame, colors: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) <= colors:
-            return pd.DataFrame({"image_id": [], "rgb": [], "new_rgb": []}).astype("int32")
+            return pd.DataFrame({"image_id": pdf.image_id[:0], "rgb": pdf.rgb[:0], "new_rgb": pdf.rgb[:0]})
         pdf = pdf.sort_values("first")
         rgb, n = pdf.rgb.to_numpy(), pdf.n.to_numpy(float)
         lab = oklab_array(np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=1))
         seeds = np.array([np.average(lab[b], axis=0, weights=n[b]) for b in median_cut(lab, n, colors)])
         palette, to = refined(lab, n, seeds)
         shown = srgb_array(palette)[to]
-        return pd.DataFrame({"image_id": pdf.image_id, "rgb": rgb, "new_rgb": shown[:, 0] * 65536 + shown[:, 1] * 256 + shown[:, 2]}).astype("int32")
+        return pd.DataFrame({"image_id": pdf.image_id, "rgb": rgb, "new_rgb": shown[:, 0] * 65536 + shown[:, 1] * 256 + shown[:, 2]}).astype({"rgb": "int32", "new_rgb": "int32"})
 
-    return hist.groupBy("image_id").applyInPandas(run, "image_id int, rgb int, new_rgb int")
+    return hist.groupBy("image_id").applyInPandas(run, with_id(hist, "rgb int, new_rgb int"))
 
 
 def quantize(px: DataFrame, colors: int) -> DataFrame:

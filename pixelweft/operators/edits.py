@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import svg as svgs
 from ..functions.numbers import fixed, half_up, shortest
 from ..functions.udfs import vectorized
-from ..schema import POINT
+from ..schema import POINT, with_id
 
 ACTION = f"struct<seq:bigint,mode:string,type:string,color:string,diameter:double,points:array<{POINT}>,x:double,y:double,width:double,height:double,cx:double,cy:double,rx:double,ry:double>"
 MASK = "pixelweft-erase"
@@ -75,9 +75,9 @@ def edit_log(log: DataFrame) -> DataFrame:
                 done.append(undone.pop())
             elif op == "clear":
                 done, undone = [], []
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]] * len(done), "pos": range(len(done)), "action": done}).astype({"image_id": "int32", "pos": "int32", "action": "int64"})
+        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]] * len(done), "pos": range(len(done)), "action": done}).astype({"pos": "int32", "action": "int64"})
 
-    return log.groupBy("image_id").applyInPandas(run, "image_id int, pos int, action long")
+    return log.groupBy("image_id").applyInPandas(run, with_id(log, "pos int, action long"))
 
 
 def strokes(moves: DataFrame, least: float = 0.001) -> DataFrame:
@@ -102,9 +102,9 @@ def strokes(moves: DataFrame, least: float = 0.001) -> DataFrame:
             elif op == "move" and own is not None and math.dist(own[-1], (x, y)) >= least:
                 own.append((x, y))
         rows = [(pdf.image_id.iloc[0], s, k, x, y) for s, pts in enumerate(done) for k, (x, y) in enumerate(pts)]
-        return pd.DataFrame(rows, columns=["image_id", "stroke", "pos", "x", "y"]).astype({"image_id": "int32", "stroke": "int32", "pos": "int32", "x": "float64", "y": "float64"})
+        return pd.DataFrame(rows, columns=["image_id", "stroke", "pos", "x", "y"]).astype({"stroke": "int32", "pos": "int32", "x": "float64", "y": "float64"})
 
-    return moves.groupBy("image_id").applyInPandas(run, "image_id int, stroke int, pos int, x double, y double")
+    return moves.groupBy("image_id").applyInPandas(run, with_id(moves, "stroke int, pos int, x double, y double"))
 
 
 def _n(v: float) -> str:

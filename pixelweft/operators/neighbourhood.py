@@ -2,7 +2,8 @@
 
 A window comes from two window functions, along rows and then along columns, both
 within an image: one shuffle by image_id serves them, and later operators keyed by
-image. Images are bounded by the pixel budget, so no partition grows without end.
+image. Images are bounded by the pixel budget, so no partition grows without end. Depth
+below an edge is a distance, not a number of passes.
 """
 
 from __future__ import annotations
@@ -69,22 +70,31 @@ def boundary(px: DataFrame) -> DataFrame:
     return px.repartition("image_id").withColumn("edge", (F.col("a") >= ALPHA) & _any_beside(F.col("a") < ALPHA))
 
 
+def clear_distance(px: DataFrame) -> DataFrame:
+    """px with away: steps along rows and columns to the nearest transparent pixel of the image (0 there; null: there is none).
+
+    Distances along rows come first, from the last and the next transparent pixel; the
+    least sum with a distance along the column then is two running minima. That is four
+    windows, however far away transparency is.
+    """
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    so_far, from_here = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    at = F.when(F.col("a") < ALPHA, F.col("x"))
+    px = px.repartition("image_id").withColumn("in_row_", F.least(F.col("x") - F.max(at).over(row.rowsBetween(*so_far)), F.min(at).over(row.rowsBetween(*from_here)) - F.col("x")))
+    above = F.min(F.col("in_row_") - F.col("y")).over(column.rowsBetween(*so_far)) + F.col("y")
+    below = F.min(F.col("in_row_") + F.col("y")).over(column.rowsBetween(*from_here)) - F.col("y")
+    return px.withColumn("away", F.least(above, below)).drop("in_row_")
+
+
 def erode(px: DataFrame, passes: int) -> DataFrame:
-    """Peels rings: in each pass opaque pixels beside a transparent one get alpha 0; the image's edge is no transparency."""
-    px = px.repartition("image_id")
-    for _ in range(passes):
-        px = px.withColumn("peel_", (F.col("a") >= ALPHA) & _any_beside(F.col("a") < ALPHA))
-        px = px.withColumn("a", F.when(F.col("peel_"), 0).otherwise(F.col("a"))).drop("peel_")
-    return px
+    """Peels rings: opaque pixels within so many steps of a transparent one get alpha 0; the image's edge is no transparency."""
+    gone = (F.col("a") >= ALPHA) & (F.col("away") <= passes)
+    return clear_distance(px).withColumn("a", F.when(gone, 0).otherwise(F.col("a"))).drop("away")
 
 
 def rings(px: DataFrame, depth: int) -> DataFrame:
     """px with d: 0 transparent, 1 to depth the rings next to it, null deeper."""
-    px = px.repartition("image_id").withColumn("d", F.when(F.col("a") < ALPHA, 0))
-    for k in range(1, depth + 1):
-        px = px.withColumn("grow_", F.col("d").isNull() & _any_beside(F.col("d") == k - 1))
-        px = px.withColumn("d", F.when(F.col("grow_"), k).otherwise(F.col("d"))).drop("grow_")
-    return px
+    return clear_distance(px).withColumn("d", F.when(F.col("away") <= depth, F.col("away"))).drop("away")
 
 
 def defringe(px: DataFrame, depth: int) -> DataFrame:

@@ -1,63 +1,35 @@
-"""Regions: flood fill, background removal, connected components, boundaries. Kernels run once an image, which the pixel budget bounds."""
+"""Regions: flood fill, background removal, connected components, boundaries."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ALPHA, PIXELS
+from ..schema import ALPHA
+from ..sources.store import stored
 from .color import knock_out, with_distance
 from .pixel import packed
-from ..sources.raster import within_budget
 from .stats import background_color, snap
+from .tiles import TILE, labelled, with_width
 
 #: Largest channel difference within which a quantised image's colour stands for the background.
 SNAP = 48
 
 
-def grid(pdf: pd.DataFrame, *names: str) -> list[np.ndarray]:
-    """Columns as arrays by (y, x)."""
-    shape = (int(pdf.y.max()) + 1, int(pdf.x.max()) + 1)
-    out = []
-    for name in names:
-        a = np.zeros(shape, pdf[name].dtype)
-        a[pdf.y, pdf.x] = pdf[name]
-        out.append(a)
-    return out
-
-
-def reached(open_: np.ndarray) -> np.ndarray:
-    """Cells of open_ that are connected to the border, by four neighbours."""
-    h, w = open_.shape
-    seen = np.zeros_like(open_)
-    edge = np.zeros_like(open_)
-    edge[[0, -1], :] = edge[:, [0, -1]] = True
-    front = np.flatnonzero((open_ & edge).ravel())
-    flat, free = seen.ravel(), open_.ravel()
-    while len(front):
-        flat[front] = True
-        x = front % w
-        near = np.concatenate([front[x > 0] - 1, front[x < w - 1] + 1, front[front >= w] - w, front[front < (h - 1) * w] + w])
-        near = np.unique(near)
-        front = near[free[near] & ~flat[near]]
-    return flat.reshape(h, w)
-
-
-def knock_out_edges(px: DataFrame, fuzz: float) -> DataFrame:
-    """Alpha 0 for opaque pixels that match the background colour and are connected to the border through such pixels; images without one stay."""
+def knock_out_edges(px: DataFrame, fuzz: float, tile: int = TILE) -> DataFrame:
+    """Alpha 0 for opaque pixels that match the background colour and are connected to the border through such pixels; images without one stay.
+
+    What is connected is labelled by tiles; components with a border pixel go.
+    """
     bg = background_color(px).select("image_id", *[F.col(c).alias(f"b{c}") for c in "rgb"])
-    rows = with_distance(within_budget(px).join(bg, "image_id"), ("r", "g", "b"), ("br", "bg", "bb"))
+    rows = with_distance(with_width(px).join(bg, "image_id", "left"), ("r", "g", "b"), ("br", "bg", "bb"))
     hit = (F.col("a") >= ALPHA) & (F.col("dist_") <= fuzz)
-    rows = rows.select(*px.columns, F.coalesce(hit, F.lit(False)).alias("open"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (open_,) = grid(pdf, "open")
-        out = reached(open_)[pdf.y, pdf.x]
-        return pdf.drop(columns="open").assign(a=np.where(out, 0, pdf.a).astype("int32"))
-
-    return rows.groupBy("image_id").applyInPandas(run, PIXELS)
+    rows = stored(rows.select(*px.columns, "w", "h", F.coalesce(hit, F.lit(False)).alias("open")))
+    inside = labelled(rows.where("open").select("image_id", "x", "y", F.lit(0).alias("value"), "w", "h"), tile)
+    edge = "x IN (0, w - 1) OR y IN (0, h - 1)"
+    from_edge = inside.where(edge).select("image_id", "region").distinct()
+    gone = inside.join(from_edge, ["image_id", "region"], "left_semi").select("image_id", "x", "y", F.lit(True).alias("gone_"))
+    return rows.join(gone, ["image_id", "x", "y"], "left").select(*[F.when(F.col("gone_"), 0).otherwise(F.col("a")).alias("a") if c == "a" else c for c in px.columns])
 
 
 def remove_background(px: DataFrame, mode: str | tuple[int, int, int], fuzz: float, quantized: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -72,46 +44,10 @@ def remove_background(px: DataFrame, mode: str | tuple[int, int, int], fuzz: flo
     return knock_out(px, target, fuzz), target
 
 
-def label(value: np.ndarray) -> np.ndarray:
-    """Connected components of equal values by four neighbours; each cell gets the smallest place in its component. Negative values are no part of any."""
-    h, w = value.shape
-    flat, place = value.ravel(), np.arange(h * w)
-    right = place.reshape(h, w)[:, :-1].ravel()
-    down = place.reshape(h, w)[:-1].ravel()
-    a, b = np.concatenate([right, down]), np.concatenate([right + 1, down + w])
-    same = (flat[a] == flat[b]) & (flat[a] >= 0)
-    return np.where(flat >= 0, united(h * w, a[same], b[same]), -1).reshape(h, w)
-
-
-def united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place that each of n places is linked to by the pairs."""
-    root = np.arange(n)
-    while True:
-        ra, rb = root[a], root[b]
-        if (ra == rb).all():
-            return root
-        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
-        np.minimum.at(root, high, low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-
-
-REGION = "image_id int, x int, y int, rgb int, region int"
-
-
-def regions(px: DataFrame) -> DataFrame:
-    """image_id, x, y, rgb and region (smallest place y * w + x in it) of every opaque pixel."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb, a = grid(pdf.assign(v=pdf.r * 65536 + pdf.g * 256 + pdf.b), "v", "a")
-        found = label(np.where(a >= ALPHA, rgb, -1))
-        out = pd.DataFrame({"image_id": pdf.image_id, "x": pdf.x, "y": pdf.y, "rgb": rgb[pdf.y, pdf.x], "region": found[pdf.y, pdf.x]})
-        return out[out.region >= 0].astype("int32")
-
-    return within_budget(px).groupBy("image_id").applyInPandas(run, REGION)
+def regions(px: DataFrame, tile: int = TILE) -> DataFrame:
+    """image_id, x, y, rgb and region (smallest place y * w + x in it) of every opaque pixel; found by tiles, whatever the image's size."""
+    cells = with_width(px).where(F.col("a") >= ALPHA).select("image_id", "x", "y", packed().alias("value"), "w")
+    return labelled(cells, tile).select("image_id", "x", "y", F.col("value").alias("rgb"), F.col("region").cast("int").alias("region"))
 
 
 def region_edges(cells: DataFrame) -> DataFrame:

@@ -1,28 +1,31 @@
-"""A tracer of its own: regions of like colour to outlines, polygons or curves, one image at a time.
+"""A tracer of its own: regions of like colour to outlines, polygons or curves, as rows up to the text of each loop.
 
 Parameters mean here: filter_speckle k drops regions below k x k cells;
-layer_difference joins neighbouring regions whose colours differ by no more in any
-channel; corner_threshold (degrees) keeps sharper turns as corners; length_threshold
-is the shortest piece that is fitted as a curve; splice_threshold (degrees) splits a
-curve where it has turned so far; path_precision is the number of decimals.
+layer_difference merges neighbouring regions whose cells all stay within it of their
+mean colour, in every channel; stacked fills holes that hold no clear cell, as what
+lies in them is drawn later, cutout leaves all; corner_threshold (degrees) keeps sharper
+turns as corners; length_threshold is the shortest piece that is fitted as a curve;
+splice_threshold (degrees) splits a curve where it has turned so far; path_precision is
+the number of decimals.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.numbers import shortest
 from ..functions.path import _chain, fit_cubics
 from ..schema import ALPHA
-from ..sources.raster import within_budget
-from .region import grid, label, united
+from ..sources.raster import sizes, within_budget
+from ..sources.store import stored
+from .merge import merged
+from .outline import loops
+from .region import regions
 
 Point = tuple[float, float]
 #: Farthest that a curve may be off the outline, in pixels.
@@ -47,45 +50,6 @@ class TraceOptions:
                 raise ValueError(f"{value!r} is none of {', '.join(known)}")
 
 
-def loops(inside: np.ndarray) -> list[list[Point]]:
-    """Closed outlines of the cells of inside, corners only, the cells on the right hand; holes run the other way."""
-    padded = np.pad(inside, 1)
-    sides = {}
-    for (dy, dx), ((ay, ax), (by, bx)) in {(-1, 0): ((0, 0), (0, 1)), (0, 1): ((0, 1), (1, 1)), (1, 0): ((1, 1), (1, 0)), (0, -1): ((1, 0), (0, 0))}.items():
-        facing = padded[1 + dy : padded.shape[0] - 1 + dy, 1 + dx : padded.shape[1] - 1 + dx]
-        for y, x in np.argwhere(inside & ~facing).tolist():
-            sides.setdefault((x + ax, y + ay), []).append((x + bx, y + by))
-    out = []
-    starts = iter(sorted(sides, key=lambda p: (p[1], p[0])))
-    while sides:
-        start = next(p for p in starts if p in sides)
-        starts = itertools.chain([start], starts)  # more than one outline may begin here
-        at, heading, loop = start, None, []
-        while True:
-            options = sides[at]
-            # where two corners touch, turn right: the outline stays with its own cells
-            k = 0 if len(options) == 1 or heading is None else max(range(len(options)), key=lambda i: heading[0] * (options[i][1] - at[1]) - heading[1] * (options[i][0] - at[0]))
-            to = options.pop(k)
-            if not options:
-                del sides[at]
-            step = (to[0] - at[0], to[1] - at[1])
-            if step != heading:
-                loop.append(at)
-            at, heading = to, step
-            if at == start and at not in sides:
-                break
-            if at == start and len(loop) >= 4:
-                break
-        if len(loop) > 1 and (loop[0][0] == loop[1][0]) == (loop[0][0] == loop[-1][0]):
-            loop = loop[1:]
-        out.append([(float(x), float(y)) for x, y in loop])
-    return out
-
-
-def area(loop: list[Point]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(loop, loop[1:] + loop[:1])) / 2
-
-
 def _turn(a: Point, b: Point, c: Point) -> float:
     """Degrees by which the way turns at b."""
     d = math.degrees(math.atan2(c[1] - b[1], c[0] - b[0]) - math.atan2(b[1] - a[1], b[0] - a[0]))
@@ -133,7 +97,7 @@ def spline(loop: list[Point], o: TraceOptions) -> str:
 
 
 def _number(v: float, o: TraceOptions) -> str:
-    return shortest(round(v, o.path_precision) + 0.0)
+    return shortest(round(float(v), o.path_precision) + 0.0)
 
 
 def outline(loop: list[Point], o: TraceOptions) -> str:
@@ -143,59 +107,50 @@ def outline(loop: list[Point], o: TraceOptions) -> str:
     return " ".join(f"{'L' if i else 'M'}{_number(x, o)} {_number(y, o)}" for i, (x, y) in enumerate(pts)) + " Z"
 
 
-def layers(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> Iterator[tuple[int, tuple[slice, slice], np.ndarray]]:
-    """(colour, box, cells of the box) of what is drawn, largest first; one region's cells are held at a time."""
+def layers(px: DataFrame, o: TraceOptions) -> DataFrame:
+    """Cells of what is drawn: image_id, x, y, rgb, region, area (cells of the region) and before (clear cells left of the cell in its row)."""
     if o.color_mode == "binary":
-        rgb = np.where((rgb >> 16 & 255) < 128, 0, -1)
-        a = np.where(rgb < 0, 0, 255)
-    regions = label(np.where(a >= ALPHA, rgb, -1))
+        dark = F.col("r") < 128
+        px = px.select("image_id", "x", "y", *[F.lit(0).alias(c) for c in "rgb"], F.when(dark, 255).otherwise(0).alias("a"))
+    px = stored(within_budget(px))
+    cells = regions(px)
     if o.layer_difference > 0 and o.color_mode == "color":
-        h, w = rgb.shape
-        place = np.arange(h * w).reshape(h, w)
-        p = np.concatenate([place[:, :-1].ravel(), place[:-1].ravel()])
-        q = np.concatenate([place[:, 1:].ravel(), place[1:].ravel()])
-        flat, reg = rgb.ravel(), regions.ravel()
-        near = (reg[p] >= 0) & (reg[q] >= 0)
-        for s in (16, 8, 0):
-            near &= np.abs((flat[p] >> s & 255) - (flat[q] >> s & 255)) <= o.layer_difference
-        root = united(h * w, reg[p[near]], reg[q[near]])
-        regions = np.where(regions >= 0, root[np.maximum(regions, 0)], -1)
-    # the cells of each region next to each other, in order, so that none is looked for in the whole image
-    flat, width = regions.ravel(), rgb.shape[1]
-    place = np.argsort(flat, kind="stable")
-    place = place[np.searchsorted(flat[place], 0) :]
-    first = np.flatnonzero(np.diff(flat[place], prepend=-1))
-    sizes = np.diff(np.append(first, len(place)))
-    colors = rgb.ravel()
-    for k in np.lexsort((flat[place[first]], -sizes)) if len(first) else []:
-        if sizes[k] < o.filter_speckle**2:
-            break
-        y, x = np.divmod(place[first[k] : first[k] + sizes[k]], width)
-        box = (slice(y[0], y[-1] + 1), slice(x.min(), x.max() + 1))
-        cells = np.zeros((box[0].stop - box[0].start, box[1].stop - box[1].start), bool)
-        cells[y - box[0].start, x - box[1].start] = True
-        found, n = np.unique(colors[y * width + x], return_counts=True)
-        yield int(found[n.argmax()]), box, cells
-
-
-def trace_image(rgb: np.ndarray, a: np.ndarray, o: TraceOptions) -> str:
-    h, w = rgb.shape
-    out = [f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- traced -->\n<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}">\n']
-    clear = a < ALPHA if o.color_mode == "color" else (rgb >> 16 & 255) >= 128
-    for color, box, cells in layers(rgb, a, o):
-        found = loops(cells)
-        if o.hierarchical == "stacked" and not (clear[box] & ~cells).any():
-            found = [p for p in found if area(p) > 0]  # what lies in a hole is drawn over it
-        d = " ".join(outline(p, o) for p in found)
-        out.append(f'<path d="{d}" fill="#{color:06x}" transform="translate({box[1].start},{box[0].start})"/>\n')
-    return "".join(out) + "</svg>"
+        cells = merged(cells, o.layer_difference)
+    left = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    clear = px.select("image_id", "x", "y", F.coalesce(F.count_if(F.col("a") < ALPHA).over(left), F.lit(0)).alias("before"))
+    large = cells.groupBy("image_id", "region").agg(F.count("*").alias("area")).where(F.col("area") >= o.filter_speckle**2)
+    return cells.join(large, ["image_id", "region"]).join(clear, ["image_id", "x", "y"])
 
 
-def trace(px: DataFrame, options: TraceOptions = TraceOptions()) -> DataFrame:
-    """image_id, width, height and svg of each image; an image above the pixel budget fails the job before it is taken up."""
+def layer_loops(cells: DataFrame, o: TraceOptions) -> DataFrame:
+    """layers() as image_id, region, rgb, cells (their number), left, top, head, hole and points of every loop that is drawn, from the region's corner."""
+    cells = stored(cells)
+    boxes = cells.groupBy("image_id", "region").agg(F.min("rgb").alias("rgb"), F.min("area").alias("cells"), F.min("x").alias("left"), F.min("y").alias("top"))
+    found = loops(cells.select("image_id", "x", "y", "region", "before")).join(boxes, ["image_id", "region"])
+    points = F.transform("points", lambda p: F.struct((p["x"] - F.col("left")).alias("x"), (p["y"] - F.col("top")).alias("y")))
+    drawn = found.where((F.col("area") > 0) | (F.col("inner") < 0)) if o.hierarchical == "stacked" else found
+    return drawn.select("image_id", "region", "rgb", "cells", "left", "top", "head", (F.col("area") < 0).alias("hole"), points.alias("points"))
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb, a = grid(pdf.assign(v=pdf.r * 65536 + pdf.g * 256 + pdf.b), "v", "a")
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "width": [rgb.shape[1]], "height": [rgb.shape[0]], "svg": [trace_image(rgb, a, options)]})
+def outlines(points: Column | str, o: TraceOptions) -> Column:
+    """Text of each loop."""
 
-    return within_budget(px).groupBy("image_id").applyInPandas(run, "image_id int, width int, height int, svg string")
+    def run(loops_: pd.Series) -> pd.Series:
+        return pd.Series([outline([(p["x"], p["y"]) for p in loop], o) for loop in loops_], dtype=object)
+
+    return F.pandas_udf(run, "string")(points)
+
+
+def trace(px: DataFrame, options: TraceOptions = TraceOptions()) -> DataFrame:
+    """image_id, width, height and svg of each image; an image above the pixel budget fails the job before it is taken up.
+
+    Largest regions are drawn first, of equal ones that with the smaller number.
+    """
+    found = layer_loops(layers(px, options), options).withColumn("d", outlines("points", options))
+    own = ["image_id", "region", "rgb", "cells", "left", "top"]
+    paths = found.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", "d"))), lambda s: s["d"]), " ").alias("d"))
+    tag = F.format_string('<path d="%s" fill="#%s" transform="translate(%d,%d)"/>\n', "d", F.lpad(F.lower(F.hex("rgb")), 6, "0"), "left", "top")
+    images = paths.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("cells")).alias("k"), "region", tag.alias("tag")))), lambda s: s["tag"]), "").alias("body"))
+    root = F.format_string('<?xml version="1.0" encoding="UTF-8"?>\n<!-- traced -->\n<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="%d" height="%d">\n', "w", "h")
+    rows = sizes(px).join(images, "image_id", "left")
+    return rows.select("image_id", F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"), F.concat(root, F.coalesce("body", F.lit("")), F.lit("</svg>")).alias("svg"))

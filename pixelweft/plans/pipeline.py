@@ -95,11 +95,13 @@ def of_profile(name: str) -> tuple[Settings, TraceOptions]:
 def drawings_by_profile(px: DataFrame, chosen: DataFrame) -> DataFrame:
     """drawings() of each image with the profile that chosen (image_id, profile) gives it; images without a known one have none.
 
-    One plan a profile, and the profiles are a fixed table, so images of any number
-    take as many plans.
+    One plan a profile that is chosen, and the profiles are a fixed table, so images of
+    any number take no more plans.
     """
+    names = [name for name, *_ in PROFILES]
+    asked = {r["profile"] for r in chosen.where(F.col("profile").isin(names)).select("profile").distinct().collect()}
     out = None
-    for name, *_ in PROFILES:
+    for name in [n for n in names if n in asked] or names[:1]:
         own = px.join(chosen.where(F.col("profile") == name).select("image_id").distinct(), "image_id", "left_semi")
         one = drawings(own, *of_profile(name)).select("image_id", F.lit(name).alias("profile"), "width", "height", "svg")
         out = one if out is None else out.unionByName(one)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import numbers, path, svg
-from .operators import color, edits, neighbourhood, pixel, region, stats
+from .operators import color, edits, merge, neighbourhood, outline, pixel, region, stats
 from .operators.trace import TraceOptions, trace
 from .plans import pipeline, settings
 from .sources import export, images, raster, store
@@ -660,11 +660,130 @@ def stencil_regions(spark, sf_dir):
     return region.region_stats(region.regions(pipeline.preprocess(px(spark, sf_dir), pipeline.Settings(stencil=True))))
 
 
-@query()
+@query(f"{_BG}, {_MATCH}, {_FLOOD} SELECT px.* REPLACE (CASE WHEN f.x IS NOT NULL THEN 0 ELSE a END AS a) FROM px LEFT JOIN flood f USING (image_id, x, y)", "RECURSIVE " + _PX)
+def f01_flood_fill_tiled(spark, sf_dir):
+    """As f01, in tiles of 8 x 8."""
+    return region.knock_out_edges(px(spark, sf_dir), 12.0, tile=8)
+
+
+@query(f"{_REGION} SELECT * FROM reg", "RECURSIVE " + _PX)
+def r05_regions_tiled(spark, sf_dir):
+    """As r05, in tiles of 8 x 8."""
+    return region.regions(px(spark, sf_dir), tile=8)
+
+
+#: Rounds of merging that the SQL spells out; more change nothing in these images.
+_ROUNDS = 14
+
+
+def _merged_sql(difference: int) -> str:
+    """reg with the regions that merge: graph of neighbours, the nearest allowed one of each, mutual choices, again."""
+    stats_ = "{'n': count(*), " + ", ".join(f"'s{c}': CAST(sum({v}) AS BIGINT), 'l{c}': CAST(min({v}) AS BIGINT), 'h{c}': CAST(max({v}) AS BIGINT)" for c, v in zip("rgb", ("rgb >> 16", "rgb >> 8 & 255", "rgb & 255")))+ "}"
+    both = "{'n': sa.n + sb.n, " + ", ".join(f"'s{c}': sa.s{c} + sb.s{c}, 'l{c}': least(sa.l{c}, sb.l{c}), 'h{c}': greatest(sa.h{c}, sb.h{c})" for c in "rgb") + "}"
+    may = " AND ".join(f"s.h{c} * s.n - s.s{c} <= {difference} * s.n AND s.s{c} - s.l{c} * s.n <= {difference} * s.n" for c in "rgb")
+    apart = " + ".join(f"(sa.s{c} / sa.n - sb.s{c} / sb.n) * (sa.s{c} / sa.n - sb.s{c} / sb.n)" for c in "rgb")
+    whole = "{'n': CAST(sum(own.n) AS BIGINT), " + ", ".join(f"'s{c}': CAST(sum(own.s{c}) AS BIGINT), 'l{c}': min(own.l{c}), 'h{c}': max(own.h{c})" for c in "rgb") + "}"
+    m = merge.MIX
+    out = [
+        f"n0 AS (SELECT image_id, CAST(region AS BIGINT) AS region, {stats_} AS s FROM reg GROUP BY image_id, region)",
+        "e0 AS (SELECT e.image_id, e.a, e.b, x.s AS sa, y.s AS sb FROM (SELECT DISTINCT image_id, CAST(region AS BIGINT) AS a, CAST(other AS BIGINT) AS b FROM sides WHERE other > region) e JOIN n0 x ON x.image_id = e.image_id AND x.region = e.a JOIN n0 y ON y.image_id = e.image_id AND y.region = e.b)",
+        "t0 AS (SELECT image_id, region, region AS root FROM n0)",
+    ]
+    for k in range(_ROUNDS):
+        out += [
+            f"o{k} AS (SELECT * FROM (SELECT image_id, a, b, {both} AS s, CAST(floor(({apart}) * {merge.SCALE}) AS BIGINT) AS d, (a * {m[0]} + b * {m[1]} + {k} * {m[2]}) % {m[3]} AS o, sa, sb FROM e{k}) WHERE {may})",
+            f"c{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, node ORDER BY d, o, a, b) AS r FROM (SELECT *, a AS node, b AS target, sa AS own FROM o{k} UNION ALL SELECT *, b AS node, a AS target, sb AS own FROM o{k})) WHERE r = 1)",
+            f"p{k} AS (SELECT image_id, a, b, any_value(s) AS s FROM c{k} GROUP BY image_id, a, b HAVING count(*) = 2)",
+            f"h{k} AS (SELECT image_id, a AS hub, a, b, s FROM p{k} UNION ALL SELECT image_id, b, a, b, s FROM p{k})",
+            f"w{k} AS (SELECT c.image_id, h.a, h.b, min(c.node) AS first, any_value(h.s) AS pair, list(c.node) AS nodes, {whole} AS s FROM c{k} c JOIN h{k} h ON h.image_id = c.image_id AND h.hub = c.target GROUP BY c.image_id, h.a, h.b)",
+            f"m{k} AS (SELECT image_id, unnest(nodes) AS node, first AS target, s FROM w{k} WHERE {may} UNION ALL SELECT image_id, unnest([a, b]), a, pair FROM w{k} WHERE NOT ({may}))",
+            f"g{k} AS (SELECT e.image_id, coalesce(x.target, e.a) AS a, coalesce(y.target, e.b) AS b, coalesce(x.s, e.sa) AS sa, coalesce(y.s, e.sb) AS sb FROM e{k} e LEFT JOIN m{k} x ON x.image_id = e.image_id AND x.node = e.a LEFT JOIN m{k} y ON y.image_id = e.image_id AND y.node = e.b)",
+            f"e{k + 1} AS (SELECT DISTINCT image_id, least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a < b THEN sa ELSE sb END AS sa, CASE WHEN a < b THEN sb ELSE sa END AS sb FROM g{k} WHERE a <> b)",
+            f"t{k + 1} AS (SELECT t.image_id, t.region, coalesce(m.target, t.root) AS root FROM t{k} t LEFT JOIN m{k} m ON m.image_id = t.image_id AND m.node = t.root)",
+        ]
+    mean = " + ".join(f"(2 * sum(rgb >> {shift} & 255) + count(*)) // (2 * count(*)) * {1 << shift}" for shift in (16, 8, 0))
+    out.append(f"joined AS (SELECT g.image_id, g.x, g.y, g.rgb, CAST(t.root AS INTEGER) AS region FROM reg g JOIN t{_ROUNDS} t ON t.image_id = g.image_id AND t.region = g.region)")
+    out.append(f"mreg AS (SELECT j.image_id, j.x, j.y, c.rgb, j.region FROM joined j JOIN (SELECT image_id, region, CAST({mean} AS INTEGER) AS rgb FROM joined GROUP BY image_id, region) c USING (image_id, region))")
+    return ", ".join(out)
+
+
+@query(f"{_REGION}, {_SIDES}, {_merged_sql(16)} SELECT image_id, x, y, rgb, region FROM mreg", "RECURSIVE " + _PX)
+def r07_merged_regions(spark, sf_dir):
+    return merge.merged(region.regions(px(spark, sf_dir)), 16)
+
+
+@query(f"{_REGION}, {_SIDES}, {_merged_sql(16)} SELECT image_id, x, y, rgb, region FROM mreg", "RECURSIVE " + _PX)
+def r07_merged_by_joins(spark, sf_dir):
+    """As r07, without a kernel that sees a tile's graph."""
+    return merge.merged(region.regions(px(spark, sf_dir)), 16, tile=None)
+
+
+def _loops_sql(cells: str, clear: str) -> str:
+    """loops: the outlines of cells (a relation), each step found from the cells around it and walked along; clear holds for clear pixels of px."""
+    return f"""clear AS (SELECT image_id, x, y, coalesce(count(*) FILTER ({clear}) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM px),
+        step AS (SELECT c.image_id, c.region, c.x, c.y, i, c.x + ox AS px, c.y + oy AS py, (CAST(c.y AS BIGINT) * 65536 + c.x) * 4 + i AS key,
+            CASE WHEN ahead.region IS DISTINCT FROM c.region THEN (CAST(c.y AS BIGINT) * 65536 + c.x) * 4 + (i + 1) % 4
+                 WHEN aside.region = c.region THEN (CAST(c.y + dy + fy AS BIGINT) * 65536 + c.x + dx + fx) * 4 + (i + 3) % 4
+                 ELSE (CAST(c.y + dy AS BIGINT) * 65536 + c.x + dx) * 4 + i END AS follow,
+            CASE i WHEN 1 THEN c.x + 1 WHEN 3 THEN -c.x ELSE 0 END AS area, CASE i WHEN 1 THEN before WHEN 3 THEN -before ELSE 0 END AS inside
+          FROM {cells} c JOIN clear USING (image_id, x, y), (VALUES (0, 1, 0, 0, -1, 0, 0), (1, 0, 1, 1, 0, 1, 0), (2, -1, 0, 0, 1, 1, 1), (3, 0, -1, -1, 0, 0, 1)) v(i, dx, dy, fx, fy, ox, oy)
+          LEFT JOIN {cells} facing ON facing.image_id = c.image_id AND facing.x = c.x + fx AND facing.y = c.y + fy
+          LEFT JOIN {cells} ahead ON ahead.image_id = c.image_id AND ahead.x = c.x + dx AND ahead.y = c.y + dy
+          LEFT JOIN {cells} aside ON aside.image_id = c.image_id AND aside.x = c.x + dx + fx AND aside.y = c.y + dy + fy
+          WHERE facing.region IS DISTINCT FROM c.region),
+        walk AS (SELECT image_id, key AS start, key FROM step UNION SELECT w.image_id, w.start, s.follow FROM walk w JOIN step s ON s.image_id = w.image_id AND s.key = w.key),
+        bend AS (SELECT s.image_id, s.key FROM step s JOIN step p ON p.image_id = s.image_id AND p.follow = s.key AND p.i <> s.i),
+        heads AS (SELECT image_id, start AS key, min(key) AS head FROM walk SEMI JOIN bend USING (image_id, key) GROUP BY image_id, start),
+        along AS (SELECT image_id, key AS head, key, 0 AS pos FROM heads WHERE key = head UNION ALL SELECT a.image_id, a.head, s.follow, a.pos + 1 FROM along a JOIN step s ON s.image_id = a.image_id AND s.key = a.key WHERE s.follow <> a.head),
+        bends AS (SELECT a.image_id, s.region, a.head, a.pos, s.px, s.py, s.area, s.inside, b.key IS NOT NULL AS corner FROM along a JOIN step s ON s.image_id = a.image_id AND s.key = a.key LEFT JOIN bend b ON b.image_id = a.image_id AND b.key = a.key),
+        loops AS (SELECT image_id, region, head, CAST(sum(area) AS BIGINT) AS area, CAST(sum(inside) AS BIGINT) AS inside, list({{'x': px, 'y': py}} ORDER BY pos) FILTER (corner) AS points FROM bends GROUP BY image_id, region, head)"""
+
+
+_POINTS = "list_aggregate(list_transform(points, lambda p: p.x || ' ' || p.y), 'string_agg', ',')"
+
+
+@query(f"{_REGION}, {_loops_sql('reg', 'a < 128')} SELECT image_id, region, head, area, inside AS inner_, {_POINTS} AS points FROM loops", "RECURSIVE " + _PX)
+def r08_loops(spark, sf_dir):
+    return _loops_of(spark, sf_dir, outline.TILE)
+
+
+@query(f"{_REGION}, {_loops_sql('reg', 'a < 128')} SELECT image_id, region, head, area, inside AS inner_, {_POINTS} AS points FROM loops", "RECURSIVE " + _PX)
+def r08_loops_tiled(spark, sf_dir):
+    """As r08, in tiles of 5 x 5, so that most loops leave theirs."""
+    return _loops_of(spark, sf_dir, 5)
+
+
+def _loops_of(spark, sf_dir, tile):
+    t = px(spark, sf_dir)
+    left = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    clear = t.select("image_id", "x", "y", F.coalesce(F.count_if(F.col("a") < schema.ALPHA).over(left), F.lit(0)).alias("before"))
+    found = outline.loops(region.regions(t).join(clear, ["image_id", "x", "y"]), tile)
+    say = F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string")))
+    return found.select("image_id", "region", "head", "area", F.col("inner").alias("inner_"), F.array_join(say, ",").alias("points"))
+
+
+def _drawn_sql(cells: str, clear: str, least: int, keep: str) -> str:
+    """Drawings in pixel outlines: largest regions first, loops that keep holds for."""
+    at = "list_aggregate(list_transform(points, lambda p, i: CASE WHEN i = 1 THEN 'M' ELSE 'L' END || (p.x - left_) || ' ' || (p.y - top_)), 'string_agg', ' ')"
+    return f"""large AS (SELECT image_id, region, any_value(rgb) AS rgb, count(*) AS cells, min(x) AS left_, min(y) AS top_ FROM {cells} GROUP BY image_id, region HAVING count(*) >= {least}),
+        kept AS (SELECT c.* FROM {cells} c SEMI JOIN large USING (image_id, region)), {_loops_sql('kept', clear)},
+        tag AS (SELECT image_id, region, cells, '<path d="' || string_agg({at} || ' Z', ' ' ORDER BY head) || '" fill="#' || lower(printf('%06x', any_value(rgb))) || '" transform="translate(' || any_value(left_) || ',' || any_value(top_) || ')"/>' || chr(10) AS t FROM loops JOIN large USING (image_id, region) WHERE {keep} GROUP BY image_id, region, cells),
+        body AS (SELECT image_id, string_agg(t, '' ORDER BY cells DESC, region) AS t FROM tag GROUP BY image_id)
+        SELECT image_id, w AS width, h AS height, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!-- traced -->' || chr(10) || '<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="' || w || '" height="' || h || '">' || chr(10) || coalesce(t, '') || '</svg>' AS svg
+        FROM (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY image_id) LEFT JOIN body USING (image_id)"""
+
+
+@query(f"{_REGION}, {_drawn_sql('reg', 'a < 128', 1, 'true')}", "RECURSIVE " + _PX)
 def r08_trace_outline(spark, sf_dir):
     return trace(px(spark, sf_dir), TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical="cutout"))
 
 
+@query(f"{_REGION}, {_SIDES}, {_merged_sql(16)}, {_drawn_sql('mreg', 'a < 128', 4, 'area > 0 OR inside < 0')}", "RECURSIVE " + _PX)
+def r03_trace_stacked(spark, sf_dir):
+    """Regions merged, small ones dropped, holes left only where clear pixels lie in them."""
+    return trace(px(spark, sf_dir), TraceOptions(mode="none", filter_speckle=2))
+
+
 @query()
 def r09_trace_spline(spark, sf_dir):
     return trace(px(spark, sf_dir))

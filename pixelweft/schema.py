@@ -12,7 +12,9 @@ MAX_FILE_BYTES, MAX_SOURCE_PIXELS, MAX_SOURCE_SIDE = 50 * 1024 * 1024, 100_000_0
 MM_PER_UNIT = {"mm": 1.0, "cm": 10.0, "in": 25.4}
 UNITS_PER_INCH = {"px": 96.0, "in": 1.0, "cm": 2.54, "mm": 25.4}
 
-PIXELS = "image_id int, x int, y int, r int, g int, b int, a int"
+#: Columns after the image's number, which is an int or a long.
+PIXEL = "x int, y int, r int, g int, b int, a int"
+PIXELS = f"image_id int, {PIXEL}"
 POINT = "struct<x:double,y:double>"
 SEGMENT = f"struct<kind:string,c1:{POINT},c2:{POINT},to:{POINT}>"
 SUBPATHS = f"array<struct<start:{POINT},segments:array<{SEGMENT}>,closed:boolean>>"
@@ -51,6 +53,11 @@ FLAGS = ("grayscale", "denoise", "crisp", "stencil", "minify")
 CAD_COLORS = [(1, 255, 0, 0), (2, 255, 255, 0), (3, 0, 255, 0), (4, 0, 255, 255), (5, 0, 0, 255), (6, 255, 0, 255), (7, 255, 255, 255), (7, 0, 0, 0), (8, 128, 128, 128)]
 
 
+def with_id(df: DataFrame, columns: str) -> str:
+    """A schema of image_id, of the type that it has in df, and columns."""
+    return f"image_id {df.schema['image_id'].dataType.simpleString()}, {columns}"
+
+
 def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRESETS, "colors int, speckle int, layer_diff int")
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
+import os
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, urlsplit
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import StructType
 
 from ..functions.udfs import vectorized
-from ..schema import MAX_FILE_BYTES, MAX_SIDE, MAX_SOURCE_PIXELS, MAX_SOURCE_SIDE
-from .raster import fit, fit_decode_size, pixel_batches
+from ..schema import MAX_FILE_BYTES, MAX_SIDE, MAX_SOURCE_PIXELS, MAX_SOURCE_SIDE, PIXEL
+from .raster import fit_decode_size, pixel_batches
 
 HEAD = 256 * 1024
 
@@ -119,13 +125,14 @@ def headers(files: DataFrame, content: str = "content") -> DataFrame:
     return out.drop("head_", "size_", "jpeg_")
 
 
-def checked(files: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
-    """headers() rows with error (null: may be decoded) and the size to decode to."""
+def checked(files: DataFrame, max_side: int = MAX_SIDE, content: str = "content", n_bytes: Column | None = None) -> DataFrame:
+    """headers() rows with error (null: may be decoded) and the size to decode to; n_bytes is the file's length where content is its head only."""
+    n_bytes = F.length(content) if n_bytes is None else n_bytes
     w, h = F.col("width"), F.col("height")
     bad = (w <= 0) | (h <= 0) | (w > MAX_SOURCE_SIDE) | (h > MAX_SOURCE_SIDE) | (w.cast("long") * h > MAX_SOURCE_PIXELS)
-    error = F.when(F.length("content") > MAX_FILE_BYTES, "file too large").when(F.col("format").isNull() | w.isNull(), "unknown format").when(bad, "bad size")
+    error = F.when(n_bytes > MAX_FILE_BYTES, "file too large").when(F.col("format").isNull() | w.isNull(), "unknown format").when(bad, "bad size")
     to = fit_decode_size(w, h, max_side)
-    return headers(files).withColumns({"error": error, "decode_width": to[0], "decode_height": to[1]})
+    return headers(files, content).withColumns({"error": error, "decode_width": to[0], "decode_height": to[1]})
 
 
 #: Where the pixel of each place of a shown image is stored, by orientation: mirrored left to right, upside down, axes swapped.
@@ -139,18 +146,118 @@ def shown(stored: np.ndarray, orientation: int) -> np.ndarray:
     return out.transpose(1, 0, 2) if swapped else out
 
 
+#: Files of one task that reads heads; refused files that a plan names.
+FILES, REFUSED = 256, 1000
+
+
+def _local_name(path: Column) -> Column:
+    """A file's name without its scheme, as HeadReader gives it."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\\+", "%2B")), "^[A-Za-z0-9+.-]+:/*", "")
+
+
+class HeadReader(DataSourceReader):
+    """Name, length and first HEAD bytes of every file below a path; no more of it is read, and nothing of files that a filter on length excludes."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.most = path, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (LessThanOrEqual, LessThan)) and f.attribute == ("length",):
+                top = f.value - isinstance(f, LessThan)
+                self.most = top if self.most is None else min(self.most, top)
+            else:
+                yield f
+
+    def _store(self) -> tuple[pafs.FileSystem, str, str]:
+        uri = urlsplit(self.path)
+        store, at = pafs.FileSystem.from_uri(self.path if uri.scheme else "file://" + quote(os.path.abspath(self.path)))
+        return store, at, "" if not uri.netloc or at.startswith(uri.netloc) else uri.netloc
+
+    def partitions(self) -> list[InputPartition]:
+        store, at, host = self._store()
+        one = store.get_file_info(at)
+        found = [one] if one.is_file else store.get_file_info(pafs.FileSelector(at, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and (self.most is None or f.size <= self.most))
+        return [InputPartition((host, files[k : k + FILES])) for k in range(0, len(files), FILES)] or [InputPartition((host, []))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, bytes]]:
+        host, files = partition.value
+        store = self._store()[0]
+        for path, size in files:
+            with store.open_input_file(path) as f:
+                yield (host + path).lstrip("/"), size, f.read(HEAD)
+
+
+class Heads(DataSource):
+    """spark.read.format("image_heads").load(path): name, length and head of files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "image_heads"
+
+    def schema(self) -> str:
+        return "name string, length long, head binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return HeadReader(self.options["path"])
+
+
+def image_heads(spark: SparkSession, path: str, max_side: int = MAX_SIDE) -> DataFrame:
+    """name, length, format, width, height, orientation, error and the size to decode to of every file below path, from its first bytes."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(Heads)
+    rows = spark.read.format("image_heads").load(path)
+    return checked(rows, max_side, "head", F.col("length")).drop("head")
+
+
+def shrunk(rgba: np.ndarray, w: int, h: int) -> np.ndarray:
+    """An image (rows x columns x 4) at w x h, no larger than it is, by area in premultiplied alpha: the whole numbers that resample() adds up.
+
+    The sum over a target pixel is a difference of running sums, taken between pixels in
+    proportion, along rows first and then along columns; some rows are held at a time.
+    """
+
+    def along(v: np.ndarray, to: int) -> np.ndarray:
+        n = len(v)
+        total = np.concatenate([np.zeros((1, *v.shape[1:]), np.int64), np.cumsum(v, axis=0)])
+        at, part = np.divmod(np.arange(to + 1) * n, to)
+        upto = to * total[at] + part.reshape(-1, *[1] * (v.ndim - 1)) * v[np.minimum(at, n - 1)]
+        return np.diff(upto, axis=0)
+
+    tall, wide = rgba.shape[:2]
+    narrow = np.empty((tall, w, 4), np.int64)
+    for k in range(0, tall, 256):
+        part = rgba[k : k + 256].astype(np.int64)
+        part[:, :, :3] *= part[:, :, 3:]
+        narrow[k : k + 256] = along(part.transpose(1, 0, 2), w).transpose(1, 0, 2)
+    sums = along(narrow, h)
+    alpha = sums[:, :, 3:]
+    color = np.floor(np.divide(sums[:, :, :3], alpha, out=np.zeros(alpha.shape[:2] + (3,)), where=alpha > 0) + 0.5)
+    return np.concatenate([np.where(alpha > 0, color, 0), np.floor(alpha / (tall * wide) + 0.5)], axis=2).astype(np.uint8)
+
+
 def read_images(spark: SparkSession, path: str, max_side: int | None = MAX_SIDE) -> DataFrame:
-    """Pixels of the PNG, JPEG, GIF and BMP files at path: image_id (hash of the file's name), origin, x, y, r, g, b, a.
+    """Pixels of the PNG, JPEG, GIF and BMP files at path: image_id (hash of the file's name, a long), origin, x, y, r, g, b, a.
 
-    Images are turned as the orientation in their header says, and those whose longest
-    side is above max_side are resampled to it (null: none are); WebP pixels are not
-    read. A file's bytes are read once. Only turned files are joined, a name and a
-    number each, before any pixel row is made.
+    Files are judged by their first bytes (image_heads(), whose rows say why one is
+    refused): too large ones, unknown formats and sizes beyond the limits are left out
+    before anything else of them is read. Images are turned as the orientation in their
+    header says; those whose longest side is above max_side are made smaller by the task
+    that has them (null: none are), so each is decoded once and pixels are not shuffled.
+    WebP pixels are not read.
     """
-    name = F.col("_metadata.file_path").alias("file_")
-    files = headers(spark.read.format("binaryFile").load(path).select(name, "content"))
-    turns = files.where("orientation between 2 and 8").select("file_", F.col("orientation").alias("turn"))
-    rows = spark.read.format("image").option("dropInvalid", True).load(path).select(name, "image.*").join(turns, "file_", "left")
+    heads = image_heads(spark, path)
+    # a plan can name some files only, and so many bad ones are better looked at
+    refused = [r["name"] for r in heads.where("error is not null and error <> 'file too large'").select("name").limit(REFUSED + 1).collect()]
+    if len(refused) > REFUSED:
+        raise ValueError(f"more than {REFUSED} files at {path} are no images within the limits; see image_heads()")
+    turns = heads.where("error is null and orientation between 2 and 8").select(F.col("name").alias("name_"), F.col("orientation").alias("turn"))
+    name = _local_name(F.col("_metadata.file_path"))
+    files = spark.read.format("image").option("dropInvalid", True).load(path).where(F.col("_metadata.file_size") <= MAX_FILE_BYTES)
+    if refused:
+        files = files.where(~name.isin(refused))
+    rows = files.select(name.alias("name_"), "image.*").join(turns, "name_", "left")
     rows = rows.select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", "nChannels", F.coalesce("turn", F.lit(1)).alias("turn"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +266,11 @@ def read_images(spark: SparkSession, path: str, max_side: int | None = MAX_SIDE)
                 bgra = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
                 opaque = np.full((h, w, 1), 255, np.uint8)
                 rgba = np.concatenate([bgra[:, :, [0, 0, 0]], opaque] if n == 1 else [bgra[:, :, [2, 1, 0]], bgra[:, :, 3:4] if n == 4 else opaque], axis=2)
+                if max_side is not None and max(w, h) > max_side:
+                    rgba = shrunk(rgba, *(max(1, math.floor(s * (max_side / max(w, h)) + 0.5)) for s in (w, h)))
                 out = np.ascontiguousarray(shown(rgba, turn))
-                for part in pixel_batches(0, out.shape[1], out.reshape(-1, 4)):
-                    k = part.num_rows
-                    columns = [pa.array([image_id] * k, pa.int64()), pa.array([origin] * k, pa.string()), *part.columns[1:], pa.array([max(h, w)] * k, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "origin", "x", "y", "r", "g", "b", "a", "side"])
-
-    px = rows.mapInArrow(run, "image_id long, origin string, x int, y int, r int, g int, b int, a int, side int")
-    if max_side is None:
-        return px.drop("side")
-    names = rows.select("image_id", "origin")
-    large = fit(px.where(F.col("side") > max_side).select("image_id", "x", "y", "r", "g", "b", "a"), max_side).join(names, "image_id")
-    return px.where(F.col("side") <= max_side).drop("side").unionByName(large)
+                for part in pixel_batches(image_id, out.shape[1], out.reshape(-1, 4)):
+                    columns = [part.column(0), pa.array([origin] * part.num_rows, pa.string()), *part.columns[1:]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["image_id", "origin", "x", "y", "r", "g", "b", "a"])
+
+    return rows.mapInArrow(run, f"image_id long, origin string, {PIXEL}")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..schema import MAX_PIXELS, MAX_SIDE, MAX_SIDE_ULTRA, PIXELS
+from ..schema import MAX_PIXELS, MAX_SIDE, MAX_SIDE_ULTRA, PIXEL, with_id
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +101,13 @@ def pack(px: DataFrame) -> DataFrame:
 BATCH = 1 << 18
 
 
-def pixel_batches(image_id: int, width: int, rgba: np.ndarray) -> Iterator[pa.RecordBatch]:
+def pixel_batches(image_id: int, width: int, rgba: np.ndarray, of: pa.DataType = pa.int64()) -> Iterator[pa.RecordBatch]:
     """PIXELS rows of an image's pixels in row order (n x 4 bytes), some at a time."""
     for at in range(0, len(rgba), BATCH):
         part = rgba[at : at + BATCH]
         place = np.arange(at, at + len(part))
-        columns = [np.full(len(part), image_id), place % width, place // width, *part.T]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=["image_id", "x", "y", "r", "g", "b", "a"])
+        columns = [place % width, place // width, *part.T]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), image_id), of), *(pa.array(c.astype(np.int32)) for c in columns)], names=["image_id", "x", "y", "r", "g", "b", "a"])
 
 
 def block_error(w: Column, h: Column, n_bytes: Column) -> Column:
@@ -121,11 +121,11 @@ def unpack(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for image_id, width, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                yield from pixel_batches(image_id, width, np.frombuffer(data.as_buffer() or b"", np.uint8).reshape(-1, 4))
+                yield from pixel_batches(image_id, width, np.frombuffer(data.as_buffer() or b"", np.uint8).reshape(-1, 4), batch.column(0).type)
 
     error = block_error(F.col("width"), F.col("height"), F.length("data"))
     checked = blocks.where(F.when(error.isNotNull(), F.raise_error(error).cast("boolean")).otherwise(True))
-    return checked.select("image_id", "width", "data").mapInArrow(run, PIXELS)
+    return checked.select("image_id", "width", "data").mapInArrow(run, with_id(blocks, PIXEL))
 
 
 def within_budget(px: DataFrame, most: int = MAX_PIXELS) -> DataFrame:

@@ -1,19 +1,24 @@
 """Golden cases of paths, drawings, exports, headers, edits and settings."""
 
 import math
+import re
 import struct
-import tracemalloc
+import time
+from functools import reduce
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import LessThanOrEqual
 
 from pixelweft.functions import numbers, path, svg
-from pixelweft.operators import edits
-from pixelweft.operators.trace import TraceOptions, area, loops, trace_image
+from pixelweft.operators import color, edits, merge, region
+from pixelweft.operators.trace import TraceOptions, trace
+from pixelweft.schema import PIXEL
 from pixelweft.plans import settings
+from pixelweft.plans.pipeline import Settings, drawings
 from pixelweft.sources import export, images
-from pixelweft.sources.raster import budget_error
+from pixelweft.sources.raster import budget_error, fit
 
 DRAWING = '<svg version="1.1" width="200" height="160" viewBox="0 0 200 160"><g fill="#ff0000"><path d="M0 0 L10 0 10 10 Z M2 2 L4 2 4 4 Z"/><path d="M0 0 C0 5 5 10 10 10" transform="translate(5,6)" fill="#00ff00"/></g><path d="M1 1 L2 2"/></svg>'
 
@@ -85,22 +90,80 @@ def test_png_source_round_trip(spark, tmp_path):
     assert (out == rgba).all()
 
 
-def test_traced_outline_paints_back():
+def pixels(spark, image_id, rgb, a):
+    """One image as a pixel table."""
+    h, w = rgb.shape
+    rows = [(image_id, x, y, int(rgb[y, x]) >> 16, int(rgb[y, x]) >> 8 & 255, int(rgb[y, x]) & 255, int(a[y, x])) for y in range(h) for x in range(w)]
+    return spark.createDataFrame(rows, f"image_id long, {PIXEL}")
+
+
+def test_traced_outline_paints_back(spark):
+    """Images with long ids, holes, touching corners and clear parts: cells, colours and clear pixels come back."""
     r = np.random.default_rng(1)
-    rgb = np.array([0xFF0000, 0x00FF00, 0x0000FF])[r.integers(0, 3, (14, 17))]
-    a = np.where(r.random((14, 17)) < 0.2, 0, 255)
+    made = {}
+    for k in range(3):
+        rgb = np.array([0xFF0000, 0x00FF00, 0x0000FF])[r.integers(0, 3 - k // 2, (14, 17))]
+        made[(1 << 40) + k] = (rgb, np.where(r.random((14, 17)) < 0.1 * k, 0, 255))
+    px = reduce(lambda x, y: x.union(y), [pixels(spark, i, *v) for i, v in made.items()])
     for kind in ("cutout", "stacked"):
-        drawn = trace_image(rgb, a, TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical=kind))
-        out = export.painted(drawn)
-        assert (out[:, :, 3] == a).all()
-        assert ((out[:, :, 0].astype(int) << 16 | out[:, :, 1].astype(int) << 8 | out[:, :, 2])[a > 0] == rgb[a > 0]).all()
-    for mode in ("polygon", "spline"):
-        assert trace_image(rgb, a, TraceOptions(mode=mode)).endswith("</svg>")
+        for row in trace(px, TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical=kind)).collect():
+            rgb, a = made[row.image_id]
+            out = export.painted(row.svg)
+            assert (out[:, :, 3] == a).all()
+            assert ((out[:, :, 0].astype(int) << 16 | out[:, :, 1].astype(int) << 8 | out[:, :, 2])[a > 0] == rgb[a > 0]).all()
     with pytest.raises(ValueError):
         TraceOptions(mode="bogus")
-    ring = np.ones((3, 3), bool)
-    ring[1, 1] = False
-    assert sorted(map(area, loops(ring))) == [-1, 9]
+
+
+SQUARE = [(x, y, 9) for x in range(2, 8) for y in range(3, 9)]
+FRAME = [(x, y, 9) for x, y, _ in SQUARE if not (4 <= x < 6 and 5 <= y < 7)]
+DISC = [(x, y, 9) for x in range(12) for y in range(12) if (x - 5.5) ** 2 + (y - 5.5) ** 2 <= 20]
+
+
+@pytest.mark.parametrize("mode", ["polygon", "spline", "none"])
+def test_shapes_come_out_as_written_by_hand(spark, mode):
+    shapes = [SQUARE, FRAME, DISC]
+    px = spark.createDataFrame([(i, x, y, *((200, 10, 30, 255) if (x, y, 9) in s else (0, 0, 0, 0))) for i, s in enumerate(shapes) for x in range(12) for y in range(12)], f"image_id int, {PIXEL}")
+    got = {r.image_id: r.svg for r in trace(px, TraceOptions(mode=mode, filter_speckle=1)).collect()}
+    path = lambda d, x, y: f'<path d="{d}" fill="#c80a1e" transform="translate({x},{y})"/>'
+    square, hole = {"none": ("M0 0 L6 0 L6 6 L0 6 Z", "M4 2 L2 2 L2 4 L4 4 Z"), "polygon": ("M0 0 L6 0 L6 6 L0 6 Z", None), "spline": ("M0 0 L6 0 L6 6 L0 6 L0 0 Z", None)}[mode]
+    assert path(square, 2, 3) in got[0]
+    if hole:
+        assert path(f"{square} {hole}", 2, 3) in got[1]
+    else:
+        assert square in got[1] and got[1].count("M") == 2 and got[1].count("Z") == 2
+    # a disc stays within a pixel of its circle, in fewer points than its outline has
+    drawn = svg.parse_svg(got[2])["paths"][0]["subpaths"][0]
+    ends = [(s["to"]["x"], s["to"]["y"]) if isinstance(s["to"], dict) else tuple(s["to"]) for s in drawn["segments"]]
+    assert all(abs(math.dist(p, (6, 6)) - 20**0.5) < 1.6 for p in ends)
+    if mode != "none":
+        assert len(ends) < 24
+    assert "np." not in got[2] and ("C" in got[2]) == (mode == "spline")
+    rough = {p: trace(px.where("image_id = 2"), TraceOptions(mode=mode, filter_speckle=1, path_precision=p)).first().svg for p in (0, 5)} if mode == "spline" else {}
+    assert not rough or ("." not in rough[0].split("<path")[1] and max(len(n.split(".")[1]) for n in re.findall(r"\d+\.\d+", rough[5].split("<path")[1])) > 3)
+
+
+def test_a_gradient_falls_into_steps(spark):
+    """Grey from 0 to 255: no cell is farther than the allowed difference from its region's colour, at a tile and across tiles."""
+    px = pixels(spark, 1, np.tile(np.arange(256) * 0x010101, (4, 1)), np.full((4, 256), 255))
+    cells = region.regions(px)
+    for tile in (512, 100, None):
+        rows = merge.merged(cells, 16, tile).toPandas()
+        grey = rows.rgb & 255
+        assert (abs(grey - rows.x) <= 17).all() and 8 <= rows.region.nunique() <= 26
+    assert merge.merged(cells, 255).select("region").distinct().count() == 1
+    assert merge.merged(cells, 0).select("region").distinct().count() == 256
+
+
+def test_merging_in_a_kernel_is_merging_by_joins(spark):
+    r = np.random.default_rng(3)
+    images = [r.integers(0, 30, (9, 11)) * 0x010203, np.add.outer(np.arange(9) * 5, np.arange(11) * 7) * 0x010001]
+    px = pixels(spark, 1, images[0], np.full((9, 11), 255)).union(pixels(spark, 1 << 33, images[1], np.where(r.random((9, 11)) < 0.1, 0, 255)))
+    cells = region.regions(px)
+    rows = lambda tile: sorted(map(tuple, merge.merged(cells, 16, tile).collect()))
+    assert rows(512) == rows(None)
+    allowed = merge.merged(cells, 16, 4).join(cells.select("image_id", "x", "y", F.col("rgb").alias("old")), ["image_id", "x", "y"]).toPandas()
+    assert all((abs((allowed.rgb >> s & 255) - (allowed.old >> s & 255)) <= 17).all() for s in (16, 8, 0))
 
 
 def jpeg(*segments):
@@ -204,14 +267,91 @@ def test_nested_groups(spark):
     assert [r.fill for r in rows] == want
 
 
-def test_noisy_image_is_traced_in_bounded_memory():
-    """Some 12,000 regions: what is held does not grow with regions times pixels."""
+def test_noisy_image_is_traced(spark):
+    """Some 12,000 regions in one image, as rows."""
     r = np.random.default_rng(2)
     rgb = r.integers(0, 1 << 24, 8)[r.integers(0, 8, (120, 130))]
-    tracemalloc.start()
-    drawn = trace_image(rgb, np.full(rgb.shape, 255), TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical="cutout"))
-    most = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert drawn.count("<path") > 10_000 and most < 20e6
-    out = export.painted(drawn)
+    (row,) = trace(pixels(spark, 5, rgb, np.full(rgb.shape, 255)), TraceOptions(mode="none", filter_speckle=1, layer_difference=0, hierarchical="cutout")).collect()
+    assert row.svg.count("<path") > 10_000
+    out = export.painted(row.svg)
     assert ((out[:, :, 0].astype(int) << 16 | out[:, :, 1].astype(int) << 8 | out[:, :, 2]) == rgb).all()
+
+
+def plain_chain(points, tolerance):
+    ends, at = [], 0
+    while at < len(points) - 1:
+        to = at + 1
+        while to + 1 < len(points) and all(path.off_chord(p, points[at], points[to + 1]) <= tolerance for p in points[at + 1 : to + 1]):
+            to += 1
+        ends.append(points[to])
+        at = to
+    return ends
+
+
+def test_straight_runs_are_those_of_looking_at_all_points():
+    r = np.random.default_rng(6)
+    for k in range(400):
+        n = int(r.integers(1, 60))
+        walk = np.cumsum(r.integers(-2, 4, (n, 2)) / (1 if k % 2 else 2), axis=0)
+        if k % 5 == 0:
+            walk = np.round(walk) * [1, 0]  # back and forth on a line, repeated points
+        pts = [tuple(map(float, p)) for p in walk]
+        for tolerance in (0.0, 0.5, 1.0, 2.5):
+            assert path._chain(pts, tolerance) == plain_chain(pts, tolerance)
+
+
+def test_straightening_takes_linear_time():
+    stairs = [(float((i + 1) // 2), float(i // 2)) for i in range(16_000)]
+    began = time.perf_counter()
+    assert len(path._chain(stairs, 1.0)) == 1
+    assert time.perf_counter() - began < 1
+
+
+def test_files_become_drawings(spark, tmp_path):
+    """The README's example: files are read, quantised, labelled, filled and traced under ids of 64 bits."""
+    shape = np.full((20, 30, 4), 255, np.uint8)
+    shape[5:15, 8:22, :3] = (200, 10, 30)
+    for k in range(3):
+        (tmp_path / f"a {k}+b.png").write_bytes(export.png(np.roll(shape, k, axis=1)))
+    px = images.read_images(spark, str(tmp_path))
+    ids = {r.image_id for r in px.select("image_id").distinct().collect()}
+    assert len(ids) == 3 and max(map(abs, ids)) > 1 << 31
+    assert {r.image_id for r in region.regions(px.drop("origin")).select("image_id").distinct().collect()} == ids
+    few = color.quantize(px.drop("origin"), 2)
+    assert few.select("image_id", "r", "g", "b").distinct().count() == 6
+    rough = px.drop("origin").withColumn("r", (F.col("r") - F.col("x")).cast("int"))
+    assert color.quantize(rough, 4).select("image_id", "r", "g", "b").distinct().groupBy("image_id").count().agg(F.max("count")).first()[0] <= 4
+    assert region.knock_out_edges(few, 16.0).where("a = 0").count() == 3 * (600 - 140)
+    drawn = drawings(px.drop("origin"), Settings(colors=8, straighten=0.5)).collect()
+    assert {r.image_id for r in drawn} == ids and all((r.width, r.height) == (30, 20) and '#c80a1e"' in r.svg for r in drawn)
+
+
+def test_files_are_judged_by_their_heads(spark, tmp_path):
+    """Bad files are refused before more than their head is read; what is left is decoded once and made smaller as resample() does."""
+    r = np.random.default_rng(1)
+    rgba = r.integers(0, 256, (37, 61, 4)).astype(np.uint8)
+    rgba[r.random((37, 61)) < 0.2, 3] = 0
+    (tmp_path / "good.png").write_bytes(export.png(rgba))
+    bomb = bytearray(export.png(rgba))
+    bomb[16:24] = struct.pack(">II", 30_000, 30_000)
+    (tmp_path / "bomb.png").write_bytes(bytes(bomb))
+    (tmp_path / "text.png").write_bytes(b"no image")
+    with open(tmp_path / "large.png", "wb") as f:
+        f.write(export.png(rgba))
+        f.truncate(60 << 20)
+    heads = {x.name.split("/")[-1]: x for x in images.image_heads(spark, str(tmp_path)).collect()}
+    assert {k: v.error for k, v in heads.items()} == {"good.png": None, "bomb.png": "bad size", "text.png": "unknown format", "large.png": "file too large"}
+    reader = images.HeadReader(str(tmp_path))
+    list(reader.pushFilters([LessThanOrEqual(("length",), 50 << 20)]))
+    rows = [x for p in reader.partitions() for x in reader.read(p)]
+    assert len(rows) == 3 and all(len(x[2]) <= images.HEAD for x in rows)
+    assert sum(len(x[2]) for p in images.HeadReader(str(tmp_path)).partitions() for x in images.HeadReader(str(tmp_path)).read(p)) < 4 * images.HEAD
+    for side in (None, 61, 40, 7):
+        px = images.read_images(spark, str(tmp_path), side)
+        assert {x.origin.split("/")[-1] for x in px.select("origin").distinct().collect()} == {"good.png"}
+        plain = spark.createDataFrame([(1, x, y, *map(int, rgba[y, x])) for y in range(37) for x in range(61)], f"image_id int, {PIXEL}")
+        want = fit(plain, side) if side else plain
+        names = ["x", "y", "r", "g", "b", "a"]
+        assert sorted(map(tuple, px.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+        plan = px._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan image") == 1 or plan.count("FileScan image") == 1

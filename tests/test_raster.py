@@ -1,13 +1,15 @@
 """Golden cases, sequential models and properties of the pixel operators."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import color, neighbourhood, pixel, region, stats
+from pixelweft.operators import color, neighbourhood, outline, pixel, region, stats
 from pixelweft.operators.trace import TraceOptions
 from pixelweft.plans import pipeline
-from pixelweft.schema import PIXELS, presets
+from pixelweft.schema import PIXEL, PIXELS, presets
 from pixelweft.sources import raster
 
 
@@ -155,7 +157,75 @@ def test_flood_fill(spark):
                 rows[y][x] = (0, 0, 0)
     a = grid(region.knock_out_edges(image(spark, rows), 16.0), "a")[:, :, 0]
     assert a[0, 0] == 0 and a[4, 4] == 255 and a[2, 2] == 255 and (a == 0).sum() == 64
-    assert region.reached(np.ones((512, 512), bool)).all()
+    assert (grid(region.knock_out_edges(image(spark, rows), 16.0, tile=3), "a")[:, :, 0] == a).all()
+
+
+def test_tiles_change_nothing(spark):
+    """Labels, flood fill and loops of images that are cut into small tiles, with ids of 64 bits and two values, so that components wind through many tiles."""
+    r = np.random.default_rng(4)
+    rows = [((1 << 50) + i, x, y, int(v), 0, 0, 255 if r.random() > 0.08 * i else 0) for i in range(2) for (y, x), v in np.ndenumerate(r.integers(0, 2, (23, 29)) * 90)]
+    px = spark.createDataFrame(rows, f"image_id long, {PIXEL}")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    cells = region.regions(px)
+    assert same(cells, region.regions(px, tile=6))
+    assert {r.image_id for r in cells.select("image_id").distinct().collect()} == {1 << 50, (1 << 50) + 1}
+    assert same(region.knock_out_edges(px, 12.0), region.knock_out_edges(px, 12.0, tile=6))
+    before = cells.withColumn("before", F.lit(0).cast("long"))
+    assert same(outline.loops(before), outline.loops(before, tile=6))
+
+
+def test_depth_is_a_distance(spark):
+    """Rings by steps from transparency, against growing them one by one, however deep."""
+    r = np.random.default_rng(8)
+    a = np.where(r.random((40, 33)) < 0.004, 0, 255)
+    a[20, 16] = 0
+    px = spark.createDataFrame([(1, x, y, 1, 2, 3, int(v)) for (y, x), v in np.ndenumerate(a)], PIXELS)
+    d, front = np.where(a < 128, 0, -1), a < 128
+    for k in range(1, 65):
+        near = np.zeros_like(front)
+        near[1:] |= front[:-1]
+        near[:-1] |= front[1:]
+        near[:, 1:] |= front[:, :-1]
+        near[:, :-1] |= front[:, 1:]
+        front = near & (d < 0)
+        d[front] = k
+    for depth in (2, 64):
+        got = neighbourhood.rings(px, depth).toPandas()
+        assert (got.d.fillna(-1).to_numpy() == np.where(d <= depth, d, -1)[got.y, got.x]).all()
+        gone = neighbourhood.erode(px, depth).toPandas()
+        assert ((gone.a == 0).to_numpy() == (d <= depth)[gone.y, gone.x]).all()
+    plan = [neighbourhood.rings(px, n)._jdf.queryExecution().executedPlan().toString().count("Window") for n in (2, 64)]
+    assert plan[0] == plan[1]
+    assert neighbourhood.rings(px.where("a > 0"), 3).where("d is not null").count() == 0
+
+
+def test_palette_rounds_hold_blocks(monkeypatch):
+    """Bounds and blocks change neither palette nor assignment."""
+    r = np.random.default_rng(0)
+    for n, k in ((60, 3), (3000, 16), (800, 64), (4, 4)):
+        lab = color.oklab_array(r.integers(0, 256, (n, 3)))
+        weight, seeds = r.integers(1, 50, n).astype(float), lab[r.choice(n, k, replace=False)].copy()
+        seeds[-1] = seeds[0]
+        palette, to = seeds, np.zeros(n, int)
+        for i in range(10):
+            new = ((lab[:, None] - palette[None]) ** 2).sum(axis=2).argmin(axis=1)
+            if i and (new == to).all():
+                break
+            to = new
+            palette = np.array([np.bincount(to, lab[:, c] * weight, k) for c in range(3)]).T / np.maximum(np.bincount(to, weight, k), 1)[:, None] * (np.bincount(to, minlength=k) > 0)[:, None] + palette * (np.bincount(to, minlength=k) == 0)[:, None]
+        monkeypatch.setattr(color, "BLOCK", 1000)
+        found, own = color.refined(lab, weight, seeds)
+        assert (own == to).all() and np.allclose(found, palette, atol=1e-12)
+
+
+def test_palette_search_is_bounded_in_memory():
+    r = np.random.default_rng(0)
+    lab = color.oklab_array(r.integers(0, 256, (400_000, 3)))
+    tracemalloc.start()
+    color.refined(lab, np.ones(len(lab)), lab[:128].copy(), 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
 
 
 def test_flatness(spark):
