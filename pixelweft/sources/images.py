@@ -6,12 +6,12 @@ import math
 import os
 import struct
 from collections.abc import Iterator
+from typing import Any
 from urllib.parse import quote, urlsplit
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition, LessThan, LessThanOrEqual
@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from ..functions.udfs import vectorized
 from ..schema import MAX_FILE_BYTES, MAX_SIDE, MAX_SOURCE_PIXELS, MAX_SOURCE_SIDE, PIXEL
 from .raster import fit_decode_size, pixel_batches
+from .store import stored
 
 HEAD = 256 * 1024
 
@@ -125,14 +126,18 @@ def headers(files: DataFrame, content: str = "content") -> DataFrame:
     return out.drop("head_", "size_", "jpeg_")
 
 
-def checked(files: DataFrame, max_side: int = MAX_SIDE, content: str = "content", n_bytes: Column | None = None) -> DataFrame:
-    """headers() rows with error (null: may be decoded) and the size to decode to; n_bytes is the file's length where content is its head only."""
-    n_bytes = F.length(content) if n_bytes is None else n_bytes
+def judged(rows: DataFrame, n_bytes: Column, max_side: int = MAX_SIDE) -> DataFrame:
+    """rows (format, width, height) with error (null: may be decoded) and the size to decode to."""
     w, h = F.col("width"), F.col("height")
     bad = (w <= 0) | (h <= 0) | (w > MAX_SOURCE_SIDE) | (h > MAX_SOURCE_SIDE) | (w.cast("long") * h > MAX_SOURCE_PIXELS)
     error = F.when(n_bytes > MAX_FILE_BYTES, "file too large").when(F.col("format").isNull() | w.isNull(), "unknown format").when(bad, "bad size")
     to = fit_decode_size(w, h, max_side)
-    return headers(files, content).withColumns({"error": error, "decode_width": to[0], "decode_height": to[1]})
+    return rows.withColumns({"error": error, "decode_width": to[0], "decode_height": to[1]})
+
+
+def checked(files: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
+    """headers() rows with error (null: may be decoded) and the size to decode to."""
+    return judged(headers(files), F.length("content"), max_side)
 
 
 #: Where the pixel of each place of a shown image is stored, by orientation: mirrored left to right, upside down, axes swapped.
@@ -169,15 +174,20 @@ class HeadReader(DataSourceReader):
             else:
                 yield f
 
-    def _store(self) -> tuple[pafs.FileSystem, str, str]:
+    def _store(self) -> tuple[Any, str, str]:
+        """The file system, the path within it, and the host that names of its files begin with."""
+        import pyarrow.fs as pafs  # starts threads, which workers that are yet to be forked should not have
+
         uri = urlsplit(self.path)
         store, at = pafs.FileSystem.from_uri(self.path if uri.scheme else "file://" + quote(os.path.abspath(self.path)))
         return store, at, "" if not uri.netloc or at.startswith(uri.netloc) else uri.netloc
 
     def partitions(self) -> list[InputPartition]:
+        from pyarrow.fs import FileSelector
+
         store, at, host = self._store()
         one = store.get_file_info(at)
-        found = [one] if one.is_file else store.get_file_info(pafs.FileSelector(at, recursive=True))
+        found = [one] if one.is_file else store.get_file_info(FileSelector(at, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and not f.base_name.startswith(("_", ".")) and (self.most is None or f.size <= self.most))
         return [InputPartition((host, files[k : k + FILES])) for k in range(0, len(files), FILES)] or [InputPartition((host, []))]
 
@@ -204,11 +214,12 @@ class Heads(DataSource):
 
 
 def image_heads(spark: SparkSession, path: str, max_side: int = MAX_SIDE) -> DataFrame:
-    """name, length, format, width, height, orientation, error and the size to decode to of every file below path, from its first bytes."""
+    """name, length, format, width, height, orientation, error and the size to decode to of every file below path, from its first bytes, which are read once."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Heads)
-    rows = spark.read.format("image_heads").load(path)
-    return checked(rows, max_side, "head", F.col("length")).drop("head")
+    # stored, as expressions over the bytes that stand in several others would grow beyond what is compiled
+    sizes = stored(headers(spark.read.format("image_heads").load(path), "head").drop("head"))
+    return judged(sizes, F.col("length"), max_side)
 
 
 def shrunk(rgba: np.ndarray, w: int, h: int) -> np.ndarray:
