@@ -784,6 +784,44 @@ def r03_trace_stacked(spark, sf_dir):
     return trace(px(spark, sf_dir), TraceOptions(mode="none", filter_speckle=2))
 
 
+# A square, a frame with a hole or a rectangle for every part, in a colour of its own on clear ground, and its paths written out.
+_SHAPES = """s AS (SELECT p_partkey AS image_id, p_partkey % 3 AS kind, p_size % 4 + 3 AS side, CASE p_partkey % 3 WHEN 0 THEN p_size % 4 + 3 WHEN 1 THEN 9 ELSE 8 END AS w, CASE p_partkey % 3 WHEN 1 THEN 9 ELSE p_size % 4 + 3 END AS h, p_partkey % 2 + 1 AS x0, 2 AS y0,
+    p_size * 5 AS r, p_partkey % 128 AS g, 7 AS b FROM part),
+  d AS (SELECT *, 'M0 0 L' || w || ' 0 L' || w || ' ' || h || ' L0 ' || h || '{close} Z' || CASE WHEN kind = 1 THEN ' M6 3 L3 3 L3 6 L6 6{close_hole} Z' ELSE '' END AS d, printf('#%02x%02x%02x', r, g, b) AS fill FROM s)"""
+_SHAPE_SVG = """SELECT image_id, {size} '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!-- traced -->' || chr(10) || '<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="12" height="12"{box}>' || chr(10) || '<path d="' || d || '" fill="' || fill || '" transform="translate(' || x0 || ',' || y0 || ')"/>' || chr(10) || '</svg>' AS svg FROM d"""
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    side, kind = size % 4 + 3, k % 3
+    t = table(spark, sf_dir, "part").select(k.alias("image_id"), kind.alias("kind"), F.when(kind == 0, side).when(kind == 1, 9).otherwise(8).alias("w"), F.when(kind == 1, 9).otherwise(side).alias("h"), (k % 2 + 1).alias("x0"), (size * 5).alias("r_"), (k % 128).alias("g_"))
+    axis = F.sequence(F.lit(0), F.lit(11))
+    rows = t.withColumn("x", F.explode(axis)).withColumn("y", F.explode(axis))
+    u, v = F.col("x") - F.col("x0"), F.col("y") - 2
+    hole = (F.col("kind") == 1) & u.between(3, 5) & v.between(3, 5)
+    inside = (u >= 0) & (u < F.col("w")) & (v >= 0) & (v < F.col("h")) & ~hole
+    part = {"r": F.col("r_"), "g": F.col("g_"), "b": F.lit(7), "a": F.lit(255)}
+    return rows.select("image_id", "x", "y", *[F.when(inside, c).otherwise(0).cast("int").alias(n) for n, c in part.items()])
+
+
+@query(_SHAPE_SVG.format(size="12 AS width, 12 AS height,", box=""), _SHAPES.format(close="", close_hole=""))
+def r02_polygon_shapes(spark, sf_dir):
+    return trace(_shapes(spark, sf_dir), TraceOptions(mode="polygon", filter_speckle=3))
+
+
+@query(_SHAPE_SVG.format(size="12 AS width, 12 AS height,", box=""), _SHAPES.format(close=" L0 0", close_hole=" L6 3"))
+def r09_spline_shapes(spark, sf_dir):
+    return trace(_shapes(spark, sf_dir), TraceOptions(filter_speckle=3))
+
+
+@query("SELECT image_id, r * 65536 + g * 256 + b AS rgb, CAST(w * h - CASE WHEN kind = 1 THEN 9 ELSE 0 END AS BIGINT) AS pixels FROM s", _SHAPES.format(close="", close_hole=""))
+def k02_png_pixels(spark, sf_dir):
+    """Opaque pixels by colour of the PNGs that the traced shapes are painted to."""
+    drawn = trace(_shapes(spark, sf_dir), TraceOptions(mode="polygon", filter_speckle=3)).select("image_id", export.to_png("svg", F.lit(1.0)).alias("png"))
+    found = drawn.select("image_id", F.inline(export.png_colors("png")))
+    return found.select("image_id", "rgb", "pixels")
+
+
 @query()
 def r09_trace_spline(spark, sf_dir):
     return trace(px(spark, sf_dir))
@@ -918,6 +956,17 @@ def x04_compress_paths(spark, sf_dir):
     return drawings(spark, sf_dir).select("image_id", svg.compress_paths("svg").alias("svg"))
 
 
+@query("SELECT p_partkey AS image_id, '<svg viewBox=\"0 0 99 99\"><path d=\"M' || p_partkey % 50 || ' ' || p_size || 'c1 2 3 4 5 5s4-2 5-4\" fill=\"#123456\"/></svg>' AS svg FROM part", "")
+def x04_compress_smooth(spark, sf_dir):
+    """A curve that goes on smoothly from the one before takes the short form."""
+    x, y = F.col("p_partkey") % 50, F.col("p_size")
+    point = lambda dx, dy: F.concat_ws(" ", (x + dx).cast("string"), (y + dy).cast("string"))
+    curve = lambda *ps: F.concat(F.lit(" C "), F.concat_ws(" ", *[point(*p) for p in ps]))
+    data = F.concat(F.lit("M "), point(0, 0), curve((1, 2), (3, 4), (5, 5)), curve((7, 6), (9, 3), (10, 1)))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.concat(F.lit('<svg viewBox="0 0 99 99"><path d="'), data, F.lit('" fill="#123456"/></svg>')).alias("svg"))
+    return t.select("image_id", svg.compress_paths("svg").alias("svg"))
+
+
 @query(_of_tags_sql("straight", "'M' || a || ' ' || b || ' L' || (a + 10) || ' ' || b || ' L' || (a + 10) || ' ' || (b + 7) || ' L' || a || ' ' || (b + 7) || ' Z '", "' transform=\"translate(' || dx || ',' || dy || ')\"'", _HEAD) + " SELECT * FROM straight", _DRAWINGS)
 def w04_straighten_paths(spark, sf_dir):
     return drawings(spark, sf_dir).select("image_id", svg.straighten_paths("svg", F.lit(2.0)).alias("svg"))
@@ -1049,9 +1098,12 @@ def c05_apply_profile(spark, sf_dir):
     return settings.applied_profile(t, schema.profiles(spark))
 
 
-@query("SELECT * FROM prof", _PROFILES.replace("SELECT *", "SELECT name, CAST(colors AS INTEGER) AS colors, CAST(speckle AS INTEGER) AS speckle, CAST(layer_diff AS INTEGER) AS layer_diff, mode, CAST(corner AS INTEGER) AS corner, CAST(precision AS INTEGER) AS precision, CAST(splice AS INTEGER) AS splice, upscale, CAST(straighten AS DOUBLE) AS straighten, minify, stencil, ink"))
+@query("SELECT p_partkey, name, CAST(colors AS INTEGER) AS colors, CAST(speckle AS INTEGER) AS speckle, CAST(layer_diff AS INTEGER) AS layer_diff, mode, CAST(corner AS INTEGER) AS corner, CAST(precision AS INTEGER) AS precision, CAST(splice AS INTEGER) AS splice, upscale, CAST(straighten AS DOUBLE) AS straighten, minify, stencil, ink FROM prof JOIN part ON name = [" + ", ".join(f"'{p[0]}'" for p in schema.PROFILES) + "][p_partkey % 9 + 1]", _PROFILES)
 def x22_profiles(spark, sf_dir):
-    return schema.profiles(spark)
+    """The profile of every part."""
+    names = F.array(*[F.lit(p[0]) for p in schema.PROFILES])
+    t = table(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 9 + 1).cast("int")).alias("name"))
+    return t.join(F.broadcast(schema.profiles(spark)), "name")
 
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN v ELSE r END AS r, CASE WHEN p_partkey % 2 = 0 THEN v ELSE g END AS g, CASE WHEN p_partkey % 2 = 0 THEN v ELSE b END AS b FROM (SELECT *, {_LUMA} AS v FROM (SELECT p_partkey, CAST(p_partkey % 256 AS INTEGER) AS r, CAST(p_partkey * 7 % 256 AS INTEGER) AS g, CAST(p_size * 5 AS INTEGER) AS b FROM part))", "")
@@ -1399,6 +1451,12 @@ def c01_stencil(spark, sf_dir):
     return pipeline.preprocess(px(spark, sf_dir), pipeline.Settings(stencil=True))
 
 
+@query(_SHAPE_SVG.format(size="12 AS width, 12 AS height,", box=' viewBox="0 0 12 12"'), _SHAPES.format(close=" L0 0", close_hole=" L6 3"))
+def c02_finish_shapes(spark, sf_dir):
+    """Preprocessing, tracing and finishing of shapes, against their paths written out."""
+    return pipeline.drawings(_shapes(spark, sf_dir), pipeline.Settings(colors=8), TraceOptions(filter_speckle=3))
+
+
 @query()
 def c02_trace_and_finish(spark, sf_dir):
     return pipeline.drawings(px(spark, sf_dir), pipeline.Settings(colors=8, straighten=0.5))

@@ -145,6 +145,25 @@ def to_png(svg: pd.Series, scale: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else png(painted(s, k)) for s, k in zip(svg, scale)])
 
 
+@vectorized("array<struct<rgb:int,pixels:long>>")
+def png_colors(data: pd.Series) -> pd.Series:
+    """Opaque pixels by colour of PNGs as png() writes them (RGBA, no filters)."""
+
+    def of(raw: bytes) -> list[dict[str, int]]:
+        at, packed = 8, b""
+        w, h = struct.unpack_from(">II", raw, 16)
+        while at < len(raw):
+            (n,) = struct.unpack_from(">I", raw, at)
+            packed += raw[at + 8 : at + 8 + n] if raw[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        rgba = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + 4 * w)[:, 1:].reshape(-1, 4).astype(np.int64)
+        rgba = rgba[rgba[:, 3] > 0]
+        rgb, n = np.unique(rgba[:, 0] * 65536 + rgba[:, 1] * 256 + rgba[:, 2], return_counts=True)
+        return [{"rgb": int(c), "pixels": int(k)} for c, k in zip(rgb, n)]
+
+    return pd.Series([None if d is None else of(bytes(d)) for d in data])
+
+
 def physical_width_value(v: Column) -> Column:
     """v as a width: finite, above zero and at most 100,000, else null."""
     w = v.try_cast("double")
