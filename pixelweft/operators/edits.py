@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +58,20 @@ def replay_turns(log: DataFrame) -> DataFrame:
     return log.groupBy("image_id").agg(F.pmod(F.sum(turn), F.lit(4)).cast("int").alias("quarter_turns"), (F.count_if(F.col("op") == "invert") % 2 == 1).alias("inverted"))
 
 
+def stand(done: list[int], undone: list[int], steps: Iterable[tuple[str, int]]) -> tuple[list[int], list[int]]:
+    """What is done and what may be redone after steps (op, action)."""
+    for op, action in steps:
+        if op == "add":
+            done, undone = [*done, action], []
+        elif op == "undo" and done:
+            done, undone = done[:-1], [*undone, done[-1]]
+        elif op == "redo" and undone:
+            done, undone = [*done, undone[-1]], undone[:-1]
+        elif op == "clear":
+            done, undone = [], []
+    return done, undone
+
+
 def edit_log(log: DataFrame) -> DataFrame:
     """log (image_id, seq, op in add, undo, redo, clear, action long) -> image_id, pos, action: what stands at the end.
 
@@ -64,17 +79,7 @@ def edit_log(log: DataFrame) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, undone = [], []
-        for op, action in pdf.sort_values("seq")[["op", "action"]].itertuples(index=False):
-            if op == "add":
-                done.append(action)
-                undone = []
-            elif op == "undo" and done:
-                undone.append(done.pop())
-            elif op == "redo" and undone:
-                done.append(undone.pop())
-            elif op == "clear":
-                done, undone = [], []
+        done, _ = stand([], [], pdf.sort_values("seq")[["op", "action"]].itertuples(index=False))
         return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]] * len(done), "pos": range(len(done)), "action": done}).astype({"pos": "int32", "action": "int64"})
 
     return log.groupBy("image_id").applyInPandas(run, with_id(log, "pos int, action long"))
