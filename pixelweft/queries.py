@@ -784,17 +784,17 @@ def r03_trace_stacked(spark, sf_dir):
     return trace(px(spark, sf_dir), TraceOptions(mode="none", filter_speckle=2))
 
 
-# A square, a frame with a hole or a rectangle for every part, in a colour of its own on clear ground, and its paths written out.
+# A square, a frame with a hole or a rectangle for every supplier, in a colour of its own on clear ground, and its paths written out.
 _SHAPES = """s AS (SELECT p_partkey AS image_id, p_partkey % 3 AS kind, p_size % 4 + 3 AS side, CASE p_partkey % 3 WHEN 0 THEN p_size % 4 + 3 WHEN 1 THEN 9 ELSE 8 END AS w, CASE p_partkey % 3 WHEN 1 THEN 9 ELSE p_size % 4 + 3 END AS h, p_partkey % 2 + 1 AS x0, 2 AS y0,
-    p_size * 5 AS r, p_partkey % 128 AS g, 7 AS b FROM part),
+    p_size * 5 AS r, p_partkey % 128 AS g, 7 AS b FROM (SELECT s_suppkey AS p_partkey, s_suppkey % 50 + 1 AS p_size FROM supplier)),
   d AS (SELECT *, 'M0 0 L' || w || ' 0 L' || w || ' ' || h || ' L0 ' || h || '{close} Z' || CASE WHEN kind = 1 THEN ' M6 3 L3 3 L3 6 L6 6{close_hole} Z' ELSE '' END AS d, printf('#%02x%02x%02x', r, g, b) AS fill FROM s)"""
 _SHAPE_SVG = """SELECT image_id, {size} '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!-- traced -->' || chr(10) || '<svg version="1.1" xmlns="http://www.w3.org/2000/svg" width="12" height="12"{box}>' || chr(10) || '<path d="' || d || '" fill="' || fill || '" transform="translate(' || x0 || ',' || y0 || ')"/>' || chr(10) || '</svg>' AS svg FROM d"""
 
 
 def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, size = F.col("p_partkey"), F.col("p_size")
+    k, size = F.col("s_suppkey"), F.col("s_suppkey") % 50 + 1
     side, kind = size % 4 + 3, k % 3
-    t = table(spark, sf_dir, "part").select(k.alias("image_id"), kind.alias("kind"), F.when(kind == 0, side).when(kind == 1, 9).otherwise(8).alias("w"), F.when(kind == 1, 9).otherwise(side).alias("h"), (k % 2 + 1).alias("x0"), (size * 5).alias("r_"), (k % 128).alias("g_"))
+    t = table(spark, sf_dir, "supplier").select(k.alias("image_id"), kind.alias("kind"), F.when(kind == 0, side).when(kind == 1, 9).otherwise(8).alias("w"), F.when(kind == 1, 9).otherwise(side).alias("h"), (k % 2 + 1).alias("x0"), (size * 5).alias("r_"), (k % 128).alias("g_"))
     axis = F.sequence(F.lit(0), F.lit(11))
     rows = t.withColumn("x", F.explode(axis)).withColumn("y", F.explode(axis))
     u, v = F.col("x") - F.col("x0"), F.col("y") - 2
