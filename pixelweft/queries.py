@@ -17,7 +17,7 @@ from .functions import numbers, path, svg
 from .operators import color, edits, merge, neighbourhood, outline, pixel, region, stats
 from .operators.trace import TraceOptions, trace
 from .plans import pipeline, settings
-from .sources import export, images, raster, store
+from .sources import export, images, png, raster, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -822,6 +822,14 @@ def k02_png_pixels(spark, sf_dir):
     return found.select("image_id", "rgb", "pixels")
 
 
+@query("SELECT image_id, r * 65536 + g * 256 + b AS rgb, CAST(w * h - CASE WHEN kind = 1 THEN 9 ELSE 0 END AS BIGINT) AS pixels FROM s", _SHAPES.format(close="", close_hole=""))
+def k02_png_bands(spark, sf_dir):
+    """The same of PNGs that are painted and deflated in bands of five rows."""
+    drawn = trace(_shapes(spark, sf_dir), TraceOptions(mode="polygon", filter_speckle=3))
+    found = png.png_cells(png.png_parts(drawn, rows=5)).select("image_id", F.inline(export.png_colors("png")))
+    return found.select("image_id", "rgb", "pixels")
+
+
 @query()
 def r09_trace_spline(spark, sf_dir):
     return trace(px(spark, sf_dir))

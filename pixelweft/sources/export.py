@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,31 +103,70 @@ def pdf(svg: str, page_width: float | None = None, page_height: float | None = N
     return f"{head}{''.join(objects)}xref\n0 {len(bodies) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R >>\nstartxref\n{starts[-1]}\n%%EOF\n"
 
 
-def painted(svg: str, scale: float = 1.0) -> np.ndarray:
-    """RGBA of the drawing at its box's size: nonzero fill, sampled at pixel centres."""
-    drawing = parse_svg(svg)
-    w, h = max(1, round(drawing["width"] * scale)), max(1, round(drawing["height"] * scale))
-    out = np.zeros((h, w, 4), np.uint8)
-    for p in drawing["paths"]:
-        turns = np.zeros((h, w + 1), np.int32)
+def sides(svg: str, scale: float = 1.0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(path, fill, starts, ends) of the sides of each subpath, in pixels; level ones cross no row and are left out."""
+    for k, p in enumerate(parse_svg(svg)["paths"]):
+        r, g, b = _rgb(p["fill"])
         for sub in p["subpaths"]:
-            pts = np.array(points(sub)) * scale
-            for (x0, y0), (x1, y1) in zip(pts, np.roll(pts, -1, axis=0)):
-                if y0 == y1:
-                    continue
-                low, high, way = (y0, y1, 1) if y0 < y1 else (y1, y0, -1)
-                rows = np.arange(max(0, int(np.ceil(low - 0.5))), min(h, int(np.ceil(high - 0.5))))
-                x = x0 + (rows + 0.5 - y0) * (x1 - x0) / (y1 - y0)
-                np.add.at(turns, (rows, np.clip(np.ceil(x - 0.5), 0, w).astype(int)), way)
-        out[np.cumsum(turns, axis=1)[:, :w] != 0] = (*_rgb(p["fill"]), 255)
+            start = np.array(points(sub)) * scale
+            end = np.roll(start, -1, axis=0)
+            steep = start[:, 1] != end[:, 1]
+            yield k, r << 16 | g << 8 | b, start[steep], end[steep]
+
+
+def paint(path: np.ndarray, fill: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, first: int, height: int) -> np.ndarray:
+    """RGBA of the rows from first on that sides in order of path enclose: nonzero fill, sampled at pixel centres."""
+    low, high = np.minimum(start[:, 1], end[:, 1]), np.maximum(start[:, 1], end[:, 1])
+    top = np.clip(np.ceil(low - 0.5), first, first + height).astype(np.int64)
+    n = np.maximum(np.clip(np.ceil(high - 0.5), first, first + height).astype(np.int64) - top, 0)
+    side = np.repeat(np.arange(len(n)), n)
+    row = top[side] + np.arange(len(side)) - np.repeat(np.cumsum(n) - n, n)
+    (x0, y0), (x1, y1) = start[side].T, end[side].T
+    x = x0 + (row + 0.5 - y0) * (x1 - x0) / (y1 - y0)
+    col = np.clip(np.ceil(x - 0.5), 0, width).astype(np.int64)
+    way, row = np.where(y0 < y1, 1, -1), row - first
+    out = np.zeros((height, width, 4), np.uint8)
+    cuts = np.flatnonzero(np.diff(path[side], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(side)]):
+        r0, c0, r1, c1 = row[a:b].min(), col[a:b].min(), row[a:b].max() + 1, col[a:b].max()
+        turns = np.zeros((r1 - r0, c1 - c0 + 1), np.int32)
+        np.add.at(turns, (row[a:b] - r0, col[a:b] - c0), way[a:b])
+        c = int(fill[side[a]])
+        out[r0:r1, c0:c1][np.cumsum(turns, axis=1)[:, :-1] != 0] = (c >> 16, c >> 8 & 255, c & 255, 255)
     return out
 
 
+def painted_size(svg: str, scale: float = 1.0) -> tuple[int, int]:
+    drawing = parse_svg(svg)
+    return max(1, round(drawing["width"] * scale)), max(1, round(drawing["height"] * scale))
+
+
+def painted(svg: str, scale: float = 1.0) -> np.ndarray:
+    """RGBA of the drawing at its box's size."""
+    w, h = painted_size(svg, scale)
+    found = list(sides(svg, scale))
+    path, fill = (np.repeat([f[i] for f in found], [len(f[2]) for f in found]).astype(np.int64) for i in (0, 1))
+    start, end = (np.concatenate([np.zeros((0, 2)), *(f[i] for f in found)]) for i in (2, 3))
+    return paint(path, fill, start, end, w, 0, h)
+
+
+def png_chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_head(width: int, height: int) -> bytes:
+    return b"\x89PNG\r\n\x1a\n" + png_chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0))
+
+
+def png_rows(rgba: np.ndarray) -> bytes:
+    """Rows as they are packed, each behind the mark of no filter."""
+    h, w = rgba.shape[:2]
+    return np.hstack([np.zeros((h, 1), np.uint8), rgba.reshape(h, w * 4)]).tobytes()
+
+
 def png(rgba: np.ndarray) -> bytes:
     h, w = rgba.shape[:2]
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.hstack([np.zeros((h, 1), np.uint8), rgba.reshape(h, w * 4)]).tobytes()
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
+    return png_head(w, h) + png_chunk(b"IDAT", zlib.compress(png_rows(rgba), 6)) + png_chunk(b"IEND", b"")
 
 
 @vectorized("string")

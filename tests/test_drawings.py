@@ -4,6 +4,7 @@ import math
 import re
 import struct
 import time
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,7 @@ from pixelweft.operators.trace import TraceOptions, trace
 from pixelweft.schema import PIXEL
 from pixelweft.plans import settings
 from pixelweft.plans.pipeline import Settings, drawings
-from pixelweft.sources import export, images
+from pixelweft.sources import export, images, png
 from pixelweft.sources.raster import budget_error, fit
 
 DRAWING = '<svg version="1.1" width="200" height="160" viewBox="0 0 200 160"><g fill="#ff0000"><path d="M0 0 L10 0 10 10 Z M2 2 L4 2 4 4 Z"/><path d="M0 0 C0 5 5 10 10 10" transform="translate(5,6)" fill="#00ff00"/></g><path d="M1 1 L2 2"/></svg>'
@@ -81,6 +82,73 @@ def test_png():
     assert struct.unpack(">II", export.png(rgba)[16:24]) == (4, 3)
 
 
+def winding(svg_text, scale):
+    """Opaque pixels by the winding number of each centre, side by side."""
+    w, h = export.painted_size(svg_text, scale)
+    out = np.zeros((h, w, 4), np.uint8)
+    for p in svg.parse_svg(svg_text)["paths"]:
+        for y in range(h):
+            for x in range(w):
+                turns = 0
+                for sub in p["subpaths"]:
+                    pts = [(a * scale, b * scale) for a, b in export.points(sub)]
+                    for (x0, y0), (x1, y1) in zip(pts, pts[1:] + pts[:1]):
+                        low, high = sorted((y0, y1))
+                        if low <= y + 0.5 < high and x0 + (y + 0.5 - y0) * (x1 - x0) / (y1 - y0) <= x + 0.5:
+                            turns += 1 if y0 < y1 else -1
+                if turns:
+                    out[y, x] = (*export._rgb(p["fill"]), 255)
+    return out
+
+
+def decoded(file):
+    """Pixels of a PNG without filters; sums of chunks and of the stream are checked."""
+    assert file[:8] == b"\x89PNG\r\n\x1a\n"
+    at, kinds, packed = 8, [], b""
+    while at < len(file):
+        (n,) = struct.unpack_from(">I", file, at)
+        kind, data = file[at + 4 : at + 8], file[at + 8 : at + 8 + n]
+        assert struct.unpack_from(">I", file, at + 8 + n) == (zlib.crc32(kind + data),)
+        kinds.append(kind)
+        packed += data if kind == b"IDAT" else b""
+        at += 12 + n
+    w, h = struct.unpack_from(">II", file, 16)
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND" and set(kinds[1:-1]) == {b"IDAT"}
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + 4 * w)[:, 1:].reshape(h, w, 4)
+
+
+BANDED = {
+    2**40 + 1: DRAWING.replace('width="200" height="160" viewBox="0 0 200 160"', 'width="21" height="17" viewBox="0 0 21 17"'),
+    2**40 + 2: '<svg width="9" height="13" viewBox="0 0 9 13"><path d="M-4 -3 L30 2 5 40 Z" fill="#010203"/><path d="M2 1 C20 0 -9 12 7 12 L1 6 Z M3 3 L3 9 6 9 Z" fill="#fedcba"/></svg>',
+    2**40 + 3: '<svg width="3" height="5" viewBox="0 0 3 5"></svg>',
+    2**40 + 4: '<svg width="6" height="1" viewBox="0 0 6 1"><path d="M1 0 L5 0 5 1 1 1 Z" fill="#ffffff"/><path d="M2 8 L5 8 5 9 Z" fill="#000001"/></svg>',
+}
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.5])
+def test_painted_by_winding_numbers(scale):
+    for text in BANDED.values():
+        assert (export.painted(text, scale) == winding(text, scale)).all()
+
+
+@pytest.mark.parametrize("scale,rows", [(1.0, 1), (2.5, 4), (1.0, None)])
+def test_png_by_bands(spark, tmp_path, scale, rows):
+    """Files of bands hold what is painted whole, in cells and in a folder; null drawings have none."""
+    drawn = spark.createDataFrame([*BANDED.items(), (7, None)], "image_id long, svg string").selectExpr("*", "'x' AS band", "1 AS path")
+    parts = png.png_parts(drawn, scale, rows)
+    files = {r.image_id: bytes(r.png) for r in png.png_cells(parts).collect()}
+    assert set(files) == set(BANDED)
+    png.write_png(parts, str(tmp_path / "out"))
+    assert {f.name for f in (tmp_path / "out").iterdir()} == {f"{i}.png" for i in BANDED}
+    for i, text in BANDED.items():
+        assert (decoded(files[i]) == export.painted(text, scale)).all()
+        assert (tmp_path / "out" / f"{i}.png").read_bytes() == files[i]
+    if rows == 1:
+        heights = {i: export.painted_size(text, scale)[1] for i, text in BANDED.items()}
+        assert {r.image_id: r["count"] for r in parts.groupBy("image_id").count().collect()} == {i: h + 2 for i, h in heights.items()}
+    assert png.png_parts(drawn.limit(0), scale, rows).count() == 0
+
+
 def test_png_source_round_trip(spark, tmp_path):
     rgba = np.random.default_rng(0).integers(0, 256, (5, 7, 4)).astype(np.uint8)
     (tmp_path / "a.png").write_bytes(export.png(rgba))
