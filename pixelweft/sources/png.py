@@ -100,6 +100,8 @@ def png_parts(drawings: DataFrame, scale: float = 1.0, rows: int | None = None)
     """
     kind = drawings.schema["image_id"].dataType.simpleString()
     sent = _banded(drawings, scale, rows).select("*", F.explode(F.sequence("first", "last")).alias("band"))
+    # few bytes make much work here, so partitions are not to be joined by size
+    sent = sent.repartition(int(drawings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "band")
     bands = stored(sent.groupBy("image_id", "band").applyInPandas(_deflated, f"image_id {kind}, part int, bytes binary, width int, height int, n long, s long, t long"))
     before = Window.partitionBy("image_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     a = (1 + F.coalesce(F.sum("s").over(before), F.lit(0))) % MODULUS
