@@ -201,11 +201,18 @@ def _pairs(at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield np.repeat(group, later), first, first + 1 + step
 
 
-def _search(ring: Ring):
-    """Rows (k int, v long, b1, b2 int, fp, guard long) sorted by the first four -> edges. Holds one group at most."""
+def _search(ring: Ring, parted: bool = False):
+    """Rows (k int, v long, b1, b2 int, fp, guard long) sorted by the first four -> edges. Holds one group at most.
+
+    If parted, rows hold a part as well, and the edges are all links between rows of different parts.
+    """
     names = ["fp_a", "guard_a", "fp_b", "guard_b"]
     of_key = np.array([s for s, _ in ring.keys])
 
+    def linked(a: list[np.ndarray], b: list[np.ndarray], fp: np.ndarray, guard: np.ndarray) -> pa.RecordBatch | None:
+        a, b = (np.concatenate([np.zeros(0, int), *x]) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[a], guard[a], fp[b], guard[b])], names=names) if len(a) else None
+
     def edges(cols: list[np.ndarray]) -> pa.RecordBatch | None:
         key, fp, guard = cols[:4], cols[4], cols[5]
         if len(fp) < 2:
@@ -217,6 +224,21 @@ def _search(ring: Ring):
         starts = of_key[key[0][at]]
         u, g, got_a, got_b = fp.view(np.uint64), guard.view(np.uint64), [], []
         large = sizes > FEW
+        if parted:
+            part = cols[6]
+            for group, a, b in _pairs(at[~large], sizes[~large]):
+                across = np.flatnonzero(part[a] != part[b])
+                group, a, b = group[across], a[across], b[across]
+                ok = ring.near(u[a] ^ u[b], starts[~large][group], g[a] ^ g[b])
+                got_a.append(a[ok])
+                got_b.append(b[ok])
+            for i, n, start in zip(at[large], sizes[large], starts[large]):
+                for x in range(i, i + n - 1):
+                    b = x + 1 + np.flatnonzero(part[x + 1 : i + n] != part[x])
+                    b = b[ring.near(u[b] ^ u[x], start, g[b] ^ g[x])]
+                    got_a.append(np.full(len(b), x))
+                    got_b.append(b)
+            return linked(got_a, got_b, fp, guard)
         few = np.flatnonzero(~large & (sizes > 1))
         for group, a, b in _pairs(at[few], sizes[few]):
             ok = ring.near(u[a] ^ u[b], starts[few[group]], g[a] ^ g[b])
@@ -231,8 +253,7 @@ def _search(ring: Ring):
                 p = np.array(pairs) + i
                 got_a.append(p[:, 0])
                 got_b.append(p[:, 1])
-        a, b = (np.concatenate([np.zeros(0, int), *x]) for x in (got_a, got_b))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[a], guard[a], fp[b], guard[b])], names=names) if len(a) else None
+        return linked(got_a, got_b, fp, guard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -258,14 +279,19 @@ def node(fp: Column, guard: Column, ring: Ring) -> Column:
     return fp if ring.guard >= BITS else F.xxhash64(fp, guard)
 
 
-def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp, guard) -> edges (a, b) of their nodes that connect all links."""
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(ring.keys)])
-    rows = fps.select("fp", "guard", F.inline(keys))
+def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK, parted: bool = False) -> DataFrame:
+    """Distinct fingerprints (fp, guard) -> edges (a, b) of their nodes that connect all links.
+
+    If parted, fps holds group and part (longs) as well, and the edges are all links within a group between different parts.
+    """
+    value = lambda m: F.col("fp").bitwiseAND(F.lit(_signed(m)))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), (F.xxhash64("group", value(m)) if parted else value(m)).alias("v")) for k, (_, m) in enumerate(ring.keys)])
+    held = ["fp", "guard", "part"] if parted else ["fp", "guard"]
+    rows = fps.select(*held, F.inline(keys))
     one = F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))
     hot = checkpointed(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > block).select("k", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     if hot.isEmpty():
-        rows = rows.select("k", "v", F.inline(one), "fp", "guard")
+        rows = rows.select("k", "v", F.inline(one), *held)
     else:
         rows = rows.join(if_small(hot), ["k", "v"], "left")
         own = F.pmod(F.xxhash64("fp", "guard"), F.col("blocks")).cast("int")
@@ -275,21 +301,89 @@ def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK) -> DataFrame:
                 lambda j: F.struct(F.least(j, F.col("own")).alias("b1"), F.greatest(j, F.col("own")).alias("b2")),
             )
         )
-        rows = rows.withColumn("own", own).select("k", "v", F.inline(pairs), "fp", "guard")
-    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions("k", "v", "b1", "b2").mapInArrow(_search(ring), "fp_a long, guard_a long, fp_b long, guard_b long")
+        rows = rows.withColumn("own", own).select("k", "v", F.inline(pairs), *held)
+    order = ["k", "v", "b1", "b2"] + (["fp", "guard"] if ring.guard < BITS else [])  # forests of one group under different keys are alike then
+    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions(*order).mapInArrow(_search(ring, parted), "fp_a long, guard_a long, fp_b long, guard_b long")
     return found.select(node(F.col("fp_a"), F.col("guard_a"), ring).alias("a"), node(F.col("fp_b"), F.col("guard_b"), ring).alias("b"))
 
 
-def _components(prints: DataFrame, ring: Ring, block: int) -> DataFrame:
-    """prints (doc_id, fp, guard, ...) -> fp, guard, root and component_id of every distinct (fp, guard), kept in the shared folder."""
+def _components(prints: DataFrame, ring: Ring, block: int, roots_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """prints (doc_id, fp, guard, ...) -> fp, guard, root and component_id of every distinct (fp, guard), kept in the shared folder.
+
+    roots_of finds the roots of distinct fingerprints; without it they are those of all links.
+    """
     reps = checkpointed(prints.groupBy("fp", "guard").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(reps, ring, block))
+    roots = roots_of(reps) if roots_of else connected_components(links(reps, ring, block))
     own = node(F.col("fp"), F.col("guard"), ring)
     joined = checkpointed(reps.withColumn("own", own).join(roots, F.col("own") == F.col("node"), "left").select("fp", "guard", "rep", F.coalesce("root", "own").alias("root")))
     first = checkpointed(joined.groupBy("root").agg(F.min("rep").alias("component_id")))
     return checkpointed(joined.drop("rep").join(first, "root"))
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Hashes of the different shingles of a text's words, sorted; the words themselves are one if they are fewer, and a text without words has none."""
+    words, digest = split(text), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([_signed(digest(b" ".join(words), 42))] if words else [], np.int64)
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)], np.uint64).view(np.int64))
+
+
+def _shingle_sets(docs: DataFrame, text: str, prints: DataFrame, edges: DataFrame, ring: Ring) -> DataFrame:
+    """node and shingles of each node that has an edge, by the text of the node with the smallest hash."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    texts = prints.groupBy("fp", "guard").agg(F.min(F.struct("text_key", "doc_id")).alias("t")).select(node(F.col("fp"), F.col("guard"), ring).alias("node"), F.col("t.text_key").alias("key_"), F.col("t.doc_id").alias("id_"))
+    wanted = checkpointed(texts.join(ends, "node", "left_semi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = pa.array([shingle_set(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
+    found = rows.join(if_small(wanted), (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "text")
+    return checkpointed(found.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
+def _judged(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """edges (a, b) with ok: the two shingle sets have at least so many hundredths of their union in common. Nodes with more than BLOCK edges are dealt out."""
+    hubs = checkpointed(edges.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("deals")).where("deals > 1"))
+    hubs = if_small(hubs)
+    left = edges.join(hubs, "a", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("b"), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
+    of_a = sets.withColumnsRenamed({"node": "a", "shingles": "x"}).join(hubs, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
+    of_b = sets.withColumnsRenamed({"node": "b", "shingles": "y"})
+    both = left.join(of_a, ["a", "deal"]).join(of_b, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return checkpointed(both.select("a", "b", (common * (100 + percent) >= percent * (F.size("x") + F.size("y"))).alias("ok")))
+
+
+def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame, ring: Ring, block: int, percent: int) -> DataFrame:
+    """node and root of the fingerprints in reps, linked where the ring links them and their texts' shingles are similar.
+
+    Links of the ring come as forests. Where shingles refuse an edge and its ends are
+    not connected otherwise, other links of that forest's nodes may have been left
+    out: of these nodes all links between parts that are not connected yet are then
+    looked at, so none is lost.
+    """
+    near = checkpointed(links(reps, ring, block).where("a <> b").distinct())
+    sets = _shingle_sets(docs, text, prints, near, ring)
+    judged = _judged(near, sets, percent)
+    sure = judged.where("ok").select("a", "b")
+    roots = checkpointed(connected_components(sure))
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    refused = judged.where("not ok").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    split_ = checkpointed(refused.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a"))
+    if split_.isEmpty():
+        return roots
+    groups = checkpointed(connected_components(near).withColumnRenamed("root", "group"))
+    open_ = groups.join(split_.select(F.col("a").alias("node")), "node", "left_semi").select("group").distinct()
+    parts = groups.join(open_, "group", "left_semi").join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("part"))
+    again = reps.select("fp", "guard", node(F.col("fp"), F.col("guard"), ring).alias("node")).join(parts, "node")
+    more = checkpointed(links(checkpointed(again), ring, block, parted=True).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+    return connected_components(sure.union(_judged(more, sets, percent).where("ok").select("a", "b")))
+
+
 def simhash_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
 
@@ -303,9 +397,12 @@ def simhash_components(docs: DataFrame, text: str = "text", block: int = BLOCK)
     return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", ring: Ring = LOOSE, prints: Callable[[str | None], tuple[int, int]] = loose_prints, block: int = BLOCK) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", ring: Ring = LOOSE, prints: Callable[[str | None], tuple[int, int]] = loose_prints, block: int = BLOCK, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns.
 
+    Texts are linked where the ring links their fingerprints and their different
+    five-word shingles have percent hundredths of their union in common, or more;
+    texts alike in both fingerprints count as one.
     Of rows of one component with that same doc_id one is kept: of different texts
     the one with the smallest hash, of rows alike in id and text any. Rows with a
     null doc_id go if a row of their component has an id; else one of them stays.
@@ -313,7 +410,7 @@ def near_dedup(docs: DataFrame, text: str = "text", ring: Ring = LOOSE, prints:
     not shuffled unless the ids that go are more than BROADCAST_ROWS.
     """
     found = checkpointed(with_prints(docs, text, prints))
-    labels = _components(found, ring, block)
+    labels = _components(found, ring, block, lambda reps: similar_roots(docs, text, found, reps, ring, block, percent))
     each = checkpointed(found.join(labels, ["fp", "guard"]).groupBy("root", "component_id", "doc_id", "text_key").agg(F.count("*").alias("n")))
     # the copy that stays in each component, and how often it is there
     stays = checkpointed(each.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("stays"), F.min_by("n", "text_key").alias("times")))

@@ -118,6 +118,39 @@ def test_near_dedup_finds_similar_texts(spark):
     assert len(near) > 200 and len([i for i in near if i not in kept]) >= 0.97 * len(near)
 
 
+@pytest.mark.parametrize("ring,block,seed", [(simhash.LOOSE, 4096, 1), (simhash.LOOSE, 20, 2), (simhash.Ring(20, links=2, parts=2, guard=32), 4096, 3), (simhash.Ring(20, links=2, parts=2, guard=32), 50, 4)])
+def test_near_dedup_links_by_shingles(spark, ring, block, seed):
+    """Among texts that fingerprints link in one dense group, those of 0.8 or more are found by brute force; forests hide none."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(400)]
+    base = [r.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for _ in range(9):  # a family keeps some changes of base, its members change a word or two more
+        family = list(base)
+        for at in r.sample(range(150), r.randint(2, 5)):
+            family[at] = r.choice(vocabulary)
+        for _ in range(10):
+            words = list(family)
+            for at in r.sample(range(150), r.randint(0, 2)):
+                words[at] = r.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["", "a b c", "a b c d", " A b  c"]
+    prints = [[int(x) for x in simhash.loose_prints(t)] for t in texts]
+    first, pairs, refused = list(range(len(texts))), [], 0
+    for i, (a, x) in enumerate(prints):
+        for j, (b, y) in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= ring.budget and (x ^ y).bit_count() <= ring.guard:
+                alike = (a, x) == (b, y) or bool(texts[i] and texts[j]) and similarity(texts[i], texts[j]) >= 0.8
+                pairs += [(i, j)] * alike
+                refused += not alike
+    for _ in texts:
+        for i, j in pairs:
+            first[i] = first[j] = min(first[i], first[j])
+    assert refused
+    kept = {x.doc_id for x in simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ring=ring, block=block).collect()}
+    assert kept == set(first)
+
+
 def test_near_dedup_of_one_id_and_none(spark):
     """Texts that share an id, or have none, are judged by their own components."""
     a, b, c = ("one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta", "red green blue cyan black white grey pink")
