@@ -27,8 +27,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Texts are near if the SimHashes of their words are within 8 bits and those of
-    their five-word shingles within 18, as with a similarity of 0.8 or more. Null
+    Texts are near if the SimHashes of their words are within 8 bits, those of their
+    five-word shingles within 18, and the sets of these shingles have 0.8 of their
+    union in common, which is looked at exactly. Null
     and empty texts are one group. Of repeated rows one stays, of different texts
     with the smallest id the one with the smallest hash; rows without an id go where
     their group has one.
