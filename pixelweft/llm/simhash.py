@@ -282,10 +282,9 @@ def node(fp: Column, guard: Column, ring: Ring) -> Column:
 def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK, parted: bool = False) -> DataFrame:
     """Distinct fingerprints (fp, guard) -> edges (a, b) of their nodes that connect all links.
 
-    If parted, fps holds group and part (longs) as well, and the edges are all links within a group between different parts.
+    If parted, fps holds part (long) as well, and the edges are all links between different parts.
     """
-    value = lambda m: F.col("fp").bitwiseAND(F.lit(_signed(m)))
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), (F.xxhash64("group", value(m)) if parted else value(m)).alias("v")) for k, (_, m) in enumerate(ring.keys)])
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(ring.keys)])
     held = ["fp", "guard", "part"] if parted else ["fp", "guard"]
     rows = fps.select(*held, F.inline(keys))
     one = F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))
@@ -348,12 +347,17 @@ def _shingle_sets(docs: DataFrame, text: str, prints: DataFrame, edges: DataFram
 
 def _judged(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """edges (a, b) with ok: the two shingle sets have at least so many hundredths of their union in common. Nodes with more than BLOCK edges are dealt out."""
-    hubs = checkpointed(edges.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("deals")).where("deals > 1"))
-    hubs = if_small(hubs)
-    left = edges.join(hubs, "a", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("b"), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
-    of_a = sets.withColumnsRenamed({"node": "a", "shingles": "x"}).join(hubs, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
+    of_a = sets.withColumnsRenamed({"node": "a", "shingles": "x"})
     of_b = sets.withColumnsRenamed({"node": "b", "shingles": "y"})
-    both = left.join(of_a, ["a", "deal"]).join(of_b, "b")
+    hubs = checkpointed(edges.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("deals")).where("deals > 1"))
+    if hubs.isEmpty():
+        both = edges.join(of_a, "a")
+    else:
+        hubs = if_small(hubs)
+        dealt = edges.join(hubs, "a", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("b"), F.col("deals")).cast("int"), F.lit(0)))
+        of_a = of_a.join(hubs, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
+        both = dealt.join(of_a, ["a", "deal"])
+    both = both.join(of_b, "b")
     common = F.size(F.array_intersect("x", "y"))
     return checkpointed(both.select("a", "b", (common * (100 + percent) >= percent * (F.size("x") + F.size("y"))).alias("ok")))
 
@@ -363,8 +367,8 @@ def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame
 
     Links of the ring come as forests. Where shingles refuse an edge and its ends are
     not connected otherwise, other links of that forest's nodes may have been left
-    out: of these nodes all links between parts that are not connected yet are then
-    looked at, so none is lost.
+    out: all links between parts that are not connected yet are then looked at, so
+    none is lost. These are found among the nodes that have an edge only.
     """
     near = checkpointed(links(reps, ring, block).where("a <> b").distinct())
     sets = _shingle_sets(docs, text, prints, near, ring)
@@ -373,15 +377,16 @@ def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame
     roots = checkpointed(connected_components(sure))
     at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     refused = judged.where("not ok").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    split_ = checkpointed(refused.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a"))
-    if split_.isEmpty():
+    if refused.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).isEmpty():
         return roots
-    groups = checkpointed(connected_components(near).withColumnRenamed("root", "group"))
-    open_ = groups.join(split_.select(F.col("a").alias("node")), "node", "left_semi").select("group").distinct()
-    parts = groups.join(open_, "group", "left_semi").join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("part"))
+    parts = checkpointed(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part")))
     again = reps.select("fp", "guard", node(F.col("fp"), F.col("guard"), ring).alias("node")).join(parts, "node")
-    more = checkpointed(links(checkpointed(again), ring, block, parted=True).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-    return connected_components(sure.union(_judged(more, sets, percent).where("ok").select("a", "b")))
+    more = links(again, ring, block, parted=True).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    late = _judged(checkpointed(more), sets, percent).where("ok")
+    part = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+    joined = late.join(part("a"), "a").join(part("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+    last = connected_components(joined).withColumnsRenamed({"node": "part", "root": "last"})
+    return parts.join(last, "part", "left").select("node", F.coalesce("last", "part").alias("root"))
 
 
 def simhash_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
