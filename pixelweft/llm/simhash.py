@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, if_small, text_key, wrapped
+from .common import checkpointed, if_small, settled, text_key, wrapped
 from .components import connected_components
 
 BITS = 64
@@ -373,16 +373,19 @@ def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame
     near = checkpointed(links(reps, ring, block).where("a <> b").distinct())
     sets = _shingle_sets(docs, text, prints, near, ring)
     judged = _judged(near, sets, percent)
+    settled(docs.sparkSession)
     sure = judged.where("ok").select("a", "b")
     roots = checkpointed(connected_components(sure))
     at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     refused = judged.where("not ok").join(at("a"), "a", "left").join(at("b"), "b", "left")
     if refused.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).isEmpty():
         return roots
+    settled(docs.sparkSession)
     parts = checkpointed(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part")))
     again = reps.select("fp", "guard", node(F.col("fp"), F.col("guard"), ring).alias("node")).join(parts, "node")
     more = links(again, ring, block, parted=True).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
     late = _judged(checkpointed(more), sets, percent).where("ok")
+    settled(docs.sparkSession)
     part = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
     joined = late.join(part("a"), "a").join(part("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
     last = connected_components(joined).withColumnsRenamed({"node": "part", "root": "last"})
