@@ -38,11 +38,6 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def settled(spark: SparkSession) -> None:
-    """Between phases of many small jobs: lets the driver drop plans and broadcasts of those that are done, which it does only after a collection."""
-    spark._jvm.System.gc()
-
-
 def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A checkpointed table of narrow rows, marked for broadcast if it has at most so many; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
