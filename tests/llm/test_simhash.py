@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pixelweft.llm import components as graph
 from pixelweft.llm import simhash
 from pixelweft.llm.components import connected_components
 
@@ -184,3 +185,31 @@ def test_components_of_odd_edges(spark):
     assert connected_components(edges.limit(0)).count() == 0
     path = spark.createDataFrame([(i, i + 1) for i in range(120)], "a long, b long")
     assert {r.root for r in connected_components(path).collect()} == {0}
+
+
+@pytest.mark.parametrize("held", [3, 50, graph.HELD])
+def test_components_by_brute_force(spark, held):
+    """Trees, cycles, hubs, chains and pairs over ids of both signs, however many edges a task looks at together."""
+    r = random.Random(held)
+    ids = [r.getrandbits(64) - (1 << 63) for _ in range(400)]
+    edges = [(ids[0], x) for x in ids[1:60]] + list(zip(ids[60:200], ids[61:200])) + [(r.choice(ids[200:300]), r.choice(ids[200:300])) for _ in range(110)]
+    edges += list(zip(ids[300::2], ids[301::2])) + [(ids[7], ids[7])]
+    edges += [(b, a) for a, b in edges[::3]]
+    r.shuffle(edges)
+    root = {x: x for x in ids}
+    for _ in ids:
+        if not any([root.update({a: low, b: low}) or True for a, b in edges if root[a] != root[b] and (low := min(root[a], root[b])) is not None]):
+            break
+    want = {x: root[x] for x in {x for a, b in edges if a != b for x in (a, b)}}
+    got = connected_components(spark.createDataFrame(edges, "a long, b long"), held).collect()
+    assert len(got) == len(want) and {x.node: x.root for x in got} == want
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Every table that is kept costs the driver some jobs, so long chains and many nodes must not take many of them."""
+    kept, keep = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: kept.append(1) or keep(df))
+    edges = spark.range(0, 20_000, numPartitions=4).selectExpr("id AS a", "id + 1 AS b").where("b % 1000 <> 0")
+    found = connected_components(edges)
+    assert found.groupBy("root").count().where("count = 1000").count() == 20
+    assert len(kept) <= 10
