@@ -36,6 +36,8 @@ BITS = 64
 BLOCK, FEW = 4096, 64
 #: Words hashed at once; bounds the memory that a long text takes. Pairs looked at at once.
 PIECE, PAIRS = 1 << 16, 1 << 17
+#: Longs of a set's sketch.
+SKETCH = 8
 
 
 def _mask(first: int, width: int) -> int:
@@ -201,10 +203,11 @@ def _pairs(at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield np.repeat(group, later), first, first + 1 + step
 
 
-def _search(ring: Ring, parted: bool = False):
+def _search(ring: Ring, percent: int | None = None):
     """Rows (k int, v long, b1, b2 int, fp, guard long) sorted by the first four -> edges. Holds one group at most.
 
-    If parted, rows hold a part as well, and the edges are all links between rows of different parts.
+    With percent, rows hold part, size and sketch as well, and the edges are all links between rows
+    of different parts whose sketches let their sets have percent hundredths of their union in common.
     """
     names = ["fp_a", "guard_a", "fp_b", "guard_b"]
     of_key = np.array([s for s, _ in ring.keys])
@@ -224,18 +227,25 @@ def _search(ring: Ring, parted: bool = False):
         starts = of_key[key[0][at]]
         u, g, got_a, got_b = fp.view(np.uint64), guard.view(np.uint64), [], []
         large = sizes > FEW
-        if parted:
-            part = cols[6]
+        if percent is not None:
+            part, size, sketch = cols[6], cols[7], cols[8:]
+
+            def similar(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+                apart = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in sketch)
+                return apart * (100 + percent) <= (100 - percent) * (size[a] + size[b])
+
             for group, a, b in _pairs(at[~large], sizes[~large]):
                 across = np.flatnonzero(part[a] != part[b])
                 group, a, b = group[across], a[across], b[across]
                 ok = ring.near(u[a] ^ u[b], starts[~large][group], g[a] ^ g[b])
+                ok = ok[similar(a[ok], b[ok])]
                 got_a.append(a[ok])
                 got_b.append(b[ok])
             for i, n, start in zip(at[large], sizes[large], starts[large]):
                 for x in range(i, i + n - 1):
                     b = x + 1 + np.flatnonzero(part[x + 1 : i + n] != part[x])
                     b = b[ring.near(u[b] ^ u[x], start, g[b] ^ g[x])]
+                    b = b[similar(x, b)]
                     got_a.append(np.full(len(b), x))
                     got_b.append(b)
             return linked(got_a, got_b, fp, guard)
@@ -261,6 +271,7 @@ def _search(ring: Ring, parted: bool = False):
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[8:] = [c.view(np.uint64) for c in cols[8:]]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             same = np.logical_and.reduce([c == c[-1] for c in cols[:4]])
@@ -279,13 +290,15 @@ def node(fp: Column, guard: Column, ring: Ring) -> Column:
     return fp if ring.guard >= BITS else F.xxhash64(fp, guard)
 
 
-def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK, parted: bool = False) -> DataFrame:
+def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK, percent: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp, guard) -> edges (a, b) of their nodes that connect all links.
 
-    If parted, fps holds part (long) as well, and the edges are all links between different parts.
+    With percent, fps holds part (long) and what sketched() gives as well, and the edges are all links
+    between different parts but those whose sketches show that their sets have less than percent
+    hundredths of their union in common.
     """
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(ring.keys)])
-    held = ["fp", "guard", "part"] if parted else ["fp", "guard"]
+    held = ["fp", "guard"] if percent is None else ["fp", "guard", "part", "size", *(f"s{i}" for i in range(SKETCH))]
     rows = fps.select(*held, F.inline(keys))
     one = F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))
     hot = checkpointed(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > block).select("k", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -302,7 +315,7 @@ def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK, parted: bool
         )
         rows = rows.withColumn("own", own).select("k", "v", F.inline(pairs), *held)
     order = ["k", "v", "b1", "b2"] + (["fp", "guard"] if ring.guard < BITS else [])  # forests of one group under different keys are alike then
-    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions(*order).mapInArrow(_search(ring, parted), "fp_a long, guard_a long, fp_b long, guard_b long")
+    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions(*order).mapInArrow(_search(ring, percent), "fp_a long, guard_a long, fp_b long, guard_b long")
     return found.select(node(F.col("fp_a"), F.col("guard_a"), ring).alias("a"), node(F.col("fp_b"), F.col("guard_b"), ring).alias("b"))
 
 
@@ -345,6 +358,26 @@ def _shingle_sets(docs: DataFrame, text: str, prints: DataFrame, edges: DataFram
     return checkpointed(found.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """node, size of the set and s0, s1, ...: for each remainder that hashes of shingles have, a bit that tells whether their number is odd.
+
+    Each shingle that only one of two sets holds turns one bit, so sketches differ in at most as many bits as sets in shingles.
+    """
+    names, bits = [f"s{i}" for i in range(SKETCH)], np.uint64(64 * SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                size = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                at = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % bits
+                ones = np.bincount(np.repeat(np.arange(len(size)), size) * int(bits) + at.astype(np.int64), minlength=len(size) * int(bits)) % 2
+                words = np.packbits(ones.astype(np.uint8).reshape(len(size), -1), axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["node", "size", *names])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, size long, " + ", ".join(f"{x} long" for x in names))
+
+
 def _judged(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """edges (a, b) with ok: the two shingle sets have at least so many hundredths of their union in common. Nodes with more than BLOCK edges are dealt out."""
     of_a = sets.withColumnsRenamed({"node": "a", "shingles": "x"})
@@ -368,7 +401,8 @@ def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame
     Links of the ring come as forests. Where shingles refuse an edge and its ends are
     not connected otherwise, other links of that forest's nodes may have been left
     out: all links between parts that are not connected yet are then looked at, so
-    none is lost. These are found among the nodes that have an edge only.
+    none is lost. These are found among the nodes that have an edge only, and those
+    that sketches of the shingle sets rule out are not made rows.
     """
     near = checkpointed(links(reps, ring, block).where("a <> b").distinct())
     sets = _shingle_sets(docs, text, prints, near, ring)
@@ -380,8 +414,8 @@ def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame
     if refused.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).isEmpty():
         return roots
     parts = checkpointed(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part")))
-    again = reps.select("fp", "guard", node(F.col("fp"), F.col("guard"), ring).alias("node")).join(parts, "node")
-    more = links(again, ring, block, parted=True).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    again = reps.select("fp", "guard", node(F.col("fp"), F.col("guard"), ring).alias("node")).join(parts, "node").join(sketched(sets), "node")
+    more = links(checkpointed(again), ring, block, percent).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
     late = _judged(checkpointed(more), sets, percent).where("ok")
     part = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
     joined = late.join(part("a"), "a").join(part("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()

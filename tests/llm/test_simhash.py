@@ -213,3 +213,22 @@ def test_components_take_few_rounds(spark, monkeypatch):
     found = connected_components(edges)
     assert found.groupBy("root").count().where("count = 1000").count() == 20
     assert len(kept) <= 10
+
+
+def test_links_between_parts_are_not_all_pairs(spark):
+    """Texts around one other: sketches rule out nearly all pairs that are not similar, and none that is."""
+    r = random.Random(8)
+    sets = []
+    for base in (60, 300):
+        center = r.sample(range(1 << 62), base)
+        sets += [center] + [r.sample(center, base - base // 12) + r.sample(range(1 << 62), base // 12) for _ in range(150)]
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)] + [(len(sets), [])]
+    fps = simhash.sketched(spark.createDataFrame(rows, "node long, shingles array<long>")).selectExpr("node AS fp", "0L AS guard", "node AS part", "size", *[f"s{i}" for i in range(simhash.SKETCH)])
+    ring = simhash.Ring(20, links=2, parts=2, guard=32)
+    number = {x.node: x.fp for x in fps.select("fp", simhash.node(F.col("fp"), F.col("guard"), ring).alias("node")).collect()}
+    got = simhash.links(fps, ring, percent=80).distinct().collect()
+    got = {frozenset((number[a], number[b])) for a, b in got}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    want = {frozenset((i, j)) for i, j in pairs if len(set(sets[i]) & set(sets[j])) * 180 >= 80 * (len(sets[i]) + len(sets[j]))}
+    assert want <= got and len(want) >= 300
+    assert len(got) <= 0.05 * len(pairs)
