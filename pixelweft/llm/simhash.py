@@ -38,6 +38,8 @@ BLOCK, FEW = 4096, 64
 PIECE, PAIRS = 1 << 16, 1 << 17
 #: Longs of a set's sketch.
 SKETCH = 8
+#: Shingles of the sets that a block may hold, 8 MB; a single set may have more.
+SHINGLES = 1 << 20
 
 
 def _mask(first: int, width: int) -> int:
@@ -203,6 +205,31 @@ def _pairs(at: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield np.repeat(group, later), first, first + 1 + step
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first four columns again, in tables that cut no group of rows alike in these. Holds one group at most."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        same = np.logical_and.reduce([c == c[-1] for c in (rows.column(i).to_numpy() for i in range(4))])
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        held = rows.slice(cut)
+        if cut:
+            yield rows.slice(0, cut)
+    if held is not None:
+        yield held
+
+
+def _starts(key: list[np.ndarray]) -> np.ndarray:
+    """Where groups of rows alike in key begin."""
+    new = np.ones(len(key[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in key])
+    return np.flatnonzero(new)
+
+
 def _search(ring: Ring, percent: int | None = None):
     """Rows (k int, v long, b1, b2 int, fp, guard long) sorted by the first four -> edges. Holds one group at most.
 
@@ -220,9 +247,7 @@ def _search(ring: Ring, percent: int | None = None):
         key, fp, guard = cols[:4], cols[4], cols[5]
         if len(fp) < 2:
             return None
-        new = np.ones(len(fp), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in key])
-        at = np.flatnonzero(new)
+        at = _starts(key)
         sizes = np.diff(np.append(at, len(fp)))
         starts = of_key[key[0][at]]
         u, g, got_a, got_b = fp.view(np.uint64), guard.view(np.uint64), [], []
@@ -266,21 +291,62 @@ def _search(ring: Ring, percent: int | None = None):
         return linked(got_a, got_b, fp, guard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        for rows in _whole_groups(batches):
+            cols = [c.to_numpy() for c in rows.columns]
             cols[8:] = [c.view(np.uint64) for c in cols[8:]]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            same = np.logical_and.reduce([c == c[-1] for c in cols[:4]])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            held = [c[cut:] for c in cols]
-            if cut and (out := edges([c[:cut] for c in cols])):
+            if out := edges(cols):
                 yield out
-        if held and (out := edges(held)):
-            yield out
+
+    return run
+
+
+def similar_forest(fps: np.ndarray, guards: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, ring: Ring, percent: int) -> list[tuple[int, int]]:
+    """Positions of texts in one group that are linked and similar, as a spanning forest.
+
+    Texts are linked if the ring links their fingerprints (unsigned), similar if their sets,
+    sizes of shingles each, have percent hundredths of their union in common.
+    """
+    numbers, at = np.unique(shingles, return_inverse=True)
+    starts, mine = np.cumsum(sizes) - sizes, np.zeros(len(numbers), bool)
+    rest, out = np.arange(len(fps)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            ok = np.flatnonzero(np.bitwise_count(fps[rest] ^ fps[x]) <= ring.budget)
+            ok = ok[np.bitwise_count(guards[rest[ok]] ^ guards[x]) <= ring.guard]
+            n = sizes[rest[ok]]
+            ok = ok[100 * np.minimum(n, sizes[x]) >= percent * np.maximum(n, sizes[x])]  # no set has more in common than the smaller one
+            if not len(ok):
+                continue
+            n, own = sizes[rest[ok]], at[starts[x] : starts[x] + sizes[x]]
+            ends = np.cumsum(n)
+            mine[own] = True
+            shared = np.concatenate(([0], np.cumsum(mine[at[np.arange(ends[-1]) + np.repeat(starts[rest[ok]] - ends + n, n)]])))
+            mine[own] = False
+            ok = ok[(shared[ends] - shared[ends - n]) * (100 + percent) >= percent * (n + sizes[x])]
+            near = rest[ok]
+            out += [(x, y) for y in near]
+            queue += list(near)
+            rest = np.delete(rest, ok)
+    return out
+
+
+def _search_similar(ring: Ring, percent: int):
+    """Rows (k int, v long, b1, b2 int, fp, guard long, shingles array) sorted by the first four -> edges, similar_forest() of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            key, (fp, guard) = ([rows.column(i).to_numpy() for i in r] for r in (range(4), (4, 5)))
+            sets = rows.column(6).combine_chunks()
+            sizes, shingles = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), sets.flatten().to_numpy()
+            ends = np.cumsum(sizes)
+            at = _starts(key)
+            for i, j in zip(at, [*at[1:], len(fp)]):
+                own = shingles[ends[i] - sizes[i] : ends[j - 1]]
+                if j - i > 1 and (pairs := similar_forest(fp[i:j].view(np.uint64), guard[i:j].view(np.uint64), sizes[i:j], own, ring, percent)):
+                    a, b = (np.array(pairs) + i).T
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[a], guard[a], fp[b], guard[b])], names=["fp_a", "guard_a", "fp_b", "guard_b"])
 
     return run
 
@@ -290,33 +356,67 @@ def node(fp: Column, guard: Column, ring: Ring) -> Column:
     return fp if ring.guard >= BITS else F.xxhash64(fp, guard)
 
 
+def _keys(ring: Ring) -> Column:
+    """The join keys (k, v) of a row's fp."""
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(ring.keys)])
+
+
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """k, v, b1, b2 and the other columns of rows (k, v, fp, guard, ...): keys that take several blocks come as all pairs of these."""
+    held = [c for c in rows.columns if c not in ("k", "v")]
+    one = F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))
+    hot = checkpointed(rows.groupBy("k", "v").agg(blocks.cast("int").alias("blocks")).where("blocks > 1"))
+    if hot.isEmpty():
+        return rows.select("k", "v", F.inline(one), *held)
+    rows = rows.join(if_small(hot), ["k", "v"], "left")
+    own = F.pmod(F.xxhash64("fp", "guard"), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks").isNull(), one).otherwise(
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")),
+            lambda j: F.struct(F.least(j, F.col("own")).alias("b1"), F.greatest(j, F.col("own")).alias("b2")),
+        )
+    )
+    return rows.withColumn("own", own).select("k", "v", F.inline(pairs), *held)
+
+
+def _edges(rows: DataFrame, search: Callable, ring: Ring) -> DataFrame:
+    """Edges (a, b) of nodes that search finds in each group of rows alike in k, v, b1, b2."""
+    order = ["k", "v", "b1", "b2"] + (["fp", "guard"] if ring.guard < BITS else [])  # forests of one group under different keys are alike then
+    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions(*order).mapInArrow(search, "fp_a long, guard_a long, fp_b long, guard_b long")
+    return found.select(node(F.col("fp_a"), F.col("guard_a"), ring).alias("a"), node(F.col("fp_b"), F.col("guard_b"), ring).alias("b"))
+
+
 def links(fps: DataFrame, ring: Ring = STRICT, block: int = BLOCK, percent: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp, guard) -> edges (a, b) of their nodes that connect all links.
 
     With percent, fps holds part (long) and what sketched() gives as well, and the edges are all links
     between different parts but those whose sketches show that their sets have less than percent
-    hundredths of their union in common.
+    hundredths of their union in common. These are pairs, as many as there are; similar_links() connects
+    what is similar by fewer rows.
     """
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, (_, m) in enumerate(ring.keys)])
     held = ["fp", "guard"] if percent is None else ["fp", "guard", "part", "size", *(f"s{i}" for i in range(SKETCH))]
-    rows = fps.select(*held, F.inline(keys))
-    one = F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))
-    hot = checkpointed(rows.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > block).select("k", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    if hot.isEmpty():
-        rows = rows.select("k", "v", F.inline(one), *held)
+    rows = _dealt(fps.select(*held, F.inline(_keys(ring))), F.ceil(F.count("*") / block))
+    return _edges(rows, _search(ring, percent), ring)
+
+
+def similar_links(sets: DataFrame, ring: Ring, block: int = BLOCK, percent: int = 80, shingles: int = SHINGLES) -> DataFrame:
+    """Distinct fingerprints with the sets of their texts (fp, guard, component, shingles) -> edges (a, b) of their nodes that connect all links between similar sets.
+
+    Links lie within a component. One of up to block rows and so many shingles is searched at once, a larger one by
+    pairs of blocks, and where these are more than the ring's keys, its rows are dealt out by their keys first:
+    so a row is sent in bounded copies, and a group gives less edges than it has rows.
+    """
+    rows = sets.withColumn("size", F.size("shingles").cast("long"))
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / shingles))
+    whole = F.array(F.struct(F.lit(-1).alias("k"), F.col("component").alias("v")))
+    large = checkpointed(rows.groupBy("component").agg(blocks.alias("blocks")).where("blocks > 1"))
+    if large.isEmpty():
+        rows = rows.select(F.inline(whole), F.lit(0).alias("b1"), F.lit(0).alias("b2"), "fp", "guard", "shingles")
     else:
-        rows = rows.join(if_small(hot), ["k", "v"], "left")
-        own = F.pmod(F.xxhash64("fp", "guard"), F.col("blocks")).cast("int")
-        pairs = F.when(F.col("blocks").isNull(), one).otherwise(
-            F.transform(
-                F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")),
-                lambda j: F.struct(F.least(j, F.col("own")).alias("b1"), F.greatest(j, F.col("own")).alias("b2")),
-            )
-        )
-        rows = rows.withColumn("own", own).select("k", "v", F.inline(pairs), *held)
-    order = ["k", "v", "b1", "b2"] + (["fp", "guard"] if ring.guard < BITS else [])  # forests of one group under different keys are alike then
-    found = rows.repartition("k", "v", "b1", "b2").sortWithinPartitions(*order).mapInArrow(_search(ring, percent), "fp_a long, guard_a long, fp_b long, guard_b long")
-    return found.select(node(F.col("fp_a"), F.col("guard_a"), ring).alias("a"), node(F.col("fp_b"), F.col("guard_b"), ring).alias("b"))
+        rows = rows.join(if_small(large), "component", "left")
+        rows = rows.select("fp", "guard", "size", "shingles", F.inline(F.when(F.col("blocks") > len(ring.keys), _keys(ring)).otherwise(whole)))
+        rows = _dealt(rows, blocks).drop("size")
+    return _edges(rows, _search_similar(ring, percent), ring)
 
 
 def _components(prints: DataFrame, ring: Ring, block: int, roots_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -340,22 +440,22 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)], np.uint64).view(np.int64))
 
 
-def _shingle_sets(docs: DataFrame, text: str, prints: DataFrame, edges: DataFrame, ring: Ring) -> DataFrame:
-    """node and shingles of each node that has an edge, by the text of the node with the smallest hash."""
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    texts = prints.groupBy("fp", "guard").agg(F.min(F.struct("text_key", "doc_id")).alias("t")).select(node(F.col("fp"), F.col("guard"), ring).alias("node"), F.col("t.text_key").alias("key_"), F.col("t.doc_id").alias("id_"))
-    wanted = checkpointed(texts.join(ends, "node", "left_semi"))
+def _shingle_sets(docs: DataFrame, text: str, prints: DataFrame, components: DataFrame, ring: Ring) -> DataFrame:
+    """fp, guard, component and shingles of each node in components (node, root), by the text of the node with the smallest hash."""
+    texts = prints.groupBy("fp", "guard").agg(F.min(F.struct("text_key", "doc_id")).alias("t")).select("fp", "guard", F.col("t.text_key").alias("key_"), F.col("t.doc_id").alias("id_"))
+    wanted = checkpointed(texts.withColumn("node", node(F.col("fp"), F.col("guard"), ring)).join(components, "node").drop("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                sets = pa.array([shingle_set(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
+                sets = pa.array([shingle_set(t.as_py()) for t in part.column(3)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sets], names=["fp", "guard", "component", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
-    found = rows.join(if_small(wanted), (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("node", "text")
-    return checkpointed(found.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    found = rows.join(if_small(wanted), (F.col("text_key") == F.col("key_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select("fp", "guard", "root", "text")
+    sets = found.mapInArrow(run, "fp long, guard long, component long, shingles array<long>")
+    return checkpointed(sets.groupBy("fp", "guard").agg(F.first("component").alias("component"), F.first("shingles").alias("shingles")))
 
 
 def sketched(sets: DataFrame) -> DataFrame:
@@ -378,49 +478,16 @@ def sketched(sets: DataFrame) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(run, "node long, size long, " + ", ".join(f"{x} long" for x in names))
 
 
-def _judged(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """edges (a, b) with ok: the two shingle sets have at least so many hundredths of their union in common. Nodes with more than BLOCK edges are dealt out."""
-    of_a = sets.withColumnsRenamed({"node": "a", "shingles": "x"})
-    of_b = sets.withColumnsRenamed({"node": "b", "shingles": "y"})
-    hubs = checkpointed(edges.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("deals")).where("deals > 1"))
-    if hubs.isEmpty():
-        both = edges.join(of_a, "a")
-    else:
-        hubs = if_small(hubs)
-        dealt = edges.join(hubs, "a", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("b"), F.col("deals")).cast("int"), F.lit(0)))
-        of_a = of_a.join(hubs, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
-        both = dealt.join(of_a, ["a", "deal"])
-    both = both.join(of_b, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return checkpointed(both.select("a", "b", (common * (100 + percent) >= percent * (F.size("x") + F.size("y"))).alias("ok")))
-
-
 def similar_roots(docs: DataFrame, text: str, prints: DataFrame, reps: DataFrame, ring: Ring, block: int, percent: int) -> DataFrame:
     """node and root of the fingerprints in reps, linked where the ring links them and their texts' shingles are similar.
 
-    Links of the ring come as forests. Where shingles refuse an edge and its ends are
-    not connected otherwise, other links of that forest's nodes may have been left
-    out: all links between parts that are not connected yet are then looked at, so
-    none is lost. These are found among the nodes that have an edge only, and those
-    that sketches of the shingle sets rule out are not made rows.
+    The ring's links come as forests, which may leave out a link between similar texts
+    for two between others. So they only tell which texts can be linked at all: each
+    component of them is then searched by the shingle sets themselves, and what this
+    leaves out is connected by links that were judged.
     """
-    near = checkpointed(links(reps, ring, block).where("a <> b").distinct())
-    sets = _shingle_sets(docs, text, prints, near, ring)
-    judged = _judged(near, sets, percent)
-    sure = judged.where("ok").select("a", "b")
-    roots = checkpointed(connected_components(sure))
-    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    refused = judged.where("not ok").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    if refused.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).isEmpty():
-        return roots
-    parts = checkpointed(sets.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part")))
-    again = reps.select("fp", "guard", node(F.col("fp"), F.col("guard"), ring).alias("node")).join(parts, "node").join(sketched(sets), "node")
-    more = links(checkpointed(again), ring, block, percent).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    late = _judged(checkpointed(more), sets, percent).where("ok")
-    part = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-    joined = late.join(part("a"), "a").join(part("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
-    last = connected_components(joined).withColumnsRenamed({"node": "part", "root": "last"})
-    return parts.join(last, "part", "left").select("node", F.coalesce("last", "part").alias("root"))
+    near = checkpointed(connected_components(links(reps, ring, block)))
+    return connected_components(similar_links(_shingle_sets(docs, text, prints, near, ring), ring, block, percent))
 
 
 def simhash_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:

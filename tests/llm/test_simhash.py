@@ -232,3 +232,67 @@ def test_links_between_parts_are_not_all_pairs(spark):
     want = {frozenset((i, j)) for i, j in pairs if len(set(sets[i]) & set(sets[j])) * 180 >= 80 * (len(sets[i]) + len(sets[j]))}
     assert want <= got and len(want) >= 300
     assert len(got) <= 0.05 * len(pairs)
+
+
+def test_near_copies_are_not_all_pairs(spark, monkeypatch):
+    """A large group of near copies, about half of whose pairs are similar: no table on the way holds the pairs, and the whole group goes."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(5000)]
+    base, texts = [r.choice(vocabulary) for _ in range(200)], []
+    for _ in range(500):
+        words = list(base)
+        for at in r.sample(range(200), r.randint(1, 4)):
+            words[at] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    made, keep, connect = [], simhash.checkpointed, simhash.connected_components
+
+    def kept(df):
+        made.append((df := keep(df)).count())
+        return df
+
+    def connected(edges):
+        made.append(edges.count())
+        return connect(edges)
+
+    monkeypatch.setattr(simhash, "checkpointed", kept)
+    monkeypatch.setattr(simhash, "connected_components", connected)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.doc_id for x in simhash.near_dedup(docs).collect()] == [0]
+    assert max(made) <= len(simhash.LOOSE.keys) * len(texts)
+
+
+@pytest.mark.parametrize("block,shingles", [(4096, 1 << 20), (4096, 700), (7, 1 << 20), (1, 1 << 20)])
+def test_similar_links_by_brute_force(spark, block, shingles):
+    """Components that are one group, those of several blocks and those that are dealt out by keys: every link between similar sets is connected, by few rows."""
+    r = random.Random(9)
+    rows, ring = [], simhash.LOOSE
+    for component in range(3):
+        fp, guard, center = r.getrandbits(64), r.getrandbits(64), r.sample(range(1 << 62), 40)
+        for _ in range(58):
+            flip = lambda x, most: x ^ sum(1 << b for b in r.sample(range(64), r.randint(0, most)))
+            one = r.sample(center, 40 - (n := r.randint(0, 6))) + r.sample(range(1 << 62), n)
+            rows.append((simhash._signed(flip(fp, 6)), simhash._signed(flip(guard, 11)), component, sorted(one)))
+    rows += [(simhash._signed(fp ^ 1 << i), simhash._signed(guard), 2, []) for i in range(2)]
+    sets = spark.createDataFrame(rows, "fp long, guard long, component long, shingles array<long>")
+    number = {x.node: x.fp for x in sets.select("fp", simhash.node(F.col("fp"), F.col("guard"), ring).alias("node")).collect()}
+    got = [(number[a], number[b]) for a, b in simhash.similar_links(sets, ring, block, 80, shingles).collect()]
+    want = []
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            apart = [((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x[:2], y[:2])]
+            if x[2] == y[2] and apart[0] <= ring.budget and apart[1] <= ring.guard and len(set(x[3]) & set(y[3])) * 180 >= 80 * (len(x[3]) + len(y[3])):
+                want.append((x[0], y[0]))
+
+    def roots(edges):
+        root = {x[0]: x[0] for x in rows}
+        for _ in rows:
+            before = dict(root)
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                return root
+
+    assert set(map(frozenset, got)) <= set(map(frozenset, want)) and roots(got) == roots(want)
+    assert len(set(roots(want).values())) > 10
+    if block > len(rows) and shingles > 100_000:
+        assert len(got) < len(rows) < len(want)
