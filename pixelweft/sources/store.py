@@ -19,6 +19,14 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept in the shared folder.
+
+    A checkpoint carries on the size that Spark has reckoned for df's plan. This is the
+    product of both sides of every join, so after a few rounds of joins it has millions
+    of digits, and knows nothing of the rows that explode() adds, so that large tables
+    look small enough for a broadcast. Without it joins go by the sizes that AQE measures.
+    """
+    spark = df.sparkSession
+    folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)

@@ -3,14 +3,17 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import color, neighbourhood, outline, pixel, region, stats
+from pixelweft.functions import groups
+from pixelweft.operators import color, neighbourhood, outline, pixel, region, stats, tiles
 from pixelweft.operators.trace import TraceOptions
 from pixelweft.plans import pipeline
 from pixelweft.schema import PIXEL, PIXELS, presets
 from pixelweft.sources import raster
+from pixelweft.sources.store import stored
 
 
 def image(spark, rows, image_id=1):
@@ -328,3 +331,68 @@ def test_profiles_drive_the_plans(spark):
     assert {k: (r.profile, r.width) for k, r in got.items()} == {1: ("balanced", 18), 2: ("web", 18)}
     alone = pipeline.drawings(px.where("image_id = 1"), *pipeline.of_profile("balanced")).first()
     assert got[1].svg == alone.svg
+
+
+def test_kept_tables_do_not_carry_on_reckoned_sizes(spark, capsys):
+    """Exploded rows are not taken for a small table, and rounds of joins do not multiply sizes."""
+    t = stored(spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(9_999))).alias("k")))
+    t.groupBy("k").count().join(t, "k").explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    for _ in range(4):
+        t = stored(t.join(t.select("k"), "k"))
+    t.explain(mode="cost")
+    assert "E+" not in capsys.readouterr().out
+    assert t.count() == 10_000
+
+
+def test_groups_come_whole_and_spread(spark, monkeypatch):
+    """Every group in one call and in its order, whatever the batches; small tables are not joined into one partition."""
+    monkeypatch.setattr(groups, "BATCH", 50)
+    rows = spark.range(400).select(F.expr("if(id % 20 = 0, null, id % 20)").alias("g"), (F.lit(400) - F.col("id")).alias("v"))
+
+    def kernel(t, starts):
+        g, v = t.column("g").to_pylist(), t.column("v").to_pylist()
+        for a, b in zip(starts, [*starts[1:], len(g)]):
+            yield pa.record_batch({"g": pa.array([g[a]], pa.int64()), "n": [b - a], "sorted": [v[a:b] == sorted(v[a:b])]})
+
+    out = groups.over_groups(rows, ["g"], ["v"], kernel, "g long, n long, sorted boolean")
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.g or 0, r.n, r.sorted) for r in out.collect()) == [(g, 20, True) for g in range(20)]
+
+
+def test_many_tiles_in_a_call():
+    """Labels and pieces of many tiles at once, against a search and a walk through each."""
+    r = np.random.default_rng(3)
+    cells = sorted((g, y, x, int(r.integers(0, 2))) for g in range(40) for y in range(5) for x in range(5) if r.random() < 0.9)
+    group, y, x, value = (np.array(c) for c in zip(*cells))
+    at = {c[:3]: i for i, c in enumerate(cells)}
+    want = np.full(len(cells), -1)
+    for i in range(len(cells)):
+        todo = [i] if want[i] < 0 else []
+        while todo:
+            j = todo.pop()
+            want[j] = i
+            g, v, u, c = cells[j]
+            near = [at.get((g, v + dv, u + du)) for dv, du in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+            todo += [k for k in near if k is not None and want[k] < 0 and cells[k][3] == c]
+    assert (tiles.label(x, y, value, group, 5) == want).all()
+    links = []
+    for g in range(60):
+        keys = r.permutation(30)[:12].tolist()
+        cut = int(r.integers(0, 12))
+        ring, rest = keys[:cut], keys[cut:]
+        to = dict(zip(ring, ring[1:] + ring[:1])) | dict(zip(rest, rest[1:] + [99]))
+        links += sorted((g, k, n) for k, n in to.items())
+    g, key, to = (np.array(c) for c in zip(*links))
+    piece, place, leaves = tiles.walked(key, to, np.flatnonzero(np.diff(g, prepend=-1)))
+    for i in range(len(key)):
+        own = dict(zip(key[g == g[i]].tolist(), to[g == g[i]].tolist()))
+        k, n = int(key[piece[i]]), 0
+        while k != key[i]:
+            k, n = own[k], n + 1
+        assert g[piece[i]] == g[i] and n == place[i]
+        end = leaves[piece[i]]
+        ring = [int(key[i])]
+        while own.get(ring[-1]) not in (None, 99, ring[0]):
+            ring.append(own[ring[-1]])
+        assert (end < 0) == (own[ring[-1]] == ring[0]) and (to[end] == 99 if end >= 0 else key[piece[i]] == min(ring))
