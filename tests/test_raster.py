@@ -396,3 +396,12 @@ def test_many_tiles_in_a_call():
         while own.get(ring[-1]) not in (None, 99, ring[0]):
             ring.append(own[ring[-1]])
         assert (end < 0) == (own[ring[-1]] == ring[0]) and (to[end] == 99 if end >= 0 else key[piece[i]] == min(ring))
+
+
+def test_border_seeds_write_no_distance_into_filters(spark, capsys):
+    """Colours' distances are found once; pushed below their projections they would outgrow generated code."""
+    px = image(spark, [[(9, 9, 9), (9, 9, 9), (9, 9, 9, 0)], [(9, 9, 9), (9, 9, 9), (200, 9, 9)], [(9, 9, 9), (9, 9, 9), (9, 9, 9)]])
+    out = region.border_seeds(px, 12.0)
+    assert sorted((r.x, r.y) for r in out.collect()) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 2)]
+    out.explain()
+    assert "POWER" not in capsys.readouterr().out
