@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import over_groups
 from ..functions.numbers import half_up
 from ..schema import ALPHA, with_id
 from .pixel import packed
@@ -172,18 +175,21 @@ def refined(lab: np.ndarray, n: np.ndarray, palette: np.ndarray, rounds: int = 1
 def palette_map(hist: DataFrame, colors: int) -> DataFrame:
     """hist (image_id, rgb, n, first) -> image_id, rgb, new_rgb for images of more colours than that; works on the histogram, which is small beside its image."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) <= colors:
-            return pd.DataFrame({"image_id": pdf.image_id[:0], "rgb": pdf.rgb[:0], "new_rgb": pdf.rgb[:0]})
-        pdf = pdf.sort_values("first")
-        rgb, n = pdf.rgb.to_numpy(), pdf.n.to_numpy(float)
-        lab = oklab_array(np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=1))
-        seeds = np.array([np.average(lab[b], axis=0, weights=n[b]) for b in median_cut(lab, n, colors)])
-        palette, to = refined(lab, n, seeds)
-        shown = srgb_array(palette)[to]
-        return pd.DataFrame({"image_id": pdf.image_id, "rgb": rgb, "new_rgb": shown[:, 0] * 65536 + shown[:, 1] * 256 + shown[:, 2]}).astype({"rgb": "int32", "new_rgb": "int32"})
-
-    return hist.groupBy("image_id").applyInPandas(run, with_id(hist, "rgb int, new_rgb int"))
+    def run(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every, weight = rows.column("rgb").to_numpy(), rows.column("n").to_numpy().astype(float)
+        new, known = np.zeros(len(every), np.int32), np.zeros(len(every), bool)
+        for a, b in zip(starts, [*starts[1:], len(every)]):
+            if b - a <= colors:
+                continue
+            rgb, n = every[a:b], weight[a:b]
+            lab = oklab_array(np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], axis=1))
+            seeds = np.array([np.average(lab[box], axis=0, weights=n[box]) for box in median_cut(lab, n, colors)])
+            palette, to = refined(lab, n, seeds)
+            shown = srgb_array(palette)[to]
+            new[a:b], known[a:b] = shown[:, 0] * 65536 + shown[:, 1] * 256 + shown[:, 2], True
+        yield from rows.select(["image_id", "rgb"]).append_column("new_rgb", pa.array(new)).filter(pa.array(known)).to_batches()
+
+    return over_groups(hist, ["image_id"], ["first"], run, with_id(hist, "rgb int, new_rgb int"))
 
 
 def quantize(px: DataFrame, colors: int) -> DataFrame:

@@ -8,10 +8,12 @@ import zlib
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import LessThanOrEqual
 
+from pixelweft import queries
 from pixelweft.functions import numbers, path, svg
 from pixelweft.operators import color, edits, merge, region
 from pixelweft.operators.trace import TraceOptions, trace
@@ -438,3 +440,27 @@ def test_svg_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out" / "image_id=-3").iterdir()) == ["0.txt", "1.txt", "2.txt"]
     with pytest.raises(FileExistsError):
         export.write_svg(rows, path)
+
+
+def test_small_groups_are_spread(spark, sf_dir):
+    """Shapes come from a small table, and palettes and bands from few bytes; their work is not joined into one partition."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert queries._shapes(spark, sf_dir).rdd.getNumPartitions() == parts
+    hist = spark.createDataFrame([(i, c * 1000, 1, c) for i in (1, 2**40) for c in range(i % 7 + 3)], "image_id long, rgb int, n long, first long")
+    out = color.palette_map(hist, 4)
+    assert out.rdd.getNumPartitions() == parts
+    assert {r.image_id for r in out.collect()} == {i for i in (1, 2**40) if i % 7 + 3 > 4}
+
+
+def test_bands_of_many_drawings_in_a_call(monkeypatch):
+    """Bands of several drawings are deflated one by one and sent when they come to enough bytes."""
+    side = lambda image, path, x0, y0, x1, y1: (image, 4, 4, 4, 0, 0, path, 255, x0, y0, x1, y1, 0)
+    rows = [r for image in ("a", "b") for r in (side(image, -1, 0.0, 0.0, 0.0, 0.0), side(image, 0, 1.0, 0.0, 1.0, 4.0), side(image, 0, 3.0, 4.0, 3.0, 0.0))]
+    names = ["image_id", "width", "height", "rows", "first", "last", "path", "fill", "x0", "y0", "x1", "y1", "band"]
+    table = pa.table({n: list(c) for n, c in zip(names, zip(*rows))})
+    whole = list(png._deflated(table, np.array([0, 3])))
+    assert [b.column("image_id").to_pylist() for b in whole] == [["a", "b"]]
+    packed = {c for c in whole[0].column("bytes").to_pylist()}
+    assert len(packed) == 1 and zlib.decompressobj().decompress(packed.pop()[8:-4]) == (b"\0" + b"\0" * 4 + b"\0\0\xff\xff" * 2 + b"\0" * 4) * 4
+    monkeypatch.setattr(png, "SENT", 1)
+    assert [b.column("image_id").to_pylist() for b in png._deflated(table, np.array([0, 3]))] == [["a"], ["b"]]
