@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.groups import over_groups
 from ..functions.udfs import vectorized
 from .export import paint, painted_size, png_chunk, png_head, png_rows, sides
 from .store import stored
 
 #: Pixels of a band, and sides that are sent at once.
 BAND, BATCH = 1 << 22, 1 << 15
+#: Bytes of deflated bands that are sent at once.
+SENT = 1 << 24
 MODULUS = 65521
 #: Deflated data of any length behind two bytes; the checksum follows in a chunk of its own.
 ZLIB = b"\x78\x9c"
@@ -40,6 +43,7 @@ def _banded(drawings: DataFrame, scale: float, rows: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["image_id", *(c.split()[0] for c in _SIDES.split(", "))]
         for batch in batches:
+            held, many = [], 0
             for image, svg in zip(batch.column(0), batch.column(1).to_pylist()):
                 if svg is None:
                     continue
@@ -53,7 +57,7 @@ def _banded(drawings: DataFrame, scale: float, rows: int | None) -> DataFrame:
                     columns = [pa.array(np.asarray(c, np.int32)) for c in ints] + [pa.array(np.ascontiguousarray(c)) for c in (start[:, 0], start[:, 1], end[:, 0], end[:, 1])]
                     return pa.RecordBatch.from_arrays([pa.repeat(image, n), *columns], names=names)
 
-                yield out([0], [bands - 1], -1, 0, np.zeros((1, 2)), np.zeros((1, 2)))
+                held.append(out([0], [bands - 1], -1, 0, np.zeros((1, 2)), np.zeros((1, 2))))
                 for path, fill, start, end in sides(svg, scale):
                     for k in range(0, len(start), BATCH):
                         a, b = start[k : k + BATCH], end[k : k + BATCH]
@@ -61,24 +65,46 @@ def _banded(drawings: DataFrame, scale: float, rows: int | None) -> DataFrame:
                         below = np.ceil(np.maximum(a[:, 1], b[:, 1]) - 0.5)  # the first row under the side
                         seen = (top < below) & (below > 0) & (top < h)
                         top, below = np.clip(top[seen], 0, h - 1), np.clip(below[seen], 1, h)
-                        yield out(top // deep, (below - 1) // deep, path, fill, a[seen], b[seen])
+                        held.append(out(top // deep, (below - 1) // deep, path, fill, a[seen], b[seen]))
+                        many += len(top)
+                        if many >= BATCH:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, many = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return drawings.select("image_id", "svg").mapInArrow(run, f"image_id {kind}, {_SIDES}")
 
 
-def _deflated(key: tuple, band: pd.DataFrame) -> pd.DataFrame:
-    """One band's chunk of the file, with the length and the two sums of what it packs."""
-    image, k = key
-    w, h, deep = (int(band[c].iloc[0]) for c in ("width", "height", "rows"))
-    first = int(k) * deep
-    band = band[band.path >= 0].sort_values("path", kind="stable")
-    rgba = paint(band.path.to_numpy(), band.fill.to_numpy(), band[["x0", "y0"]].to_numpy(), band[["x1", "y1"]].to_numpy(), w, first, min(deep, h - first))
-    data = png_rows(rgba)
-    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-    packed = packer.compress(data) + packer.flush(zlib.Z_FINISH if first + deep >= h else zlib.Z_FULL_FLUSH)
-    sums = zlib.adler32(data, 0)
-    row = (image, int(k) + 1, png_chunk(b"IDAT", (b"" if k else ZLIB) + packed), w, h, len(data), sums & 0xFFFF, sums >> 16)
-    return pd.DataFrame([row], columns=["image_id", "part", "bytes", "width", "height", "n", "s", "t"])
+def _deflated(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each band's chunk of the file, with the length and the two sums of what it packs; rows are in order of band and path."""
+    images, at = rows.column("image_id"), {c: rows.column(c).to_numpy() for c in rows.column_names if c != "image_id"}
+    start, end = (np.stack([at[f"x{k}"], at[f"y{k}"]], axis=1) for k in (0, 1))
+    names, found, size = ["part", "bytes", "width", "height", "n", "s", "t"], [], 0
+    types = [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def out(places: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([images.take(pa.array(places)).combine_chunks(), *(pa.array(c, t) for c, t in zip(list(zip(*found)), types))], names=["image_id", *names])
+
+    places = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+        w, h, deep, k = (int(at[c][a]) for c in ("width", "height", "rows", "band"))
+        first = k * deep
+        a += int((at["path"][a:b] < 0).sum())  # the rows that tell of the band only come first
+        rgba = paint(at["path"][a:b], at["fill"][a:b], start[a:b], end[a:b], w, first, min(deep, h - first))
+        data = png_rows(rgba)
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = packer.compress(data) + packer.flush(zlib.Z_FINISH if first + deep >= h else zlib.Z_FULL_FLUSH)
+        sums = zlib.adler32(data, 0)
+        found.append((k + 1, png_chunk(b"IDAT", (b"" if k else ZLIB) + packed), w, h, len(data), sums & 0xFFFF, sums >> 16))
+        places.append(b - 1)
+        size += len(packed)
+        if size > SENT:
+            yield out(places)
+            places, size = [], 0
+            found.clear()
+    if found:
+        yield out(places)
 
 
 @vectorized("binary")
@@ -100,9 +126,7 @@ def png_parts(drawings: DataFrame, scale: float = 1.0, rows: int | None = None)
     """
     kind = drawings.schema["image_id"].dataType.simpleString()
     sent = _banded(drawings, scale, rows).select("*", F.explode(F.sequence("first", "last")).alias("band"))
-    # few bytes make much work here, so partitions are not to be joined by size
-    sent = sent.repartition(int(drawings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "band")
-    bands = stored(sent.groupBy("image_id", "band").applyInPandas(_deflated, f"image_id {kind}, part int, bytes binary, width int, height int, n long, s long, t long"))
+    bands = stored(over_groups(sent, ["image_id", "band"], ["path"], _deflated, f"image_id {kind}, part int, bytes binary, width int, height int, n long, s long, t long"))
     before = Window.partitionBy("image_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     a = (1 + F.coalesce(F.sum("s").over(before), F.lit(0))) % MODULUS
     sums = bands.drop("bytes").withColumn("b", (F.col("t") + F.col("n") % MODULUS * a) % MODULUS)
